@@ -7,13 +7,17 @@ import functools
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binpack, packing, token_count
+from . import binpack, near_duplicates, packing, token_count
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -27,7 +31,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, functools.partial]:
-    return {f.__name__: f for f in (op5_token_counts, op7_packed_ids, op9_packing)}
+    return {f.__name__: f for f in (op2_near_duplicates, op5_token_counts, op7_packed_ids, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
