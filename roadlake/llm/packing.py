@@ -57,6 +57,8 @@ def cut_documents(path: str, size: int, end_id: int):
             for a, b in groups_of(offsets, 1 << 20):
                 raw = data[offsets[a] : offsets[b]].tobytes()
                 at = offsets[a : b + 1] - offsets[a]
+                if b"<|" not in raw:  # which could become a special token; else the tokenizer folds case itself, and words without it repeat more
+                    raw = raw.lower()
                 ids, ends = spread(*words.ids([raw[i:j].split() for i, j in zip(at[:-1], at[1:], strict=True)]), end_id)
                 raw_ids, tokens = ids.astype("<u4").tobytes(), np.diff(ends)
                 pieces = -(-tokens // size)
