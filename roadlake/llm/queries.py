@@ -7,7 +7,7 @@ import functools
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binpack, near_duplicates, packing, token_count
+from . import binpack, near_duplicates, packing, token_count, unigram
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,8 +30,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep_ids=False)
+
+
 def queries() -> dict[str, functools.partial]:
-    return {f.__name__: f for f in (op2_near_duplicates, op5_token_counts, op7_packed_ids, op9_packing)}
+    return {f.__name__: f for f in (op2_near_duplicates, op5_token_counts, op7_packed_ids, op9_packing, op10_unigram)}
 
 
 def oracle_sql() -> dict[str, str]:
