@@ -100,9 +100,9 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray, part_of_word: np.ndarray = ~SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words of every text, and the index of the first word of each text (n + 1 numbers)."""
-    inside = np.concatenate([[False], ~SPACE[data], [False]])
+    inside = np.concatenate([[False], part_of_word[data], [False]])
     first = np.zeros(len(data) + 1, bool)
     first[offsets] = True  # a text's first byte never continues the last text's word
     starts = np.flatnonzero(inside[1:-1] & (~inside[:-2] | first[:-1]))

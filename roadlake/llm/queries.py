@@ -7,7 +7,7 @@ import functools
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binpack, near_duplicates, packing, token_count, unigram
+from . import binpack, near_duplicates, packing, severity, token_count, unigram
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op3_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return severity.score(docs, severity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -35,7 +40,7 @@ def op10_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, functools.partial]:
-    return {f.__name__: f for f in (op2_near_duplicates, op5_token_counts, op7_packed_ids, op9_packing, op10_unigram)}
+    return {f.__name__: f for f in (op2_near_duplicates, op3_severity, op5_token_counts, op7_packed_ids, op9_packing, op10_unigram)}
 
 
 def oracle_sql() -> dict[str, str]:
