@@ -172,10 +172,13 @@ class Forest:
         return i != j
 
 
-def spanning(pairs: np.ndarray, n: int) -> np.ndarray:
-    """Of pairs of positions, those that a spanning forest needs."""
-    f = Forest(n)
-    return pairs[[f.join(i, j) for i, j in pairs.tolist()]] if len(pairs) else pairs
+def stars(forest: Forest, node: np.ndarray) -> list[tuple[int, int]]:
+    """(smallest node, other node) within each tree of positions. Tiles of the same nodes report mostly the same pairs."""
+    roots = [forest.root(i) for i in range(len(node))]
+    low: dict[int, int] = {}
+    for r, v in zip(roots, node.tolist(), strict=True):
+        low[r] = min(v, low.get(r, v))
+    return [(low[r], v) for r, v in zip(roots, node.tolist(), strict=True) if low[r] != v]
 
 
 def close_sketches(least: int, share: float):
@@ -187,16 +190,17 @@ def close_sketches(least: int, share: float):
         bins = flat.reshape(table.num_rows, -1)
         n = np.diff(bounds)
         two = bounds[:-1][n == 2]
-        pairs = [np.stack([two, two + 1], 1)[((bins[two] == bins[two + 1]).sum(1) >= least) & (np.minimum(size[two], size[two + 1]) >= share * np.maximum(size[two], size[two + 1]))]]
+        two = two[((bins[two] == bins[two + 1]).sum(1) >= least) & (np.minimum(size[two], size[two + 1]) >= share * np.maximum(size[two], size[two + 1]))]
+        out = [np.stack([node[two], node[two + 1]], 1)]
         for a, b in zip(bounds[:-1][n > 2], bounds[1:][n > 2], strict=True):
             f, x, s = Forest(b - a), bins[a:b], size[a:b]
-            found = []
             for i in range(b - a - 1):
-                near = np.flatnonzero(((x[i + 1 :] == x[i]).sum(1) >= least) & (np.minimum(s[i + 1 :], s[i]) >= share * np.maximum(s[i + 1 :], s[i]))) + i + 1
-                found += [(a + i, a + j) for j in near.tolist() if f.join(i, j)]
-            pairs.append(np.array(found, np.int64).reshape(-1, 2))
-        pairs = np.concatenate(pairs)
-        return node[pairs[:, 0]], node[pairs[:, 1]]
+                near = np.flatnonzero(((x[i + 1 :] == x[i]).sum(1) >= least) & (np.minimum(s[i + 1 :], s[i]) >= share * np.maximum(s[i + 1 :], s[i])))
+                for j in near.tolist():
+                    f.join(i, i + 1 + j)
+            out.append(np.array(stars(f, node[a:b]), np.int64).reshape(-1, 2))
+        pairs = np.concatenate(out)
+        return pairs[:, 0], pairs[:, 1]
 
     return compare
 
@@ -223,7 +227,7 @@ def exact_links(percent: int, cells: int = 1 << 22):
             if b - a == 2:
                 both = len(np.intersect1d(values[offsets[a] : offsets[a + 1]], values[offsets[a + 1] : offsets[b]], assume_unique=True))
                 if 100 * both >= percent * (size[a] + size[a + 1] - both):
-                    out.append([[a, a + 1]])
+                    out.append([[node[a], node[a + 1]]])
             elif b - a > 2:
                 m = b - a
                 _, column, seen = np.unique(values[offsets[a] : offsets[b]], return_inverse=True, return_counts=True)
@@ -242,9 +246,12 @@ def exact_links(percent: int, cells: int = 1 << 22):
                 both = np.rint(both).astype(np.int64)
                 s = size[a:b]
                 i, j = np.nonzero(np.triu(100 * both >= percent * (s[:, None] + s[None] - both), 1))
-                out.append(spanning(np.stack([i, j], 1), m) + a)
+                f = Forest(m)
+                for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                    f.join(x, y)
+                out.append(stars(f, node[a:b]))
         pairs = np.concatenate([np.asarray(x, np.int64).reshape(-1, 2) for x in out]) if out else np.zeros((0, 2), np.int64)
-        return node[pairs[:, 0]], node[pairs[:, 1]]
+        return pairs[:, 0], pairs[:, 1]
 
     return compare
 
