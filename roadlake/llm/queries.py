@@ -6,8 +6,9 @@ import functools
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import binpack, near_duplicates, packing, severity, token_count, unigram
+from . import binpack, near_duplicates, packing, personal, severity, token_count, unigram
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,13 @@ def op3_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return severity.score(docs, severity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_* count the base spans, as base_sha256 does; n_spans counts all spans in `spans`."""
+    found = personal.find(table(spark, sf_dir, "documents"))
+    n_spans = F.when(F.col("spans") == "", 0).otherwise(F.size(F.split("spans", ","))).cast("long")
+    return found.select("doc_id", *(f"n_{k}" for k in personal.KINDS), F.sha2("base_spans", 256).alias("base_sha256"), "spans", n_spans.alias("n_spans"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -40,7 +48,7 @@ def op10_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, functools.partial]:
-    return {f.__name__: f for f in (op2_near_duplicates, op3_severity, op5_token_counts, op7_packed_ids, op9_packing, op10_unigram)}
+    return {f.__name__: f for f in (op2_near_duplicates, op3_severity, op4_personal_data, op5_token_counts, op7_packed_ids, op9_packing, op10_unigram)}
 
 
 def oracle_sql() -> dict[str, str]:
