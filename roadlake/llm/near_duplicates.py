@@ -299,3 +299,12 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, bands: in
     discard(all_, nodes, shared, near, groups, candidates, links, labels)
     out = labelled.join(first, "label", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """docs with one row of each group of near duplicates: the one with the smallest id (without id: the first row). Columns stay as they are."""
+    row = "row of near_duplicates"
+    rows = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    groups = near_duplicates(rows, doc_id=row, text=text, **options).select(F.col("doc_id").alias(row), "component_id")
+    best = groups.join(rows.select(row, F.col(doc_id).cast("long").alias("id")), row).groupBy("component_id").agg(F.min_by(row, F.struct(F.col("id").isNull(), "id", row)).alias(row))
+    return rows.join(best.select(row), row, "left_semi").drop(row)
