@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binpack, near_duplicates, packing, personal, severity, token_count, unigram
+from . import binpack, interpolation, near_duplicates, packing, personal, severity, token_count, unigram
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation.score(table(spark, sf_dir, "documents"))
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
@@ -48,7 +52,7 @@ def op10_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, functools.partial]:
-    return {f.__name__: f for f in (op2_near_duplicates, op3_severity, op4_personal_data, op5_token_counts, op7_packed_ids, op9_packing, op10_unigram)}
+    return {f.__name__: f for f in (op1_deleted_interpolation, op2_near_duplicates, op3_severity, op4_personal_data, op5_token_counts, op7_packed_ids, op9_packing, op10_unigram)}
 
 
 def oracle_sql() -> dict[str, str]:
