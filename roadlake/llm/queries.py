@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binpack, interpolation, near_duplicates, packing, personal, severity, token_count, unigram
+from . import binpack, interpolation, near_duplicates, neighbours, packing, personal, severity, token_count, unigram
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op7_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binpack.pack_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -52,7 +56,7 @@ def op10_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, functools.partial]:
-    return {f.__name__: f for f in (op1_deleted_interpolation, op2_near_duplicates, op3_severity, op4_personal_data, op5_token_counts, op7_packed_ids, op9_packing, op10_unigram)}
+    return {f.__name__: f for f in (op1_deleted_interpolation, op2_near_duplicates, op3_severity, op4_personal_data, op5_token_counts, op6_neighbours, op7_packed_ids, op9_packing, op10_unigram)}
 
 
 def oracle_sql() -> dict[str, str]:
