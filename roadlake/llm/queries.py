@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binpack, interpolation, near_duplicates, neighbours, packing, personal, severity, token_count, unigram
+from . import binpack, interpolation, near_duplicates, neighbours, packing, personal, severity, token_count, unigram, vector_duplicates
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,10 @@ def op7_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binpack.pack_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_duplicates.link_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -56,7 +60,7 @@ def op10_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, functools.partial]:
-    return {f.__name__: f for f in (op1_deleted_interpolation, op2_near_duplicates, op3_severity, op4_personal_data, op5_token_counts, op6_neighbours, op7_packed_ids, op9_packing, op10_unigram)}
+    return {f.__name__: f for f in (op1_deleted_interpolation, op2_near_duplicates, op3_severity, op4_personal_data, op5_token_counts, op6_neighbours, op7_packed_ids, op8_vector_duplicates, op9_packing, op10_unigram)}
 
 
 def oracle_sql() -> dict[str, str]:
