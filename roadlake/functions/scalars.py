@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from roadlake.schema import EARTH_M, QUINTILES
 
 
+def half_up(x: Column, digits: int) -> Column:
+    """Rounds half up as decimals would: values that differ from a tie by their binary representation only count as ties."""
+    return F.floor(x * 10**digits + 0.500001) / 10**digits
+
+
 def bucket(seconds: Column, width: int) -> Column:
     """The start of the epoch-aligned bucket of a time in seconds."""
     return (F.floor(seconds / width) * width).cast("long")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadlake.functions.scalars import bucket
+from roadlake.functions.scalars import bucket, half_up
 from roadlake.operators.facts import first_of
 from roadlake.schema import CATEGORIES, DISTANCE_FACTORS, FUEL_FACTORS, FUEL_GRAMS, POLLUTANTS
 
@@ -75,7 +75,7 @@ def fuel_model(means: DataFrame) -> DataFrame:
     out = []
     for i, p in enumerate(POLLUTANTS):
         g = reduce(lambda a, b: a + b, [F.coalesce(F.col(c), F.lit(0.0)) * (FUEL_GRAMS[c] / 1000) * FUEL_FACTORS[c][i] for c in CATEGORIES])
-        out += [F.round(g, 2).alias(f"{p}_g_min"), F.round(g * 60 / 1000, 4).alias(f"{p}_kg_h")]
+        out += [half_up(g, 2).alias(f"{p}_g_min"), half_up(g * 60 / 1000, 4).alias(f"{p}_kg_h")]
     return means.select("*", *out)
 
 
@@ -127,9 +127,9 @@ def valid_mapping(observations: DataFrame, mappings: DataFrame) -> DataFrame:
     """Each observation with the segment of the mapping that holds at its time: ok, no_mapping or ambiguous."""
     m = mappings.select("camera_id", F.col("segment_id").alias("mapped"), "valid_from", "valid_to")
     holds = (F.col("valid_from").isNull() | (F.col("valid_from") <= F.col("captured_at"))) & (F.col("valid_to").isNull() | (F.col("captured_at") < F.col("valid_to")))
-    found = observations.join(m, "camera_id").where(holds).groupBy("id").agg(F.count("*").alias("n"), F.min("mapped").alias("mapped"))
-    n = F.coalesce("n", F.lit(0))
-    return observations.join(found, "id", "left").withColumn("status", F.when(n == 0, "no_mapping").when(n > 1, "ambiguous").otherwise("ok")).withColumn("mapped", F.when(n == 1, F.col("mapped"))).drop("n")
+    found = observations.join(m, "camera_id").where(holds).groupBy("id").agg(F.count("*").alias("_n"), F.min("mapped").alias("mapped"))
+    n = F.coalesce("_n", F.lit(0))
+    return observations.join(found, "id", "left").withColumn("status", F.when(n == 0, "no_mapping").when(n > 1, "ambiguous").otherwise("ok")).withColumn("mapped", F.when(n == 1, F.col("mapped"))).drop("_n")
 
 
 def newest_wins(states: DataFrame, keys: list[str]) -> DataFrame:

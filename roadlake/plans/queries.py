@@ -55,10 +55,14 @@ MODE = "coalesce(meta_source_mode, case when meta_data_source = 'HISTORICAL' the
 KEPT = f"select * from (select facts.*, {MODE} as source_mode from facts) join segments using (segment_id) where source_mode <> 'SYNTHETIC'"
 
 
+def half_up(x: str, digits: int) -> str:
+    return f"floor(({x}) * {10**digits} + 0.500001) / {10**digits}"
+
+
 def facts_sql(where: str = "true", dedup: bool = True, extra: dict[str, str] | None = None, kept: str = KEPT) -> str:
     rank = "partition by segment_id, period_start order by version desc, calculated_us desc, id"
     samples = f"select * from (select *, row_number() over ({rank}) as rn from kept where {where}) where rn = 1" if dedup else f"select * from kept where {where}"
-    return duck_with("facts", "segments", "cameras", kept=kept, samples=samples, **(extra or {}))
+    return duck_with("facts", "segments", "mappings", kept=kept, samples=samples, **(extra or {}))
 
 
 def means_sql(width: int | None = None) -> str:
@@ -176,9 +180,9 @@ def history_total(t):
     return t.samples().agg(F.count("*").alias("total"))
 
 
-@query(facts_sql("segment_name ilike '%an%' or corridor_name ilike '%an%'") + "select segment_id, corridor_id, count(*) as n, min(id) as first_id from samples group by all")
+@query(facts_sql("segment_name ilike '%n_1%' or corridor_name ilike '%n_1%'") + "select segment_id, corridor_id, count(*) as n, min(id) as first_id from samples group by all")
 def history_search(t):
-    return t.samples(search="an").groupBy("segment_id", "corridor_id").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+    return t.samples(search="n_1").groupBy("segment_id", "corridor_id").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
 @query(facts_sql("corridor_id = 'COR-1'") + "select segment_id, count(*) as n, max(period_start) as last_start from samples group by all")
@@ -195,7 +199,7 @@ def quality_split(t):
     return n("observed").unionByName(n("estimated"))
 
 
-_BY_SCOPE = "select segment_id, source_mode, count(*) as n, sum(version) as versions from samples group by all"
+_BY_SCOPE = "select segment_id, source_mode, count(*) as n, cast(sum(version) as bigint) as versions from samples group by all"
 
 
 def _by_scope(t, mode):
@@ -230,7 +234,7 @@ def segment_history(t):
     return A.hourly_history(t.facts)
 
 
-@query(duck_with("facts", "segments", "cameras") + "select s.segment_id, max(f.period_end) as last_end, count(f.id) as facts, count(distinct c.camera_id) filter (c.is_active) as active_cameras, max(f.id) is null as unobserved from segments s left join (select segment_id, max(period_end) as period_end, max(id) as id, count(*) as n from facts group by all) g on false left join facts f on f.segment_id = s.segment_id left join cameras c on false group by s.segment_id".replace("count(distinct c.camera_id) filter (c.is_active) as active_cameras", "(select count(*) from cameras x where x.is_active and x.segment_id = s.segment_id) as active_cameras").replace(" left join (select segment_id, max(period_end) as period_end, max(id) as id, count(*) as n from facts group by all) g on false", "").replace(" left join cameras c on false", ""))
+@query(duck_with("facts", "segments", "cameras") + "select s.segment_id, max(f.period_end) as last_end, count(f.id) as facts, (select count(*) from cameras x where x.is_active and x.segment_id = s.segment_id) as active_cameras, max(f.id) is null as unobserved from segments s left join facts f on f.segment_id = s.segment_id group by s.segment_id")
 def diagnostics(t):
     f = t.facts.groupBy("segment_id").agg(F.max("period_end").alias("last_end"), F.count("*").alias("facts"))
     c = t.cameras.where("is_active").groupBy("segment_id").agg(F.count("*").alias("active_cameras"))
@@ -238,7 +242,7 @@ def diagnostics(t):
     return df.select("segment_id", "last_end", F.coalesce("facts", F.lit(0)).alias("facts"), F.coalesce("active_cameras", F.lit(0)).alias("active_cameras"), F.col("last_end").isNull().alias("unobserved"))
 
 
-@query(facts_sql(extra={"mapped": "select distinct segment_id, camera_id from mappings"}).replace("with ", duck_with("mappings").rstrip() + ", ", 1) + "select camera_id, count(*) as n, round(sum(co2_g_h) * 1000 / 60 / 1000, 4) as co2_g_min from samples join mapped using (segment_id) group by all")
+@query(facts_sql(extra={"mapped": "select distinct segment_id, camera_id from mappings"}) + "select camera_id, count(*) as n, round(sum(co2_g_h) * 1000 / 60 / 1000, 4) as co2_g_min from samples join mapped using (segment_id) group by all")
 def fact_fan_out(t):
     """Facts attributed to every camera that a mapping ties to their segment."""
     pairs = t.mappings.select("segment_id", "camera_id").distinct()
@@ -253,17 +257,17 @@ def _snapshots(width: int) -> str:
 
 
 def _fuel(p: int, scale: str, digits: int) -> str:
-    return f"round(({' + '.join(f'{c} * {FUEL_GRAMS[c] / 1000} * {FUEL_FACTORS[c][p]}' for c in CATEGORIES)}){scale}, {digits})"
+    return half_up(f"({' + '.join(f'cast({c} as double) * {FUEL_GRAMS[c] / 1000}::double * {FUEL_FACTORS[c][p]}::double' for c in CATEGORIES)}){scale}", digits)
 
 
 _MEANS = f"select camera_id, \"window\", {', '.join(f'avg({c}) as {c}' for c in CATEGORIES)}, count(*) as sample_count, max(captured_at) as last_captured_at from snaps group by all"
 _FUEL_COLS = ", ".join(f"{_fuel(i, '', 2)} as {p}_g_min, {_fuel(i, ' * 60 / 1000', 4)} as {p}_kg_h" for i, p in enumerate(POLLUTANTS))
 
 
-@query(duck_with("observations", snaps=_snapshots(86400), means=_MEANS) + f"select camera_id, \"window\", {', '.join(f'round({c}, 6) as {c}' for c in CATEGORIES)}, sample_count, last_captured_at, {_FUEL_COLS} from means")
+@query(duck_with("observations", snaps=_snapshots(86400), means=_MEANS) + f"select camera_id, \"window\", {', '.join(f'{half_up(c, 6)} as {c}' for c in CATEGORIES)}, sample_count, last_captured_at, {_FUEL_COLS} from means")
 def window_mean_emission(t):
     df = T.window_means(t.observations, 86400)
-    return df.select("camera_id", "window", *[F.round(c, 6).alias(c) for c in CATEGORIES], "sample_count", "last_captured_at", *[f"{p}_{u}" for p in POLLUTANTS for u in ("g_min", "kg_h")])
+    return df.select("camera_id", "window", *[S.half_up(F.col(c), 6).alias(c) for c in CATEGORIES], "sample_count", "last_captured_at", *[f"{p}_{u}" for p in POLLUTANTS for u in ("g_min", "kg_h")])
 
 
 @query(duck_with("cameras", "observations", snaps=_snapshots(86400), means=_MEANS, em=f"select camera_id, \"window\", {_FUEL_COLS} from means", last="select * from (select *, row_number() over (partition by camera_id order by \"window\" desc) as rn from em) where rn = 1") + "select count(*) as cameras, count(*) filter (data_source = 'LIVE') as live, count(co2_g_min) as with_data, round(sum(co2_g_min), 2) as co2_g_min, round(sum(nox_kg_h), 4) as nox_kg_h from cameras left join last using (camera_id)")
@@ -305,7 +309,7 @@ W6 = 21600
 _PICK = {
     "w": f"select *, captured_at // {W6} * {W6} as win, case semantics when 'interval_count' then 1 when 'vehicles_per_hour' then 2 else 3 end as choice from observations",
     "best": "select * from (select *, min(choice) over (partition by segment_id, win) as least from w) where choice = least",
-    "cam": "select * from (select segment_id, win, stream_id, camera_id, row_number() over (partition by segment_id, win, stream_id order by max(captured_us) desc, camera_id) as rn from best group by all) where rn = 1",
+    "cam": "select * from (select *, row_number() over (partition by segment_id, win, stream_id order by last_us desc, camera_id) as rn from (select segment_id, win, stream_id, camera_id, max(captured_us) as last_us from best group by all)) where rn = 1",
     "picked": "select best.* from best join cam using (segment_id, win, stream_id, camera_id)",
 }
 
@@ -333,14 +337,14 @@ def _tier2(i: int) -> str:
     return " + ".join(f"{c}_veh_h * length_km * {DISTANCE_FACTORS[c][i]} * 0.9" for c in CATEGORIES)
 
 
-@query(duck_with("observations", "segments", **_AGG) + f"select segment_id, win as \"window\", {', '.join(f'round({c}_veh_h * length_km, 4) as {c}_vkt' for c in CATEGORIES)}, {', '.join(f'round({_tier2(i)}, 3) as {p}_g_h' for i, p in enumerate(POLLUTANTS))} from agg join segments using (segment_id)")
+@query(duck_with("observations", "segments", **_AGG) + f"select segment_id, win as \"window\", {', '.join(f'''{half_up(f'{c}_veh_h * length_km', 4)} as {c}_vkt''' for c in CATEGORIES)}, {', '.join(f'{half_up(_tier2(i), 3)} as {p}_g_h' for i, p in enumerate(POLLUTANTS))} from agg join segments using (segment_id)")
 def tier2_emission(t):
     """Segment pipeline: aggregate, kilometres, emissions at 10 % control efficiency."""
     df = T.tier2(T.segment_aggregate(t.observations, W6).join(t.segments, "segment_id"), efficiency=10.0)
-    return df.select("segment_id", "window", *[F.round(f"{c}_vkt", 4).alias(f"{c}_vkt") for c in CATEGORIES], *[F.round(f"{p}_g_h", 3).alias(f"{p}_g_h") for p in POLLUTANTS])
+    return df.select("segment_id", "window", *[S.half_up(F.col(f"{c}_vkt"), 4).alias(f"{c}_vkt") for c in CATEGORIES], *[S.half_up(F.col(f"{p}_g_h"), 3).alias(f"{p}_g_h") for p in POLLUTANTS])
 
 
-@query(duck_with("events_by_category" if False else "observations", c=f"select camera_id, {', '.join(f'''sum(case when category = '{c}' then n else 0 end) as {c}''' for c in CATEGORIES)} from observations group by camera_id") + f"select camera_id, {_FUEL_COLS} from c")
+@query(duck_with("observations", c=f"select camera_id, {', '.join(f'''sum(case when category = '{c}' then n else 0 end) as {c}''' for c in CATEGORIES)} from observations group by camera_id") + f"select camera_id, {_FUEL_COLS} from c")
 def camera_fuel_emission(t):
     df = t.observations.groupBy("camera_id").agg(*[F.sum(F.when(F.col("category") == c, F.col("n")).otherwise(0.0)).alias(c) for c in CATEGORIES])
     return T.fuel_model(df).drop(*CATEGORIES)
@@ -348,7 +352,7 @@ def camera_fuel_emission(t):
 
 @query(duck_with("frames") + "select camera, day, category, frame_no, count(distinct track_id) + count(*) filter (track_id is null) as n from frames where inside and category is not null group by all")
 def occupancy(t):
-    return T.occupancy(t.frames, ["camera", "day", "frame_no"]).select("camera", "day", "category", "frame_no", "n")
+    return T.occupancy(t.frames, ["camera", "day", "frame_no"]).select("camera", "day", "category", F.col("frame_no").cast("long").alias("frame_no"), "n")
 
 
 _EXITS = {
@@ -362,7 +366,7 @@ _EXITS = {
 
 @query(duck_with("frames", **_EXITS) + "select camera, day, track_id, frame_no, category from f where rn = 1")
 def flow_exits(t):
-    return T.flow_exits(t.frames, ["camera", "day"], 2, 4).select("camera", "day", "track_id", "frame_no", "category")
+    return T.flow_exits(t.frames, ["camera", "day"], 2, 4).select("camera", "day", "track_id", F.col("frame_no").cast("long").alias("frame_no"), "category")
 
 
 @query(duck_with("observations", o="select camera_id as k, captured_at as observed, arrival_us as processed, id, n from observations", r="select *, row_number() over (partition by k order by observed desc, processed desc, id) as rn from o") + "select k as camera_id, observed, processed, id, n from r where rn = 1")
@@ -487,17 +491,17 @@ def _hex_sql(first: int, last: int) -> str:
 _CLASS = "case least(5, greatest(1, cast(ceil({r} * 5.0 / {n}) as int))) when 1 then 'Sangat Tinggi' when 2 then 'Tinggi' when 3 then 'Sedang' when 4 then 'Rendah' else 'Sangat Rendah' end"
 
 
-@query(_hex_sql(H0, H0 + 7199) + f"select hour, hex_id, round(score, 6) as score, cast(rank as int) as rank, {_CLASS.format(r='rank', n='total')} as class, status, source from ranked")
+@query(_hex_sql(H0, H0 + 7199) + f"select hour, hex_id, floor(score * 10000 + 0.500001) / 10000 as score, cast(rank as int) as rank, {_CLASS.format(r='rank', n='total')} as class, status, source from ranked")
 def hex_hour_scores(t):
     """Cells without own volume borrow the nearest observed one's; all are ranked together."""
     df = _hex_scores(t, H0, H0 + 7199)
-    return df.select("hour", "hex_id", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"), "class", "status", F.when(F.col("status") != "live", F.col("source_id")).alias("source"))
+    return df.select("hour", "hex_id", S.half_up(F.col("score"), 4).alias("score"), F.col("rank").cast("int").alias("rank"), "class", "status", F.when(F.col("status") != "live", F.col("source_id")).alias("source"))
 
 
-@query(_hex_sql(H0, H0 + 6 * 3600 - 1) + "select hour, hex_id, round(score, 6) as score, cast(rank as int) as rank from ranked where hex_id = 120")
+@query(_hex_sql(H0, H0 + 6 * 3600 - 1) + "select hour, hex_id, floor(score * 10000 + 0.500001) / 10000 as score, cast(rank as int) as rank from ranked where hex_id = 120")
 def hex_hourly_series(t):
     """One cell's series: all hours scored in one job, then sliced."""
-    return _hex_scores(t, H0, H0 + 6 * 3600 - 1).where("hex_id = 120").select("hour", "hex_id", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
+    return _hex_scores(t, H0, H0 + 6 * 3600 - 1).where("hex_id = 120").select("hour", "hex_id", S.half_up(F.col("score"), 4).alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
 _PART_RANK = "select hex_id, volume_mean, row_number() over (order by volume_mean desc nulls last, hex_id) as rank, count(*) over () as total from hexes"
@@ -557,7 +561,7 @@ def bus_stop_scores(t):
     return SC.stop_scores(t.stops, _access(t))
 
 
-@query(duck_with("hexes") + "select unnest(range(5)) as i, unnest(list_transform(quantile_cont(volume_mean, [0, 0.25, 0.5, 0.75, 1]), x -> round(x, 6))) as cut from hexes")
+@query(duck_with("hexes") + "select unnest(range(5)) as i, unnest(list_transform(quantile_cont(volume_mean, [0, 0.25, 0.5, 0.75, 1]), lambda x: round(x, 6))) as cut from hexes")
 def quantile_breaks(t):
     return SC.quantile_breaks(t.hexes, "volume_mean").select(F.posexplode("breaks").alias("i", "cut")).select(F.col("i").cast("long").alias("i"), F.round("cut", 6).alias("cut"))
 
@@ -583,10 +587,10 @@ def nearest_lateral(t):
     return SP.nearest(t.stops.select("stop_id", "lon", "lat"), r, ["stop_id"], "segment_id", rounds=3).select("stop_id", "segment_id")
 
 
-@query(duck_with("hexes", "stops", "pois") + f"select p.hex_id as hex_id from hexes p where p.volume_mean > 1200 and not exists (select 1 from stops s where abs(p.lat - s.lat) < 0.006 and {_HAV} <= 500)")
+@query(duck_with("hexes", "stops", "pois") + f"select p.hex_id as hex_id from hexes p where p.volume_mean > 500 and not exists (select 1 from stops s where abs(p.lat - s.lat) < 0.006 and {_HAV} <= 100)")
 def coverage_gap(t):
-    high = t.hexes.where("volume_mean > 1200").select("hex_id", "lon", "lat")
-    near = SP.within_distance(high, t.stops.select("stop_id", F.col("lon").alias("lon_r"), F.col("lat").alias("lat_r")), 500)
+    high = t.hexes.where("volume_mean > 500").select("hex_id", "lon", "lat")
+    near = SP.within_distance(high, t.stops.select("stop_id", F.col("lon").alias("lon_r"), F.col("lat").alias("lat_r")), 100)
     return high.join(near, "hex_id", "left_anti").select("hex_id")
 
 
@@ -655,12 +659,12 @@ def name_normalize(t):
 WORDS = ("data", "license", "the", "worthless", "clown")
 
 
-@query(f"select doc_id, case when hits > 0 then least(5.0, 1.0 + hits) end as score from (select doc_id, {' + '.join(f'''cast(contains(lower(text), '{w}') as int)''' for w in WORDS)} as hits from documents)")
+@query(f"select doc_id, case when hits > 0 then cast(least(5.0, 1.0 + hits) as double) end as score from (select doc_id, {' + '.join(f'''cast(contains(lower(text), '{w}') as int)''' for w in WORDS)} as hits from documents)")
 def keyword_score(t):
     return t.documents.select("doc_id", S.keyword_score(F.col("text"), WORDS).alias("score"))
 
 
-_TOKENS = "list_distinct(list_filter(regexp_extract_all(lower({c}), '[a-z0-9]+'), x -> len(x) > 3))"
+_TOKENS = "list_distinct(list_filter(regexp_extract_all(lower({c}), '[a-z0-9]+'), lambda x: len(x) > 3))"
 
 
 @query(f"with a as (select p_partkey, {_TOKENS.format(c='p_name')} as w from part), b as (select n_nationkey, list_distinct(regexp_extract_all(lower(concat(n_name, ' ', p_name)), '[a-z0-9]+')) as v from nation join part on p_partkey = n_nationkey + 1), s as (select p_partkey, n_nationkey, len(list_intersect(w, v)) as n from a cross join b), r as (select *, row_number() over (partition by p_partkey order by n desc, n_nationkey) as rn from s) select p_partkey, n_nationkey, n as score from r where rn = 1 and n >= 2")

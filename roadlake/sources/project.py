@@ -55,7 +55,7 @@ TABLES = {
     "hexes": (
         ("part",),
         """select p_partkey as hex_id, cast(110.34 + 0.002 * (p_partkey % 50) as $DOUBLE) as lon, cast(-7.83 + 0.002 * (p_partkey $DIV 50) as $DOUBLE) as lat,
-        cast(1 + 99.0 * (p_size - 1) / 49 as $DOUBLE) as norm_poi, cast(1 + 99.0 * (p_partkey % 97) / 96 as $DOUBLE) as norm_population,
+        cast(1 + 99e0 * (p_size - 1) / 49 as $DOUBLE) as norm_poi, cast(1 + 99e0 * (p_partkey % 97) / 96 as $DOUBLE) as norm_population,
         case when p_partkey % 17 <> 0 then p_retailprice end as volume_mean, cast(0.01 * (1 + p_partkey % 5) as $DOUBLE) as area, p_size as poi_total
         from {part}""",
     ),
