@@ -58,8 +58,9 @@ def met(k: int):
         held: pa.Table | None = None
 
         def emit(table: pa.Table, bounds: np.ndarray) -> pa.RecordBatch:
-            node, worst, x = table.column("node").to_numpy(), table.column("worst").to_numpy(), matrix(table.column("x")).astype(np.float32)
-            found = [best_pairs(node[i:j], x[i:j], worst[i:j], k) for i, j in zip(bounds[:-1], bounds[1:], strict=True) if j - i > 1]
+            node, worst = table.column("node").to_numpy(), table.column("worst").to_numpy()
+            rows = lambda i, j: matrix(table.column("x").slice(i, j - i)).astype(np.float32)  # noqa: E731  a group's vectors are equally long
+            found = [best_pairs(node[i:j], rows(i, j), worst[i:j], k) for i, j in zip(bounds[:-1], bounds[1:], strict=True) if j - i > 1]
             a, b, v = (np.concatenate([f[i] for f in found]) if found else np.zeros(0) for i in range(3))
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(v, pa.float32())], names=["a", "b", "similarity"])
 
