@@ -14,7 +14,9 @@ KEYS = ["segment_id", "segment_name", "corridor_id", "corridor_name"]
 RATES = [f"{p}_kg_h" for p in POLLUTANTS]
 VEHICLES = [f"{c}_veh_h" for c in CATEGORIES]
 VKT = [f"{c}_vkt" for c in CATEGORIES]
-ESTIMATED = F.count_if(F.col("semantics") == "snapshot_occupancy")
+def estimated() -> Column:
+    return F.count_if(F.col("semantics") == "snapshot_occupancy").alias("estimated_sample_count")
+
 
 
 def _keys(facts: DataFrame, width: int | None) -> tuple[DataFrame, list[str]]:
@@ -25,7 +27,7 @@ def segment_means(facts: DataFrame, width: int | None = None) -> DataFrame:
     """Mean rates in kg/h of each segment (and bucket). Missing stays missing."""
     facts, keys = _keys(facts, width)
     means = [F.avg(F.col(f"{p}_g_h") / 1000.0).alias(f"{p}_kg_h") for p in POLLUTANTS]
-    return facts.groupBy(*keys).agg(*means, F.count("*").alias("sample_count"), F.max("period_end").alias("observed_at"), ESTIMATED.alias("estimated_sample_count"))
+    return facts.groupBy(*keys).agg(*means, F.count("*").alias("sample_count"), F.max("period_end").alias("observed_at"), estimated())
 
 
 def summed(columns: list[str]) -> list[Column]:
@@ -53,7 +55,7 @@ def composition(facts: DataFrame) -> DataFrame:
 
 def vehicle_means(facts: DataFrame, width: int | None = None) -> DataFrame:
     facts, keys = _keys(facts, width)
-    return facts.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in VEHICLES + VKT], F.count("*").alias("sample_count"), ESTIMATED.alias("estimated_sample_count"))
+    return facts.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in VEHICLES + VKT], F.count("*").alias("sample_count"), estimated())
 
 
 def vehicle_totals(facts: DataFrame) -> DataFrame:

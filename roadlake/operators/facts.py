@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from roadlake.functions.scalars import bucket_width, source_mode
 from roadlake.schema import MAX_DAYS
 
-MODE = source_mode(F.col("meta_source_mode"), F.col("meta_data_source"))
+def mode() -> Column:
+    return source_mode(F.col("meta_source_mode"), F.col("meta_data_source"))
+
 
 
 @dataclass(frozen=True)
@@ -59,7 +61,7 @@ def scoped(facts: DataFrame, cameras: DataFrame, mode: str) -> DataFrame:
 
 def matching(facts: DataFrame, segments: DataFrame, f: AnalyticsFilter = AnalyticsFilter(), cameras: DataFrame | None = None, exclude_live: bool = False) -> DataFrame:
     """Facts that are not synthetic and match the filter, with their segment's columns."""
-    df = facts.withColumn("source_mode", MODE).where("source_mode <> 'SYNTHETIC'")
+    df = facts.withColumn("source_mode", mode()).where("source_mode <> 'SYNTHETIC'")
     if f.start is not None:
         df = df.where(F.col("period_start") >= f.start)
     if f.end is not None:

@@ -223,7 +223,7 @@ def scope_historical(t):
 
 @query(duck_with("facts") + f"select {MODE} as source_mode, count(*) as n from facts group by all")
 def source_modes(t):
-    return t.facts.groupBy(FA.MODE.alias("source_mode")).agg(F.count("*").alias("n"))
+    return t.facts.groupBy(FA.mode().alias("source_mode")).agg(F.count("*").alias("n"))
 
 
 _SOME_E, _SOME_V = " + ".join(f"coalesce({p}_g_h, 0)" for p in POLLUTANTS), " + ".join(f"coalesce({c}, 0)" for c in A.VEHICLES)
@@ -441,7 +441,7 @@ def profile_hour_map(t):
 @query(facts_sql(extra={**_GRID, "f": f"select segment_id, hour, {_fill('co2')}, present from sides", "a": "select segment_id, count(*) as hours, count(*) filter (not present) as interpolated, max(co2) as high, min(co2) as low from f group by all"}) + "select a.*, (select min(hour) from f where f.segment_id = a.segment_id and f.co2 = a.high) as peak_hour, (select min(hour) from f where f.segment_id = a.segment_id and f.co2 = a.low) as low_hour from a")
 def series_summary(t):
     df = P.filled(_dense(t), ["segment_id"], ["co2"]).withColumn("co2", F.round("co2", 6))
-    first = lambda c: F.min_by("hour", F.struct(c, "hour"))
+    first = lambda c: F.when(F.count("co2") > 0, F.min_by("hour", F.struct(c, "hour")))
     return df.groupBy("segment_id").agg(F.count("*").alias("hours"), F.count_if(~F.col("present")).alias("interpolated"), F.max("co2").alias("high"), F.min("co2").alias("low"), first(F.struct(F.col("co2").isNull(), -F.col("co2"))).alias("peak_hour"), first(F.struct(F.col("co2").isNull(), F.col("co2"))).alias("low_hour"))
 
 
