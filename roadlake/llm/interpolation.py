@@ -60,11 +60,16 @@ class Chunk:
         token = np.full(done + n, END, np.uint64)
         if done:
             token[np.arange(done) + np.repeat(np.arange(n), np.diff(first))] = np.concatenate(words)
+        del words
         context = np.concatenate([[END], token[:-1]]).astype(np.uint64)  # a document's first context is the end of another
         pairs, self.pair = np.unique(mix(mix(context, 22) + token, 23) & ~np.uint64(1), return_inverse=True)
+        self.pair = self.pair.astype(np.int32)
+        del context
         single, self.token = np.unique(mix(token, 21) | np.uint64(1), return_inverse=True)
+        self.token = self.token.astype(np.int32)
+        del token
         end = np.searchsorted(single, mix(np.array([END]), 21)[0] | np.uint64(1))
-        self.context = np.concatenate([[end], self.token[:-1]]).astype(np.int64)
+        self.context = np.concatenate([[end], self.token[:-1]]).astype(np.int32)
         keys = np.concatenate([pairs, single])
         self.n_pairs, order = len(pairs), np.argsort(keys, kind="stable")
         self.keys, self.back = keys[order], np.argsort(order, kind="stable")
@@ -187,7 +192,7 @@ def scores(tokens: int, words: int, weights: np.ndarray):
     return run
 
 
-def score(docs: DataFrame, *, chunk_bytes: int = 24 << 20, bucket_bytes: int = 4 << 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, *, chunk_bytes: int = 6 << 20, bucket_bytes: int = 4 << 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row for each row of docs."""
     size = text_bytes(docs, text)
     chunks, buckets = max(64, math.ceil(size / chunk_bytes)), max(64, math.ceil(size / bucket_bytes))
