@@ -772,3 +772,142 @@ def bulk_top(t):
     """Join, aggregate and top-k at volume."""
     df = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey").agg(F.sum("l_quantity").cast("long").alias("q"), F.count("*").alias("n"))
     return df.orderBy(F.desc("q"), "o_custkey").limit(100)
+
+
+# ---- states, schedules, names, contexts
+
+
+@query("with a as (select user_id, epoch_us(ts) as us, event_id, event_type = 'error' as failed from events), g as (select user_id, max(struct_pack(u := us, e := event_id)) filter (not failed) as g from a group by all) select user_id, count(*) filter (failed and (g.g is null or us > g.g.u or (us = g.g.u and event_id > g.g.e))) as failures, case when failures = 0 then 'online' when failures >= 2 then 'offline' else 'degraded' end as status from a join g using (user_id) group by user_id")
+def camera_health(t):
+    from roadlake.operators.states import health
+    from roadlake.sources.project import SPARK
+
+    a = t.events.selectExpr("user_id", f"{SPARK['$US']} as us", "event_id", "event_type = 'error' as failed")
+    return health(a, "user_id", ["us", "event_id"], F.col("failed"), 2)
+
+
+_SCHEDULE = "select camera_id, case when user_id % 5 <> 0 then user_id * 37 % 1000 end as next_at, case user_id % 3 when 0 then 'high' when 1 then 'medium' else 'low' end as priority, case when user_id % 7 = 0 then 15 end as override from cameras"
+
+
+@query(duck_with("cameras", s=_SCHEDULE) + "select camera_id, next_at, coalesce(override, case priority when 'high' then 30 when 'medium' then 60 else 300 end) as seconds from s where next_at is null or next_at <= 600 order by next_at nulls first, camera_id limit 40")
+def claim_due(t):
+    from roadlake.operators import states as ST
+
+    s = t.cameras.select("camera_id", F.when(F.col("user_id") % 5 != 0, F.col("user_id") * 37 % 1000).alias("next_at"), F.when(F.col("user_id") % 3 == 0, "high").when(F.col("user_id") % 3 == 1, "medium").otherwise("low").alias("priority"), F.when(F.col("user_id") % 7 == 0, 15).alias("override"))
+    return ST.due(s, 600, 40).select("camera_id", "next_at", ST.interval(F.col("priority"), F.col("override")).alias("seconds"))
+
+
+@query(facts_sql(extra={"means": means_sql()}) + "select segment_id, case when co2_kg_h is null then 'none' when co2_kg_h * 1000 < 500 then 'low' when co2_kg_h * 1000 < 1500 then 'medium' else 'high' end as tier from means")
+def colour_tiers(t):
+    from roadlake.operators.states import colour_tier
+
+    return A.segment_means(t.samples()).select("segment_id", colour_tier(F.col("co2_kg_h") * 1000).alias("tier"))
+
+
+@query(facts_sql() + "select min(period_start) as first_start, max(period_end) as last_end, count(distinct segment_id) as segments, count(distinct corridor_id) as corridors, string_agg(distinct source_mode, ',' order by source_mode) as modes from samples")
+def filter_options(t):
+    return t.samples().agg(F.min("period_start").alias("first_start"), F.max("period_end").alias("last_end"), F.count_distinct("segment_id").alias("segments"), F.count_distinct("corridor_id").alias("corridors"), F.concat_ws(",", F.sort_array(F.collect_set("source_mode"))).alias("modes"))
+
+
+@query(duck_with("observations", g="select camera_id, captured_at, captured_at - lag(captured_at) over (partition by camera_id order by captured_at, id) as gap from observations") + "select camera_id, 1706745600 - max(captured_at) as age, 1706745600 - max(captured_at) > 7200 as firing, count(*) filter (gap > 86400) as outages from g group by all")
+def staleness(t):
+    gap = F.col("captured_at") - F.lag("captured_at").over(Window.partitionBy("camera_id").orderBy("captured_at", "id"))
+    g = t.observations.withColumn("gap", gap).groupBy("camera_id").agg(F.max("captured_at").alias("last"), F.count_if(F.col("gap") > 86400).alias("outages"))
+    return g.select("camera_id", (F.lit(1706745600) - F.col("last")).cast("long").alias("age"), (F.lit(1706745600) - F.col("last") > 7200).alias("firing"), "outages")
+
+
+@query("select p_partkey, case when count(*) over (partition by p_name) > 1 then concat(p_name, ' (', cast(row_number() over (partition by p_name order by p_partkey) as varchar), ')') else p_name end as shown from part")
+def duplicate_names(t):
+    from roadlake.operators.states import numbered
+
+    return numbered(t.part.select("p_partkey", "p_name"), "p_name", "p_partkey").select("p_partkey", "shown")
+
+
+@query(facts_sql(extra={"means": means_sql(), "r": "select segment_id, round(co2_kg_h, 6) as co2_kg_h, row_number() over (order by round(co2_kg_h, 6) desc nulls last, segment_id) as rank, count(*) over () as total from means"}) + "select segment_id, co2_kg_h, rank, total, case when rank <= 3 then 'top' when rank > total - 3 then 'bottom' else 'median' end as part from r where rank <= 3 or rank > total - 3 or rank = total // 2 + 1")
+def overview_ranking(t):
+    """The first three, the last three and the middle one of a ranking."""
+    m = A.segment_means(t.samples()).select("segment_id", F.round("co2_kg_h", 6).alias("co2_kg_h"))
+    r = SC.with_total(SC.ranked(m, F.col("co2_kg_h").desc_nulls_last(), F.col("segment_id").asc()))
+    r = r.where("rank <= 3 or rank > total - 3 or rank = floor(total / 2) + 1")
+    return r.withColumn("part", F.when(F.col("rank") <= 3, "top").when(F.col("rank") > F.col("total") - 3, "bottom").otherwise("median"))
+
+
+@query(duck_with("frames", b="select *, (track_id * 13 + frame_no * 7) % 100 / 100.0 + 0.0005 as x, (track_id * 29 + frame_no * 11) % 100 / 100.0 + 0.0005 as y from frames") + "select camera, category, count(*) as n from b where category is not null and y > 0.2 and y <= 0.8 and x < 0.9 and x >= 0.1 + (y - 0.2) / 0.6 * 0.3 group by all")
+def box_counts(t):
+    """Box centres inside a region of interest, a polygon."""
+    b = t.frames.where("category IS NOT NULL").withColumn("x", (F.col("track_id") * 13 + F.col("frame_no") * 7) % 100 / 100.0 + 0.0005).withColumn("y", (F.col("track_id") * 29 + F.col("frame_no") * 11) % 100 / 100.0 + 0.0005)
+    ring = F.array(*[F.struct(F.lit(x).alias("lon"), F.lit(y).alias("lat")) for x, y in ((0.1, 0.2), (0.9, 0.2), (0.9, 0.8), (0.4, 0.8))])
+    return b.where(SP.in_ring(F.col("x"), F.col("y"), ring)).groupBy("camera", "category").agg(F.count("*").alias("n"))
+
+
+_ASK = "select c_custkey as id, case c_custkey % 4 when 0 then concat('status SEG-', lpad(cast(c_custkey % 30 as varchar), 4, '0')) when 1 then concat('how is ', lower(r_name)) when 2 then concat('Show  ', n_name, '!') else 'nothing here' end as q from customer join nation on n_nationkey = c_nationkey join region on r_regionkey = n_regionkey"
+
+
+@query(duck_with("segments", a=_ASK, n="select id, lower(q) as q from a", i="select id, min(segment_id) as by_id from n join segments on contains(q, lower(segment_id)) group by all", m="select id, min(corridor_id) as by_name, count(distinct corridor_id) as names from n join (select distinct corridor_id, corridor_name from segments) s on regexp_matches(concat(' ', regexp_replace(q, '[^a-z0-9_]+', ' ', 'g'), ' '), concat(' ', lower(corridor_name), ' ')) group by all") + "select n.id, case when by_id is not null then 'id' when names = 1 then 'name' when names > 1 then 'ambiguous' else 'none' end as method, coalesce(by_id, case when names = 1 then by_name end) as entity from n left join i using (id) left join m using (id)")
+def entity_cascade(t):
+    """An id in the question wins, then a name; several names are ambiguous."""
+    nation = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    k = F.col("c_custkey")
+    q = F.when(k % 4 == 0, F.concat(F.lit("status SEG-"), F.lpad((k % 30).cast("string"), 4, "0"))).when(k % 4 == 1, F.concat(F.lit("how is "), F.lower("r_name"))).when(k % 4 == 2, F.concat(F.lit("Show  "), "n_name", F.lit("!"))).otherwise("nothing here")
+    n = t.customer.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select(k.alias("id"), F.lower(q).alias("q"))
+    words = F.explode(F.array_distinct(F.regexp_extract_all("q", F.lit("(seg-[0-9]+)"), 1)))
+    by_id = n.select("id", words.alias("w")).join(t.segments.select(F.lower("segment_id").alias("w"), "segment_id"), "w").groupBy("id").agg(F.min("segment_id").alias("by_id"))
+    tokens = F.explode(F.array_distinct(F.split(F.trim(F.regexp_replace("q", "[^a-z0-9_]+", " ")), " ")))
+    names = t.segments.select("corridor_id", F.lower("corridor_name").alias("w")).where("not contains(w, ' ')").distinct()
+    spaced = t.segments.select("corridor_id", F.lower("corridor_name").alias("name")).where("contains(name, ' ')").distinct()
+    first = spaced.withColumn("w", F.element_at(F.split("name", " "), 1))
+    one = n.select("id", tokens.alias("w")).join(names, "w").select("id", "corridor_id")
+    many = n.select("id", "q", tokens.alias("w")).join(first, "w").where(F.contains(F.concat(F.lit(" "), F.regexp_replace("q", "[^a-z0-9_]+", " "), F.lit(" ")), F.concat(F.lit(" "), "name", F.lit(" ")))).select("id", "corridor_id")
+    by_name = one.union(many).groupBy("id").agg(F.min("corridor_id").alias("by_name"), F.count_distinct("corridor_id").alias("names"))
+    df = n.join(by_id, "id", "left").join(by_name, "id", "left")
+    method = F.when(F.col("by_id").isNotNull(), "id").when(F.col("names") == 1, "name").when(F.col("names") > 1, "ambiguous").otherwise("none")
+    return df.select("id", method.alias("method"), F.coalesce("by_id", F.when(F.col("names") == 1, F.col("by_name"))).alias("entity"))
+
+
+@query(facts_sql(extra=_GRID | {"s": f"select corridor_name, hour, segment_id as part, {_fill('co2')}, not present as interpolated, {_METHOD} as method from sides join segments using (segment_id)"}) + "select corridor_name, hour, round(sum(co2), 4) as co2, bool_or(interpolated) as interpolated, arg_min(method, part) filter (method is not null) as method from s group by all")
+def merged_hourly(t):
+    from roadlake.operators.states import merged_series
+
+    df = P.filled(_dense(t), ["segment_id"], ["co2"]).join(t.segments, "segment_id")
+    df = df.select("corridor_name", "hour", F.col("segment_id").alias("part"), F.round("co2", 6).alias("co2"), (~F.col("present")).alias("interpolated"), "method")
+    return merged_series(df, ["corridor_name", "hour"], "co2").withColumn("co2", F.round("co2", 4))
+
+
+@query(duck_with("stops", "pois", near=_NEAR, n="select stop_id, category, count(*) as n from near group by all", r="select *, row_number() over (partition by stop_id order by n desc, category) as rn from n") + "select stop_id, string_agg(concat(category, '=', cast(n as varchar)), ',' order by rn) as top from r where rn <= 3 group by all")
+def top_categories(t):
+    """The three categories with the most points near each stop, as a map's largest entries."""
+    from roadlake.operators.states import top_entries
+
+    n = _stop_pois(t).groupBy("stop_id", "category").agg(F.count("*").alias("n"))
+    m = n.groupBy("stop_id").agg(F.map_from_entries(F.collect_list(F.struct("category", "n"))).alias("m"))
+    return m.select("stop_id", F.array_join(F.transform(top_entries(F.col("m"), 3), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("top"))
+
+
+@query(facts_sql(extra={"means": means_sql()}) + "select corridor_id, case when count(*) = 0 then 'empty' when count(co2_kg_h) = 0 or max(round(co2_kg_h, 9)) - min(round(co2_kg_h, 9)) = 0 then 'degenerate' else 'ok' end as verdict from means group by all")
+def context_verdict(t):
+    from roadlake.operators.states import verdict
+
+    m = A.segment_means(t.samples()).withColumn("c", F.round("co2_kg_h", 9))
+    return m.groupBy("corridor_id").agg(F.count("*").alias("n"), F.count("c").alias("v"), (F.max("c") - F.min("c")).alias("s")).select("corridor_id", verdict(F.col("n"), F.col("v"), F.col("s")).alias("verdict"))
+
+
+@query(duck_with("stops") + "select stop_id, i, round(degrees(radians(lon) + atan2(sin(b) * sin(d) * cos(p), cos(d) - sin(p) * sin(y))), 6) as lon, round(degrees(y), 6) as lat from (select *, asin(sin(p) * cos(d) + cos(p) * sin(d) * cos(b)) as y from (select stop_id, lon, radians(lat) as p, cast(i as bigint) as i, 2 * pi() * i / 64 as b, 500 / 6378137.0::double as d from stops cross join (select unnest(range(65)) as i)))")
+def buffer_rings(t):
+    from roadlake.operators.states import circle
+
+    r = t.stops.select("stop_id", F.posexplode(circle(F.col("lon"), F.col("lat"), 500.0)).alias("i", "p"))
+    return r.select("stop_id", F.col("i").cast("long").alias("i"), F.round("p.lon", 6).alias("lon"), F.round("p.lat", 6).alias("lat"))
+
+
+@query()
+def buffer_overlap(t):
+    """The share of each stop's 500 m surroundings in each square zone that they touch; shares of a stop add up to 1."""
+    from roadlake.operators.states import buffer_shares, circle
+
+    size = 0.01
+    s = t.stops.withColumn("ring", circle(F.col("lon"), F.col("lat"), 500.0))
+    lo = lambda c, f: F.floor(f(F.transform("ring", lambda p: p[c])) / size)
+    s = s.withColumn("_x", F.explode(F.sequence(lo("lon", F.array_min), lo("lon", F.array_max)))).withColumn("_y", F.explode(F.sequence(lo("lat", F.array_min), lo("lat", F.array_max))))
+    corner = lambda dx, dy: F.struct(((F.col("_x") + dx) * size).alias("lon"), ((F.col("_y") + dy) * size).alias("lat"))
+    zone = (F.col("_x") * 100_000 + F.col("_y")).cast("long")
+    return buffer_shares(s.select(F.col("stop_id").alias("id"), "ring", zone.alias("zone"), F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1)).alias("zone_ring"))).withColumnRenamed("id", "stop_id")

@@ -41,7 +41,7 @@ def shown(rows, columns):
 SLOW = {"hex_hour_scores", "hex_hourly_series"}
 
 
-@pytest.mark.parametrize("name", [q for q in QUERIES if q not in SLOW])
+@pytest.mark.parametrize("name", [q for q in ORACLES if q not in SLOW])
 def test_query(spark, duck, name):
     df, sql = QUERIES[name](spark, SF), duck.sql(ORACLES[name])
     assert sorted(df.columns) == sorted(sql.columns)
@@ -260,3 +260,36 @@ def test_entry_without_corpus():
 def test_generator(spark):
     a, b = (readers.synthetic_facts(spark, 3, 5, 7).toPandas() for _ in range(2))
     assert len(a) == 15 and isinstance(a, pd.DataFrame) and a.equals(b)
+
+
+def test_buffer_shares_add_up(spark):
+    shares = QUERIES["buffer_overlap"](spark, SF).groupBy("stop_id").agg(F.sum("share").alias("s")).collect()
+    assert shares and all(r.s == pytest.approx(1) for r in shares)
+
+
+def test_sql_functions(spark):
+    from roadlake.functions import sqlfunctions
+
+    assert len(sqlfunctions.register(spark)) == len(sqlfunctions.FUNCTIONS)
+    r = spark.sql("select rl_bucket(3700, 3600) a, rl_min_max_100(15, 10, 20) b, rl_quintile(3, 7) c, rl_haversine_m(0, 0, 0, 1) d, rl_formula_guard('=x') e, rl_freshness(31) f").first()
+    assert (r.a, r.b, r.c, r.e, r.f) == (3600, 50.5, 3, "'=x", "aging") and r.d == pytest.approx(111194.9, abs=1)
+
+
+def test_schema_backfill(spark):
+    from roadlake.operators.states import renamed_pollutants
+
+    r = renamed_pollutants(spark.createDataFrame([(1.0, None)], "pm double, nmvoc double")).first()
+    assert (r.tsp, r.hc, r.co2) == (1.0, 0.0, 0.0)
+
+
+def test_survey_readers(spark, tmp_path):
+    sheets = [spark.createDataFrame([("Halte  A ", "ya"), ("", "x")], "title string, roof string"), spark.createDataFrame([("halte a", "Tidak"), ("halte b", "YA")], "title string, lamp string")]
+    m = readers.checklist(readers.merged_sheets(sheets, "title"), ["roof", "lamp"])
+    assert sorted((r.title_key, r.checklist["roof"], r.checklist["lamp"]) for r in m.collect()) == [("halte a", True, False), ("halte b", False, True)]
+    (tmp_path / "a.csv").write_text('﻿id,title,geometry.coordinates,medias\n1,x,"[110.3,-7.8]","[{""url"":""u""}]"\n2,y,bad,\n', encoding="utf-8")
+    got = sorted((r.id, r.lon, r.lat) for r in readers.activities_csv(spark, str(tmp_path / "a.csv")).collect())
+    assert got == [("1", 110.3, -7.8), ("2", None, None)]
+    df = spark.createDataFrame([(1.0, 1.005)], "stored double, real double")
+    assert readers.verified(df, "stored", F.col("real")).count() == 1
+    with pytest.raises(Exception, match="stored differs"):
+        readers.verified(df, "stored", F.col("real") + 1).collect()
