@@ -63,5 +63,23 @@ def queries() -> dict[str, functools.partial]:
     return {f.__name__: f for f in (op1_deleted_interpolation, op2_near_duplicates, op3_severity, op4_personal_data, op5_token_counts, op6_neighbours, op7_packed_ids, op8_vector_duplicates, op9_packing, op10_unigram)}
 
 
+#: Components over `link (a, b)` of all `node (id)`: the smallest id that links lead to.
+_COMPONENTS = """sides as (select a, b from link union all select b, a from link),
+reach as (select id as a, id as b from node union select reach.a, sides.b from reach join sides on sides.a = reach.b)
+"""
+
+SQL = {
+    "op2_near_duplicates": rf"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, case when len(w) >= 3 then concat_ws(' ', w[i], w[i + 1], w[i + 2]) else array_to_string(w, ' ') end as s from (select doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) as i from w where len(w) > 0)),
+node as (select doc_id as id, (select count(*) from s where s.doc_id = w.doc_id) as n from w),
+common as (select x.doc_id as a, y.doc_id as b, count(*) as m from s x join s y on x.s = y.s and x.doc_id < y.doc_id group by all),
+link as (select a, b from common join node p on p.id = a join node q on q.id = b where 100 * m >= 85 * (p.n + q.n - m)),
+{_COMPONENTS}select id as doc_id, n as n_shingles, least_id as component_id, id = least_id as kept from node join (select a, min(b) as least_id from reach group by a) on a = id""",
+    "op8_vector_duplicates": rf"""with recursive node as (select vec_id as id, label, embedding::double[] as x from embeddings),
+link as (select p.id as a, q.id as b from node p join node q on p.label = q.label and p.id < q.id where list_cosine_similarity(p.x, q.x) >= 0.98),
+{_COMPONENTS}select id as vec_id, (select count(*) from sides where sides.a = id) as n_links, least_id as component_id, id = least_id as kept from node join (select a, min(b) as least_id from reach group by a) on a = id""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
