@@ -54,16 +54,15 @@ def hour_scores(cells: DataFrame, volumes: DataFrame, borrowed: DataFrame, keys:
     """
     spread = volumes.groupBy(*keys).agg(F.min("volume").alias("low"), F.max("volume").alias("high"))
     source = volumes.select(*keys, F.col("hex_id").alias("source_id"), F.col("volume").alias("source_volume"))
-    df = cells.join(F.broadcast(spread), how="cross") if not keys else cells.crossJoin(F.broadcast(spread))  # a row for each key: 24 hours
+    df = cells.crossJoin(F.broadcast(spread))  # a row for each key: the 24 hours of a profile
     df = df.join(volumes, [*keys, "hex_id"], "left").join(borrowed, [*keys, "hex_id"], "left").join(source, [*keys, "source_id"], "left")
     used = F.coalesce("volume", "source_volume", "volume_mean")
     df = df.withColumn("used", used).withColumn("status", F.when(F.col("volume").isNotNull(), "live").when(used.isNotNull(), "fallback").otherwise("no_data"))
     norm = min_max_100(F.col("used"), F.col("low"), F.col("high"))
     df = df.withColumn("score", cell_score(norm, F.col("norm_poi"), F.col("norm_population")))
-    order = Window.partitionBy(*keys).orderBy(F.desc("score"), "hex_id")
-    scored = df.where("score IS NOT NULL").withColumn("rank", F.row_number().over(order)).withColumn("total", F.count("*").over(Window.partitionBy(*keys)))
-    rest = df.where("score IS NULL").withColumn("rank", F.lit(None).cast("int")).withColumn("total", F.lit(None).cast("long"))
-    return classed(scored.unionByName(rest))
+    order, whole = Window.partitionBy(*keys).orderBy(F.desc_nulls_last("score"), "hex_id"), Window.partitionBy(*keys)
+    scored = F.col("score").isNotNull()
+    return classed(df.withColumn("rank", F.when(scored, F.row_number().over(order))).withColumn("total", F.when(scored, F.count("score").over(whole))))
 
 
 def stop_scores(stops: DataFrame, accessibility: DataFrame) -> DataFrame:

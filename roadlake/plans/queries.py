@@ -471,7 +471,7 @@ def _hex_scores(t, first: int, last: int) -> DataFrame:
     hours = v.select("hour").distinct()
     todo = cells.select("hex_id", "lon", "lat").crossJoin(F.broadcast(hours)).join(v.select("hour", "hex_id"), ["hour", "hex_id"], "left_anti")  # a row for each hour of a profile
     seen = v.join(cells.select("hex_id", F.col("lon").alias("lon_r"), F.col("lat").alias("lat_r")), "hex_id").select("hour", F.col("hex_id").alias("source_id"), "lon_r", "lat_r")
-    near = SP.nearest(todo, seen, ["hour", "hex_id"], "source_id", ["hour"], 0.04, 1).select("hour", "hex_id", "source_id")
+    near = SP.nearest(todo, seen, ["hour", "hex_id"], "source_id", ["hour"], 0.04, 1).select("hour", "hex_id", "source_id").cache()
     return SC.hour_scores(cells, v, near, ["hour"])
 
 
