@@ -28,17 +28,19 @@ def preferred_semantics(observations: DataFrame, width: int) -> DataFrame:
     """Of each segment and window, the observations of the best semantics there: counts, then rates, then occupancy."""
     rank = F.when(F.col("semantics") == "interval_count", 1).when(F.col("semantics") == "vehicles_per_hour", 2).otherwise(3)
     df = observations.withColumn("window", bucket(F.col("captured_at"), width)).withColumn("choice", rank)
-    best = df.groupBy("segment_id", "window").agg(F.min("choice").alias("choice"))
-    return df.join(best, ["segment_id", "window", "choice"])
+    best = F.min("choice").over(Window.partitionBy("segment_id", "window"))
+    return df.withColumn("_best", best).where("choice = _best").drop("_best")
 
 
 def one_camera_per_stream(observations: DataFrame) -> DataFrame:
-    """The camera with the newest capture of each segment, window and stream, ties to the smaller id."""
+    """The camera with the newest capture of each segment, window and stream, ties to the smaller id.
+
+    All windows and groups from here to the segment's sums have (segment, window) among their keys, so one shuffle by these serves them all.
+    """
     key = ["segment_id", "window", "stream_id"]
-    last = observations.groupBy(*key, "camera_id").agg(F.max("captured_us").alias("last"))
-    best = last.groupBy(*key).agg(F.max_by("camera_id", F.struct("last", F.lit(0))).alias("_"), F.max("last").alias("last"))
-    tied = last.join(best.select(*key, "last"), [*key, "last"]).groupBy(*key).agg(F.min("camera_id").alias("camera_id"))
-    return observations.join(tied, [*key, "camera_id"], "left_semi")
+    last = F.max("captured_us").over(Window.partitionBy(*key, "camera_id"))
+    best = F.min(F.struct(-F.col("_last"), "camera_id")).over(Window.partitionBy(*key))
+    return observations.withColumn("_last", last).withColumn("_best", best).where(F.col("camera_id") == F.col("_best.camera_id")).drop("_last", "_best")
 
 
 def segment_aggregate(observations: DataFrame, width: int) -> DataFrame:
