@@ -12,6 +12,7 @@ own; an empty table gives no rows; columns other than id and text are ignored, w
 
 from __future__ import annotations
 
+import functools
 import heapq
 import zlib
 from collections.abc import Iterator
@@ -29,8 +30,12 @@ from .token_cache import WordIds
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long, rank long"
 
 
+@functools.lru_cache(maxsize=1)
 def word_encoder(path: str) -> WordIds:
-    """Ids of space-separated words by the tokenizer in this file. Its pre-tokenizer never joins text across white space."""
+    """Ids of space-separated words by the tokenizer in this file. Its pre-tokenizer never joins text across white space.
+
+    A worker keeps it between tasks; it is a cache, so a lost worker costs time only.
+    """
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
