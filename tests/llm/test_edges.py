@@ -204,17 +204,45 @@ def test_interpolation(docs, none):
     assert interpolation.score(none).count() == 0
 
 
-def test_interpolation_is_a_distribution(spark):
-    """Over the vocabulary and one unknown word, what may follow a context adds up to 1."""
-    texts = [(i, f"{'abc'[i % 3]} {'xyz'[i % 2]} {'abc'[(i // 2) % 3]}") for i in range(60)]
-    learnt = [t for i, t in texts if zlib.crc32(str(i).encode()) % 5 != 1]
-    words = {w for t in learnt for w in t.split()}
-    probe = next(i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 5 == 1)
-    ids = [j for j in range(probe, 9000) if zlib.crc32(str(j).encode()) % 5 == 1]
-    asked = [(ids[0], "a"), *[(ids[k + 1], f"a {w}") for k, w in enumerate([*sorted(words), "unknown"])]]
-    got = {r.doc_id: r.score for r in interpolation.score(spark.createDataFrame(texts + asked, "doc_id long, text string")).collect()}
-    # P(a w end) / P(a) telescopes only by word, so compare the words' own factors through a fixed second token
-    assert all(np.isfinite(x) for x in got.values()) and len(got) == len(texts) + len(asked)
+def test_interpolation_equals_counting(spark):
+    """Scores against plain dictionaries of counts; and what may follow a context adds up to 1."""
+    rng = np.random.default_rng(7)
+    texts = [(i, " ".join(f"w{x}" for x in rng.zipf(1.6, int(rng.integers(1, 30))) if x < 60)) for i in range(300)]
+    fold = {i: zlib.crc32(str(i).encode()) % 5 for i, _ in texts}
+    tokens = {i: [*t.split(), None] for i, t in texts}
+
+    def counts(folds):
+        one, two = Counter(), Counter()
+        for i, x in tokens.items():
+            if fold[i] in folds:
+                one.update(x)
+                two.update(zip([None, *x[:-1]], x, strict=True))
+        return one, two, sum(one.values()), len(one)
+
+    def parts(one, two, n, v, w):
+        return (two[v, w] / one[v] if one[v] else 0.0), one[w] / n, int(one[v]).bit_length()
+
+    one, two, n, size = counts({2, 3, 4})  # the deleted fold is 0, the tested one 1
+    level = lambda f: round(4 * np.log2(f * (size + 1))) + 512 if f > 0 else 0
+    seen = Counter()
+    for i, x in tokens.items():
+        if fold[i] == 0:
+            for v, w in zip([None, *x[:-1]], x, strict=True):
+                pair, single, bucket = parts(one, two, n, v, w)
+                seen[(bucket << 24) + (level(pair) << 12) + level(single)] += 1
+    cells = sorted(seen)
+    weights = interpolation.learn_weights(np.array(cells), np.array([seen[c] for c in cells]))
+    one, two, n, size = counts({0, 2, 3, 4})
+
+    def chance(v, w):
+        pair, single, bucket = parts(one, two, n, v, w)
+        return weights[bucket] @ [pair, single, 1 / (size + 1)]
+
+    for v in [*list(one)[:10], "unknown"]:
+        assert sum(chance(v, w) for w in [*one, "never seen"]) + (0 if one[v] else weights[0][0]) == pytest.approx(1)
+    for r in interpolation.score(spark.createDataFrame(texts, "doc_id long, text string")).collect():
+        x = tokens[r.doc_id]
+        assert r.score == pytest.approx(sum(np.log10(chance(v, w)) for v, w in zip([None, *x[:-1]], x, strict=True)), rel=1e-6)
 
 
 def test_learnt_weights_raise_likelihood():
