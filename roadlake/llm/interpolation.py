@@ -48,6 +48,7 @@ class Chunk:
         data, offsets = buffers(table.column("text"))
         n = len(offsets) - 1
         words, firsts, done = [], [np.zeros(1, np.int64)], 0
+        pa.default_memory_pool().release_unused()  # the last chunk's, before this one's arrays
         for a, b in groups_of(offsets, 1 << 22):
             part = data[offsets[a] : offsets[b]]
             starts, ends, first = word_spans(part, offsets[a : b + 1] - offsets[a])
@@ -192,7 +193,7 @@ def scores(tokens: int, words: int, weights: np.ndarray):
     return run
 
 
-def score(docs: DataFrame, *, chunk_bytes: int = 6 << 20, bucket_bytes: int = 4 << 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, *, chunk_bytes: int = 3 << 20, bucket_bytes: int = 4 << 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row for each row of docs."""
     size = text_bytes(docs, text)
     chunks, buckets = max(64, math.ceil(size / chunk_bytes)), max(64, math.ceil(size / bucket_bytes))
