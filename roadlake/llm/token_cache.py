@@ -11,7 +11,7 @@ import numpy as np
 class WordIds(dict):
     """Numbers words as they come; ids() gives the token ids of many words as one array. Forgets all when it holds `most` words, so memory stays bounded."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], most: int = 1_000_000):
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], most: int = 1_600_000):
         self.encode, self.most = encode, most
         self.forget()
 
