@@ -7,8 +7,10 @@
    blocks of bounded size, dealt anew each round; pairs that beat the last of a full list enter it. Rounds end when
    few lists change.
 4. Found pairs within `margin` of the threshold tie nodes into groups. A list that is full of such pairs may miss some,
-   so it grows to its whole group: each group's nodes are compared in double precision, tile by tile, which counts links
-   and reports stars of them, never all pairs. Their components are the result.
+   whatever its length, so these nodes are searched for exactly: leaders that have them all within a radius meet every
+   node of their label, at the threshold widened by the radius, and groups that meet become one. Each group's nodes are
+   compared in double precision, tile by tile, which counts links and reports stars of them, never all pairs. Their
+   components are the result.
 5. The audit counts the links of at most `audit` nodes by brute force over all rows; below `target` the lists double
    and the descent goes on.
 
@@ -133,6 +135,71 @@ def tile_links(threshold: float):
     return run
 
 
+def leaders_of(threshold: float, radius: float):
+    """Nodes of a group that have all its rows within an angle `radius`, and the similarity that a leader's search needs."""
+
+    def run(table: pa.Table) -> pa.Table:
+        x = unit(matrix(table.column("unit")))
+        left, at, bound = np.arange(len(x)), [], []
+        while len(left):
+            s = x[left] @ x[left[0]]
+            own = s >= np.cos(radius)
+            own[0] = True
+            at.append(left[0]), bound.append(np.cos(np.arccos(threshold) + np.arccos(np.clip(s[own].min(), -1, 1))))
+            left = left[~own]
+        return table.select(["group", "label", "unit"]).take(pa.array(at)).append_column("bound", pa.array(bound, pa.float64()))
+
+    return run
+
+
+def leaders(members: DataFrame, threshold: float, margin: float, most: int = 4096) -> DataFrame:
+    """group, label, unit, bound: leaders of members (group, label, node, unit), in blocks of about `most` of a group."""
+    sizes = members.groupBy("group").agg(F.ceil(F.count("*") / most).alias("blocks"))
+    dealt = members.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    schema = f"group long, label long, unit {members.schema['unit'].dataType.simpleString()}, bound double"
+    return dealt.groupBy("group", "block").applyInArrow(leaders_of(threshold, np.arccos(threshold - margin) - np.arccos(threshold)), schema)
+
+
+def by_label(table: pa.Table) -> dict[int, np.ndarray]:
+    """Positions of each label's rows."""
+    label = table.column("label").to_numpy()
+    order = np.argsort(label, kind="stable")
+    return {int(label[own[0]]): own for own in np.split(order, np.flatnonzero(np.diff(label[order])) + 1) if len(own)}
+
+
+def reached(grouped: DataFrame, found: DataFrame, most: int = 32_768, rows: int = 256) -> DataFrame:
+    """Pairs of groups (a, b) of which a leader found (group, label, unit, bound) meets a node (group, label, unit).
+
+    Leaders come to the driver `most` at a time, and every node meets those of its label, so nothing is shuffled and
+    no pair inside a group is a row.
+    """
+    parts, out = max(1, -(-found.count() // most)), None
+    for part in range(parts):
+        got = found.where(F.pmod(F.xxhash64("group", "unit"), F.lit(parts)) == part).toArrow()
+        asked = {k: (matrix(got.column("unit").take(pa.array(own))).astype(np.float32), got.column("group").to_numpy()[own], got.column("bound").to_numpy()[own]) for k, own in by_label(got).items()}
+        sent = grouped.sparkSession.sparkContext.broadcast(asked)
+
+        def meet(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                pairs, table = [np.zeros((0, 2), np.int64)], pa.Table.from_batches([b])
+                for k, own in by_label(table).items():
+                    if k not in sent.value:
+                        continue
+                    q, q_group, bound = sent.value[k]
+                    x, group = matrix(table.column("unit").take(pa.array(own))).astype(np.float32), table.column("group").to_numpy()[own]
+                    for i in range(0, len(q), rows):
+                        at, to = np.nonzero(q[i : i + rows] @ x.T >= bound[i : i + rows, None].astype(np.float32) - 1e-5)  # more than single precision loses
+                        pair = np.stack([q_group[i + at], group[to]], 1)
+                        pairs.append(np.unique(pair[pair[:, 0] != pair[:, 1]], axis=0))
+                ties = np.unique(np.concatenate(pairs), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(ties[:, 0]), pa.array(ties[:, 1])], names=["a", "b"])
+
+        met_now = materialise(grouped.select("group", "label", "unit").mapInArrow(meet, "a long, b long").distinct(), "ties")
+        sent.destroy()
+        out = met_now if out is None else out.union(met_now)
+    return out
+
+
 def fit_forest(nodes: DataFrame, sample: int, trees: int, leaf_rows: int, n: int, length: int) -> Forest:
     got = nodes.where(F.size("unit") == length).select("unit", F.xxhash64("node").alias("h")).orderBy("h").limit(sample).select("unit").toArrow()
     points = matrix(got.column("unit"))
@@ -205,7 +272,8 @@ def descend(nodes: DataFrame, n: int, length: int, threshold: float, margin: flo
                 break
         near = materialise(graph.where(F.col("similarity") >= threshold - margin).select("a", "b"), "near-vectors")
         groups = components(near)
-        out = exact(nodes, groups, threshold, tile)
+        full = near.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n")).where(F.col("n") >= wide).select("node")
+        out = joined_exactly(nodes, near, groups, full, threshold, margin, tile)
         discard(near, groups)
         got = {r.node: r.links for r in out.where(F.col("node").isin([int(x) for x in q_node])).collect()}
         total = sum(truth.values())
@@ -215,6 +283,18 @@ def descend(nodes: DataFrame, n: int, length: int, threshold: float, margin: flo
     return out
 
 
+def joined_exactly(nodes: DataFrame, near: DataFrame, groups: DataFrame, asked: DataFrame, threshold: float, margin: float, tile: int) -> DataFrame:
+    """exact() of groups, after every group with asked nodes has met all that they link with."""
+    named = groups.select("node", F.col("label").alias("group"))
+    grouped = materialise(nodes.select("node", "label", "unit").join(named, "node", "left").withColumn("group", F.coalesce("group", "node")), "grouped-vectors")
+    found = materialise(leaders(grouped.join(asked, "node", "left_semi"), threshold, margin), "leaders")
+    ties = reached(grouped, found)
+    wider = groups if ties.isEmpty() else components(near.union(ties))  # a group's number is one of its nodes
+    out = exact(nodes, wider, threshold, tile)
+    discard(grouped, found, wider)
+    return out
+
+
 def exact(nodes: DataFrame, groups: DataFrame, threshold: float, tile: int) -> DataFrame:
     """node, links, label: exact links inside groups (node, label), and the components that they make."""
     sizes = groups.groupBy("label").agg(F.count("*").alias("n"))

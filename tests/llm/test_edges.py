@@ -383,3 +383,39 @@ def test_vector_duplicates(spark):
         label = [min([label[i], *(label[j] for j in range(n) if linked[i][j])]) for i in range(n)]
     assert got == sorted((rows[i][0], sum(linked[i]), label[i], rows[i][0] == label[i]) for i in range(n))
     assert vector_duplicates.link_duplicates(df.limit(0)).count() == 0
+
+
+def brute_links(rows, threshold=0.98):
+    """{vec_id: (n_links, component_id)} of rows (vec_id, vector, label) with distinct ids, by all pairs."""
+    x = np.array([r[1] for r in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids, labels = np.array([r[0] for r in rows]), np.array([r[2] for r in rows])
+    near = (x @ x.T >= threshold) & (labels[:, None] == labels[None])
+    np.fill_diagonal(near, False)
+    low = ids.copy()
+    while True:
+        new = np.minimum(low, np.where(near, low[None], low.max()).min(1))
+        if (new == low).all():
+            return {int(i): (int(n), int(c)) for i, n, c in zip(ids, near.sum(1), low, strict=True)}
+        low = new
+
+
+VECTORS = "vec_id long, embedding array<float>, label int"
+
+
+def links_of(out):
+    return {r.vec_id: (r.n_links, r.component_id) for r in out.collect()}
+
+
+def tight_clusters(n=60, d=16):
+    """Two clusters of one label: within more than 0.9999, across about 0.985."""
+    rng = np.random.default_rng(4)
+    a, b = np.eye(d)[0], np.eye(d)[0] * 0.985 + np.eye(d)[1] * (1 - 0.985**2) ** 0.5
+    return [(i, [float(v) for v in (a if i < n else b) + rng.normal(0, 0.0005, d)], 0) for i in range(2 * n)]
+
+
+def test_full_lists_are_searched_exactly(spark):
+    rows = tight_clusters()
+    # a target that any result reaches: the lists alone have to find the links across
+    got = links_of(vector_duplicates.link_duplicates(spark.createDataFrame(rows, VECTORS), target=0.0))
+    assert got == brute_links(rows) and got[0] == (119, 0)
