@@ -12,7 +12,9 @@
    compared in double precision, tile by tile, which counts links and reports stars of them, never all pairs. Their
    components are the result.
 5. The audit counts the links of at most `audit` nodes by brute force over all rows; below `target` the lists double
-   and the descent goes on.
+   and the descent goes on. If the longest lists don't reach it, every node is searched for exactly, as those with full
+   lists are. The result's `audit_recall` is what the audit measured of what is returned, `exact_search` whether it took
+   that last step.
 
 Defined results: vectors that are null, zero or hold null or non-finite components, and vectors without label, link with
 nothing and are kept; vectors of different lengths link with nothing of the other length; repeated rows are copies: they link
@@ -154,10 +156,11 @@ def leaders_of(threshold: float, radius: float):
 
 def leaders(members: DataFrame, threshold: float, margin: float, most: int = 4096) -> DataFrame:
     """group, label, unit, bound: leaders of members (group, label, node, unit), in blocks of about `most` of a group."""
-    sizes = members.groupBy("group").agg(F.ceil(F.count("*") / most).alias("blocks"))
-    dealt = members.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    sizes = members.groupBy("group").agg(F.count("*").alias("n"))
+    dealt = members.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / most)))
+    alone = dealt.where("n = 1").select("group", "label", "unit", F.lit(threshold).alias("bound"))
     schema = f"group long, label long, unit {members.schema['unit'].dataType.simpleString()}, bound double"
-    return dealt.groupBy("group", "block").applyInArrow(leaders_of(threshold, np.arccos(threshold - margin) - np.arccos(threshold)), schema)
+    return alone.union(dealt.where("n > 1").groupBy("group", "block").applyInArrow(leaders_of(threshold, np.arccos(threshold - margin) - np.arccos(threshold)), schema))
 
 
 def by_label(table: pa.Table) -> dict[int, np.ndarray]:
@@ -217,16 +220,19 @@ def link_duplicates(rows: DataFrame, *, threshold: float = 0.98, margin: float =
         scaled = groups.withColumn("norm", F.sqrt(size)).withColumn("unit", F.transform("x", lambda c: (c.cast("double") / F.col("norm")).cast("float")))
         nodes = materialise(scaled.withColumn("label", F.xxhash64("label", F.size("x"))).select("same", "node", "weight", "label", "x", "unit"), "vectors")
         n = nodes.count()
-        linked = None
+        linked, recall, everything = None, 1.0, False
         if n > 1:
             common = nodes.groupBy(F.size("unit").alias("d")).count().orderBy(F.desc("count")).first()[0]
             linked = descend(nodes, n, common, threshold, margin, k, rounds, trees, leaf_rows, sample, most, tile, audit, target)
+            recall, everything = linked.audit_recall, linked.exact_search
         if linked is None:
             linked = nodes.select("node", F.lit(0).cast("long").alias("links"), F.col("node").alias("label"))
         found = materialise(nodes.select("same", "node", "weight").join(linked, "node", "left").select("same", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("label", "node").alias("component_id")), "linked-vectors")
         discard(nodes)
     out = keyed.select("vec_id", "same").join(found, "same", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    out = out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    out.audit_recall, out.exact_search = recall, everything  # what the audit measured
+    return out
 
 
 def descend(nodes: DataFrame, n: int, length: int, threshold: float, margin: float, k: int, rounds: int, trees: int, leaf_rows: int, sample: int, most: int, tile: int, audit: int, target: float) -> DataFrame:
@@ -256,7 +262,13 @@ def descend(nodes: DataFrame, n: int, length: int, threshold: float, margin: flo
             yield pa.RecordBatch.from_arrays([pa.array(q_node), pa.array(near @ weight)], names=["node", "links"])
 
     truth = {r.node: r.links for r in nodes.select("node", "label", "weight", "x").mapInArrow(brute, "node long, links long").groupBy("node").agg(F.sum("links").alias("links")).collect()}
-    seed = 0
+
+    def recall_of(out: DataFrame) -> float:
+        got = {r.node: r.links for r in out.where(F.col("node").isin([int(x) for x in q_node])).collect()}
+        total = sum(truth.values())
+        return sum(min(got.get(i, 0), m) for i, m in truth.items()) / total if total else 1.0
+
+    seed, everything = 0, False
     for wide in (k, 2 * k, 4 * k):
         for _ in range(rounds):
             seed += 1
@@ -275,11 +287,19 @@ def descend(nodes: DataFrame, n: int, length: int, threshold: float, margin: flo
         full = near.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n")).where(F.col("n") >= wide).select("node")
         out = joined_exactly(nodes, near, groups, full, threshold, margin, tile)
         discard(near, groups)
-        got = {r.node: r.links for r in out.where(F.col("node").isin([int(x) for x in q_node])).collect()}
-        total = sum(truth.values())
-        if not total or sum(min(got.get(i, 0), m) for i, m in truth.items()) >= target * total:
+        recall = recall_of(out)
+        if recall >= target:
             break
+        discard(out)
+    else:
+        everything = True
+        near = materialise(graph.where(F.col("similarity") >= threshold - margin).select("a", "b"), "near-vectors")
+        groups = components(near)
+        out = joined_exactly(nodes, near, groups, nodes.select("node"), threshold, margin, tile)
+        discard(near, groups)
+        recall = recall_of(out)
     discard(graph)
+    out.audit_recall, out.exact_search = recall, everything
     return out
 
 

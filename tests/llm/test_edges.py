@@ -419,3 +419,18 @@ def test_full_lists_are_searched_exactly(spark):
     # a target that any result reaches: the lists alone have to find the links across
     got = links_of(vector_duplicates.link_duplicates(spark.createDataFrame(rows, VECTORS), target=0.0))
     assert got == brute_links(rows) and got[0] == (119, 0)
+
+
+def spread_pairs(n=150, d=64, seed=6):
+    """Pairs of cosine about 0.99, far from all others."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, d))
+    return [(2 * i + j, [float(v) for v in x[i] + j * 0.12 * rng.normal(size=d)], 0) for i in range(n) for j in range(2)]
+
+
+def test_exact_search_when_lists_fail(spark):
+    rows = spread_pairs()
+    # hardly a node meets another: blocks of two in leaves of the whole table, one round, lists of one
+    out = vector_duplicates.link_duplicates(spark.createDataFrame(rows, VECTORS), k=1, rounds=1, trees=1, leaf_rows=300, most=2)
+    assert links_of(out) == brute_links(rows)
+    assert out.exact_search and out.audit_recall == 1
