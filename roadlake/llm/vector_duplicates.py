@@ -2,7 +2,8 @@
 
 1. Equal vectors of a label are one node with a weight, so copies of any number are one row.
 2. Lists start from the leaves of a few random-projection trees: in a leaf (in blocks of bounded size) every node
-   meets every other.
+   meets every other. Trees are fitted on a bounded sample; where their leaves hold too much of a large table, random
+   hyperplanes through the leaf's middle split them on, so leaves stay small at any size.
 3. A round joins neighbours of neighbours: all that have a node in their list, and all in its list, meet, again in
    blocks of bounded size, dealt anew each round; pairs that beat the last of a full list enter it. Rounds end when
    few lists change.
@@ -11,10 +12,12 @@
    node of their label, at the threshold widened by the radius, and groups that meet become one. Each group's nodes are
    compared in double precision, tile by tile, which counts links and reports stars of them, never all pairs. Their
    components are the result.
-5. The audit counts the links of at most `audit` nodes by brute force over all rows; below `target` the lists double
-   and the descent goes on. If the longest lists don't reach it, every node is searched for exactly, as those with full
-   lists are. The result's `audit_recall` is what the audit measured of what is returned, `exact_search` whether it took
-   that last step.
+5. The audit finds the links of a set of nodes by brute force over all rows. The set has the nodes with the smallest hash:
+   20 x `audit`, and four times as many up to 320 x `audit` until `audit` of them have links, or all nodes. A node counts
+   if all its links are found, so a pair counts as much as a group of thousands. Below the share `target` the lists double
+   and the descent goes on. If the longest lists don't reach it, or too few nodes have links to tell, every node is
+   searched for exactly, as those with full lists are. The result's `audit_recall` is the share measured of what is
+   returned, `audited` the number of nodes with links behind it, `exact_search` whether it took that last step.
 
 Defined results: vectors that are null, zero or hold null or non-finite components, and vectors without label, link with
 nothing and are kept; vectors of different lengths link with nothing of the other length; repeated rows are copies: they link
@@ -160,7 +163,7 @@ def leaders(members: DataFrame, threshold: float, margin: float, most: int = 409
     dealt = members.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / most)))
     alone = dealt.where("n = 1").select("group", "label", "unit", F.lit(threshold).alias("bound"))
     schema = f"group long, label long, unit {members.schema['unit'].dataType.simpleString()}, bound double"
-    return alone.union(dealt.where("n > 1").groupBy("group", "block").applyInArrow(leaders_of(threshold, np.arccos(threshold - margin) - np.arccos(threshold)), schema))
+    return alone.union(dealt.where("n > 1").repartition("group", "block").groupBy("group", "block").applyInArrow(leaders_of(threshold, np.arccos(threshold - margin) - np.arccos(threshold)), schema))
 
 
 def by_label(table: pa.Table) -> dict[int, np.ndarray]:
@@ -203,10 +206,12 @@ def reached(grouped: DataFrame, found: DataFrame, most: int = 32_768, rows: int
     return out
 
 
-def fit_forest(nodes: DataFrame, sample: int, trees: int, leaf_rows: int, n: int, length: int) -> Forest:
+def fit_forest(nodes: DataFrame, sample: int, trees: int, leaf_rows: int, n: int, length: int) -> Deepened:
     got = nodes.where(F.size("unit") == length).select("unit", F.xxhash64("node").alias("h")).orderBy("h").limit(sample).select("unit").toArrow()
     points = matrix(got.column("unit"))
-    return Forest(points, trees, max(4, len(points) * leaf_rows // max(n, 1)))
+    forest = Forest(points, trees, max(4, len(points) * leaf_rows // max(n, 1)))
+    held = n / (leaf_rows * min(forest.leaves))  # how many times too much a leaf holds of the table
+    return Deepened(forest, points, max(0, round(np.log2(held))) if len(points) < n else 0)
 
 
 def link_duplicates(rows: DataFrame, *, threshold: float = 0.98, margin: float = 0.02, k: int = 10, rounds: int = 4, trees: int = 4, leaf_rows: int = 64, sample: int = 20_000, most: int = 128, tile: int = 512, audit: int = 200, target: float = 0.995, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
@@ -220,21 +225,75 @@ def link_duplicates(rows: DataFrame, *, threshold: float = 0.98, margin: float =
         scaled = groups.withColumn("norm", F.sqrt(size)).withColumn("unit", F.transform("x", lambda c: (c.cast("double") / F.col("norm")).cast("float")))
         nodes = materialise(scaled.withColumn("label", F.xxhash64("label", F.size("x"))).select("same", "node", "weight", "label", "x", "unit"), "vectors")
         n = nodes.count()
-        linked, recall, everything = None, 1.0, False
+        linked, recall, audited, everything = None, 1.0, 0, False
         if n > 1:
             common = nodes.groupBy(F.size("unit").alias("d")).count().orderBy(F.desc("count")).first()[0]
             linked = descend(nodes, n, common, threshold, margin, k, rounds, trees, leaf_rows, sample, most, tile, audit, target)
-            recall, everything = linked.audit_recall, linked.exact_search
+            recall, audited, everything = linked.audit_recall, linked.audited, linked.exact_search
         if linked is None:
             linked = nodes.select("node", F.lit(0).cast("long").alias("links"), F.col("node").alias("label"))
         found = materialise(nodes.select("same", "node", "weight").join(linked, "node", "left").select("same", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("label", "node").alias("component_id")), "linked-vectors")
         discard(nodes)
     out = keyed.select("vec_id", "same").join(found, "same", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     out = out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
-    out.audit_recall, out.exact_search = recall, everything  # what the audit measured
+    out.audit_recall, out.audited, out.exact_search = recall, audited, everything  # what the audit measured
     return out
 
 
+class Deepened:
+    """A forest whose leaves are split on by `bits` random hyperplanes each, through the middle of the leaf's sample."""
+
+    def __init__(self, forest: Forest, points: np.ndarray, bits: int, seed: int = 6):
+        self.forest, self.bits = forest, bits
+        self.middles, self.planes = [], []
+        if bits:
+            at = forest.leaf_numbers(points)
+            for t, leaves in enumerate(forest.leaves):
+                sums = np.zeros((leaves, points.shape[1]))
+                np.add.at(sums, at[:, t], points)
+                self.middles.append(sums / np.maximum(1, np.bincount(at[:, t], minlength=leaves))[:, None])
+                self.planes.append(np.random.default_rng(seed + t).normal(size=(points.shape[1], bits)))
+
+    def leaf_numbers(self, x: np.ndarray) -> np.ndarray:
+        out = self.forest.leaf_numbers(x)
+        for t, (middles, planes) in enumerate(zip(self.middles, self.planes, strict=True)):
+            side = (x - middles[out[:, t]]) @ planes >= 0
+            out[:, t] = (out[:, t] << self.bits) + side @ (1 << np.arange(self.bits))
+        return out
+
+
+def true_links(nodes: DataFrame, n: int, threshold: float, audit: int, rows: int = 256) -> tuple[DataFrame, int, bool]:
+    """(node, links) of the audited nodes that have links, their number, and whether they are enough or all."""
+    most = 20 * audit
+    while True:
+        got = nodes.select("node", "label", "x").orderBy(F.xxhash64("node"), "node").limit(most).toArrow()
+        asked = {k: (unit(matrix(got.column("x").take(pa.array(own)))), got.column("node").to_numpy()[own]) for k, own in by_label(got).items()}
+        sent = nodes.sparkSession.sparkContext.broadcast(asked)
+
+        def brute(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ids, sums, table = [], [], pa.Table.from_batches([b])
+                for k, own in by_label(table).items():
+                    if k not in sent.value:
+                        continue
+                    q, q_node = sent.value[k]
+                    x, (node, weight) = unit(matrix(table.column("x").take(pa.array(own)))), (table.column(c).to_numpy()[own] for c in ("node", "weight"))
+                    for i in range(0, len(q), rows):
+                        at, to = np.nonzero((q[i : i + rows] @ x.T >= threshold) & (q_node[i : i + rows, None] != node[None]))
+                        some, back = np.unique(at, return_inverse=True)
+                        ids.append(q_node[i + some]), sums.append(np.bincount(back, weight[to], len(some)).astype(np.int64))
+                ids, sums = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (ids, sums))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sums, pa.int64())], names=["node", "links"])
+
+        truth = materialise(nodes.select("node", "label", "weight", "x").mapInArrow(brute, "node long, links long").groupBy("node").agg(F.sum("links").alias("links")), "audit-links")
+        sent.destroy()
+        linked = truth.count()
+        if linked >= audit or most >= min(n, 320 * audit):
+            return truth, linked, linked >= audit or most >= n
+        discard(truth)
+        most *= 4
+
+
 def descend(nodes: DataFrame, n: int, length: int, threshold: float, margin: float, k: int, rounds: int, trees: int, leaf_rows: int, sample: int, most: int, tile: int, audit: int, target: float) -> DataFrame:
     forest = fit_forest(nodes, sample, trees, leaf_rows, n, length)
 
@@ -250,26 +309,15 @@ def descend(nodes: DataFrame, n: int, length: int, threshold: float, margin: flo
 
     in_leaves = nodes.select("node", "label", "unit").mapInArrow(leaves, "node long, label long, leaf long").select(F.xxhash64("label", "leaf").alias("g"), "node")
     graph = materialise(shortened(meetings(in_leaves, nodes, None, k, most, 0), k), "neighbours")
-    # at most `audit` nodes for the audit, with how much weight they truly link
-    checked = nodes.select("node", "label", "x").where(F.size("x") == length).orderBy(F.xxhash64("node"), "node").limit(audit).toArrow()
-    q, q_node, q_label = unit(matrix(checked.column("x"))), checked.column("node").to_numpy(), checked.column("label").to_numpy()
-
-    def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fits = pa.array(np.flatnonzero(b.column(3).value_lengths().to_numpy() == length))
-            node, label, weight = (b.column(i).take(fits).to_numpy() for i in range(3))
-            near = (q @ unit(matrix(b.column(3).take(fits))).T >= threshold) & (q_label[:, None] == label[None]) & (q_node[:, None] != node[None]) if len(fits) else np.zeros((len(q), 0), bool)
-            yield pa.RecordBatch.from_arrays([pa.array(q_node), pa.array(near @ weight)], names=["node", "links"])
-
-    truth = {r.node: r.links for r in nodes.select("node", "label", "weight", "x").mapInArrow(brute, "node long, links long").groupBy("node").agg(F.sum("links").alias("links")).collect()}
+    truth, linked, enough = true_links(nodes, n, threshold, audit)
 
     def recall_of(out: DataFrame) -> float:
-        got = {r.node: r.links for r in out.where(F.col("node").isin([int(x) for x in q_node])).collect()}
-        total = sum(truth.values())
-        return sum(min(got.get(i, 0), m) for i, m in truth.items()) / total if total else 1.0
+        """Share of the audited nodes that have all their links."""
+        whole = truth.join(out.select("node", F.col("links").alias("got")), "node").where("got >= links").count()
+        return whole / linked if linked else 1.0
 
     seed, everything = 0, False
-    for wide in (k, 2 * k, 4 * k):
+    for wide in (k, 2 * k, 4 * k) if enough else (k,):
         for _ in range(rounds):
             seed += 1
             lists = graph.select(F.col("a").alias("g"), F.col("b").alias("node"))
@@ -288,7 +336,7 @@ def descend(nodes: DataFrame, n: int, length: int, threshold: float, margin: flo
         out = joined_exactly(nodes, near, groups, full, threshold, margin, tile)
         discard(near, groups)
         recall = recall_of(out)
-        if recall >= target:
+        if enough and recall >= target:
             break
         discard(out)
     else:
@@ -298,8 +346,8 @@ def descend(nodes: DataFrame, n: int, length: int, threshold: float, margin: flo
         out = joined_exactly(nodes, near, groups, nodes.select("node"), threshold, margin, tile)
         discard(near, groups)
         recall = recall_of(out)
-    discard(graph)
-    out.audit_recall, out.exact_search = recall, everything
+    discard(graph, truth)
+    out.audit_recall, out.audited, out.exact_search = recall, linked, everything
     return out
 
 

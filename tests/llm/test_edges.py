@@ -434,3 +434,25 @@ def test_exact_search_when_lists_fail(spark):
     out = vector_duplicates.link_duplicates(spark.createDataFrame(rows, VECTORS), k=1, rounds=1, trees=1, leaf_rows=300, most=2)
     assert links_of(out) == brute_links(rows)
     assert out.exact_search and out.audit_recall == 1
+
+
+def test_audit_counts_nodes_not_copies(spark):
+    # a group of 40 copies of each of two near vectors outweighs 100 pairs
+    rng = np.random.default_rng(8)
+    heavy = rng.normal(size=64)
+    copies = [(1000 + i, [float(v) for v in heavy + (i % 2) * 0.01], 0) for i in range(80)]
+    rows = spread_pairs(100) + copies
+    out = vector_duplicates.link_duplicates(spark.createDataFrame(rows, VECTORS), k=1, rounds=1, trees=1, leaf_rows=300, most=2)
+    got, want = links_of(out), brute_links(rows)
+    assert all(got[i] == want[i] for i in range(200))
+    assert out.audited == 202 and out.audit_recall == 1
+
+
+def test_leaves_deepen_with_the_table():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(20_000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    forest = vector_duplicates.Forest(x[:200], 2, 4)
+    deep = vector_duplicates.Deepened(forest, x[:200], 4)
+    sizes = lambda f: [np.bincount(f.leaf_numbers(x)[:, t]).max() for t in range(2)]
+    assert all(4 * b < a for a, b in zip(sizes(forest), sizes(deep), strict=True))
