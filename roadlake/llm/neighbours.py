@@ -28,15 +28,19 @@ FOUND = "query_id long, vec_id long, score double"
 
 
 def nearest(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query_id, vec_id, distance) of the k nearest rows of each query, ties to the smaller id; a query's own id is left out."""
+    """(query_id, vec_id, distance) of the k nearest ids of each query, by their nearest row, ties to the smaller id; a query's own id is left out."""
+    distinct, of = np.unique(ids, return_inverse=True)
+    by_id = np.argsort(of, kind="stable")
+    starts = np.searchsorted(of[by_id], np.arange(len(distinct)))
     out = []
     for q, own in zip(queries, query_ids, strict=True):
         d = np.sqrt(((rows - q) ** 2).sum(1))
-        d[ids == own] = np.inf
+        d = np.minimum.reduceat(d[by_id], starts) if len(ids) else d
+        d[distinct == own] = np.inf
         some = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
         some = some[np.isfinite(d[some])]
-        some = some[np.lexsort((ids[some], d[some]))][:k]
-        out.append((np.full(len(some), own), ids[some], d[some]))
+        some = some[np.lexsort((distinct[some], d[some]))][:k]
+        out.append((np.full(len(some), own), distinct[some], d[some]))
     return tuple(np.concatenate([x[i] for x in out]) if out else np.zeros(0) for i in range(3))
 
 

@@ -8,6 +8,7 @@ from math import log10
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from roadlake.llm import binpack, interpolation, near_duplicates, neighbours, packing, personal, severity, token_count, vector_duplicates
 from roadlake.llm.components import components
@@ -456,3 +457,15 @@ def test_leaves_deepen_with_the_table():
     deep = vector_duplicates.Deepened(forest, x[:200], 4)
     sizes = lambda f: [np.bincount(f.leaf_numbers(x)[:, t]).max() for t in range(2)]
     assert all(4 * b < a for a, b in zip(sizes(forest), sizes(deep), strict=True))
+
+
+def test_repeated_ids_leave_room_for_others(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 8))
+    rows = [(i, [float(v) for v in x[i]]) for i in range(40)] + [(1, [float(v) for v in x[0] + 0.001 * j]) for j in range(1, 16)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.rank, r.vec_id) for r in neighbours.search(df, F.col("vec_id") == 0).orderBy("rank").collect()]
+    best = {}
+    for i, v in rows:
+        best[i] = min(best.get(i, np.inf), np.linalg.norm(np.array(v) - x[0]))
+    assert got == [(n + 1, i) for n, i in enumerate(sorted((i for i in best if i), key=best.get)[:10])]
