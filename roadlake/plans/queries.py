@@ -504,6 +504,19 @@ def hex_hourly_series(t):
     return _hex_scores(t, H0, H0 + 6 * 3600 - 1).where("hex_id = 120").select("hour", "hex_id", S.half_up(F.col("score"), 4).alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
+@query()
+def hex_hour_scores_all(t):
+    """hex_hour_scores over every observed hour. Its SQL would be too slow; a test compares with brute force."""
+    df = _hex_scores(t, 0, 1 << 40)
+    return df.select("hour", "hex_id", S.half_up(F.col("score"), 4).alias("score"), F.col("rank").cast("int").alias("rank"), "class", "status", F.when(F.col("status") != "live", F.col("source_id")).alias("source"))
+
+
+@query()
+def hex_hourly_series_all(t):
+    """hex_hourly_series over every observed hour."""
+    return hex_hour_scores_all(t).where("hex_id = 120").select("hour", "hex_id", "score", "rank")
+
+
 _PART_RANK = "select hex_id, volume_mean, row_number() over (order by volume_mean desc nulls last, hex_id) as rank, count(*) over () as total from hexes"
 
 

@@ -16,7 +16,7 @@ from roadlake.operators import facts as FA
 from roadlake.operators import profile as P
 from roadlake.operators import scoring as SC
 from roadlake.operators import traffic as T
-from roadlake.plans.queries import ORACLES, QUERIES
+from roadlake.plans.queries import ORACLES, QUERIES, Tables
 from roadlake.schema import CATEGORIES, POLLUTANTS
 from roadlake.sources import readers, sinks
 from roadlake.streaming import windows
@@ -293,3 +293,29 @@ def test_survey_readers(spark, tmp_path):
     assert readers.verified(df, "stored", F.col("real")).count() == 1
     with pytest.raises(Exception, match="stored differs"):
         readers.verified(df, "stored", F.col("real") + 1).collect()
+
+
+def test_hex_scores_of_all_hours(spark):
+    t = Tables(spark, SF)
+    samples, segments, cells = (x.toPandas() for x in (t.samples(), t.segments, t.hexes))
+    cells = cells.sort_values("hex_id").reset_index(drop=True)
+    away = lambda lon, lat, some: ((some.lon - lon) ** 2 + (some.lat - lat) ** 2)
+    cell = {s.segment_id: cells.hex_id[away(s.lon1, s.lat1, cells).idxmin()] for s in segments.itertuples()}
+    samples = samples[samples.segment_id.isin(cell)]
+    samples["hex_id"], samples["v"] = samples.segment_id.map(cell), samples[[f"{c}_veh_h" for c in CATEGORIES]].fillna(0).sum(axis=1)
+    volumes = samples.groupby(["period_start", "hex_id"]).v.sum().round(6)
+    got = {(r.hour, r.hex_id): (r.score, r.status, r.source) for r in QUERIES["hex_hour_scores_all"](spark, SF).collect()}
+    hours = sorted(set(samples.period_start))
+    assert len(hours) > 24 and len(got) == len(hours) * len(cells)
+    for hour in hours[:: max(1, len(hours) // 40)]:
+        own = volumes[hour].to_dict()
+        low, high, live = min(own.values()), max(own.values()), cells[cells.hex_id.isin(own)]
+        for c in cells.itertuples():
+            source = c.hex_id if c.hex_id in own else live.hex_id[away(c.lon, c.lat, live).idxmin()]
+            norm = 100.0 if high <= low else 1 + (own[source] - low) / (high - low) * 99
+            score, status, other = got[hour, c.hex_id]
+            want = SC.cell_score(norm, c.norm_poi, c.norm_population)
+            assert status == ("live" if c.hex_id in own else "fallback") and abs(score - want) < 1e-4
+            assert other is None if status == "live" else abs(own[other] - own[source]) < 1e-9 or other == source
+    series = {r.hour for r in QUERIES["hex_hourly_series_all"](spark, SF).collect()}
+    assert series == set(hours)
