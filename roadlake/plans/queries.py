@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -701,6 +703,40 @@ def embedding_resolve(t):
     return best.where("b.c >= 0.40").select("query_id", F.col("b.vec_id").alias("vec_id"), F.round("b.c", 6).alias("similarity"))
 
 
+def _most_similar(q: pa.Table, rows: pa.Table) -> pa.Table:
+    """query_id, vec_id, c: the best row of another id for each query of a block, ties of nine digits to the smaller id."""
+    ids, names = rows.column("vec_id").to_numpy(), q.column("vec_id").to_numpy()
+    best = []
+    if len(ids) and len(names):
+        x, y = (np.array(t.column("x").to_pylist(), np.float64) for t in (q, rows))
+        x, y = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (x, y))
+        for i in range(0, len(x), 256):
+            c = x[i : i + 256] @ y.T
+            c[names[i : i + 256, None] == ids[None]] = -2
+            near = np.round(c, 9)
+            at = np.where(near == near.max(1, keepdims=True), ids[None], np.iinfo(np.int64).max).argmin(1)
+            best += [(int(n), int(ids[a]), float(v[a])) for n, a, v in zip(names[i : i + 256], at, c, strict=True) if v[a] > -2]
+    return pa.table({k: pa.array([b[j] for b in best], kind) for j, (k, kind) in enumerate((("query_id", pa.int64()), ("vec_id", pa.int64()), ("c", pa.float64())))})
+
+
+@query()
+def embedding_resolve_all(t):
+    """embedding_resolve for every vec_id divisible by 20, against all other rows, in bounded blocks of both.
+
+    Vectors that are null, zero or hold null or non-finite components take no part; those of other lengths don't meet.
+    """
+    fine = F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))) & F.exists("embedding", lambda c: c != 0)
+    e = t.embeddings.where(fine & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("x"), F.size("embedding").alias("d"))
+    n = e.count()
+    across, down = -(-n // (20 * 2048)) or 1, -(-n // 16_384) or 1  # blocks of queries and of rows
+    q = e.where("vec_id % 20 = 0").withColumn("a", F.pmod(F.xxhash64("vec_id"), F.lit(across))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
+    rows = e.withColumn("b", F.pmod(F.xxhash64("vec_id", "x"), F.lit(down))).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
+    q, rows = (x.select("d", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "vec_id", "x") for x in (q, rows))
+    s = q.groupBy("d", "a", "b").cogroup(rows.groupBy("d", "a", "b")).applyInArrow(_most_similar, "query_id long, vec_id long, c double")
+    best = s.groupBy("query_id").agg(F.min_by(F.struct("vec_id", "c"), F.struct(-F.round("c", 9), "vec_id")).alias("b"))
+    return best.where("b.c >= 0.40").select("query_id", F.col("b.vec_id").alias("vec_id"), F.round("b.c", 6).alias("similarity"))
+
+
 @query("with m as (select conv_id, turn, lower(text) as x from conversations) select conv_id, turn, case when regexp_matches(x, '(ignore\\s+(all\\s+)?(previous|above)|system\\s+prompt)') then 'blocked' when length(x) > 500 then 'too_long' when regexp_matches(x, '\\b(the|of)\\b') then 'analysis' else 'general' end as route from m")
 def intent_route(t):
     x = F.lower("text")

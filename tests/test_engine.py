@@ -6,6 +6,7 @@ import math
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -319,3 +320,16 @@ def test_hex_scores_of_all_hours(spark):
             assert other is None if status == "live" else abs(own[other] - own[source]) < 1e-9 or other == source
     series = {r.hour for r in QUERIES["hex_hourly_series_all"](spark, SF).collect()}
     assert series == set(hours)
+
+
+def test_embedding_resolve_of_all(spark):
+    e = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").toPandas().sort_values("vec_id")
+    ids, x = e.vec_id.to_numpy(), np.array(e.embedding.tolist(), float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c = x @ x.T
+    np.fill_diagonal(c, -2)
+    best = np.round(c, 9).argmax(1)  # the smallest id of equals
+    want = {int(i): (int(ids[b]), float(v[b])) for i, b, v in zip(ids, best, c, strict=True) if i % 20 == 0 and v[b] >= 0.40}
+    got = {r.query_id: (r.vec_id, r.similarity) for r in QUERIES["embedding_resolve_all"](spark, SF).collect()}
+    assert got.keys() == want.keys() and max(got) >= 10
+    assert all(got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 1e-6 for i in want)
