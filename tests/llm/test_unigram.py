@@ -58,3 +58,14 @@ def test_rows(spark, models):
     back = unigram.decode(unigram.encode(df, models[2]), models[2]).collect()
     assert sorted((r.doc_id, r.text) for r in back) == sorted((i, t or "") for i, t in rows)
     assert unigram.encode(df.limit(0), models[2]).count() == 0
+
+
+def test_query_returns_ids(spark, tmp_path):
+    import public_tokenizers
+
+    from roadlake.llm import queries
+
+    spark.createDataFrame([(1, "the thing of 漢字ꙮ"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op10_unigram(spark, str(tmp_path))
+    back = unigram.decode(got, public_tokenizers.path("piece_bpe_32k.model")).collect()
+    assert sorted((r.doc_id, r.text) for r in back) == [(1, "the thing of 漢字ꙮ"), (2, "")]
