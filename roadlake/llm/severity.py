@@ -1,37 +1,52 @@
-"""Toxic severity by cumulative-link ordinal regression over sparse word features.
+"""Toxic severity by cumulative-link ordinal regression over sparse text features.
 
-P(grade <= k) = logistic(threshold_k - w . x): all thresholds share the weights w; x has a word's count, as log(1 + n).
-Words are runs of letters (A-Z, a-z and bytes beyond ASCII), A-Z folded. The features are words whose share in toxic
-documents differs significantly, chosen and fitted on at most `rows` labelled documents, those with the smallest hash of
-their id: a documented bound. Grades beyond the two of a 0/1 label come from how often a toxic document has words
-that the labels show to be toxic: up to 2, 3 to 5, more.
+P(grade <= k) = logistic(threshold_k - w . x): all thresholds share the weights w; x has a feature's count, as log(1 + n).
+Words are runs of letters (A-Z, a-z and bytes beyond ASCII), A-Z folded. Features are words and the beginnings of longer
+words (4 to 7 bytes), which languages with many endings need. Those count whose share in toxic documents differs
+significantly. They are chosen and fitted on at most `rows` labelled documents, those with the smallest hash of their id: a
+documented bound, and the only one. Grades beyond the two of a 0/1 label come from how many words of a toxic document
+show a feature of toxic documents: up to 2, 3 to 5, more.
 
-Defined results: null and empty texts have no features and so the base rate's severity; labels that are null, or of ids
-that no document has, teach nothing; without labels of both kinds every document has severity 0; repeated rows are rows of
-their own; an empty table gives no rows; other columns of docs are kept out of the result, whatever their names.
+A document is called toxic if P(grade > 0) reaches a cut that the labelled documents teach too: each of `FOLDS` folds is left
+out of choosing and fitting in turn and judged by the rest. Of the cuts that call at most `most_false` of the left-out clean
+documents toxic, the cut is the highest that catches the most toxic ones, put halfway to the next
+document below.
+
+Defined results: null and empty texts have no features and so the base rate's severity; very long texts are scored whole, in
+pieces of a few megabytes of documents at a time; a label above 0 is toxic, any other is not; labels that are null, or of ids that no
+document has, teach nothing; a label given twice counts as its greatest; of rows with one id the smallest text teaches; without
+labels of both kinds every document has severity 0; repeated rows are rows of their own and score alike, ties included; an
+empty table gives no rows; other columns of docs are kept out of the result, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, groups_of, span_hashes, word_spans
+from .common import buffers, discard, groups_of, materialise, mix, span_hashes, word_spans
 
 LETTERS = np.zeros(256, bool)
 LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+BEGINNINGS = (4, 5, 6, 7)
+FOLDS = 4
+NO_WORDS = np.zeros(0, np.uint64)
 
 
 @dataclass
 class Model:
-    words: np.ndarray  # sorted hashes
+    words: np.ndarray  # sorted hashes of features
     weights: np.ndarray
     thresholds: np.ndarray
+    cut: float = 0.5  # of P(grade > 0)
+    caught: float = 0.0  # share of left-out toxic documents at the cut
+    left_alone: float = 1.0  # share of left-out clean documents below it
 
     def probabilities(self, margin: np.ndarray) -> np.ndarray:
         """P(grade = k) in columns."""
@@ -39,6 +54,9 @@ class Model:
         return np.diff(np.concatenate([np.zeros((len(margin), 1)), below, np.ones((len(margin), 1))], 1), axis=1)
 
 
+NOTHING = Model(NO_WORDS, np.zeros(0), np.array([40.0]))
+
+
 def fit_ordinal(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grades: np.ndarray, features: int, ridge: float = 1e-3, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
     """Maximum likelihood of weights and ordered thresholds by Adam on all rows; thresholds stay ordered as sums of exponentials."""
     n, k = len(grades), int(grades.max()) + 1
@@ -64,111 +82,181 @@ def fit_ordinal(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grade
     return p[:features], p[features] + np.concatenate([[0], np.cumsum(np.exp(p[features + 1 :]))])
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and the index of each text's first (n + 1 numbers)."""
+def features_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words and beginnings of words; the document and the word (counted over all documents) of each."""
     starts, ends, first = word_spans(data, offsets, LETTERS)
-    return span_hashes(data, starts, ends), first
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+    hashes, words = [span_hashes(data, starts, ends)], [np.arange(len(starts))]
+    for n in BEGINNINGS:
+        longer = np.flatnonzero(ends - starts > n)
+        hashes.append(mix(span_hashes(data, starts[longer], starts[longer] + n), 30))
+        words.append(longer)
+    word = np.concatenate(words)
+    return np.concatenate(hashes), doc[word], word
 
 
-def counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many documents, and toxic ones, of a batch each word is."""
+def counted_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many documents, and toxic ones, of a batch and fold each feature is."""
     for batch in batches:
-        data, offsets = buffers(batch.column(1))
-        toxic = batch.column(2).to_numpy(zero_copy_only=False) > 0
-        h, first = word_hashes(data, offsets)
-        doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-        order = np.lexsort((doc, h))
-        h, doc = h[order], doc[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (np.diff(h) != 0) | (np.diff(doc) != 0)
-        words, at = np.unique(h[new], return_inverse=True)
-        yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(np.bincount(at, minlength=len(words))), pa.array(np.bincount(at, toxic[doc[new]], len(words)).astype(np.int64))], names=["word", "n", "bad"])
+        for a in range(0, batch.num_rows, 256):
+            some = batch.slice(a, 256)
+            data, offsets = buffers(some.column(0))
+            toxic, fold = (some.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            h, doc, _ = features_of(data, offsets)
+            order = np.lexsort((doc, h))
+            h, doc = h[order], doc[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (np.diff(h) != 0) | (np.diff(doc) != 0)
+            words, at = np.unique(h[new], return_inverse=True)
+            cells, of = np.unique(at * FOLDS + fold[doc[new]], return_inverse=True)
+            bad = np.bincount(of, toxic[doc[new]] > 0, len(cells)).astype(np.int64)
+            columns = [words[cells // FOLDS].view(np.int64), (cells % FOLDS).astype(np.int32), np.bincount(of, minlength=len(cells)), bad]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["word", "fold", "n", "bad"])
+
+
+def found_features(words: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, chosen feature and word of each occurrence of a chosen feature."""
+    h, doc, word = features_of(data, offsets)
+    if not len(words):
+        return doc[:0], doc[:0], word[:0]
+    at = np.minimum(np.searchsorted(words, h), len(words) - 1)
+    hit = words[at] == h
+    return doc[hit], at[hit], word[hit]
 
 
-def found_words(words: np.ndarray):
-    """(doc, feature, count) of the chosen words in a batch, and each document's label."""
+def taught_features(words: np.ndarray):
+    """A row for each (document, word) that has chosen features, with these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = buffers(batch.column(1))
-            h, first = word_hashes(data, offsets)
-            at = np.minimum(np.searchsorted(words, h), max(0, len(words) - 1))
-            hit = words[at] == h if len(words) else np.zeros(len(h), bool)
-            doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))[hit]
-            ends = np.searchsorted(doc, np.arange(len(offsets)))
-            yield pa.RecordBatch.from_arrays([batch.column(2), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at[hit], pa.int32()))], names=["toxic", "words"])
+            for a in range(0, batch.num_rows, 256):
+                some = batch.slice(a, 256)
+                doc, at, word = found_features(words, *buffers(some.column(1)))
+                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(doc)), pa.array(at, pa.int32()), pa.array(word)], names=["doc_id", "feature", "word"])
 
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, rows: int = 20_000, least_docs: int = 5, z: float = 5.0, features: int = 4096, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """A model from at most `rows` labelled documents and at most `features` words, those of the most significant difference."""
-    nothing = Model(np.zeros(0, np.uint64), np.zeros(0), np.array([40.0]))
-    known = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+class Labelled:
+    """The labelled documents' chosen features, on the driver: bounded by the number of labelled documents."""
+
+    def __init__(self, toxic: np.ndarray, fold: np.ndarray, doc: np.ndarray, feature: np.ndarray, word: np.ndarray):
+        self.toxic, self.fold, self.doc, self.feature, self.word = toxic, fold, doc, feature, word
+
+    def fit(self, own: np.ndarray, chosen: np.ndarray, shows_toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Weights of all features (0 where not chosen), thresholds, and P(grade > 0) of every document, fitted on `own` documents."""
+        used = chosen[self.feature]
+        doc, feature, word = self.doc[used], self.feature[used], self.word[used]
+        toxic_words = np.unique(np.stack([doc, word], 1)[shows_toxic[feature]], axis=0)[:, 0]
+        hits = np.bincount(toxic_words, minlength=len(self.toxic))
+        grades = np.where(self.toxic, 1 + (hits >= 3) + (hits >= 6), 0)
+        pairs, times = np.unique(doc * len(chosen) + feature, return_counts=True)
+        row, column, value = pairs // len(chosen), pairs % len(chosen), np.log1p(times)
+        of_own, number = own[row], np.cumsum(own) - 1
+        levels = np.unique(grades[own], return_inverse=True)[1]  # grades that no document has take no threshold
+        weights, thresholds = fit_ordinal(number[row[of_own]], column[of_own], value[of_own], levels, len(chosen))
+        margin = np.bincount(row, value * weights[column], len(self.toxic))
+        return weights, thresholds, 1 - Model(NO_WORDS, weights, thresholds).probabilities(margin)[:, 0]
+
+
+def significance(n: np.ndarray, bad: np.ndarray, share: float) -> np.ndarray:
+    """Standard deviations between a feature's number of toxic documents and what the base rate would give."""
+    return (bad - share * n) / np.sqrt(np.maximum(share * (1 - share) * n, 1e-12))
+
+
+def learnt_cut(p: np.ndarray, toxic: np.ndarray, most_false: float) -> tuple[float, float, float]:
+    """The cut, and the shares of toxic documents at or above it and of clean ones below it."""
+    values = np.unique(p)[::-1]
+    caught = (p[toxic][None] >= values[:, None]).mean(1)
+    false = (p[~toxic][None] >= values[:, None]).mean(1)
+    allowed = np.flatnonzero(false <= most_false)
+    if not len(allowed):
+        return 1.0, 0.0, 1.0
+    best = allowed[np.argmax(caught[allowed])]  # the first, so the highest
+    lower = values[best + 1] if best + 1 < len(values) else 0.0
+    return float((values[best] + lower) / 2), float(caught[best]), float(1 - false[best])
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, rows: int = 20_000, least_docs: int = 5, z: float = 5.0, most_false: float = 0.005, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
+    """A model from at most `rows` labelled documents and every feature in `least_docs` of them with a significance of `z`."""
+    known = labels.select(F.col(doc_id).cast("long").alias("doc_id"), (F.col(label).cast("int") > 0).cast("int").alias("toxic"))
+    known = known.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    taught = own.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic")  # broadcast: at most `rows` pairs of numbers
-    n, bad = taught.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    if not bad or bad == n:
-        return nothing
-    share = bad / n
-    counts = taught.mapInArrow(counted_words, "word long, n long, bad long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).where(F.col("n") >= least_docs)
-    score = (F.col("bad") - share * F.col("n")) / F.sqrt(share * (1 - share) * F.col("n"))
-    chosen = counts.withColumn("z", score).where(F.abs("z") >= z).orderBy(F.abs("z").desc(), "word").limit(features).collect()
-    if not chosen:
-        return nothing
-    words = np.array([r.word for r in chosen], np.int64).view(np.uint64)
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    # broadcast: at most `rows` pairs of numbers; of an id's rows the smallest text, so that repeated rows don't grow the sample
+    taught = own.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    taught = materialise(taught.select("doc_id", "text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)).cast("int").alias("fold")), "labelled")
+    known_docs = taught.select("doc_id", "toxic", "fold").orderBy("doc_id").toArrow()  # at most `rows`
+    toxic, fold = known_docs.column("toxic").to_numpy() > 0, known_docs.column("fold").to_numpy()
+    if not toxic.any() or toxic.all():
+        discard(taught)
+        return NOTHING
+    docs_in, bad_in = (np.bincount(fold, x, FOLDS).astype(np.int64) for x in (np.ones(len(toxic)), toxic))
+
+    # a feature's documents without each fold in turn, and (last) of all folds
+    without = [*range(FOLDS), None]
+    totals = [(int(docs_in.sum() - (0 if i is None else docs_in[i])), int(bad_in.sum() - (0 if i is None else bad_in[i]))) for i in without]
+    counts = taught.select("text", "toxic", "fold").mapInArrow(counted_features, "word long, fold int, n long, bad long").groupBy("word")
+    counts = counts.agg(*(F.coalesce(F.sum(F.when(F.lit(True) if i is None else F.col("fold") != i, F.col(c))), F.lit(0)).alias(f"{c}{j}") for j, i in enumerate(without) for c in ("n", "bad")))
+    shares = [b / n if n else 0.0 for n, b in totals]
+    strong = [(F.col(f"n{j}") >= least_docs) & (F.abs(F.col(f"bad{j}") - s * F.col(f"n{j}")) >= z * F.sqrt(s * (1 - s) * F.col(f"n{j}"))) for j, s in enumerate(shares) if 0 < s < 1]
+    chosen = counts.where(reduce(lambda a, b: a | b, strong)).toArrow()
+    words = chosen.column("word").to_numpy().view(np.uint64)
     order = np.argsort(words)
-    words, toxic_word = words[order], np.array([r.z > 0 for r in chosen])[order]
-    got = taught.mapInArrow(found_words(words), "toxic int, words array<int>").toArrow()
-    lists = got.column("words").combine_chunks()
-    lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks)
-    column, doc = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
-    toxic = got.column("toxic").to_numpy()
-    hits = np.bincount(doc[toxic_word[column]], minlength=len(lists))
-    grades = np.where(toxic > 0, 1 + (hits >= 3) + (hits >= 6), 0)
-    grades = np.unique(grades, return_inverse=True)[1]  # grades that no document has take no threshold
-    pairs, times = np.unique(doc * len(words) + column, return_counts=True)
-    weights, thresholds = fit_ordinal(pairs // len(words), pairs % len(words), np.log1p(times), grades, len(words))
-    return Model(words, weights, thresholds)
+    words = words[order]
+    n, bad = (np.stack([chosen.column(f"{c}{j}").to_numpy()[order] for j in range(len(without))]) for c in ("n", "bad"))
+    found = taught.select("doc_id", "text").mapInArrow(taught_features(words), "doc_id long, feature int, word long").toArrow()
+    discard(taught)
+    doc = np.searchsorted(known_docs.column("doc_id").to_numpy(), found.column("doc_id").to_numpy())
+    labelled = Labelled(toxic, fold, doc, found.column("feature").to_numpy(), found.column("word").to_numpy())
+    marks = [np.where(n[j] >= least_docs, significance(n[j], bad[j], s), 0.0) for j, s in enumerate(shares)]
+
+    p, judged = np.zeros(len(toxic)), np.zeros(len(toxic), bool)
+    for i in range(FOLDS):
+        rest = fold != i
+        if toxic[rest].any() and not toxic[rest].all():
+            p[~rest] = labelled.fit(rest, np.abs(marks[i]) >= z, marks[i] >= z)[2][~rest]
+            judged |= ~rest
+    weights, thresholds, _ = labelled.fit(np.ones(len(toxic), bool), np.abs(marks[-1]) >= z, marks[-1] >= z)
+    if not (judged & toxic).any() or not (judged & ~toxic).any():
+        return Model(words, weights, thresholds)
+    return Model(words, weights, thresholds, *learnt_cut(p[judged], toxic[judged], most_false))
+
+
+def margins(model: Model, column: pa.Array) -> np.ndarray:
+    """w . x of each text of a batch."""
+    data, offsets = buffers(column)
+    out = [np.zeros(0)]
+    for a, b in groups_of(offsets, 1 << 22):
+        doc, at, _ = found_features(model.words, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        size = max(1, len(model.words))
+        pairs, times = np.unique(doc * size + at, return_counts=True)
+        out.append(np.bincount(pairs // size, np.log1p(times) * model.weights[pairs % size], b - a) if len(pairs) else np.zeros(b - a))
+    return np.concatenate(out)
 
 
 def scored(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, none = model.words, np.zeros(0, np.int64)
         for batch in batches:
-            data, offsets = buffers(batch.column(1))
-            severity = []
-            for a, b in groups_of(offsets, 1 << 22):
-                h, first = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                if len(words):
-                    at = np.minimum(np.searchsorted(words, h), len(words) - 1)
-                    hit = words[at] == h
-                    doc, at = np.repeat(np.arange(b - a), np.diff(first))[hit], at[hit]
-                else:
-                    doc = at = none
-                pairs, times = np.unique(doc * max(1, len(words)) + at, return_counts=True)
-                margin = np.bincount(pairs // max(1, len(words)), np.log1p(times) * model.weights[pairs % max(1, len(words))], b - a)
-                severity.append(model.probabilities(margin))
-            p = np.concatenate(severity) if severity else np.zeros((0, len(model.thresholds) + 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p @ np.arange(p.shape[1])), pa.array(p.argmax(1), pa.int32()), pa.array(1 - p[:, 0])], names=["doc_id", "severity", "grade", "p_toxic"])
+            p = model.probabilities(margins(model, batch.column(1)))
+            columns = [batch.column(0), pa.array(p @ np.arange(p.shape[1])), pa.array(p.argmax(1), pa.int32()), pa.array(1 - p[:, 0])]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "severity", "grade", "p_toxic"])
 
     return run
 
 
 def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, severity (the expected grade), grade (the likeliest), p_toxic (of any grade above 0), toxic (p_toxic >= 0.5)."""
+    """doc_id, severity (the expected grade), grade (the likeliest), p_toxic (of any grade above 0), toxic (p_toxic reaches the model's cut)."""
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return own.mapInArrow(scored(model), "doc_id long, severity double, grade int, p_toxic double").withColumn("toxic", F.col("p_toxic") >= 0.5)
+    return own.mapInArrow(scored(model), "doc_id long, severity double, grade int, p_toxic double").withColumn("toxic", F.col("p_toxic") >= F.lit(model.cut))
 
 
 def keep_clean(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
-    """docs without those that score() calls toxic; all columns stay as they are."""
+    """docs without those that score() calls toxic; all columns stay as they are, whatever their names. Null and empty texts stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(batch.schema.get_field_index(text))], names=["doc_id", "text"])
-            p = next(scored(model)(iter([own]))).column("p_toxic").to_numpy()
-            yield batch.filter(pa.array(p < 0.5))
+            p = model.probabilities(margins(model, batch.column(batch.schema.get_field_index(text)).cast(pa.large_string())))
+            yield batch.filter(pa.array(1 - p[:, 0] < model.cut))
 
     return docs.mapInArrow(run, docs.schema)
