@@ -39,19 +39,37 @@ LOWER[65:91] = BYTES[97:123]
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder that the cluster names in spark.checkpoint.dir, or else the session's checkpoint folder.
+
+    Only a session on one machine (master local) gets a folder of its own where neither is set; on a cluster that is an error,
+    as executors could not read what the driver's machine has.
+    """
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: it has to name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="roadlake-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        context.setCheckpointDir(root)
     return root
 
 
+def _path(spark: SparkSession, path: str):
+    """The path for Hadoop's file systems, and its file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared scratch folder and reads it back, which cuts its lineage and survives lost executors."""
+    """Writes df to the shared scratch folder and reads it back, which cuts its lineage and survives lost executors.
+
+    The table goes with discard(), or with the application's end where a result still reads it.
+    """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/roadlake/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    p, system = _path(spark, path)
+    system.deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path  # for discard()
     return out
@@ -61,9 +79,9 @@ def discard(*frames: DataFrame) -> None:
     """Deletes tables of materialise() that nothing will read again."""
     for df in frames:
         if path := getattr(df, "_scratch", None):
-            jvm = df.sparkSession.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+            p, system = _path(df.sparkSession, path)
+            system.delete(p, True)
+            system.cancelDeleteOnExit(p)
 
 
 class tidy_shuffles:
