@@ -18,7 +18,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -53,7 +52,7 @@ def spread(ids: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarray,
     return out, ends + np.arange(n + 1)
 
 
-def cut_documents(path: str, size: int, end_id: int):
+def cut_documents(path: str, size: int, end_id: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, ranks = word_encoder(path), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         for batch in batches:
@@ -79,10 +78,13 @@ def cut_documents(path: str, size: int, end_id: int):
                 rank = np.empty(len(doc), np.int64)
                 rank[order] = np.arange(len(doc)) - np.repeat(new, np.diff(np.append(new, len(doc)))) + ranks[runs]
                 ranks += np.bincount(length, minlength=size + 1)
-                yield pa.RecordBatch.from_arrays(
-                    [doc_ids.slice(a, b - a).take(pa.array(doc)).cast(pa.int64()), *map(pa.array, (start.astype(np.int64), length.astype(np.int64), np.array(crc, np.int64), tokens[doc].astype(np.int64), np.full(len(doc), part, np.int64), rank))],
-                    names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "rank"],
-                )
+                numbers = (start, length, np.array(crc), tokens[doc], np.full(len(doc), part), rank)
+                columns = [doc_ids.slice(a, b - a).take(pa.array(doc)).cast(pa.int64()), *(pa.array(x.astype(np.int64)) for x in numbers)]
+                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "rank"]
+                if keep_ids:  # pieces lie one behind the other
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(first, len(ids)), pa.int32()), pa.array(ids.astype(np.int32))))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
@@ -148,20 +150,26 @@ class Plan:
         return self.rows[at, 2] + rank - self.rows[at, 1], self.rows[at, 3]
 
 
-def pack(docs: DataFrame, path: str, *, size: int = 2048, end_id: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def pack(docs: DataFrame, path: str, *, size: int = 2048, end_id: int = 1, keep_ids: bool = True, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the piece's ids (unless keep_ids is False)."""
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    ids = ["ids"] if keep_ids else []
     with tidy_shuffles(docs.sparkSession):
-        pieces = materialise(own.mapInArrow(cut_documents(path, size, end_id), PIECES), "pieces")
+        pieces = materialise(own.mapInArrow(cut_documents(path, size, end_id, keep_ids), PIECES + ", ids array<int>" * keep_ids), "pieces")
         counts = materialise(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "piece-counts")
         histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most `size` rows
-    plan, whole = Plan(shortest_pack_first(histogram, size)), F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    ranked = pieces.join(counts.select("length", "part", F.coalesce(whole, F.lit(0)).alias("before")), ["length", "part"])
+    plan = Plan(shortest_pack_first(histogram, size))
+    earlier = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    # there are as many counts as tasks times lengths: they are shuffled, not broadcast
+    before = counts.select("length", "part", F.coalesce(earlier, F.lit(0)).alias("before")).hint("shuffle_hash")
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    ranked = pieces.join(before, ["length", "part"]).select(*columns, (F.col("rank") + F.col("before")).alias("rank"), *ids)
 
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in frames:
-            x["sequence_id"], x["offset"] = plan.place(x["length"].to_numpy(), (x["rank"] + x["before"]).to_numpy())
-            yield x.drop(columns=["rank", "before"])
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            placed = plan.place(x.column("length").to_numpy(), x.column("rank").to_numpy())
+            names = [*columns, "sequence_id", "offset", *ids]
+            yield pa.RecordBatch.from_arrays([*(x.column(c) for c in columns), *map(pa.array, placed), *(x.column(c) for c in ids)], names=names)
 
-    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-    return ranked.select(*columns, "rank", "before").mapInPandas(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    schema = ", ".join(f"{c} long" for c in [*columns, "sequence_id", "offset"])
+    return ranked.mapInArrow(place, schema + ", ids array<int>" * keep_ids)
