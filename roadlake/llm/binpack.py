@@ -7,7 +7,7 @@ fullest bin that still has room. Documents longer than a bin are cut losslessly
 Each result row is one row of the id matrix: input_ids (size numbers, padded), the cumulative segment lengths
 cu_seqlens (from 0), position_ids that restart at 0 with each segment, and the documents and starts of the segments.
 Defined results: a null or empty text is the end id alone; repeated rows are packed as rows of their own; an empty table
-gives no rows; other columns are ignored.
+gives no rows; other columns are ignored. A row_id holds the task's number, so it depends on how the table's files are split.
 """
 
 from __future__ import annotations
@@ -158,11 +158,13 @@ def pack_ids(docs: DataFrame, path: str, pattern: str, *, size: int = 2048, end_
 
 
 def write_binary(packed: DataFrame, path: str) -> None:
-    """Writes the matrix as binary records: little-endian 32-bit ids and cumulative lengths as bytes, beside the documents."""
+    """Writes the matrix as binary records: little-endian 32-bit ids, cumulative lengths and positions as bytes, beside the documents."""
+    binary, whole = ("input_ids", "cu_seqlens", "position_ids"), ("row_id", "doc_ids", "starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            as_bytes = lambda name: pa.array([np.asarray(x.values, "<i4").tobytes() for x in b.column(name)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("row_id"), as_bytes("input_ids"), as_bytes("cu_seqlens"), b.column("doc_ids"), b.column("starts")], names=["row_id", "input_ids", "cu_seqlens", "doc_ids", "starts"])
+            as_bytes = [pa.array([np.asarray(x.values, "<i4").tobytes() for x in b.column(name)], pa.binary()) for name in binary]
+            yield pa.RecordBatch.from_arrays([*as_bytes, *(b.column(name) for name in whole)], names=[*binary, *whole])
 
-    packed.mapInArrow(run, "row_id long, input_ids binary, cu_seqlens binary, doc_ids array<long>, starts array<long>").write.parquet(path)
+    schema = ", ".join(f"{name} binary" for name in binary)
+    packed.mapInArrow(run, f"{schema}, row_id long, doc_ids array<long>, starts array<long>").write.parquet(path)

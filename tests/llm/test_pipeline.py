@@ -1,11 +1,24 @@
 """The pipeline's stages against plain Python over the smallest tables."""
 
 import re
+import zlib
+from collections import Counter, defaultdict
 
+import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
+
+from roadlake.llm import severity
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
+INSULTS = re.compile(r"\b(idiot|clown|worthless|moron|scum|pathetic|disgusting|stupid|trash|loser)\b", re.I)
+
+
+def shingles(text):
+    w = re.findall(r"[^ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
 
 
 def test_stages(spark):
@@ -13,24 +26,76 @@ def test_stages(spark):
     before = {r.doc_id: r.text for r in docs.collect()}
     stages = dict(corpus_pipeline.STAGES)
     assert list(stages) == ["toxicity", "near_duplicates", "personal_data", "packing"]
+
     clean = stages["toxicity"](spark, docs, SF)
     assert clean.columns == docs.columns
-    bad = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").where("toxic = 1").collect()}
-    gone = set(before) - {r.doc_id for r in clean.collect()}
-    insults = re.compile(r"\b(idiot|clown|worthless|moron|scum|pathetic|disgusting|stupid|trash|loser)\b", re.I)
-    assert len(gone & bad) >= 0.5 * len([d for d in bad if insults.search(before[d])])
-    assert all(insults.search(before[d]) for d in gone)
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    bad, good = ({d for d in before if labels.get(d) == x} for x in (1, 0))
+    left = {r.doc_id for r in clean.collect()}
+    gone = set(before) - left
+    insulted = {d for d in bad if INSULTS.search(before[d])}
+    # 51 toxic documents teach the English words; other languages need the larger tables (test_severity_on_labels_kept_back)
+    assert len(gone & insulted) >= 0.95 * len(insulted) and len(gone & bad) >= 0.7 * len(bad) and len(gone & good) <= 0.01 * len(good)
+    # the same decisions as score() makes row by row
+    model = severity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    assert gone == {r.doc_id for r in severity.score(docs, model).where("toxic").collect()}
+
     kept = stages["near_duplicates"](spark, clean, SF)
     texts = {r.doc_id: r.text for r in kept.collect()}
+    # plain Python: links of at least 0.8, their components, the smallest id of each
+    sets = {d: shingles(before[d]) for d in left}
+    where = defaultdict(list)
+    for d, own in sets.items():
+        for x in own:
+            where[x].append(d)
+    up = {d: d for d in left}
 
-    def shingles(text):
-        w = text.lower().split()
-        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+    def root(d):
+        while up[d] != d:
+            d = up[d]
+        return d
 
-    left = [(d, shingles(before[d])) for d in texts]
-    assert not any(len(a & b) >= 0.8 * len(a | b) for i, (_, a) in enumerate(left) for _, b in left[:i])
-    redacted = {r.doc_id: r for r in stages["personal_data"](spark, kept, SF).collect()}
+    for d in left:
+        for e, both in Counter(e for x in sets[d] for e in where[x] if e > d).items():
+            if both >= 0.8 * (len(sets[d]) + len(sets[e]) - both):
+                a, b = root(d), root(e)
+                up[max(a, b)] = min(a, b)
+    assert set(texts) == {d for d in left if root(d) == d}
+
+    redacted_docs = stages["personal_data"](spark, kept, SF)
+    redacted = {r.doc_id: r for r in redacted_docs.collect()}
     assert set(redacted) == set(texts) and not any(re.search(r"[a-z0-9.]+@[a-z0-9]+\.[a-z]+", r.text) for r in redacted.values())
     assert all(r.n_chars == len(r.text) for r in redacted.values())
-    packed = stages["packing"](spark, kept, SF).collect()
-    assert {r.doc_id for r in packed} == set(texts)
+
+    packed = stages["packing"](spark, redacted_docs, SF).collect()
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    pieces = defaultdict(list)
+    for r in packed:
+        pieces[r.doc_id].append(r)
+    assert set(pieces) == set(texts)
+    for d, own in pieces.items():
+        ids = np.array([*whole.encode(redacted[d].text, add_special_tokens=False).ids, 1], "<u4")
+        own.sort(key=lambda r: r.start)
+        assert [r.start for r in own] == [0, *np.cumsum([r.length for r in own])[:-1]] and sum(r.length for r in own) == len(ids) == own[0].doc_tokens
+        assert all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in own)
+    rows = defaultdict(list)
+    for r in packed:
+        rows[r.sequence_id].append((r.offset, r.length))
+    for own in rows.values():
+        own.sort()
+        assert [o for o, _ in own] == [0, *np.cumsum([n for _, n in own])[:-1]] and sum(n for _, n in own) <= 2048
+
+
+def test_run_and_edges(spark):
+    """Stages keep all columns whatever their names; nulls, blanks and an empty table pass through."""
+    assert set(corpus_pipeline.run(spark, "/root/testdata/sf0.001").columns) >= {"doc_id", "sequence_id"}
+    schema = "doc_id long, text string, lang string, source string, n_chars long, node string, label string, severity string, kept string"
+    rows = [(1, None), (2, ""), (3, " \t"), (4, "mail a@b.org now"), (4, "mail a@b.org now"), (None, "a b c d e f g"), (5, "x " * 20_000)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *"zzzz") for i, t in rows], schema)
+    for table in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:3]:
+            out = stage(spark, table, "/root/testdata/sf0.001")
+            assert out.columns == docs.columns
+            if table is docs and name != "near_duplicates":
+                assert out.count() == docs.count()
+        assert corpus_pipeline.STAGES[3][1](spark, table, "").where("length > 0").count() == (docs.count() if table is docs else 0) + (table is docs) * 9
