@@ -15,6 +15,7 @@ from __future__ import annotations
 import functools
 import heapq
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -126,28 +127,18 @@ def shortest_pack_first(histogram: dict[int, int], size: int) -> list[tuple[int,
     return full + [(count, lengths) for _, _, count, lengths in heap]
 
 
-class Plan:
-    """Where the rests of each length go: for each length, runs of ranks with their first sequence and their offset."""
-
-    def __init__(self, patterns: list[tuple[int, tuple[int, ...]]]):
-        rows, sequence, used = [], 0, {}
-        for count, lengths in patterns:
-            offset = 0
-            for length in lengths:
-                rank = used.get(length, 0)
-                rows.append((length, rank, sequence, offset))
-                used[length], offset = rank + count, offset + length
-            sequence += count
-        rows.sort()
-        self.rows, self.sequences = np.array(rows, np.int64).reshape(-1, 4), sequence
-        self.first = np.searchsorted(self.rows[:, 0], np.arange(max(used, default=0) + 2))
-
-    def place(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.empty(len(length), np.int64)
-        for x in np.unique(length):
-            own, a, b = length == x, self.first[x], self.first[x + 1]
-            at[own] = a + np.searchsorted(self.rows[a:b, 1], rank[own], "right") - 1
-        return self.rows[at, 2] + rank - self.rows[at, 1], self.rows[at, 3]
+def runs_of(patterns: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, list[tuple[int, int, int]]]]:
+    """Where the pieces of each length go: runs of ranks, as the first rank, its sequence and the offset there."""
+    runs: dict[int, list[tuple[int, int, int]]] = {}
+    used, sequence = Counter(), 0
+    for count, lengths in patterns:
+        offset = 0
+        for length in lengths:
+            runs.setdefault(length, []).append((used[length], sequence, offset))
+            used[length] += count
+            offset += length
+        sequence += count
+    return list(runs.items())
 
 
 def pack(docs: DataFrame, path: str, *, size: int = 2048, end_id: int = 1, keep_ids: bool = True, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -158,18 +149,14 @@ def pack(docs: DataFrame, path: str, *, size: int = 2048, end_id: int = 1, keep_
         pieces = materialise(own.mapInArrow(cut_documents(path, size, end_id, keep_ids), PIECES + ", ids array<int>" * keep_ids), "pieces")
         counts = materialise(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "piece-counts")
         histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most `size` rows
-    plan = Plan(shortest_pack_first(histogram, size))
+    spark = docs.sparkSession
+    runs = spark.createDataFrame(runs_of(shortest_pack_first(histogram, size)), "length long, runs array<struct<first: long, sequence: long, offset: long>>")
     earlier = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     # there are as many counts as tasks times lengths: they are shuffled, not broadcast
     before = counts.select("length", "part", F.coalesce(earlier, F.lit(0)).alias("before")).hint("shuffle_hash")
+    ranked = pieces.join(before, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before"))
+    placed = ranked.join(F.broadcast(runs), "length")  # at most `size` rows
+    placed = placed.withColumn("run", F.element_at(F.filter("runs", lambda r: r["first"] <= F.col("rank")), -1))
+    sequence = F.col("run.sequence") + F.col("rank") - F.col("run.first")
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-    ranked = pieces.join(before, ["length", "part"]).select(*columns, (F.col("rank") + F.col("before")).alias("rank"), *ids)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            placed = plan.place(x.column("length").to_numpy(), x.column("rank").to_numpy())
-            names = [*columns, "sequence_id", "offset", *ids]
-            yield pa.RecordBatch.from_arrays([*(x.column(c) for c in columns), *map(pa.array, placed), *(x.column(c) for c in ids)], names=names)
-
-    schema = ", ".join(f"{c} long" for c in [*columns, "sequence_id", "offset"])
-    return ranked.mapInArrow(place, schema + ", ids array<int>" * keep_ids)
+    return placed.select(*columns, sequence.alias("sequence_id"), F.col("run.offset").alias("offset"), *ids)
