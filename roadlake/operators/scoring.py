@@ -12,18 +12,36 @@ CELL_WEIGHTS = {"volume": 0.538961038961039, "poi": 0.2972582972582973, "populat
 STOP_WEIGHTS = {"accessibility": 0.41111111111111115, "facility": 0.3277777777777778, "environment": 0.2611111111111111}
 
 
-def ranked(df: DataFrame, score: Column, tie: Column, rank: str = "rank", parts: int | None = None) -> DataFrame:
-    """The position of every row in the order of (score, tie), without a single-partition window.
+def bucket_of(place: Column, bounds: list[Column]) -> Column:
+    """How many of the ordered bounds are not above a place, as a tree of comparisons: as many as the logarithm of the bounds."""
 
-    Rows are range-partitioned by the order; a window inside each partition gives the place there, and the partitions' sizes,
-    a table of one row a partition, give what comes before.
+    def between(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(place < bounds[middle], between(low, middle)).otherwise(between(middle + 1, high))
+
+    return between(0, len(bounds))
+
+
+def ranked(df: DataFrame, score: str, tie: str, descending: bool = False, rank: str = "rank", parts: int | None = None, sample: int = 20) -> DataFrame:
+    """The position of every row in the order of (score, tie), rows without score last, without a single-partition window.
+
+    Bounds are taken once, from `sample` rows a bucket (those with the smallest hash), and are literals from then on: a row's bucket
+    is a function of the row, so the buckets' sizes and the places inside them agree however often Spark computes either.
     """
     n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.repartitionByRange(n, score, tie).withColumn("_p", F.spark_partition_id())
-    placed = ordered.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(score, tie)))
-    sizes = placed.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return placed.join(F.broadcast(before), "_p").withColumn(rank, F.col("_r") + F.col("_b")).drop("_p", "_r", "_b")
+    value = F.col(score).cast("double")
+    place = F.struct(value.isNull().alias("missing"), (-value if descending else value).alias("value"), F.col(tie).alias("tie"))
+    some = df.select(place.alias("place")).orderBy(F.xxhash64("place"), "place").limit(sample * n).orderBy("place").collect()
+    kind = df.schema[tie].dataType
+    cut = [some[len(some) * i // n].place for i in range(1, n)] if len(some) >= n else [r.place for r in some]
+    bounds = [F.struct(F.lit(p.missing).alias("missing"), F.lit(p.value).cast("double").alias("value"), F.lit(p.tie).cast(kind).alias("tie")) for p in cut]
+    dealt = df.withColumn("_b", bucket_of(place, bounds))
+    inside = F.row_number().over(Window.partitionBy("_b").orderBy(place))
+    sizes = dealt.groupBy("_b").agg(F.count("*").alias("_n"))  # a row a bucket
+    before = sizes.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return dealt.withColumn("_r", inside).join(F.broadcast(before), "_b").withColumn(rank, F.col("_r") + F.col("_before")).drop("_b", "_r", "_before")
 
 
 def classed(df: DataFrame, rank: str = "rank", total: str = "total") -> DataFrame:
@@ -72,8 +90,8 @@ def stop_scores(stops: DataFrame, accessibility: DataFrame) -> DataFrame:
     df = df.crossJoin(F.broadcast(spread))
     parts = [(STOP_WEIGHTS["accessibility"], F.when(F.col("access").isNotNull(), min_max_1(F.col("access"), F.col("low"), F.col("high")))), (STOP_WEIGHTS["facility"], F.col("facility") / 5.0), (STOP_WEIGHTS["environment"], F.col("environment") / 5.0)]
     df = df.withColumn("method", F.when(F.col("ahp_score").isNotNull(), "ahp").otherwise("keyword")).withColumn("score", F.round(F.coalesce(F.col("ahp_score"), weighted_available(parts)), 9))
-    scored = ranked(df.where("score IS NOT NULL"), F.col("score").asc(), F.col("stop_id").asc())
-    computed = with_total(ranked(df.where("score IS NOT NULL AND method = 'keyword'"), F.col("score").desc(), F.col("stop_id").asc(), "position").select("stop_id", "position"))
+    scored = ranked(df.where("score IS NOT NULL"), "score", "stop_id")
+    computed = with_total(ranked(df.where("score IS NOT NULL AND method = 'keyword'"), "score", "stop_id", True, "position").select("stop_id", "position"))
     return scored.join(classed(computed, "position").select("stop_id", "class"), "stop_id", "left").select("stop_id", "method", "score", "rank", "class")
 
 
