@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -63,60 +64,99 @@ def window_means(observations: DataFrame, width: int) -> DataFrame:
 
 
 FLOW = "camera long, frame_no long, category string, n long"
+#: What is kept of a track: its last box, its frames inside so far, whether it has counted.
+TRACK = ["track_id", "frame_no", "category", "inside", "so_far", "counted"]
+
+
+def left_tracks(boxes: pd.DataFrame, last: int, min_frames: int, exit_frames: int, forget: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """(events, tracks) of one camera's boxes up to frame `last`: what counts, and what has to be known of each track later.
+
+    boxes has a row for each track and frame in that order; the first row of a track may be what is known of it, with `so_far` and
+    `counted` filled. A track absent for `forget` frames starts anew. A track's stay ends when the next box is outside, or when exit_frames frames
+    pass without a box; the first end of a stay with min_frames frames inside counts.
+    """
+    after = boxes.groupby("track_id", sort=False)
+    ahead = after[["frame_no", "inside", "category"]].shift(-1)
+    until = ahead.frame_no.fillna(last + 1)
+    anew = (boxes.frame_no - after.frame_no.shift(1)).gt(forget)
+    life = anew.groupby(boxes.track_id).cumsum()
+    whole = [boxes.track_id, life]
+    known = boxes.so_far.where(~anew)
+    so_far = (known.fillna(boxes.inside.astype("float"))).groupby(whole).cumsum()
+    counted = boxes.counted.astype("boolean").fillna(False).astype(bool).groupby(whole).cummax()
+    stays = boxes.inside & (so_far >= min_frames) & ~counted
+    missing = stays & (until - boxes.frame_no - 1 >= exit_frames)
+    steps_out = stays & ~missing & (ahead.inside == False) & ahead.frame_no.notna()  # noqa: E712
+    ends = missing | steps_out
+    first = ends & (ends.astype(int).groupby(whole).cumsum() == 1)
+    events = pd.DataFrame({"frame_no": (boxes.frame_no + exit_frames).where(missing, ahead.frame_no)[first], "category": boxes.category.where(missing, ahead.category)[first]})
+    done = counted | (ends.astype(int).groupby(whole).cumsum() > 0)
+    tracks = boxes.assign(so_far=so_far, counted=done).groupby("track_id", sort=False).tail(1)
+    return events, tracks[last - tracks.frame_no < forget][TRACK]
 
 
 def flow_counts(frames: DataFrame, min_frames: int = 3, exit_frames: int = 5) -> DataFrame:
     """Vehicles that leave the region, counted once each; frames: camera, frame_no, track_id, category, inside (one row for each box).
 
-    A track counts when it was inside for min_frames and then goes outside, or stays away for exit_frames while inside. State is dropped after
-    max(300, 60 * exit_frames) frames without the track.
+    The streaming twin of operators.traffic.flow_exits: a batch of frames is one vectorised pass over its boxes, behind what is known of each
+    track. An end by missing frames has the frame at which it is certain. Frames that a camera has passed already are ignored.
     """
-    keep = max(300, 60 * exit_frames)
+    forget = max(300, 60 * exit_frames)
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tracks = {t: [c, f, bool(i), bool(k), m] for t, c, f, i, k, m in zip(*state.get[1:], strict=True)} if state.exists else {}
-        last = state.get[0] if state.exists else -1
-        out: list[tuple] = []
-        for frame_no, boxes in pd.concat(list(batches)).sort_values(["frame_no", "category"], kind="stable").groupby("frame_no"):
-            if frame_no <= last:
-                continue
-            absent, last, seen = frame_no - last - 1 if last >= 0 else 0, frame_no, set()
-            exits: dict[str, int] = {}
-            for r in boxes.itertuples():
-                if pd.isna(r.track_id) or r.category not in CATEGORIES or r.track_id in seen:
-                    continue
-                seen.add(r.track_id)
-                t = tracks.setdefault(r.track_id, [r.category, 0, False, False, 0])
-                if absent + t[4] >= exit_frames and t[2] and not t[3] and t[1] >= min_frames:  # it was away for long enough before
-                    exits[t[0]] = exits.get(t[0], 0) + 1
-                    t[2], t[3] = False, True
-                t[0], t[4] = r.category, 0
-                t[1] += bool(r.inside)
-                if not t[3] and t[2] and not r.inside and t[1] >= min_frames:
-                    exits[t[0]] = exits.get(t[0], 0) + 1
-                    t[3] = True
-                t[2] = bool(r.inside)
-            for i in [i for i in tracks if i not in seen]:
-                t = tracks[i]
-                t[4] += 1 + absent
-                if t[2] and not t[3] and t[4] >= exit_frames and t[1] >= min_frames:
-                    exits[t[0]] = exits.get(t[0], 0) + 1
-                    t[2], t[3] = False, True
-                if t[4] >= keep:
-                    del tracks[i]
-            out += [(key[0], int(frame_no), c, n) for c, n in sorted(exits.items())]
-        ids = list(tracks)
-        state.update((int(last), [int(i) for i in ids], *[[tracks[i][k] for i in ids] for k in range(5)]))
-        if out:
-            yield pd.DataFrame(out, columns=["camera", "frame_no", "category", "n"])
-
-    schema = "last long, ids array<long>, category array<string>, frames array<long>, inside array<boolean>, counted array<boolean>, missing array<long>"
+        last, *held = state.get if state.exists else (-1, *([] for _ in TRACK))
+        new = pd.concat(list(batches))
+        new = new[new.frame_no > last]
+        if not len(new):
+            return
+        last = int(new.frame_no.max())
+        boxes = new[new.track_id.notna() & new.category.isin(CATEGORIES)].sort_values(["track_id", "frame_no", "category"], kind="stable").drop_duplicates(["track_id", "frame_no"])
+        boxes = pd.concat([pd.DataFrame(dict(zip(TRACK, held, strict=True))), boxes.reindex(columns=TRACK)], ignore_index=True).astype({"track_id": "int64", "frame_no": "int64", "inside": bool, "so_far": float})
+        boxes = boxes.sort_values(["track_id", "frame_no"], kind="stable").reset_index(drop=True)
+        events, tracks = left_tracks(boxes, last, min_frames, exit_frames, forget)
+        state.update((last, *(tracks[c].tolist() for c in TRACK)))
+        if len(events):
+            out = events.groupby(["frame_no", "category"]).size().rename("n").reset_index()
+            out.insert(0, "camera", key[0])
+            yield out.astype({"frame_no": "int64"})
+
+    schema = "last long, ids array<long>, frames array<long>, category array<string>, inside array<boolean>, so_far array<double>, counted array<boolean>"
     return frames.select("camera", F.col("frame_no").cast("long"), "track_id", "category", "inside").groupBy("camera").applyInPandasWithState(update, FLOW, schema, "append", GroupStateTimeout.NoTimeout)
 
 
+def after_outages(frames: DataFrame, max_gap: int) -> DataFrame:
+    """frames with track ids that start anew after an outage of the camera: more than max_gap frames without any box of it.
+
+    What a counter's reset after a failed capture does, as a column: the id gets the number of outages before it.
+    """
+    order = Window.partitionBy("camera").orderBy("frame_no")
+    per_frame = frames.select("camera", "frame_no").distinct()
+    gap = F.coalesce(F.col("frame_no") - F.lag("frame_no").over(order) > max_gap, F.lit(False)).cast("int")
+    outages = per_frame.withColumn("gap", gap).withColumn("outages", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("gap")
+    return frames.join(outages, ["camera", "frame_no"]).withColumn("track_id", F.col("track_id") + F.col("outages") * F.lit(1 << 40)).drop("outages")
+
+
 MEASURED = "camera long, ended_at double, seconds double, car double, motorcycle double, bus double, truck double"
 
 
+def measured(at: np.ndarray, counts: np.ndarray, opened: float, seconds: float, max_gap: float) -> tuple[list[tuple], float, np.ndarray]:
+    """(windows, start of the open one, its counts) of readings at rising times; the first reading stands for what is known, with its counts.
+
+    Readings are cut into unbroken runs at gaps above max_gap; a run's first reading only opens it. Inside a run each window ends at the first
+    reading that is `seconds` or more behind its start, found by binary search over the run.
+    """
+    cuts = np.flatnonzero(np.diff(at) > max_gap) + 1
+    windows, start, rest = [], opened, counts[0]
+    for a, b in zip([0, *cuts], [*cuts, len(at)], strict=True):
+        run, sums = at[a:b], np.cumsum(counts[a:b], axis=0)
+        start, before = (opened, np.zeros(counts.shape[1])) if a == 0 else (run[0], sums[0])
+        while (i := int(np.searchsorted(run, start + seconds))) < len(run):
+            windows.append((run[i], run[i] - start, sums[i] - before))
+            start, before = run[i], sums[i]
+        rest = sums[-1] - before
+    return windows, start, rest
+
+
 def measured_windows(exits: DataFrame, seconds: float = 60.0, max_gap: float = 5.0) -> DataFrame:
     """Exits over measured, unbroken time: a gap outside [0, max_gap] discards what a window has, so silence never counts as no traffic.
 
@@ -124,24 +164,29 @@ def measured_windows(exits: DataFrame, seconds: float = 60.0, max_gap: float = 5
     """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, seen, counts = (state.get[0], state.get[1], list(state.get[2])) if state.exists else (None, None, [0.0] * 4)
-        out = []
-        for r in pd.concat(list(batches)).sort_values("at", kind="stable").itertuples():
-            if seen is None or not 0 <= r.at - seen <= max_gap:
-                start, seen, counts = r.at, r.at, [0.0] * 4
-                continue
-            seen = r.at
-            counts = [a + getattr(r, c) for a, c in zip(counts, CATEGORIES, strict=True)]
-            if r.at - start >= seconds:
-                out.append((key[0], r.at, r.at - start, *counts))
-                start, counts = r.at, [0.0] * 4
-        state.update((start, seen, counts))
-        if out:
-            yield pd.DataFrame(out, columns=["camera", "ended_at", "seconds", *CATEGORIES])
+        new = pd.concat(list(batches)).sort_values("at", kind="stable")
+        at, counts = new["at"].to_numpy(float), new[list(CATEGORIES)].to_numpy(float)
+        opened = at[0]
+        if state.exists and 0 <= at[0] - state.get[1] <= max_gap:  # the open window goes on
+            opened, seen, held = state.get
+            at, counts = np.append(seen, at), np.vstack([held, counts])
+        else:
+            counts[0] = 0
+        windows, start, rest = measured(at, counts, opened, seconds, max_gap)
+        state.update((float(start), float(at[-1]), rest.tolist()))
+        if windows:
+            yield pd.DataFrame([(key[0], end, length, *sums) for end, length, sums in windows], columns=["camera", "ended_at", "seconds", *CATEGORIES])
 
     return exits.groupBy("camera").applyInPandasWithState(update, MEASURED, "start double, seen double, counts array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
+def window_sink(path: str, keys: list[str]):
+    """A foreachBatch function that upserts finished windows into a table of versions: a window that is computed again replaces itself."""
+    from roadlake.sources.sinks import upsert
+
+    return lambda batch, _: upsert(batch, path, keys)
+
+
 def newest_state_sink(path: str, keys: list[str]):
     """A foreachBatch function that keeps each key's newest (observed, processed) state in a Parquet table of versions.
 
