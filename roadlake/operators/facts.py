@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from roadlake.functions.scalars import bucket_width, source_mode
 from roadlake.schema import MAX_DAYS
 
+
 def mode() -> Column:
     return source_mode(F.col("meta_source_mode"), F.col("meta_data_source"))
 
 
-
 @dataclass(frozen=True)
 class AnalyticsFilter:
     """A checked request; times in epoch seconds, the range half open."""
@@ -51,11 +51,12 @@ def active_segments(cameras: DataFrame, live: bool) -> DataFrame:
 
 def scoped(facts: DataFrame, cameras: DataFrame, mode: str) -> DataFrame:
     """Facts of a provenance. LIVE ones count only for segments with an active live camera."""
-    live = facts.where(F.col("source_mode") == "LIVE").join(active_segments(cameras, True), "segment_id", "left_semi")
+    live = active_segments(cameras, True)
     if mode == "ACTIVE_LIVE":
-        return live
-    if mode == "CSV_AND_LIVE":
-        return facts.where(F.col("source_mode") == "CSV_HISTORY").unionByName(live)
+        return facts.where(F.col("source_mode") == "LIVE").join(live, "segment_id", "left_semi")
+    if mode == "CSV_AND_LIVE":  # one pass over the facts: those of history stay, live ones need their segment's mark
+        marked = facts.where(F.col("source_mode").isin("CSV_HISTORY", "LIVE")).join(live.withColumn("_live", F.lit(True)), "segment_id", "left")
+        return marked.where((F.col("source_mode") == "CSV_HISTORY") | F.col("_live")).drop("_live")
     return facts.where(F.col("source_mode") == {"HISTORICAL": "CSV_HISTORY"}.get(mode, mode))
 
 

@@ -25,28 +25,33 @@ def within_distance(left: DataFrame, right: DataFrame, metres: float, max_lat: f
     return l.join(r, ["_x", "_y"]).drop("_x", "_y").withColumn("distance_m", d).where(F.col("distance_m") <= metres)
 
 
-def nearest(left: DataFrame, right: DataFrame, key: list[str], right_id: str, groups: list[str] | None = None, cell: float = 0.01, rounds: int = 12) -> DataFrame:
-    """key, right_id, d2: the nearest right point (planar, in degrees) of each left row, ties to the smaller id.
+def nearest(left: DataFrame, right: DataFrame, key: list[str], right_id: str, groups: list[str] | None = None, cell: float = 0.01, carry: list[str] | None = None) -> DataFrame:
+    """key, right_id, d2 and the right columns to carry: the nearest right point (planar, in degrees) of each left row, ties to the smaller id.
 
-    Rings of cells of growing size: in round k only the 3 x 3 cells of size cell * 2^k are joined, and a left row is done when
-    its best distance is less than the ring surely covers. Rows left after the last round meet all of right's rows of their group.
+    Cells of several sizes, each four times the last. A cell that has left points takes the smallest size whose 3 x 3 cells around it hold a
+    right point; that point is no further than the cells of the next size reach, so the 3 x 3 cells of that size surely have the nearest of every
+    point in the cell. These candidates of a cell meet its points. All joins are equi-joins on cells, whatever the data: no rounds, no pairs of all
+    with all. A left row whose group has no right point is in no result.
     """
-    groups, todo, out = groups or [], left, None
+    last = next(k for k in range(64) if cell * 4**k > 720) + 1
+    groups, carry = groups or [], carry or []
+    at = lambda c: F.floor(F.col(c) / cell)
+    levels = F.explode(F.sequence(F.lit(0), F.lit(last))).alias("_level")
+    up = lambda c: F.expr(f"shiftright({c}, 2 * _level)")  # noqa: E731  a cell of a size lies in one of the next
+    around = lambda df: df.withColumn("_i", F.explode(F.array(*[F.lit(d) for d in range(9)]))).withColumn("_u", F.expr("_u + _i div 3 - 1")).withColumn("_v", F.expr("_v + _i % 3 - 1")).drop("_i")
+    coarse = lambda df, *keep: df.select(*groups, *keep, "_x", "_y", levels).withColumn("_u", up("_x")).withColumn("_v", up("_y"))
+    place = [*groups, "_level", "_u", "_v"]
+    l, r = left.withColumn("_x", at("lon")).withColumn("_y", at("lat")), right.withColumn("_x", at("lon_r")).withColumn("_y", at("lat_r"))  # noqa: E741
+    occupied = around(coarse(r.select(*groups, "_x", "_y").distinct()).select(*place).distinct()).distinct()
+    own = [*groups, "_x", "_y"]
+    fits = coarse(l.select(*own).distinct()).join(occupied, place, "left_semi").groupBy(*own).agg((F.min("_level") + 1).alias("_level"))
+    asked = around(fits.withColumn("_u", up("_x")).withColumn("_v", up("_y")))
+    rights = coarse(r, "lon_r", "lat_r", right_id, *carry).drop("_x", "_y")
+    candidates = asked.join(rights, place).select(*own, "lon_r", "lat_r", right_id, *carry)
     d2 = F.pow(F.col("lon") - F.col("lon_r"), 2) + F.pow(F.col("lat") - F.col("lat_r"), 2)
-    best = lambda df: df.withColumn("d2", d2).groupBy(*key).agg(F.min(F.struct("d2", right_id)).alias("b")).select(*key, F.col(f"b.{right_id}").alias(right_id), F.col("b.d2").alias("d2"))
-    for k in range(rounds):
-        size = cell * 4**k
-        at = lambda c: F.floor(F.col(c) / size)
-        l = todo.withColumn("_x", F.explode(F.array(*[at("lon") + d for d in (-1, 0, 1)]))).withColumn("_y", F.explode(F.array(*[at("lat") + d for d in (-1, 0, 1)])))  # noqa: E741
-        r = right.withColumn("_x", at("lon_r")).withColumn("_y", at("lat_r"))
-        found = best(l.join(r, [*groups, "_x", "_y"])).where(F.col("d2") <= size * size)
-        out = found if out is None else out.unionByName(found)
-        if size > 360 or k == rounds - 1 or size >= 0.6:
-            break
-        todo = todo.join(found.select(*key), key, "left_anti")
-    last = todo.join(found.select(*key), key, "left_anti")
-    rest = best(last.join(right, groups) if groups else last.join(right, F.abs(F.col("lon") - F.col("lon_r")) <= 360))
-    return out.unionByName(rest)
+    met = l.select(*dict.fromkeys([*key, *own]), "lon", "lat").join(candidates, own).withColumn("d2", d2)
+    best = met.groupBy(*key).agg(F.min(F.struct("d2", right_id, *carry)).alias("b"))
+    return best.select(*key, *(F.col(f"b.{c}").alias(c) for c in (right_id, "d2", *carry)))
 
 
 def in_ring(lon: Column, lat: Column, ring: Column) -> Column:

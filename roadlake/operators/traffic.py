@@ -32,6 +32,25 @@ def preferred_semantics(observations: DataFrame, width: int) -> DataFrame:
     return df.withColumn("_best", best).where("choice = _best").drop("_best")
 
 
+def by_policy(observations: DataFrame, policy: str = "sum_independent_streams") -> DataFrame:
+    """Observations of one camera for each segment, window and stream, by the policy that the caller names.
+
+    authoritative_camera keeps the camera with the smallest id; sum_independent_streams takes streams to have one camera, and fails when a
+    stream has several. newest_camera is one_camera_per_stream().
+    """
+    key = Window.partitionBy("segment_id", "window", "stream_id")
+    if policy == "newest_camera":
+        return one_camera_per_stream(observations)
+    if policy == "authoritative_camera":
+        return observations.withColumn("_first", F.min("camera_id").over(key)).where("camera_id = _first").drop("_first")
+    if policy != "sum_independent_streams":
+        raise ValueError(f"no such policy: {policy}")
+    spread = F.struct(F.min("camera_id").over(key).alias("low"), F.max("camera_id").over(key).alias("high"))
+    several = F.raise_error(F.concat(F.lit("several cameras for stream "), F.col("stream_id")))
+    checked = observations.withColumn("_cameras", spread)
+    return checked.where(F.when(F.col("_cameras.low") == F.col("_cameras.high"), True).otherwise(several.cast("boolean"))).drop("_cameras")
+
+
 def one_camera_per_stream(observations: DataFrame) -> DataFrame:
     """The camera with the newest capture of each segment, window and stream, ties to the smaller id.
 
@@ -43,9 +62,9 @@ def one_camera_per_stream(observations: DataFrame) -> DataFrame:
     return observations.withColumn("_last", last).withColumn("_best", best).where(F.col("camera_id") == F.col("_best.camera_id")).drop("_last", "_best")
 
 
-def segment_aggregate(observations: DataFrame, width: int) -> DataFrame:
+def segment_aggregate(observations: DataFrame, width: int, policy: str = "newest_camera") -> DataFrame:
     """Volume per hour and raw counts of each segment and window: streams add up, each over its own duration."""
-    chosen = one_camera_per_stream(preferred_semantics(observations, width))
+    chosen = by_policy(preferred_semantics(observations, width), policy)
     once = first_of(chosen, ["segment_id", "window", "camera_id", "stream_id", "captured_us"], F.desc("id"))
     rows = once.select("segment_id", "window", "stream_id", "camera_id", "semantics", "captured_at", "duration", *counts())
     hourly = F.col("semantics") == "vehicles_per_hour"
@@ -104,30 +123,36 @@ def occupancy(frames: DataFrame, key: list[str]) -> DataFrame:
     return inside.groupBy(*key, "category").agg((F.count_distinct("track_id") + F.count_if(F.col("track_id").isNull())).alias("n"))
 
 
-def flow_exits(frames: DataFrame, key: list[str], min_frames: int = 3, exit_frames: int = 5) -> DataFrame:
+def flow_exits(frames: DataFrame, key: list[str], min_frames: int = 3, exit_frames: int = 5, forget: int | None = None) -> DataFrame:
     """Tracks that left: once a track that was inside for min_frames goes outside or is missing for exit_frames, it counts once, in its class then.
 
     The batch twin of the streaming counter: a track's rows in frame order, its frames inside so far, and the first event that counts. Frames of
-    the key without the track are gaps; the last frame of the key closes tracks that stay missing.
+    the key without the track are gaps; the last frame of the key closes tracks that stay missing. A track that was missing for `forget` frames
+    (at least 300, or 60 * exit_frames) is a new one when it comes back, and may count again.
     """
+    forget = forget or max(300, 60 * exit_frames)
     rows = frames.where(F.col("track_id").isNotNull() & F.col("category").isNotNull())
     rows = first_of(rows, [*key, "track_id", "frame_no"], F.asc("category"))
     ends = frames.groupBy(*key).agg(F.max("frame_no").alias("last_frame"))
-    order = Window.partitionBy(*key, "track_id").orderBy("frame_no")
+    whole = Window.partitionBy(*key, "track_id").orderBy("frame_no")
+    returns = F.coalesce(F.col("frame_no") - F.lag("frame_no").over(whole) > forget, F.lit(False)).cast("int")
+    rows = rows.withColumn("life", returns).withColumn("life", F.sum("life").over(whole.rowsBetween(Window.unboundedPreceding, 0)))
+    order = Window.partitionBy(*key, "track_id", "life").orderBy("frame_no")
+    rows = rows.withColumn("life_end", F.lead("frame_no").over(whole) - 1)
     rows = rows.withColumn("inside_so_far", F.sum(F.col("inside").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("next_frame", F.lead("frame_no").over(order)).withColumn("next_inside", F.lead("inside").over(order)).withColumn("next_category", F.lead("category").over(order))
     rows = rows.join(ends, key)
-    gap = F.coalesce(F.col("next_frame"), F.col("last_frame") + 1) - F.col("frame_no") - 1
+    gap = F.coalesce("next_frame", F.col("life_end") + 1, F.col("last_frame") + 1) - F.col("frame_no") - 1
     enough = F.col("inside") & (F.col("inside_so_far") >= min_frames)
     missing = enough & (gap >= exit_frames)
     leaves = enough & ~missing & F.coalesce(~F.col("next_inside"), F.lit(False))
-    events = rows.where(missing | leaves).select(*key, "track_id", F.when(missing, F.col("frame_no") + exit_frames).otherwise(F.col("next_frame")).alias("frame_no"), F.when(missing, F.col("category")).otherwise(F.col("next_category")).alias("category"))
-    return first_of(events, [*key, "track_id"], F.asc("frame_no"))
+    events = rows.where(missing | leaves).select(*key, "track_id", "life", F.when(missing, F.col("frame_no") + exit_frames).otherwise(F.col("next_frame")).alias("frame_no"), F.when(missing, F.col("category")).otherwise(F.col("next_category")).alias("category"))
+    return first_of(events, [*key, "track_id", "life"], F.asc("frame_no")).drop("life")
 
 
 def valid_mapping(observations: DataFrame, mappings: DataFrame) -> DataFrame:
-    """Each observation with the segment of the mapping that holds at its time: ok, no_mapping or ambiguous."""
-    m = mappings.select("camera_id", F.col("segment_id").alias("mapped"), "valid_from", "valid_to")
+    """Each observation with the segment of the active mapping that holds at its time: ok, no_mapping or ambiguous."""
+    m = mappings.where("is_active").select("camera_id", F.col("segment_id").alias("mapped"), "valid_from", "valid_to")
     holds = (F.col("valid_from").isNull() | (F.col("valid_from") <= F.col("captured_at"))) & (F.col("valid_to").isNull() | (F.col("captured_at") < F.col("valid_to")))
     found = observations.join(m, "camera_id").where(holds).groupBy("id").agg(F.count("*").alias("_n"), F.min("mapped").alias("mapped"))
     n = F.coalesce("_n", F.lit(0))

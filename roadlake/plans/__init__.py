@@ -1 +1,6 @@
+"""Named queries by subject; importing the modules registers them."""
 
+from roadlake.plans import queries
+from roadlake.plans.queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "queries"]

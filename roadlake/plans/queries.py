@@ -34,7 +34,9 @@ class Tables:
         return table(self.spark, self.sf_dir, name)
 
     def matching(self, f: FA.AnalyticsFilter = FA.AnalyticsFilter(), **more) -> DataFrame:
-        return FA.matching(self.facts, self.segments, f, self.cameras if f.mode else None, **more)
+        # a fact's period starts within the hour before its event: the range of events is an hour longer
+        facts = table(self.spark, self.sf_dir, "facts", f.start, None if f.end is None else f.end + 3600)
+        return FA.matching(facts, self.segments, f, self.cameras if f.mode else None, **more)
 
     def samples(self, **filters) -> DataFrame:
         return FA.deduplicated(self.matching(FA.AnalyticsFilter(**filters)))
@@ -197,8 +199,11 @@ _EST = "coalesce(semantics, '') = 'snapshot_occupancy'"
 
 @query(duck_with("facts", "segments", kept=KEPT, o=f"select distinct segment_id, period_start from kept where not {_EST}", e=f"select distinct segment_id, period_start from kept where {_EST}") + "select 'observed' as quality, count(*) as samples from o union all select 'estimated', count(*) from e")
 def quality_split(t):
-    n = lambda q: t.samples(quality=q).agg(F.count("*").alias("samples")).select(F.lit(q).alias("quality"), "samples")
-    return n("observed").unionByName(n("estimated"))
+    """One pass: a period counts once for each quality that it has facts of."""
+    estimated = F.coalesce(F.col("semantics"), F.lit("")) == "snapshot_occupancy"
+    has = t.matching().groupBy("segment_id", "period_start").agg(F.bool_or(~estimated).alias("observed"), F.bool_or(estimated).alias("estimated"))
+    n = has.agg(F.count_if("observed").alias("observed"), F.count_if("estimated").alias("estimated"))
+    return n.unpivot([], ["observed", "estimated"], "quality", "samples")
 
 
 _BY_SCOPE = "select segment_id, source_mode, count(*) as n, cast(sum(version) as bigint) as versions from samples group by all"
@@ -302,7 +307,7 @@ def late_events(t):
 # ---- observations to emissions
 
 
-@query(duck_with("observations", "mappings", f="select o.id, count(*) as n, min(m.segment_id) as mapped from observations o join mappings m on o.camera_id = m.camera_id and (m.valid_from is null or m.valid_from <= o.captured_at) and (m.valid_to is null or o.captured_at < m.valid_to) group by o.id") + "select o.id, o.segment_id, case when f.n = 1 then mapped end as mapped, case when f.n is null then 'no_mapping' when f.n > 1 then 'ambiguous' else 'ok' end as status from observations o left join f using (id)")
+@query(duck_with("observations", "mappings", f="select o.id, count(*) as n, min(m.segment_id) as mapped from observations o join mappings m on o.camera_id = m.camera_id and m.is_active and (m.valid_from is null or m.valid_from <= o.captured_at) and (m.valid_to is null or o.captured_at < m.valid_to) group by o.id") + "select o.id, o.segment_id, case when f.n = 1 then mapped end as mapped, case when f.n is null then 'no_mapping' when f.n > 1 then 'ambiguous' else 'ok' end as status from observations o left join f using (id)")
 def asof_mapping(t):
     return T.valid_mapping(t.observations, t.mappings).select("id", "segment_id", "mapped", "status")
 
@@ -455,34 +460,38 @@ def only_missing(t):
 
 # ---- scores
 
-H0 = 1704067200 + 10 * 86400
-_HEX_OBS = "select f.period_start as hour, h.hex_id, round(sum(coalesce(car_veh_h, 0) + coalesce(motorcycle_veh_h, 0) + coalesce(bus_veh_h, 0) + coalesce(truck_veh_h, 0)), 6) as volume from samples f join (select segment_id, min(hex_id) as hex_id from (select s.segment_id, h.hex_id, row_number() over (partition by s.segment_id order by pow(h.lon - s.lon1, 2) + pow(h.lat - s.lat1, 2), h.hex_id) as rn from segments s cross join hexes h) where rn = 1 group by all) h using (segment_id) where f.period_start between {a} and {b} group by all"
+_CLIP = {
+    "c": "select segment_id, hex_id, lon1, lat1, lon2 - lon1 as dx, lat2 - lat1 as dy, h.lon - 0.001 as x0, h.lon + 0.001 as x1, h.lat - 0.001 as y0, h.lat + 0.001 as y1 from segments s join hexes h on h.lon + 0.001 >= lon1 and h.lon - 0.001 <= lon2 and h.lat + 0.001 >= lat1 and h.lat - 0.001 <= lat2",
+    "o": "select segment_id, hex_id, (t1 - t0) * sqrt(dx * dx + dy * dy) as overlap from (select *, greatest(0.0, (x0 - lon1) / dx, (y0 - lat1) / dy) as t0, least(1.0, (x1 - lon1) / dx, (y1 - lat1) / dy) as t1 from c) where t1 >= t0",
+}
 
+_HEX_OBS = "select f.period_start as hour, h.hex_id, round(sum(coalesce(car_veh_h, 0) + coalesce(motorcycle_veh_h, 0) + coalesce(bus_veh_h, 0) + coalesce(truck_veh_h, 0)), 6) as volume from samples f join (select segment_id, hex_id from (select *, row_number() over (partition by segment_id order by round(overlap, 9) desc, hex_id) as rn from o) where rn = 1) h using (segment_id) where coalesce(car_veh_h, motorcycle_veh_h, bus_veh_h, truck_veh_h) is not null group by all"
 
-def _hex_volumes(t, first: int, last: int) -> DataFrame:
-    """Observed volume of the cell nearest to each segment's first point, by hour."""
+
+def _hex_volumes(t) -> DataFrame:
+    """Observed volume of the cell that holds most of each segment's line, by hour. Facts without any volume count nowhere."""
     some = reduce(lambda a, b: a + b, [F.coalesce(F.col(c), F.lit(0.0)) for c in A.VEHICLES])
-    at = t.segments.select("segment_id", F.col("lon1").alias("lon"), F.col("lat1").alias("lat"))
-    cell = SP.nearest(at, t.hexes.select("hex_id", F.col("lon").alias("lon_r"), F.col("lat").alias("lat_r")), ["segment_id"], "hex_id", rounds=2).select("segment_id", "hex_id")
-    f = t.samples().where(F.col("period_start").between(first, last)).select("segment_id", F.col("period_start").alias("hour"), some.alias("v"))
+    inside = SP.lines_in_boxes(t.segments, t.hexes.select("hex_id", "lon", "lat"), "segment_id", "hex_id", 0.001)
+    cell = FA.first_of(inside, ["segment_id"], F.desc(F.round("overlap", 9)), F.asc("hex_id")).select("segment_id", "hex_id")
+    f = t.samples().where(F.coalesce(*A.VEHICLES).isNotNull()).select("segment_id", F.col("period_start").alias("hour"), some.alias("v"))
     return f.join(cell, "segment_id").groupBy("hour", "hex_id").agg(F.round(F.sum("v"), 6).alias("volume"))
 
 
-def _hex_scores(t, first: int, last: int) -> DataFrame:
-    cells, v = t.hexes, _hex_volumes(t, first, last).cache()  # a few rows for each hour, read six times
+def _hex_scores(t) -> DataFrame:
+    cells, v = t.hexes, _hex_volumes(t)
     hours = v.select("hour").distinct()
     todo = cells.select("hex_id", "lon", "lat").crossJoin(F.broadcast(hours)).join(v.select("hour", "hex_id"), ["hour", "hex_id"], "left_anti")  # a row for each hour of a profile
     seen = v.join(cells.select("hex_id", F.col("lon").alias("lon_r"), F.col("lat").alias("lat_r")), "hex_id").select("hour", F.col("hex_id").alias("source_id"), "lon_r", "lat_r")
-    near = SP.nearest(todo, seen, ["hour", "hex_id"], "source_id", ["hour"], 0.04, 1).select("hour", "hex_id", "source_id").cache()
+    near = SP.nearest(todo, seen, ["hour", "hex_id"], "source_id", ["hour"], 0.02).select("hour", "hex_id", "source_id")
     return SC.hour_scores(cells, v, near, ["hour"])
 
 
-def _hex_sql(first: int, last: int) -> str:
+def _hex_sql() -> str:
     norm = "case when high <= low then 100.0 else 1.0 + (used - low) / (high - low) * 99.0 end"
     return duck_with(
         "facts", "segments", "hexes", kept=KEPT,
         samples="select * from (select *, row_number() over (partition by segment_id, period_start order by version desc, calculated_us desc, id) as rn from kept) where rn = 1",
-        v=_HEX_OBS.format(a=first, b=last), spread="select hour, min(volume) as low, max(volume) as high from v group by all",
+        **_CLIP, v=_HEX_OBS, spread="select hour, min(volume) as low, max(volume) as high from v group by all",
         near="select * from (select s.hour, h.hex_id, v.hex_id as source_id, v.volume as source_volume, row_number() over (partition by s.hour, h.hex_id order by pow(h.lon - o.lon, 2) + pow(h.lat - o.lat, 2), v.hex_id) as rn from spread s cross join hexes h join v on v.hour = s.hour join hexes o on o.hex_id = v.hex_id) where rn = 1",
         used="select s.hour, h.*, low, high, coalesce(v.volume, source_volume, volume_mean) as used, case when v.volume is not null then 'live' else 'fallback' end as status, case when v.volume is null then source_id end as source from spread s cross join hexes h left join v on v.hour = s.hour and v.hex_id = h.hex_id left join near n on n.hour = s.hour and n.hex_id = h.hex_id",
         scored=f"select *, {SC.CELL_WEIGHTS['volume']} * ({norm}) + {SC.CELL_WEIGHTS['poi']} * norm_poi + {SC.CELL_WEIGHTS['population']} * norm_population as score from used",
@@ -493,30 +502,17 @@ def _hex_sql(first: int, last: int) -> str:
 _CLASS = "case least(5, greatest(1, cast(ceil({r} * 5.0 / {n}) as int))) when 1 then 'Sangat Tinggi' when 2 then 'Tinggi' when 3 then 'Sedang' when 4 then 'Rendah' else 'Sangat Rendah' end"
 
 
-@query(_hex_sql(H0, H0 + 7199) + f"select hour, hex_id, floor(score * 10000 + 0.500001) / 10000 as score, cast(rank as int) as rank, {_CLASS.format(r='rank', n='total')} as class, status, source from ranked")
+@query(_hex_sql() + f"select hour, hex_id, floor(score * 10000 + 0.500001) / 10000 as score, cast(rank as int) as rank, {_CLASS.format(r='rank', n='total')} as class, status, source from ranked")
 def hex_hour_scores(t):
-    """Cells without own volume borrow the nearest observed one's; all are ranked together."""
-    df = _hex_scores(t, H0, H0 + 7199)
+    """Every cell at every observed hour: cells without own volume borrow the nearest observed one's; all are ranked together."""
+    df = _hex_scores(t)
     return df.select("hour", "hex_id", S.half_up(F.col("score"), 4).alias("score"), F.col("rank").cast("int").alias("rank"), "class", "status", F.when(F.col("status") != "live", F.col("source_id")).alias("source"))
 
 
-@query(_hex_sql(H0, H0 + 6 * 3600 - 1) + "select hour, hex_id, floor(score * 10000 + 0.500001) / 10000 as score, cast(rank as int) as rank from ranked where hex_id = 120")
+@query(_hex_sql() + "select hour, hex_id, floor(score * 10000 + 0.500001) / 10000 as score, cast(rank as int) as rank from ranked where hex_id = 120")
 def hex_hourly_series(t):
     """One cell's series: all hours scored in one job, then sliced."""
-    return _hex_scores(t, H0, H0 + 6 * 3600 - 1).where("hex_id = 120").select("hour", "hex_id", S.half_up(F.col("score"), 4).alias("score"), F.col("rank").cast("int").alias("rank"))
-
-
-@query()
-def hex_hour_scores_all(t):
-    """hex_hour_scores over every observed hour. Its SQL would be too slow; a test compares with brute force."""
-    df = _hex_scores(t, 0, 1 << 40)
-    return df.select("hour", "hex_id", S.half_up(F.col("score"), 4).alias("score"), F.col("rank").cast("int").alias("rank"), "class", "status", F.when(F.col("status") != "live", F.col("source_id")).alias("source"))
-
-
-@query()
-def hex_hourly_series_all(t):
-    """hex_hourly_series over every observed hour."""
-    return hex_hour_scores_all(t).where("hex_id = 120").select("hour", "hex_id", "score", "rank")
+    return _hex_scores(t).where("hex_id = 120").select("hour", "hex_id", S.half_up(F.col("score"), 4).alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
 _PART_RANK = "select hex_id, volume_mean, row_number() over (order by volume_mean desc nulls last, hex_id) as rank, count(*) over () as total from hexes"
@@ -524,13 +520,13 @@ _PART_RANK = "select hex_id, volume_mean, row_number() over (order by volume_mea
 
 @query(duck_with("hexes", r=_PART_RANK) + f"select hex_id, rank, {_CLASS.format(r='rank', n='total')} as class, case when rank - 1 < total / 3.0 then 'Tinggi' when rank - 1 >= 2 * total / 3.0 then 'Rendah' else 'Sedang' end as band from r")
 def quintile_class(t):
-    df = SC.with_total(SC.ranked(t.hexes.select("hex_id", "volume_mean"), F.col("volume_mean").desc_nulls_last(), F.col("hex_id").asc()))
+    df = SC.with_total(SC.ranked(t.hexes.select("hex_id", "volume_mean"), "volume_mean", "hex_id", True))
     return SC.classed(df).select("hex_id", "rank", "class", SC.tercile_band(F.col("rank"), F.col("total")).alias("band"))
 
 
 @query(duck_with("hexes", r=_PART_RANK) + "select hex_id, volume_mean from r where rank = total // 2 + 1")
 def median_row(t):
-    df = SC.with_total(SC.ranked(t.hexes.select("hex_id", "volume_mean"), F.col("volume_mean").desc_nulls_last(), F.col("hex_id").asc()))
+    df = SC.with_total(SC.ranked(t.hexes.select("hex_id", "volume_mean"), "volume_mean", "hex_id", True))
     return df.where(F.col("rank") == F.floor(F.col("total") / 2) + 1).select("hex_id", "volume_mean")
 
 
@@ -589,8 +585,8 @@ def display_facts_nn(t):
     """Each segment's newest fact; segments without one borrow the nearest one's."""
     own = FA.latest(t.matching()).select("segment_id", "id", "co2_g_h", "lon1", "lat1")
     rest = t.segments.join(own, "segment_id", "left_anti").select("segment_id", F.col("lon1").alias("lon"), F.col("lat1").alias("lat"))
-    near = SP.nearest(rest, own.select(F.col("segment_id").alias("source"), F.col("lon1").alias("lon_r"), F.col("lat1").alias("lat_r")), ["segment_id"], "source", rounds=2)
-    lent = near.join(own.select(F.col("segment_id").alias("source"), F.col("co2_g_h").alias("lent")), "source").select("segment_id", "source", "lent")
+    others = own.select(F.col("segment_id").alias("source"), F.col("lon1").alias("lon_r"), F.col("lat1").alias("lat_r"), F.col("co2_g_h").alias("lent"))
+    lent = SP.nearest(rest, others, ["segment_id"], "source", carry=["lent"]).drop("d2")
     df = t.segments.select("segment_id").join(own.select("segment_id", "id", "co2_g_h"), "segment_id", "left").join(lent, "segment_id", "left")
     status = F.when(F.col("id").isNotNull(), "observed").when(F.col("source").isNotNull(), "estimated").otherwise("unavailable")
     return df.select("segment_id", status.alias("status"), F.col("source").alias("borrowed_from"), F.round(F.when(F.col("id").isNull(), F.col("lent")).otherwise(F.col("co2_g_h")), 6).alias("co2_g_h"))
@@ -599,7 +595,7 @@ def display_facts_nn(t):
 @query(duck_with("stops", "segments", r="select stop_id, segment_id, row_number() over (partition by stop_id order by pow(lon - lon1, 2) + pow(lat - lat1, 2), segment_id) as rn from stops cross join segments") + "select stop_id, segment_id from r where rn = 1")
 def nearest_lateral(t):
     r = t.segments.select("segment_id", F.col("lon1").alias("lon_r"), F.col("lat1").alias("lat_r"))
-    return SP.nearest(t.stops.select("stop_id", "lon", "lat"), r, ["stop_id"], "segment_id", rounds=3).select("stop_id", "segment_id")
+    return SP.nearest(t.stops.select("stop_id", "lon", "lat"), r, ["stop_id"], "segment_id").select("stop_id", "segment_id")
 
 
 @query(duck_with("hexes", "stops", "pois") + f"select p.hex_id as hex_id from hexes p where p.volume_mean > 500 and not exists (select 1 from stops s where abs(p.lat - s.lat) < 0.006 and {_HAV} <= 100)")
@@ -616,12 +612,6 @@ def point_in_polygon(t):
     return p.join(h, ["_x", "_y"]).where(SP.in_ring(F.col("lon"), F.col("lat"), F.col("ring"))).groupBy("poi_id").agg(F.min("hex_id").alias("hex_id"))
 
 
-_CLIP = {
-    "c": "select segment_id, hex_id, lon1, lat1, lon2 - lon1 as dx, lat2 - lat1 as dy, h.lon - 0.001 as x0, h.lon + 0.001 as x1, h.lat - 0.001 as y0, h.lat + 0.001 as y1 from segments s join hexes h on h.lon + 0.001 >= lon1 and h.lon - 0.001 <= lon2 and h.lat + 0.001 >= lat1 and h.lat - 0.001 <= lat2",
-    "o": "select segment_id, hex_id, (t1 - t0) * sqrt(dx * dx + dy * dy) as overlap from (select *, greatest(0.0, (x0 - lon1) / dx, (y0 - lat1) / dy) as t0, least(1.0, (x1 - lon1) / dx, (y1 - lat1) / dy) as t1 from c) where t1 >= t0",
-}
-
-
 @query(duck_with("segments", "hexes", **_CLIP) + "select segment_id, count(*) filter (overlap > 1e-9) as cells, round(sum(overlap), 6) as inside from o group by all")
 def segment_hexes(t):
     df = SP.lines_in_boxes(t.segments, t.hexes.select("hex_id", "lon", "lat"), "segment_id", "hex_id", 0.001)
@@ -634,7 +624,7 @@ def primary_hex(t):
     return FA.first_of(df, ["segment_id"], F.desc(F.round("overlap", 9)), F.asc("hex_id")).select("segment_id", "hex_id", F.round("overlap", 6).alias("overlap"))
 
 
-@query(duck_with("hexes", x="select *, concat(cast(cast(floor(lon / 0.0101) as int) as varchar), ':', cast(cast(floor(lat / 0.0101) as int) as varchar)) as cell, case when volume_mean is null then null when volume_mean < 1000 then 'Rendah' when volume_mean < 1300 then 'Sedang' else 'Sangat Tinggi' end as label from hexes", y="select *, case label when 'Rendah' then 2 when 'Sedang' then 3 when 'Sangat Tinggi' then 5 else 0 end as tier from x") + "select cell, round(sum(area), 6) as area, cast(sum(poi_total) as bigint) as poi_total, round(sum(case when volume_mean is not null then area * volume_mean end) / sum(case when volume_mean is not null then area end), 6) as score, round(sum(case when tier > 0 then area * tier end) / sum(case when tier > 0 then area end), 6) as tier_mean, count(*) as members from y group by all")
+@query(duck_with("hexes", x="select *, concat(cast(cast(floor(lon / 0.0101) as int) as varchar), ':', cast(cast(floor(lat / 0.0101) as int) as varchar)) as cell, case when volume_mean is null then null when volume_mean < 1000 then 'Rendah' when volume_mean < 1300 then 'Sedang' else 'Sangat Tinggi' end as label from hexes", y="select *, case label when 'Rendah' then 2 when 'Sedang' then 3 when 'Sangat Tinggi' then 5 else 0 end as tier from x") + "select cell, round(sum(area), 6) as area, cast(sum(poi_total) as bigint) as poi_total, round(sum(case when volume_mean is not null then area * volume_mean end) / sum(case when volume_mean is not null then area end), 6) as score, cast(round_even(coalesce(round(sum(case when tier > 0 then area * tier end) / sum(case when tier > 0 then area end), 9), 0), 0) as bigint) as tier, count(*) as members from y group by all")
 def cell_rollup(t):
     """Squares in larger cells: sums, and means weighted by area over what has a score."""
     h = t.hexes.withColumn("cell", F.concat_ws(":", F.floor(F.col("lon") / 0.0101).cast("int"), F.floor(F.col("lat") / 0.0101).cast("int")))
@@ -645,7 +635,7 @@ def cell_rollup(t):
     return h.groupBy("cell").agg(
         F.round(F.sum("area"), 6).alias("area"), F.sum("poi_total").alias("poi_total"),
         F.round(F.sum(some(F.col("area") * F.col("volume_mean"), has)) / F.sum(some(F.col("area"), has)), 6).alias("score"),
-        F.round(F.sum(some(F.col("area") * F.col("tier"), tier)) / F.sum(some(F.col("area"), tier)), 6).alias("tier_mean"), F.count("*").alias("members"),
+        F.bround(F.coalesce(F.round(F.sum(some(F.col("area") * F.col("tier"), tier)) / F.sum(some(F.col("area"), tier)), 9), F.lit(0.0)), 0).cast("long").alias("tier"), F.count("*").alias("members"),
     )
 
 
@@ -693,16 +683,6 @@ def token_overlap(t):
     return FA.first_of(hits.where("score >= 2"), ["p_partkey"], F.desc("score"), F.asc("n_nationkey"))
 
 
-@query("with q as (select vec_id as query_id, embedding as x from embeddings where vec_id < 10), s as (select query_id, vec_id, list_cosine_similarity(x::double[], embedding::double[]) as c from q cross join embeddings where vec_id >= 10), r as (select *, row_number() over (partition by query_id order by round(c, 9) desc, vec_id) as rn from s) select query_id, vec_id, round(c, 6) as similarity from r where rn = 1 and c >= 0.40")
-def embedding_resolve(t):
-    """The most similar vector of each of the ten named ones, from the threshold on."""
-    e = t.embeddings
-    q = F.broadcast(e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("x")))  # ten rows
-    s = e.where("vec_id >= 10").join(q, F.lit(True)).select("query_id", "vec_id", S.cosine(F.col("x"), F.col("embedding")).alias("c"))
-    best = s.groupBy("query_id").agg(F.min_by(F.struct("vec_id", "c"), F.struct(-F.round("c", 9), "vec_id")).alias("b"))
-    return best.where("b.c >= 0.40").select("query_id", F.col("b.vec_id").alias("vec_id"), F.round("b.c", 6).alias("similarity"))
-
-
 def _most_similar(q: pa.Table, rows: pa.Table) -> pa.Table:
     """query_id, vec_id, c: the best row of another id for each query of a block, ties of nine digits to the smaller id."""
     ids, names = rows.column("vec_id").to_numpy(), q.column("vec_id").to_numpy()
@@ -719,9 +699,9 @@ def _most_similar(q: pa.Table, rows: pa.Table) -> pa.Table:
     return pa.table({k: pa.array([b[j] for b in best], kind) for j, (k, kind) in enumerate((("query_id", pa.int64()), ("vec_id", pa.int64()), ("c", pa.float64())))})
 
 
-@query()
-def embedding_resolve_all(t):
-    """embedding_resolve for every vec_id divisible by 20, against all other rows, in bounded blocks of both.
+@query("with fine as (select vec_id, embedding::double[] as x from embeddings where embedding is not null), s as (select q.vec_id as query_id, r.vec_id, list_cosine_similarity(q.x, r.x) as c from fine q join fine r on q.vec_id <> r.vec_id and len(q.x) = len(r.x) where q.vec_id % 20 = 0), r as (select *, row_number() over (partition by query_id order by round(c, 9) desc, vec_id) as rn from s) select query_id, vec_id, round(c, 6) as similarity from r where rn = 1 and c >= 0.40")
+def embedding_resolve(t):
+    """The most similar other vector of every vec_id divisible by 20, from the threshold on, in bounded blocks of both.
 
     Vectors that are null, zero or hold null or non-finite components take no part; those of other lengths don't meet.
     """
@@ -876,7 +856,7 @@ def duplicate_names(t):
 def overview_ranking(t):
     """The first three, the last three and the middle one of a ranking."""
     m = A.segment_means(t.samples()).select("segment_id", F.round("co2_kg_h", 6).alias("co2_kg_h"))
-    r = SC.with_total(SC.ranked(m, F.col("co2_kg_h").desc_nulls_last(), F.col("segment_id").asc()))
+    r = SC.with_total(SC.ranked(m, "co2_kg_h", "segment_id", True))
     r = r.where("rank <= 3 or rank > total - 3 or rank = floor(total / 2) + 1")
     return r.withColumn("part", F.when(F.col("rank") <= 3, "top").when(F.col("rank") > F.col("total") - 3, "bottom").otherwise("median"))
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SPARK = {"$K": "cast(get_json_object(props, '$.k') as int)", "$US": "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(ts as timestamp_ntz))", "$DIV": "div", "$DOUBLE": "double", "$STRING": "string"}
 DUCK = {"$K": "cast(json_extract_string(props, '$.k') as int)", "$US": "epoch_us(ts)", "$DIV": "//", "$DOUBLE": "double", "$STRING": "varchar"}
@@ -30,8 +33,8 @@ TABLES = {
     ),
     "mappings": (
         ("cameras",),
-        """select camera_id, segment_id, stream_id, cast(null as bigint) as valid_from, cast(1705363200 as bigint) as valid_to from {cameras}
-        union all select camera_id, case when user_id % 7 = 0 then concat('SEG-', lpad(cast((user_id + 1) % 25 as $STRING), 4, '0')) else segment_id end, stream_id, cast(1705363200 as bigint), cast(null as bigint) from {cameras}""",
+        """select camera_id, segment_id, stream_id, cast(null as bigint) as valid_from, cast(1705363200 as bigint) as valid_to, user_id % 13 <> 5 as is_active from {cameras}
+        union all select camera_id, case when user_id % 7 = 0 then concat('SEG-', lpad(cast((user_id + 1) % 25 as $STRING), 4, '0')) else segment_id end, stream_id, cast(1705363200 as bigint), cast(null as bigint), user_id % 17 <> 3 from {cameras}""",
     ),
     "facts": (
         ("events",),
@@ -85,12 +88,17 @@ def dialect(text: str, words: dict[str, str]) -> str:
     return text
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the domain, or one of the driver's."""
+def table(spark: SparkSession, sf_dir: str, name: str, start: int | None = None, end: int | None = None) -> DataFrame:
+    """A table of the domain, or one of the driver's. A range of times (epoch seconds) is a filter of the events' own column, which reaches the scan."""
     if name not in TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        if name == "events" and start is not None:
+            df = df.where(F.col("ts") >= F.lit(datetime.fromtimestamp(start, UTC).replace(tzinfo=None)).cast(df.schema["ts"].dataType))
+        if name == "events" and end is not None:
+            df = df.where(F.col("ts") < F.lit(datetime.fromtimestamp(end, UTC).replace(tzinfo=None)).cast(df.schema["ts"].dataType))
+        return df
     needs, text = TABLES[name]
-    return spark.sql(dialect(text, SPARK), **{t: table(spark, sf_dir, t) for t in needs})
+    return spark.sql(dialect(text, SPARK), **{t: table(spark, sf_dir, t, start, end) for t in needs})
 
 
 def duck_with(*names: str, **more: str) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadlake.functions.scalars import formula_guard
@@ -40,11 +40,12 @@ def write_version(df: DataFrame, path: str, keep: int = 2) -> None:
         fs.delete(p, True)
 
 
-def upsert(new: DataFrame, path: str, keys: list[str]) -> None:
-    """Rows of new replace those of the same keys; the last of equal keys inside new wins by its order column, if it has one."""
+def upsert(new: DataFrame, path: str, keys: list[str], order: list[str] | None = None) -> None:
+    """Rows of new replace those of the same keys. Of equal keys inside new the one with the greatest order columns wins, then the greatest row."""
     old = latest_version(new.sparkSession, path)
+    ties = [F.desc(c) for c in [*(order or []), *(c for c in new.columns if c not in keys and new.schema[c].dataType.typeName() != "map")]]
     merged = new.withColumn("_new", F.lit(1)) if old is None else new.withColumn("_new", F.lit(1)).unionByName(old.withColumn("_new", F.lit(0)))
-    write_version(first_of(merged, keys, F.desc("_new")).drop("_new"), path)
+    write_version(first_of(merged, keys, F.desc("_new"), *ties).drop("_new"), path)
 
 
 def insert_missing(new: DataFrame, path: str, keys: list[str]) -> None:
@@ -60,8 +61,19 @@ def replace_where(new: DataFrame, path: str, column: str, value: str) -> None:
     write_version(new if old is None else old.where(~F.col(column).eqNullSafe(value)).unionByName(new), path)
 
 
+def page_scope(matching: DataFrame, order: list, page: int, size: int, scope: str) -> DataFrame:
+    """The rows of a page of an ordered list (scope "page"), or those behind it ("beyond"), of all that match ("all")."""
+    if scope == "all":
+        return matching
+    if scope == "page":
+        return matching.orderBy(*order).offset((page - 1) * size).limit(size)
+    if scope == "beyond":
+        return matching.orderBy(*order).offset(page * size)
+    raise ValueError(f"no such scope: {scope}")
+
+
 def delete_matching(path: str, spark: SparkSession, matching: DataFrame, keys: list[str], dry_run: bool = True) -> int:
-    """Deletes rows by key, at most MAX_DELETE; a dry run only counts."""
+    """Deletes rows by key, at most MAX_DELETE; a dry run only counts. One new version instead of batches: readers see all of it or nothing."""
     n = matching.select(*keys).distinct().count()
     if n > MAX_DELETE:
         raise ValueError(f"{n} rows are more than one request may delete")
@@ -75,26 +87,36 @@ def close_mappings(mappings: DataFrame, target: DataFrame, now: int) -> DataFram
     t = target.select("camera_id", "segment_id").withColumn("_target", F.lit(True))
     owners = target.select("segment_id").distinct().withColumn("_owned", F.lit(True))
     cams = target.select("camera_id").distinct().withColumn("_moved", F.lit(True))
-    df = mappings.join(F.broadcast(t), ["camera_id", "segment_id"], "left").join(F.broadcast(owners), "segment_id", "left").join(F.broadcast(cams), "camera_id", "left")
+    df = mappings.join(t, ["camera_id", "segment_id"], "left").join(owners, "segment_id", "left").join(cams, "camera_id", "left")
     on, off = F.coalesce("_target", F.lit(False)), F.coalesce(F.col("_owned"), F.lit(False)) | F.coalesce(F.col("_moved"), F.lit(False))
     df = df.withColumn("valid_to", F.when(on, F.lit(None).cast("long")).when(off, F.coalesce("valid_to", F.lit(now).cast("long"))).otherwise(F.col("valid_to")))
     return df.withColumn("is_active", F.when(on, True).when(off, False).otherwise(F.col("is_active"))).select(mappings.columns)
 
 
-def export_csv(df: DataFrame, path: str) -> None:
-    """A CSV with header; nested columns as JSON; text that a spreadsheet would run is quoted."""
+def export_csv(df: DataFrame, path: str, fields: list[str] | None = None, order: list[str] | None = None) -> None:
+    """A CSV of one file with byte order mark and header: the given fields (missing ones empty), nested columns as JSON, text that a spreadsheet would run quoted.
+
+    At most MAX_EXPORT rows, which is what bounds the one task that writes them.
+    """
     check_export(df)
     columns = []
-    for f in df.schema:
-        kind = f.dataType.typeName()
-        c = F.to_json(f.name) if kind in ("struct", "map", "array") else F.col(f.name)
-        columns.append((formula_guard(c) if kind in ("string", "struct", "map", "array") else c).alias(f.name))
-    df.select(*columns).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
-
-
-def export_json(df: DataFrame, path: str) -> None:
+    for name in fields or df.columns:
+        kind = df.schema[name].dataType.typeName() if name in df.columns else "void"
+        c = F.to_json(name) if kind in ("struct", "map", "array") else F.lit("") if kind == "void" else F.col(name)
+        columns.append((formula_guard(c) if kind in ("string", "struct", "map", "array") else c.cast("string")).alias(name))
+    line = F.to_csv(F.struct(*columns), {"quoteAll": "true", "escape": '"', "nullValue": "", "emptyValue": ""})
+    place = F.struct(*[F.col(c) for c in order or []], F.lit(0)) if order else F.lit(0)
+    lines = df.select(place.alias("place"), line.alias("line")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]).alias("lines"))
+    head = "\ufeff" + ",".join('"' + name.replace('"', '""') + '"' for name in fields or df.columns)
+    lines.select(F.array_join(F.concat(F.array(F.lit(head)), "lines"), "\n").alias("value")).write.mode("overwrite").text(path)
+
+
+def export_json(df: DataFrame, path: str, metadata: dict[str, str] | None = None) -> None:
+    """One JSON document {"metadata": ..., "data": [...]}; metadata has the number of rows beside what is given. At most MAX_EXPORT rows."""
     check_export(df)
-    df.write.mode("overwrite").json(path)
+    given = [F.lit(v).alias(k) for k, v in (metadata or {}).items()]
+    data = df.agg(F.struct(*given, F.count("*").alias("row_count")).alias("metadata"), F.collect_list(F.struct(*df.columns)).alias("data"))
+    data.select(F.to_json(F.struct("metadata", "data"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 
 def check_export(df: DataFrame) -> None:
@@ -107,3 +129,35 @@ def geojson_points(df: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFra
     rest = [c for c in df.columns if c not in (lon, lat)]
     point = F.struct(F.lit("Point").alias("type"), F.array(F.round(lon, 5), F.round(lat, 5)).alias("coordinates"))
     return df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), point.alias("geometry"), F.struct(*rest).alias("properties"))).alias("feature"))
+
+
+def geojson_lines(df: DataFrame, points: str = "line") -> DataFrame:
+    """One LineString Feature a row as JSON text; `points` is an array of (lon, lat), all other columns are properties."""
+    return _features(df, points, "LineString", lambda c: c)
+
+
+def geojson_polygons(df: DataFrame, ring: str = "ring") -> DataFrame:
+    """One Polygon Feature a row as JSON text; `ring` is an array of (lon, lat), closed if it isn't."""
+
+    def closed(c: Column) -> Column:
+        same = (F.element_at(c, 1)[0] == F.element_at(c, -1)[0]) & (F.element_at(c, 1)[1] == F.element_at(c, -1)[1])
+        return F.array(F.when(same, c).otherwise(F.concat(c, F.slice(c, 1, 1))))
+
+    return _features(df, ring, "Polygon", closed)
+
+
+def _features(df: DataFrame, points: str, kind: str, shape) -> DataFrame:
+    rest = [c for c in df.columns if c != points]
+    pairs = F.transform(points, lambda p: F.array(F.round(p["lon"], 5), F.round(p["lat"], 5)))
+    geometry = F.struct(F.lit(kind).alias("type"), shape(pairs).alias("coordinates"))
+    return df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*rest).alias("properties")), {"ignoreNullFields": "false"}).alias("feature"))
+
+
+def unexpired(states: DataFrame, now: int, seconds: int = 120, written: str = "processed") -> DataFrame:
+    """States of a table with time to live: those written at most so many seconds ago."""
+    return states.where(F.col(written) + seconds > now)
+
+
+def append_log(df: DataFrame, path: str) -> None:
+    """Appends rows to a CSV log with header."""
+    df.write.mode("append").option("header", True).csv(path)

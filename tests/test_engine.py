@@ -140,11 +140,53 @@ def test_names(spark, name, want):
 
 def test_rank_is_a_permutation(spark):
     df = spark.range(500).select("id", (F.col("id") * 7 % 13).alias("s"))
-    got = sorted((r.rank, r.s, r.id) for r in SC.ranked(df, F.col("s").desc(), F.col("id").asc()).collect())
+    got = sorted((r.rank, r.s, r.id) for r in SC.ranked(df, "s", "id", True).collect())
     assert [r for r, _, _ in got] == list(range(1, 501))
     assert [(-s, i) for _, s, i in got] == sorted((-s, i) for _, s, i in got)
 
 
+def test_rank_of_two_million_rows_with_payload(spark, tmp_path):
+    """Rows read from Parquet, a third of them with one score, some without, and a column that isn't part of the order."""
+    score = F.when(F.col("id") % 3 == 0, 7.0).when(F.col("id") % 101 != 5, F.hash("id").cast("double"))
+    spark.range(0, 2_000_000, numPartitions=8).select("id", score.alias("s"), F.concat(F.lit("payload "), "id").alias("text")).write.parquet(str(tmp_path / "r"))
+    got = SC.ranked(spark.read.parquet(str(tmp_path / "r")), "s", "id", True, parts=16)
+    n = got.agg(F.count_distinct("rank").alias("ranks"), F.min("rank").alias("low"), F.max("rank").alias("high"), F.count("text").alias("rows")).first()
+    assert (n.ranks, n.low, n.high, n.rows) == (2_000_000, 1, 2_000_000, 2_000_000)
+    two = got.select(F.col("rank") + 1, "s", "id").toDF("rank", "s1", "id1").join(got, "rank")
+    worse = two.where("s > s1 OR (s1 IS NULL AND s IS NOT NULL) OR (s1 = s AND id < id1)").count()
+    assert worse == 0
+
+
+def test_nearest_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    left = [(i, "ab"[i % 2], rng.gauss(0, 3 ** rng.randint(-4, 3)), rng.gauss(0, 2)) for i in range(300)] + [(900, "c", 0.0, 0.0)]
+    right = [(i, "ab"[i % 5 == 0], rng.gauss(0, 3 ** rng.randint(-4, 3)), rng.gauss(0, 2)) for i in range(150)]
+    from roadlake.operators import spatial
+
+    l, r = spark.createDataFrame(left, "id long, g string, lon double, lat double"), spark.createDataFrame(right, "rid long, g string, lon_r double, lat_r double")  # noqa: E741
+    got = {x.id: x.rid for x in spatial.nearest(l, r, ["id"], "rid", ["g"]).collect()}
+    want = {i: min(((x - p) ** 2 + (y - q) ** 2, j) for j, h, p, q in right if h == g)[1] for i, g, x, y in left if g != "c"}
+    assert got == want
+    assert "NestedLoop" not in spatial.nearest(l, r, ["id"], "rid")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_collision_policies(spark):
+    df = spark.createDataFrame([("S", 0, "x", "c2", 1), ("S", 0, "x", "c1", 2), ("S", 0, "y", "c3", 3)], "segment_id string, window long, stream_id string, camera_id string, n long")
+    assert sorted(r.n for r in T.by_policy(df, "authoritative_camera").collect()) == [2, 3]
+    with pytest.raises(Exception, match="several cameras for stream x"):
+        T.by_policy(df).collect()
+    assert [r.n for r in T.by_policy(df.where("stream_id = 'y'")).collect()] == [3]
+    with pytest.raises(ValueError, match="no such policy"):
+        T.by_policy(df, "other")
+
+
+def test_time_range_reaches_the_scan(spark):
+    plan = QUERIES["trend_range"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts" in plan and "LessThan(ts" in plan
+
+
 def test_geojson(spark, tmp_path):
     f = lambda kind, c, **p: {"type": "Feature", "geometry": {"type": kind, "coordinates": c}, "properties": p}
     (tmp_path / "p.json").write_text(json.dumps({"features": [f("Point", [110.3, -7.8], NAMA="x"), f("Point", [999, 0]), f("LineString", [1, 2])]}))
@@ -170,7 +212,7 @@ def test_writers(spark, tmp_path):
     path = str(tmp_path / "t")
     df = lambda *rows: spark.createDataFrame(list(rows), "k string, mode string, v long")
     now = lambda: sorted(tuple(r) for r in sinks.latest_version(spark, path).collect())
-    sinks.upsert(df(("a", "LIVE", 1), ("b", "REPLAY", 2)), path, ["k"])
+    sinks.upsert(df(("a", "LIVE", 0), ("b", "REPLAY", 2), ("a", "LIVE", 1), ("a", "LIVE", -1)), path, ["k"], ["v"])
     sinks.upsert(df(("a", "LIVE", 3), ("c", "LIVE", 4)), path, ["k"])
     assert now() == [("a", "LIVE", 3), ("b", "REPLAY", 2), ("c", "LIVE", 4)]
     sinks.insert_missing(df(("a", "LIVE", 9), ("d", "REPLAY", 5)), path, ["k"])
@@ -181,8 +223,24 @@ def test_writers(spark, tmp_path):
     sinks.delete_matching(path, spark, gone, ["k"], dry_run=False)
     assert [r[0] for r in now()] == ["a", "c"]
     sinks.export_csv(spark.createDataFrame([("=1+1", [1, 2]), ("ok", [])], "x string, y array<int>"), str(tmp_path / "csv"))
+    raw = next((tmp_path / "csv").glob("part-*")).read_bytes()
+    assert raw.startswith(b"\xef\xbb\xbf")
     back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "csv")).collect()
     assert sorted((r.x, r.y) for r in back) == [("'=1+1", "[1,2]"), ("ok", "[]")]
+    sinks.export_csv(spark.createDataFrame([(2, None), (1, 'a "b", c')], "i long, t string"), str(tmp_path / "csv2"), ["t", "i", "gone"], ["i"])
+    assert next((tmp_path / "csv2").glob("part-*")).read_text("utf-8-sig").splitlines() == ['"t","i","gone"', '"a ""b"", c","1",""', '"","2",""']
+    sinks.export_json(spark.createDataFrame([(1, None)], "i long, t string"), str(tmp_path / "json"), {"scope": "x"})
+    assert json.loads(next((tmp_path / "json").glob("part-*")).read_text()) == {"metadata": {"scope": "x", "row_count": 1}, "data": [{"i": 1, "t": None}]}
+    five = spark.range(5)
+    assert [[r.id for r in sinks.page_scope(five, ["id"], 2, 2, scope).orderBy("id").collect()] for scope in ("page", "beyond", "all")] == [[2, 3], [4], [0, 1, 2, 3, 4]]
+    now_states = spark.createDataFrame([("a", 100), ("b", 10)], "k string, processed long")
+    assert [r.k for r in sinks.unexpired(now_states, 130).collect()] == ["a"]
+    sinks.append_log(five, str(tmp_path / "log"))
+    sinks.append_log(five, str(tmp_path / "log"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "log")).count() == 10
+    shapes = spark.createDataFrame([(1, [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0)])], "id long, line array<struct<lon: double, lat: double>>")
+    assert json.loads(sinks.geojson_lines(shapes).first().feature)["geometry"] == {"type": "LineString", "coordinates": [[0, 0], [1, 0], [1, 1]]}
+    assert json.loads(sinks.geojson_polygons(shapes, "line").first().feature)["geometry"]["coordinates"] == [[[0, 0], [1, 0], [1, 1], [0, 0]]]
 
 
 def test_mapping_close_out(spark):
@@ -236,6 +294,25 @@ def test_flow_stream_equals_batch(spark, tmp_path):
     assert got == want and got
 
 
+def test_flow_forgets_and_resets(spark, tmp_path):
+    """A track that was away for 300 frames counts again, in the stream as in the batch; after an outage ids start anew."""
+    box = lambda f, t=1: (1, f, t, "car", True)
+    rows = [*map(box, (0, 1, 2, 3)), *map(box, (400, 401, 402)), (1, 500, None, "car", False), *(box(f, 2) for f in (501, 502, 503, 505)), (1, 506, 2, "bus", False)]
+    df = spark.createDataFrame(rows, "camera long, frame_no long, track_id long, category string, inside boolean")
+    want = [(8, "car"), (407, "car"), (506, "bus")]
+    assert sorted((r.frame_no, r.category) for r in T.flow_exits(df, ["camera"], 3, 5).collect()) == want
+    assert sorted((r.frame_no, r.category) for r in stream(spark, tmp_path, df, "forget", lambda s: windows.flow_counts(s, 3, 5))) == want
+    assert windows.after_outages(df, 50).select("track_id").distinct().count() == 4  # none, 1, 1 after 396 frames, 2 after 97
+
+
+def test_window_sink_is_idempotent(spark, tmp_path):
+    write = windows.window_sink(str(tmp_path / "w"), ["camera_id", "window"])
+    df = spark.createDataFrame([("a", 0, 1.0), ("a", 60, 2.0)], "camera_id string, window long, car double")
+    for i in (0, 1, 1):
+        write(df, i)
+    assert sinks.latest_version(spark, str(tmp_path / "w")).count() == 2
+
+
 def test_measured_windows(spark, tmp_path):
     rows = [(1, float(t), 1.0, 0.0, 0.0, 0.0) for t in (0, 4, 8, 20, 23, 26, 29, 30.5)]
     df = spark.createDataFrame(rows, "camera long, at double, car double, motorcycle double, bus double, truck double")
@@ -258,6 +335,18 @@ def test_entry_without_corpus():
     assert set(QUERIES) <= set(e.queries()) and set(ORACLES) <= set(e.oracle_sql())
 
 
+def test_entry_survives_missing_libraries(monkeypatch):
+    """A module of the corpus operators that can't be imported takes away these only."""
+    import sys
+
+    import __spark_entry__ as e
+
+    for name in [m for m in sys.modules if m.startswith("roadlake.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "roadlake.llm.queries", None)
+    assert set(e.queries()) == set(QUERIES) and set(e.oracle_sql()) == set(ORACLES)
+
+
 def test_generator(spark):
     a, b = (readers.synthetic_facts(spark, 3, 5, 7).toPandas() for _ in range(2))
     assert len(a) == 15 and isinstance(a, pd.DataFrame) and a.equals(b)
@@ -301,11 +390,11 @@ def test_hex_scores_of_all_hours(spark):
     samples, segments, cells = (x.toPandas() for x in (t.samples(), t.segments, t.hexes))
     cells = cells.sort_values("hex_id").reset_index(drop=True)
     away = lambda lon, lat, some: ((some.lon - lon) ** 2 + (some.lat - lat) ** 2)
-    cell = {s.segment_id: cells.hex_id[away(s.lon1, s.lat1, cells).idxmin()] for s in segments.itertuples()}
-    samples = samples[samples.segment_id.isin(cell)]
+    cell = {r.segment_id: r.hex_id for r in QUERIES["primary_hex"](spark, SF).collect()}
+    samples = samples[samples.segment_id.isin(cell) & samples[[f"{c}_veh_h" for c in CATEGORIES]].notna().any(axis=1)]
     samples["hex_id"], samples["v"] = samples.segment_id.map(cell), samples[[f"{c}_veh_h" for c in CATEGORIES]].fillna(0).sum(axis=1)
     volumes = samples.groupby(["period_start", "hex_id"]).v.sum().round(6)
-    got = {(r.hour, r.hex_id): (r.score, r.status, r.source) for r in QUERIES["hex_hour_scores_all"](spark, SF).collect()}
+    got = {(r.hour, r.hex_id): (r.score, r.status, r.source) for r in QUERIES["hex_hour_scores"](spark, SF).collect()}
     hours = sorted(set(samples.period_start))
     assert len(hours) > 24 and len(got) == len(hours) * len(cells)
     for hour in hours[:: max(1, len(hours) // 40)]:
@@ -318,7 +407,7 @@ def test_hex_scores_of_all_hours(spark):
             want = SC.cell_score(norm, c.norm_poi, c.norm_population)
             assert status == ("live" if c.hex_id in own else "fallback") and abs(score - want) < 1e-4
             assert other is None if status == "live" else abs(own[other] - own[source]) < 1e-9 or other == source
-    series = {r.hour for r in QUERIES["hex_hourly_series_all"](spark, SF).collect()}
+    series = {r.hour for r in QUERIES["hex_hourly_series"](spark, SF).collect()}
     assert series == set(hours)
 
 
@@ -330,6 +419,6 @@ def test_embedding_resolve_of_all(spark):
     np.fill_diagonal(c, -2)
     best = np.round(c, 9).argmax(1)  # the smallest id of equals
     want = {int(i): (int(ids[b]), float(v[b])) for i, b, v in zip(ids, best, c, strict=True) if i % 20 == 0 and v[b] >= 0.40}
-    got = {r.query_id: (r.vec_id, r.similarity) for r in QUERIES["embedding_resolve_all"](spark, SF).collect()}
+    got = {r.query_id: (r.vec_id, r.similarity) for r in QUERIES["embedding_resolve"](spark, SF).collect()}
     assert got.keys() == want.keys() and max(got) >= 10
     assert all(got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 1e-6 for i in want)
