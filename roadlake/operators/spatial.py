@@ -54,6 +54,28 @@ def nearest(left: DataFrame, right: DataFrame, key: list[str], right_id: str, gr
     return best.select(*key, *(F.col(f"b.{c}").alias(c) for c in (right_id, "d2", *carry)))
 
 
+def point_line_m(lon: Column, lat: Column, lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
+    """Metres from a point to a straight line, on the plane that touches the sphere at the point: exact enough for a few kilometres."""
+    scale = math.pi / 180 * EARTH_M
+    flat = lambda x, y: ((x - lon) * F.cos(F.radians(lat)) * scale, (y - lat) * scale)
+    (ax, ay), (bx, by) = flat(lon1, lat1), flat(lon2, lat2)
+    dx, dy = bx - ax, by - ay
+    length = dx * dx + dy * dy
+    t = F.when(length > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * dx + ay * dy) / length))).otherwise(0.0)
+    return F.sqrt(F.pow(ax + t * dx, 2) + F.pow(ay + t * dy, 2))
+
+
+def points_near_lines(points: DataFrame, lines: DataFrame, metres: float, max_lat: float = 60.0) -> DataFrame:
+    """Pairs of points (lon, lat) and lines (lon1, lat1, lon2, lat2) at most `metres` apart, with distance_m: an equi-join on the cells around each line."""
+    high = math.degrees(metres / EARTH_M) * 1.0000001
+    wide = high / math.cos(math.radians(max_lat))
+    reach = lambda a, b, size: F.explode(F.sequence(F.floor((F.least(a, b) - size) / size), F.floor((F.greatest(a, b) + size) / size)))
+    l = lines.withColumn("_x", reach("lon1", "lon2", wide)).withColumn("_y", reach("lat1", "lat2", high))  # noqa: E741
+    p = points.withColumn("_x", F.floor(F.col("lon") / wide)).withColumn("_y", F.floor(F.col("lat") / high))
+    d = point_line_m(*(F.col(c) for c in ("lon", "lat", "lon1", "lat1", "lon2", "lat2")))
+    return p.join(l, ["_x", "_y"]).drop("_x", "_y").withColumn("distance_m", d).where(F.col("distance_m") <= metres)
+
+
 def in_ring(lon: Column, lat: Column, ring: Column) -> Column:
     """Whether a point is in a polygon's ring, an array of (lon, lat): an odd number of edges crossed to the right."""
     n = F.size(ring)

@@ -167,3 +167,17 @@ def newest_wins(states: DataFrame, keys: list[str]) -> DataFrame:
 def unchanged_skipped(windows: DataFrame, known: DataFrame) -> DataFrame:
     """Windows whose signature isn't known yet: what an incremental pass has to compute."""
     return windows.join(known, ["segment_id", "window", "signature"], "left_anti")
+
+
+def reconciliation(windows: DataFrame, done: DataFrame, width: int, back: int = 12, most: int = 120) -> DataFrame:
+    """The windows (segment_id, window) that an incremental pass reads: `most` from `back` before the last computed one of done (segment_id, last_start).
+
+    Late observations of the last windows are read again; where an outage leaves nothing in that stretch, it starts before the next
+    window that has observations, so a pass never stands still.
+    """
+    marked = windows.join(done, "segment_id", "left")
+    ends = marked.groupBy("segment_id").agg(F.min("window").alias("_first"), F.first("last_start").alias("_last"), F.min(F.when(F.col("window") > F.col("last_start"), F.col("window"))).alias("_next"))
+    usual = F.coalesce(F.greatest("_first", F.when(F.col("_last").isNotNull(), F.col("_last") - back * width)), F.col("_first"))
+    start = F.when(F.col("_next") >= usual + most * width, F.col("_next") - back * width).otherwise(usual)
+    begin = ends.select("segment_id", start.alias("_start"))
+    return windows.join(begin, "segment_id").where((F.col("window") >= F.col("_start")) & (F.col("window") < F.col("_start") + most * width)).drop("_start")

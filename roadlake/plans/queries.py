@@ -486,12 +486,12 @@ def _hex_scores(t) -> DataFrame:
     return SC.hour_scores(cells, v, near, ["hour"])
 
 
-def _hex_sql() -> str:
+def _hex_sql(volumes: str = _HEX_OBS) -> str:
     norm = "case when high <= low then 100.0 else 1.0 + (used - low) / (high - low) * 99.0 end"
     return duck_with(
         "facts", "segments", "hexes", kept=KEPT,
         samples="select * from (select *, row_number() over (partition by segment_id, period_start order by version desc, calculated_us desc, id) as rn from kept) where rn = 1",
-        **_CLIP, v=_HEX_OBS, spread="select hour, min(volume) as low, max(volume) as high from v group by all",
+        **_CLIP, v=volumes, spread="select hour, min(volume) as low, max(volume) as high from v group by all",
         near="select * from (select s.hour, h.hex_id, v.hex_id as source_id, v.volume as source_volume, row_number() over (partition by s.hour, h.hex_id order by pow(h.lon - o.lon, 2) + pow(h.lat - o.lat, 2), v.hex_id) as rn from spread s cross join hexes h join v on v.hour = s.hour join hexes o on o.hex_id = v.hex_id) where rn = 1",
         used="select s.hour, h.*, low, high, coalesce(v.volume, source_volume, volume_mean) as used, case when v.volume is not null then 'live' else 'fallback' end as status, case when v.volume is null then source_id end as source from spread s cross join hexes h left join v on v.hour = s.hour and v.hex_id = h.hex_id left join near n on n.hour = s.hour and n.hex_id = h.hex_id",
         scored=f"select *, {SC.CELL_WEIGHTS['volume']} * ({norm}) + {SC.CELL_WEIGHTS['poi']} * norm_poi + {SC.CELL_WEIGHTS['population']} * norm_population as score from used",

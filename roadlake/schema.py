@@ -27,3 +27,6 @@ POI_DEFAULT = 0.8
 # Limits of requests.
 MAX_DAYS, MAX_BUCKETS, MAX_EXPORT, MAX_DELETE, MAX_PAGE = 31, 2000, 100_000, 100_000, 200
 EARTH_M = 6_371_000.0
+# Seconds after which data are aging, the length of an observation window, units of a record.
+AGING_SECONDS, WINDOW_SECONDS = 90, 60
+UNITS = {"emissions": "kg/hour", "volume_per_hour": "vehicles/hour", "vkt_km_h": "km/hour"}

@@ -46,6 +46,20 @@ TABLES = {
         {_POLLUTANTS}, {_VOLUMES}, {_VKT}
         from (select *, $K as k, $US as us from {{events}}) e""",
     ),
+    "raw_facts": (
+        ("events",),
+        """select event_id as id, concat('SEG-', lpad(cast(user_id % 25 as $STRING), 4, '0')) as segment_id, k,
+        concat('{{', concat_ws(', ', case when event_id % 7 <> 0 then concat('"co2": ', cast(value * 60 as $STRING)) end, case when event_id % 5 <> 0 then concat('"nox": ', cast(value * 20 as $STRING)) end), '}}') as totals,
+        concat('{{', concat_ws(', ', case when k % 5 = 0 then concat('"observed_at": ', cast(us $DIV 1000000 as $STRING)) end, case when k % 9 = 0 then '"calculation_mode": "replay"' end,
+        case when k % 3 = 0 then concat('"calculation_metadata": {{"is_interpolated": ', case when k % 2 = 0 then 'true' else 'false' end, ', "interpolation_method": "linear"}}') end), '}}') as meta
+        from (select *, $K as k, $US as us from {events}) e""",
+    ),
+    "segment_metadata": (
+        ("nation",),
+        """select concat('SEG-', lpad(cast(n_nationkey as $STRING), 4, '0')) as segment_id, n_name as segment_name,
+        case when n_nationkey % 3 <> 0 then concat('{{"corridor_id": "COR-', cast(n_regionkey as $STRING), '", "priority_tier": "', case n_nationkey % 5 when 0 then 'Sangat Tinggi' when 1 then 'Tinggi' when 2 then 'Sedang' when 3 then 'Rendah' else 'none' end, '"}}') end as spatial_metadata
+        from {nation}""",
+    ),
     "observations": (
         ("events",),
         """select event_id as id, concat('cam-', lpad(cast(user_id as $STRING), 4, '0')) as camera_id, concat('SEG-', lpad(cast(user_id % 25 as $STRING), 4, '0')) as segment_id,

@@ -17,6 +17,7 @@ from roadlake.operators import facts as FA
 from roadlake.operators import profile as P
 from roadlake.operators import scoring as SC
 from roadlake.operators import traffic as T
+import roadlake.plans  # noqa: F401  registers all queries
 from roadlake.plans.queries import ORACLES, QUERIES, Tables
 from roadlake.schema import CATEGORIES, POLLUTANTS
 from roadlake.sources import readers, sinks
