@@ -10,7 +10,8 @@ the order of its question, so no vocabulary is broadcast or collected and no tok
 a function of its texts, so later passes line answers up again. Held-out likelihoods reach the driver as a histogram of
 quantised probability ratios (a quarter of an octave), whose size does not grow with the corpus.
 
-Defined results: null and empty texts are their end alone; repeated rows are rows and count as often as they occur; a
+Defined results: null and empty texts are their end alone; a very long text is scored whole, as a chunk of its own size; repeated rows are rows,
+count as often as they occur and score alike; documents are dealt by id and text, so many rows without id, or of one id, are in many chunks; a
 document without id is a training document; without training documents the base is log10(1) a token; an empty table gives no
 rows; other columns are ignored, whatever their names.
 """
@@ -200,7 +201,7 @@ def score(docs: DataFrame, *, chunk_bytes: int = 3 << 20, bucket_bytes: int = 4
     own = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"),
         F.coalesce(F.pmod(crc_of_id(doc_id), F.lit(FOLDS)), F.lit(DELETED_FOLD)).cast("long").alias("fold"),
-        F.pmod(F.xxhash64(F.col(doc_id).cast("long")), F.lit(chunks)).cast("long").alias("chunk"),
+        F.pmod(F.xxhash64(F.col(doc_id).cast("long"), F.col(text).cast("string")), F.lit(chunks)).cast("long").alias("chunk"),
     )
     by_chunk = own.groupBy("chunk")
     with tidy_shuffles(docs.sparkSession):

@@ -15,7 +15,8 @@ A linked pair is lost only if no band agrees (below 1e-6 for a pair at the thres
 sketches disagree by more than `sigmas` deviations.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; texts with fewer than k words have
-their whole word sequence as one shingle; repeated rows are rows of one node; a row without id is linked by its text
+their whole word sequence as one shingle; a very long text is compared by its whole set, read in pieces of a few megabytes of documents; pairs
+exactly at the threshold are linked; of equal smallest ids each row has its component's number and is kept; repeated rows are rows of one node; a row without id is linked by its text
 but kept only if no row has an id; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
@@ -302,7 +303,10 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, bands: in
 
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs with one row of each group of near duplicates: the one with the smallest id (without id: the first row). Columns stay as they are."""
+    """docs with one row of each group of near duplicates: the one with the smallest id, the first of these rows; rows without id come last.
+
+    Columns stay as they are, whatever their names. Null, empty and blank texts link with nothing, so all their rows stay.
+    """
     row = "row of near_duplicates"
     rows = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     groups = near_duplicates(rows, doc_id=row, text=text, **options).select(F.col("doc_id").alias(row), "component_id")

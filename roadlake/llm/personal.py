@@ -331,7 +331,11 @@ def redacted(text: str, spans: list[Span]) -> str:
 
 
 def redact(docs: DataFrame, *, text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
-    """docs with each span replaced by its kind in brackets; n_chars, where there is such a column, counts the new text."""
+    """docs with each span replaced by its kind in brackets; n_chars, where there is such a column, counts the new text.
+
+    Null and empty texts stay as they are, very long ones are searched whole; of overlapping spans the first names the replacement; rows and other
+    columns stay, whatever their names; an empty table stays empty.
+    """
     weights = trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@
    returned, `audited` the number of nodes with links behind it, `exact_search` whether it took that last step.
 
 Defined results: vectors that are null, zero or hold null or non-finite components, and vectors without label, link with
-nothing and are kept; vectors of different lengths link with nothing of the other length; repeated rows are copies: they link
+nothing and are kept; one vec_id with several vectors is a row and a node for each, all with that number; vectors of different lengths link with nothing of the other length; repeated rows are copies: they link
 with each other; an empty table gives no rows.
 """
 
