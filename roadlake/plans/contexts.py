@@ -313,7 +313,7 @@ def survey_evidence(t):
 
 
 # A question names a segment by id, by name (also by a short name), or shares at least two longer words with one name.
-_ASK = "case c_custkey % 6 when 0 then concat('emisi seg ', lpad(cast(c_custkey % 30 as varchar), 4, '0')) when 1 then concat('Emisi ', n_name, '!') when 2 then concat(n_name, ' dan ', 'CHINA') when 3 then concat('laporan ', s_other, ' lengkap') when 4 then 'nusantara' else concat(c_mktsegment, ' saja') end"
+_ASK = "case c_custkey % 6 when 0 then concat('emisi seg ', lpad(cast(c_custkey % 30 as varchar), 4, '0')) when 1 then concat('Emisi ', n_name, '!') when 2 then concat(n_name, ' dan ', 'NATION_1') when 3 then concat('laporan ', s_other, ' lengkap') when 4 then 'nusantara' else concat(c_mktsegment, ' saja') end"
 
 
 def _asks(t) -> DataFrame:
@@ -322,7 +322,7 @@ def _asks(t) -> DataFrame:
     c = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(other, k % 25 + 1 == F.col("o"))
     q = (
         F.when(k % 6 == 0, F.concat(F.lit("emisi seg "), F.lpad((k % 30).cast("string"), 4, "0"))).when(k % 6 == 1, F.concat(F.lit("Emisi "), "n_name", F.lit("!")))
-        .when(k % 6 == 2, F.concat("n_name", F.lit(" dan "), F.lit("CHINA"))).when(k % 6 == 3, F.concat(F.lit("laporan "), "s_other", F.lit(" lengkap"))).when(k % 6 == 4, "nusantara").otherwise(F.concat("c_mktsegment", F.lit(" saja")))
+        .when(k % 6 == 2, F.concat("n_name", F.lit(" dan "), F.lit("NATION_1"))).when(k % 6 == 3, F.concat(F.lit("laporan "), "s_other", F.lit(" lengkap"))).when(k % 6 == 4, "nusantara").otherwise(F.concat("c_mktsegment", F.lit(" saja")))
     )
     return c.select(k.alias("id"), F.trim(F.regexp_replace(F.lower(q), "[^a-z0-9_]+", " ")).alias("q"))
 
