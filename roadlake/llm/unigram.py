@@ -3,19 +3,20 @@
 Text is a row of segments: white-space marks, then what follows up to the next mark. No piece has a mark behind
 another character, so the best path of a text is made of its segments' best paths, and segments repeat: each new one is
 encoded once, many at a time, as array operations over their characters. The trie's two arrays (base and check) are
-walked for all segments and start positions together.
+walked for all segments side by side, position by position, or segment by segment where there are few.
 
 An unknown character costs the least piece score less 10 and becomes its UTF-8 bytes as byte pieces. Ties go to the
 piece that begins first. Decoding joins pieces, turns byte pieces back into text and marks into spaces.
 
 Defined results: null and empty texts have no ids; repeated rows stay rows; an empty table gives no rows; other columns
 are ignored.
-A very long text is encoded whole; one without any blank costs one pass of array operations a character.
+A very long text is encoded whole; one without any blank is walked character by character, in time that grows with its length.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -30,6 +31,8 @@ from .token_cache import WordIds
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
+#: Below this number of segments a plain walk costs less than array calls for each character.
+FEW = 200
 
 
 class DoubleArray:
@@ -126,7 +129,10 @@ class Unigram:
         return out
 
     def _viterbi(self, segments: list[str]) -> list[list[int]]:
+        """Many segments side by side; a few are walked one by one, as array calls for each character would cost more than their work."""
         m, n = len(segments), np.array([len(s) for s in segments])
+        if m < FEW:
+            return [self._path(s, *self._walk(s)) for s in segments]
         width = int(n.max(initial=0))
         points = np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32).astype(np.int64)
         codes = np.zeros((m, width + 1), np.int32)
@@ -157,21 +163,45 @@ class Unigram:
             better = s > best[r, a + 1]
             r = r[better]
             best[r, a + 1], from_[r, a + 1], piece[r, a + 1] = s[better], a, -1
-        out = []
-        from_, piece = from_.tolist(), piece.tolist()
-        for i, text in enumerate(segments):
-            at, ids = len(text), []
-            while at:
-                p, a = piece[i][at], from_[i][at]
-                if p >= 0:
-                    ids.append(int(self.ids[p]))
-                elif self.byte_ids:
-                    ids += [self.byte_ids[b] for b in reversed(text[a:at].encode())]
-                elif not ids or ids[-1] != self.unknown:
-                    ids.append(self.unknown)
-                at = a
-            out.append(ids[::-1])
-        return out
+        return [self._path(s, f, p) for s, f, p in zip(segments, from_.tolist(), piece.tolist(), strict=True)]
+
+    @functools.cached_property
+    def _lists(self) -> tuple[list, ...]:
+        return tuple(x.tolist() for x in (self.code, self.trie.base, self.trie.check, self.trie.value, self.score))
+
+    def _walk(self, text: str) -> tuple[list[int], list[int]]:
+        """(start, number) of the piece that ends the best path to each position, -1 for an unknown character."""
+        code, base, check, value, score = self._lists
+        codes = [code[c] if (c := ord(x)) < len(code) else 0 for x in text]
+        n, unknown = len(text), self.unknown_score
+        best, from_, piece = [-math.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        best[0] = 0.0
+        for a in range(n):
+            start, state, at, single = best[a], 0, a, False
+            while at < n and codes[at] and check[to := base[state] + codes[at]] == state:
+                state, at = to, at + 1
+                v = value[state]
+                if v >= 0:
+                    single = single or at == a + 1
+                    if (s := start + score[v]) > best[at]:
+                        best[at], from_[at], piece[at] = s, a, v
+            if not single and (s := start + unknown) > best[a + 1]:
+                best[a + 1], from_[a + 1], piece[a + 1] = s, a, -1
+        return from_, piece
+
+    def _path(self, text: str, from_: list[int], piece: list[int]) -> list[int]:
+        """The ids of the best path, read from its end."""
+        at, ids = len(text), []
+        while at:
+            p, a = piece[at], from_[at]
+            if p >= 0:
+                ids.append(int(self.ids[p]))
+            elif self.byte_ids:
+                ids += [self.byte_ids[b] for b in reversed(text[a:at].encode())]
+            elif not ids or ids[-1] != self.unknown:
+                ids.append(self.unknown)
+            at = a
+        return ids[::-1]
 
     @staticmethod
     def segments(text: str) -> list[str]:

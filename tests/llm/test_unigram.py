@@ -37,6 +37,23 @@ def test_equals_the_library(models):
         assert own.decode(own.encode(text)) == text
 
 
+def test_walk_equals_array_passes(models, monkeypatch):
+    own, rng = models[1], random.Random(5)
+    texts = [unigram.MARK + "".join(rng.choice([p for p in PARTS if " " not in p]) for _ in range(rng.randint(1, 60))) for _ in range(200)]
+    walked = [own.encode_segments([t])[0] for t in texts]
+    monkeypatch.setattr(unigram, "FEW", 0)
+    assert own.encode_segments(texts) == walked
+
+
+def test_long_text_without_blanks(models):
+    library, own, _ = models
+    rng = random.Random(6)
+    text = "".join(rng.choice([p for p in PARTS if " " not in p]) for _ in range(60_000))
+    ids = own.encode(text)
+    assert own.decode(ids) == text
+    assert ids == library.encode(text)
+
+
 def test_best_score_is_brute_forces():
     pieces = [("▁", -3.0, 0), ("a", -2.0, 1), ("b", -2.5, 2), ("ab", -4.0, 3), ("▁a", -4.5, 4), ("bb", -4.9, 5), ("abb", -6.4, 6)]
     own, score = unigram.Unigram(pieces, {}, 9), {p: s for p, s, _ in pieces}
