@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,57 +58,3 @@ def top_entries(entries: Column, k: int) -> Column:
     """The k entries of a map with the greatest values, ties by key."""
     order = lambda a, b: F.when(a["value"] > b["value"], -1).when(a["value"] < b["value"], 1).when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)
     return F.slice(F.array_sort(F.map_entries(entries), order), 1, k)
-
-
-def circle(lon: Column, lat: Column, metres: float, steps: int = 64) -> Column:
-    """A closed ring around a point, by the bearing formula on a sphere. Fixed value: radius 6378137."""
-    d = metres / 6378137.0
-
-    def at(i: Column) -> Column:
-        b, p = 2 * np.pi * i / steps, F.radians(lat)
-        y = F.asin(F.sin(p) * F.cos(F.lit(d)) + F.cos(p) * F.sin(F.lit(d)) * F.cos(b))
-        x = F.radians(lon) + F.atan2(F.sin(b) * F.sin(F.lit(d)) * F.cos(p), F.cos(F.lit(d)) - F.sin(p) * F.sin(y))
-        return F.struct(F.degrees(x).alias("lon"), F.degrees(y).alias("lat"))
-
-    return F.transform(F.sequence(F.lit(0), F.lit(steps)), at)
-
-
-def clip(ring: np.ndarray, zone: np.ndarray) -> np.ndarray:
-    """The part of a ring inside a convex counter-clockwise zone, edge by edge."""
-    for a, b in zip(zone, np.roll(zone, -1, 0), strict=True):
-        if not len(ring):
-            break
-        side = (b[0] - a[0]) * (ring[:, 1] - a[1]) - (b[1] - a[1]) * (ring[:, 0] - a[0])
-        nxt, side2, out = np.roll(ring, -1, 0), np.roll(side, -1), []
-        for p, q, s, t in zip(ring, nxt, side, side2, strict=True):
-            if s >= 0:
-                out.append(p)
-            if (s > 0 > t) or (s < 0 < t):
-                out.append(p + (q - p) * s / (s - t))
-        ring = np.array(out).reshape(-1, 2)
-    return ring
-
-
-def area(ring: np.ndarray) -> float:
-    x, y = ring[:, 0], ring[:, 1]
-    return float(abs(x @ np.roll(y, -1) - y @ np.roll(x, -1)) / 2) if len(ring) > 2 else 0.0
-
-
-def buffer_shares(pairs: DataFrame) -> DataFrame:
-    """id, zone, share of the ring's area inside the zone, for pairs (id, ring, zone, zone_ring) of convex zones. Arrow batches, as no built-in clips polygons."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        xy = lambda r: np.array([(p["lon"], p["lat"]) for p in r], float)
-        for f in frames:
-            rows = []
-            for r in f.itertuples():
-                ring = xy(r.ring)[:-1]
-                rows.append((r.id, r.zone, area(clip(ring[::-1] if signed(ring) < 0 else ring, xy(r.zone_ring))) / area(ring)))
-            yield pd.DataFrame(rows, columns=["id", "zone", "share"])
-
-    return pairs.select("id", "ring", "zone", "zone_ring").mapInPandas(run, "id long, zone long, share double").where("share > 0")
-
-
-def signed(ring: np.ndarray) -> float:
-    x, y = ring[:, 0], ring[:, 1]
-    return float(x @ np.roll(y, -1) - y @ np.roll(x, -1))

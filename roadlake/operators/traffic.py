@@ -107,6 +107,21 @@ def window_means(observations: DataFrame, width: int) -> DataFrame:
     return fuel_model(means)
 
 
+def windows_at(observations: DataFrame, width: int, watermark: int | None = None) -> DataFrame:
+    """window_means' windows with their status: completed where the camera has an event at or behind the window's end, or where the
+    watermark (epoch seconds, for all cameras) has passed it; else open. A watermark beyond all windows flushes everything."""
+    snapshots = observations.where(F.col("category").isNotNull()).select("camera_id", bucket(F.col("captured_at"), width).alias("window"), "captured_at", *counts())
+    means = snapshots.groupBy("camera_id", "window").agg(*[F.avg(c).alias(c) for c in CATEGORIES], F.count("*").alias("sample_count"), F.max("captured_at").alias("last_captured_at"))
+    end, newest = F.col("window") + width, F.max("last_captured_at").over(Window.partitionBy("camera_id"))
+    done = newest >= end if watermark is None else (newest >= end) | (end <= watermark)
+    return means.withColumn("status", F.when(done, "completed").otherwise("open"))
+
+
+def previews(windows: DataFrame) -> DataFrame:
+    """The newest open window of each camera, of windows_at's."""
+    return first_of(windows.where("status = 'open'"), ["camera_id"], F.desc("window"))
+
+
 def late(observations: DataFrame, width: int) -> DataFrame:
     """Each observation with whether it comes too late: its window had ended for its camera when it arrived.
 

@@ -1,6 +1,6 @@
 """Named queries by subject; importing the modules registers them."""
 
-from roadlake.plans import contexts, queries
+from roadlake.plans import contexts, queries, zones
 from roadlake.plans.queries import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "contexts", "queries"]
+__all__ = ["ORACLES", "QUERIES", "contexts", "queries", "zones"]

@@ -918,25 +918,3 @@ def context_verdict(t):
 
     m = A.segment_means(t.samples()).withColumn("c", F.round("co2_kg_h", 9))
     return m.groupBy("corridor_id").agg(F.count("*").alias("n"), F.count("c").alias("v"), (F.max("c") - F.min("c")).alias("s")).select("corridor_id", verdict(F.col("n"), F.col("v"), F.col("s")).alias("verdict"))
-
-
-@query(duck_with("stops") + "select stop_id, i, round(degrees(radians(lon) + atan2(sin(b) * sin(d) * cos(p), cos(d) - sin(p) * sin(y))), 6) as lon, round(degrees(y), 6) as lat from (select *, asin(sin(p) * cos(d) + cos(p) * sin(d) * cos(b)) as y from (select stop_id, lon, radians(lat) as p, cast(i as bigint) as i, 2 * pi() * i / 64 as b, 500 / 6378137.0::double as d from stops cross join (select unnest(range(65)) as i)))")
-def buffer_rings(t):
-    from roadlake.operators.states import circle
-
-    r = t.stops.select("stop_id", F.posexplode(circle(F.col("lon"), F.col("lat"), 500.0)).alias("i", "p"))
-    return r.select("stop_id", F.col("i").cast("long").alias("i"), F.round("p.lon", 6).alias("lon"), F.round("p.lat", 6).alias("lat"))
-
-
-@query()
-def buffer_overlap(t):
-    """The share of each stop's 500 m surroundings in each square zone that they touch; shares of a stop add up to 1."""
-    from roadlake.operators.states import buffer_shares, circle
-
-    size = 0.01
-    s = t.stops.withColumn("ring", circle(F.col("lon"), F.col("lat"), 500.0))
-    lo = lambda c, f: F.floor(f(F.transform("ring", lambda p: p[c])) / size)
-    s = s.withColumn("_x", F.explode(F.sequence(lo("lon", F.array_min), lo("lon", F.array_max)))).withColumn("_y", F.explode(F.sequence(lo("lat", F.array_min), lo("lat", F.array_max))))
-    corner = lambda dx, dy: F.struct(((F.col("_x") + dx) * size).alias("lon"), ((F.col("_y") + dy) * size).alias("lat"))
-    zone = (F.col("_x") * 100_000 + F.col("_y")).cast("long")
-    return buffer_shares(s.select(F.col("stop_id").alias("id"), "ring", zone.alias("zone"), F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1)).alias("zone_ring"))).withColumnRenamed("id", "stop_id")

@@ -102,10 +102,14 @@ def merged_sheets(sheets: list[DataFrame], title: str) -> DataFrame:
     return out
 
 
-def synthetic_facts(spark: SparkSession, segments: int, hours: int, seed: int = 42) -> DataFrame:
-    """Seeded synthetic facts: a base rate by segment and hour within 20 % and a fixed split of categories. 60, 25, 8 and 7 %."""
+def synthetic_facts(spark: SparkSession, segments: int, hours: int, seed: int = 42, only_missing: DataFrame | None = None) -> DataFrame:
+    """Seeded synthetic facts: a base rate by segment and hour within 20 % and a fixed split of categories. 60, 25, 8 and 7 %.
+
+    only_missing: facts (segment, hour) that exist; they are left out, the others have the values that they have without it.
+    """
     df = spark.range(segments * hours).select((F.col("id") % segments).alias("segment"), F.floor(F.col("id") / segments).alias("hour"))
     base = (400 + 37 * (F.col("segment") % 11)) * (1 + 0.5 * F.sin(F.col("hour") * 0.2617993877991494)) * (0.8 + 0.4 * F.rand(seed))
     df = df.withColumn("volume", base)
     shares = {"motorcycle": 0.60, "car": 0.25, "bus": 0.08, "truck": 0.07}
-    return df.select("segment", "hour", *[(F.col("volume") * v).alias(f"{c}_veh_h") for c, v in shares.items()], F.lit("SYNTHETIC").alias("source_mode"))
+    df = df.select("segment", "hour", *[(F.col("volume") * v).alias(f"{c}_veh_h") for c, v in shares.items()], F.lit("SYNTHETIC").alias("source_mode"))
+    return df if only_missing is None else df.join(only_missing.select("segment", "hour"), ["segment", "hour"], "left_anti")
