@@ -76,7 +76,9 @@ def zone_shares(rings: DataFrame, key: str, size: float = ZONE) -> DataFrame:
     corner = lambda dx, dy: F.struct(((F.col("_x") + dx) * size).alias("lon"), ((F.col("_y") + dy) * size).alias("lat"))
     zone = F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1))
     number = (F.col("_x") * 100_000 + F.col("_y")).cast("long").alias("zone")
-    return cells.select(key, number, PG.share_inside(F.col("ring"), zone).alias("share")).where("share > 1e-9")
+    share = PG.share_inside(F.col("ring"), zone, convex_zone=True)
+    # exploded and not filtered: Spark would work out a filter's expression once more for its column
+    return cells.select(key, number, F.explode(F.filter(F.array(share), lambda x: x > 1e-9)).alias("share"))
 
 
 @query(duck_with("stops", b=_CIRCLES) + "select id as stop_id, cast(i - 1 as bigint) as i, round(r[i].lon, 6) as lon, round(r[i].lat, 6) as lat from (select *, unnest(range(1, 66)) as i from b)")

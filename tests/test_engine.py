@@ -369,6 +369,7 @@ def test_share_inside_a_zone_that_is_not_convex(spark):
     assert share(square, horseshoe) == pytest.approx(6 / 16)
     assert share(square, horseshoe[::-1]) == pytest.approx(6 / 16)
     assert share(square, square) == pytest.approx(1)
+    assert column(spark, polygons.share_inside(ring(square), ring([(2, 2), (6, 2), (6, 6)]), convex_zone=True)) == pytest.approx(2 / 16)
     assert share(square, [(9, 9), (9, 10), (10, 10)]) == 0
 
 
