@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadlake.functions.scalars import freshness
+from roadlake.operators.facts import first_of
 from roadlake.schema import AGING_SECONDS, CATEGORIES, POLLUTANTS, UNITS, WINDOW_SECONDS
 
 
@@ -108,3 +109,18 @@ def checked_factors(factors: dict[str, tuple[float, ...]]) -> dict[str, tuple[fl
         if len(row) != len(POLLUTANTS) or not all(isinstance(x, (int, float)) and 0 <= x < float("inf") for x in row):
             raise ValueError(f"bad factors of {c}")
     return factors
+
+
+def import_survey(stops: DataFrame, surveys: DataFrame, key: str, order: list[str], scores: list[str], method: str) -> tuple[DataFrame, DataFrame]:
+    """(stops, unmatched surveys): a survey's scores stand in place of the stop's own, its other columns are added, and `score_method` says so.
+
+    Of several surveys of a stop the one with the greatest order columns counts; surveys without key match nothing. Stops without survey stay as they are.
+    """
+    newest = first_of(surveys, [key], *(F.desc(c) for c in order))
+    own = newest.select(key, *[F.col(c).alias(f"{c}_survey") if c in stops.columns else F.col(c) for c in scores], F.lit(method).alias("score_method"))
+    df = stops.join(own, key, "left")
+    matched = F.col("score_method").isNotNull()
+    for c in scores:
+        if c in stops.columns:
+            df = df.withColumn(c, F.when(matched, F.col(f"{c}_survey")).otherwise(F.col(c))).drop(f"{c}_survey")
+    return df, surveys.join(stops.select(key), key, "left_anti")

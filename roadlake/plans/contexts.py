@@ -172,12 +172,12 @@ _EVIDENCE = {
 }
 
 
-@query(
-    duck_with("segments", "hexes", "stops", **_EVIDENCE)
-    + f"""select segment_id, coalesce(hex_count, 0) as hex_count, avg_score, max_score, coalesce(stops, 0) as stops, coalesce(scored, 0) as scored, coalesce(weak, 0) as weak, min_ahp, avg_ahp,
+EVIDENCE = f"""select segment_id, coalesce(hex_count, 0) as hex_count, avg_score, max_score, coalesce(stops, 0) as stops, coalesce(scored, 0) as scored, coalesce(weak, 0) as weak, min_ahp, avg_ahp,
 case when gaps > 0 then 'add_new_stop' when weak > 0 then 'improve_existing_stop' when max_score >= {_HIGH} then 'increase_frequency' end as hint from segments left join cells using (segment_id) left join halts using (segment_id)"""
-)
-def segment_evidence(t):
+
+
+@query(duck_with("segments", "hexes", "stops", **_EVIDENCE) + EVIDENCE)
+def segment_evidence(t) -> DataFrame:
     """What speaks for a measure at each segment: scores of its cells, stops within 500 m, busy cells without a stop near, and a hint."""
     high = t.hexes.where(F.col("volume_mean") >= _HIGH).select("hex_id", "lon", "lat")
     near = SP.within_distance(high, t.stops.select(F.col("lon").alias("lon_r"), F.col("lat").alias("lat_r")), 500).select("hex_id").distinct()
@@ -248,16 +248,21 @@ _CELL = "concat(cast(cast(floor(h.lon / 0.0101) as int) as varchar), ':', cast(c
 _LIVE_GRID = _hex_sql(_LIVE_V) + f", z as (select {_CELL} as cell, h.area, r.* exclude (area) from ranked r join hexes h using (hex_id)) select cell, count(*) as members, round(sum(area * score) / sum(area), 6) as score, case when bool_or(status = 'live') then 'live' when bool_or(status = 'fallback') then 'fallback' else 'no_data' end as status from z group by cell"
 
 
-@query(_LIVE_GRID)
-def live_grid(t):
-    """The newest volumes' scores in larger cells: the best status of a cell's members, scores weighted by area."""
+def live_scores(t) -> DataFrame:
+    """Every cell's score, rank, class and status by the newest volumes of its segments."""
     last = FA.latest(t.matching()).where(F.coalesce(*A.VEHICLES).isNotNull()).select("segment_id", R.total_of_some([F.col(c) for c in A.VEHICLES]).alias("v"))
     cell = FA.first_of(_crossed(t), ["segment_id"], F.desc(F.round("overlap", 9)), F.asc("hex_id")).select("segment_id", "hex_id")
     v = last.join(cell, "segment_id").groupBy("hex_id").agg(F.round(F.sum("v"), 6).alias("volume")).select(F.lit(0).alias("lens"), "hex_id", "volume")
     seen = v.join(t.hexes.select("hex_id", F.col("lon").alias("lon_r"), F.col("lat").alias("lat_r")), "hex_id").select(F.col("hex_id").alias("source_id"), "lon_r", "lat_r")
     todo = t.hexes.join(v, "hex_id", "left_anti").select("hex_id", "lon", "lat")
     near = SP.nearest(todo, seen, ["hex_id"], "source_id", cell=0.02).select(F.lit(0).alias("lens"), "hex_id", "source_id")
-    df = SC.hour_scores(t.hexes, v, near, ["lens"])
+    return SC.hour_scores(t.hexes, v, near, ["lens"])
+
+
+@query(_LIVE_GRID)
+def live_grid(t):
+    """The newest volumes' scores in larger cells: the best status of a cell's members, scores weighted by area."""
+    df = live_scores(t)
     place = F.concat_ws(":", F.floor(F.col("lon") / 0.0101).cast("int"), F.floor(F.col("lat") / 0.0101).cast("int"))
     order = F.element_at(F.array(F.lit("no_data"), F.lit("fallback"), F.lit("live")), F.max(F.when(F.col("status") == "live", 3).when(F.col("status") == "fallback", 2).otherwise(1)))
     return df.withColumn("cell", place).groupBy("cell").agg(F.count("*").alias("members"), F.round(F.sum(F.col("area") * F.col("score")) / F.sum("area"), 6).alias("score"), order.alias("status"))
