@@ -16,6 +16,7 @@ from roadlake.operators import analytics as A
 from roadlake.operators import facts as FA
 from roadlake.operators import polygons
 from roadlake.operators import profile as P
+from roadlake.operators import records
 from roadlake.operators import scoring as SC
 from roadlake.operators import traffic as T
 import roadlake.plans  # noqa: F401  registers all queries
@@ -443,3 +444,53 @@ def test_embedding_resolve_of_all(spark):
     got = {r.query_id: (r.vec_id, r.similarity) for r in QUERIES["embedding_resolve"](spark, SF).collect()}
     assert got.keys() == want.keys() and max(got) >= 10
     assert all(got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 1e-6 for i in want)
+
+
+def workbook(path, sheets):
+    """A small XLSX file: the first column's texts are shared strings, other texts stand in their cells, numbers as numbers."""
+    import zipfile
+
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    shared = []
+
+    def cell(i, j, v):
+        at = f'r="{chr(65 + j)}{i + 1}"'
+        if v is None:
+            return ""
+        if isinstance(v, str) and j == 0:
+            shared.append(v)
+            return f'<c {at} t="s"><v>{len(shared) - 1}</v></c>'
+        return f'<c {at} t="inlineStr"><is><t>{v}</t></is></c>' if isinstance(v, str) else f"<c {at}><v>{v}</v></c>"
+
+    with zipfile.ZipFile(path, "w") as z:
+        names = "".join(f'<sheet name="{n}" sheetId="{i + 1}" r:id="rId{i + 1}"/>' for i, n in enumerate(sheets))
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>{names}</sheets></workbook>')
+        links = "".join(f'<Relationship Id="rId{i + 1}" Type="{rel}/worksheet" Target="worksheets/sheet{i + 1}.xml"/>' for i in range(len(sheets)))
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{links}</Relationships>')
+        for n, rows in enumerate(sheets.values()):
+            body = "".join(f'<row r="{i + 1}">{"".join(cell(i, j, v) for j, v in enumerate(r))}</row>' for i, r in enumerate(rows))
+            z.writestr(f"xl/worksheets/sheet{n + 1}.xml", f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>')
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}">{"".join(f"<si><t>{x}</t></si>" for x in shared)}</sst>')
+
+
+def test_xlsx(spark, tmp_path):
+    path = str(tmp_path / "survey.xlsx")
+    workbook(path, {
+        "Access": [["Stop ", "Ramp", "Width"], ["Stop  A", "Ya", 1.5], [None, None, None], ["Stop B", None, 2]],
+        "State": [["Stop", "Paint"], ["stop a", "Tidak"], ["Stop C", "Ya"]],
+        "Empty": [],
+    })
+    access = readers.xlsx_sheet(spark, path, "Access", ["Stop", "Ramp", "Width", "Absent"])
+    assert [tuple(r) for r in access.collect()] == [("Stop  A", "Ya", "1.5", None), ("Stop B", None, "2", None)]
+    state = readers.xlsx_sheet(spark, path, "State", ["Stop", "Paint"])
+    both = {r.title_key: (r.Ramp, r.Paint) for r in readers.merged_sheets([access, state], "Stop").collect()}
+    assert both == {"stop a": ("Ya", "Tidak"), "stop b": (None, None), "stop c": (None, "Ya")}
+    assert readers.xlsx_sheet(spark, path, "Empty", ["Stop"]).count() == readers.xlsx_sheet(spark, path, "None", ["Stop"]).count() == 0
+
+
+def test_import_survey(spark):
+    stops = spark.createDataFrame([(1, 5.0), (2, 6.0), (3, None)], "stop_id long, score double")
+    surveys = spark.createDataFrame([(1, 1, 9.0, "a"), (1, 2, None, "b"), (3, 1, 7.0, "c"), (9, 1, 1.0, "d"), (None, 1, 1.0, "e")], "stop_id long, at long, score double, note string")
+    kept, lost = records.import_survey(stops, surveys, "stop_id", ["at"], ["score", "note"], "m")
+    assert sorted(tuple(r) for r in kept.select("stop_id", "score", "note", "score_method").collect()) == [(1, None, "b", "m"), (2, 6.0, None, None), (3, 7.0, "c", "m")]
+    assert sorted((r.stop_id or 0, r.note) for r in lost.collect()) == [(0, "e"), (9, "d")]
