@@ -30,14 +30,25 @@ class _Windows:
         state.update((self.done, starts, [v for s in starts for v in self.open[s]]))
 
 
-def window_means(observations: DataFrame, width: int) -> DataFrame:
+def window_means(observations: DataFrame, width: int, idle: str | None = None) -> DataFrame:
     """Means of each camera's snapshots in epoch-aligned windows, finished one by one.
 
     An event at t finishes its camera's windows that end at or before t, other cameras' stay open; an event of a finished window is
     reported as late and counts nowhere. observations: camera_id, captured_at (epoch seconds), category, n, as a stream or a batch.
     Append mode: completed windows and late events, each once.
+
+    idle: an interval ("10 minutes"). The stream's watermark, the latest capture of all cameras less the interval, then also finishes the windows of
+    cameras that send nothing more; events older than the watermark are dropped unreported. Without it such windows stay open.
     """
 
+    def ended(key: tuple, w: _Windows, by: float) -> list[tuple]:
+        out = []
+        for s in sorted(x for x in w.open if x + width <= by):
+            n, last, *values = w.open.pop(s)
+            out.append((key[0], s, "completed", int(n), int(last), *[v / n for v in values]))
+            w.done = max(w.done, s)
+        return out
+
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         w, out = _Windows(state), []
         for frame in frames:
@@ -51,16 +62,20 @@ def window_means(observations: DataFrame, width: int) -> DataFrame:
                 sums[1] = max(sums[1], float(r.captured_at))
                 if r.category in CATEGORIES:
                     sums[2 + CATEGORIES.index(r.category)] += r.n
-                for s in sorted(x for x in w.open if x + width <= r.captured_at):
-                    n, last, *values = w.open.pop(s)
-                    out.append((key[0], s, "completed", int(n), int(last), *[v / n for v in values]))
-                    w.done = max(w.done, s)
+                out += ended(key, w, r.captured_at)
+        if state.hasTimedOut:
+            out += ended(key, w, state.getCurrentWatermarkMs() / 1000)
         w.save(state)
+        if idle and w.open:
+            state.setTimeoutTimestamp(max((min(w.open) + width) * 1000, state.getCurrentWatermarkMs() + 1))
         if out:
             yield pd.DataFrame(out, columns=["camera_id", "window", "status", "sample_count", "last_captured_at", *CATEGORIES])
 
     rows = observations.select("camera_id", "captured_at", "category", F.col("n").cast("double").alias("n"), bucket(F.col("captured_at"), width).alias("window"))
-    return rows.groupBy("camera_id").applyInPandasWithState(update, WINDOW, "done long, starts array<long>, sums array<double>", "append", GroupStateTimeout.NoTimeout)
+    if idle:
+        rows = rows.withColumn("captured", F.timestamp_seconds("captured_at")).withWatermark("captured", idle)
+    timeout = GroupStateTimeout.EventTimeTimeout if idle else GroupStateTimeout.NoTimeout
+    return rows.groupBy("camera_id").applyInPandasWithState(update, WINDOW, "done long, starts array<long>, sums array<double>", "append", timeout)
 
 
 FLOW = "camera long, frame_no long, category string, n long"

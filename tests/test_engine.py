@@ -281,6 +281,14 @@ def test_window_stream(spark, tmp_path):
     assert got == [("a", 0, "completed", 2, 3.0, 0.0), ("a", 0, "late", 1, 9.0, 0.0), ("b", 0, "completed", 2, 0.0, 2.0), ("b", 60, "completed", 1, 0.0, 8.0)]
 
 
+def test_window_stream_of_idle_cameras(spark, tmp_path):
+    """Camera b falls silent after 59: the watermark, 30 seconds behind camera a, finishes its window."""
+    rows = [("b", 55, "bus", 1.0), ("b", 59, "bus", 3.0), ("a", 60, "car", 2.0), ("a", 100, "car", 4.0), ("a", 125, "car", 1.0), ("a", 126, "car", 1.0)]
+    df = spark.createDataFrame(rows, "camera_id string, captured_at long, category string, n double")
+    got = sorted((r.camera_id, r.window, r.status, r.sample_count, r.car, r.bus) for r in stream(spark, tmp_path, df, "idle", lambda s: windows.window_means(s, 60, "30 seconds"), files=6))
+    assert got == [("a", 60, "completed", 2, 3.0, 0.0), ("b", 0, "completed", 2, 0.0, 2.0)]
+
+
 def test_flow_stream_equals_batch(spark, tmp_path):
     import random
 
