@@ -318,7 +318,7 @@ def survey_evidence(t):
 
 
 # A question names a segment by id, by name (also by a short name), or shares at least two longer words with one name.
-_ASK = "case c_custkey % 6 when 0 then concat('emisi seg ', lpad(cast(c_custkey % 30 as varchar), 4, '0')) when 1 then concat('Emisi ', n_name, '!') when 2 then concat(n_name, ' dan ', 'NATION_1') when 3 then concat('laporan ', s_other, ' lengkap') when 4 then 'nusantara' else concat(c_mktsegment, ' saja') end"
+_ASK = "case c_custkey % 6 when 0 then concat('emisi seg ', lpad(cast(c_custkey % 30 as varchar), 4, '0')) when 1 then concat('Emisi ', n_name, '!') when 2 then concat(n_name, ' dan ', 'NATION_1') when 3 then concat('laporan ', s_other, ' lengkap') when 4 then 'Jogja!' else concat(c_mktsegment, ' saja') end"
 
 
 def _asks(t) -> DataFrame:
@@ -327,14 +327,14 @@ def _asks(t) -> DataFrame:
     c = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(other, k % 25 + 1 == F.col("o"))
     q = (
         F.when(k % 6 == 0, F.concat(F.lit("emisi seg "), F.lpad((k % 30).cast("string"), 4, "0"))).when(k % 6 == 1, F.concat(F.lit("Emisi "), "n_name", F.lit("!")))
-        .when(k % 6 == 2, F.concat("n_name", F.lit(" dan "), F.lit("NATION_1"))).when(k % 6 == 3, F.concat(F.lit("laporan "), "s_other", F.lit(" lengkap"))).when(k % 6 == 4, "nusantara").otherwise(F.concat("c_mktsegment", F.lit(" saja")))
+        .when(k % 6 == 2, F.concat("n_name", F.lit(" dan "), F.lit("NATION_1"))).when(k % 6 == 3, F.concat(F.lit("laporan "), "s_other", F.lit(" lengkap"))).when(k % 6 == 4, "Jogja!").otherwise(F.concat("c_mktsegment", F.lit(" saja")))
     )
-    return c.select(k.alias("id"), F.trim(F.regexp_replace(F.lower(q), "[^a-z0-9_]+", " ")).alias("q"))
+    return c.select(k.alias("id"), S.normalized_name(q).alias("q"))
 
 
 _RESOLVE = {
-    "a": f"select c_custkey as id, trim(regexp_replace(lower({_ASK}), '[^a-z0-9_]+', ' ', 'g')) as q from customer join nation on c_nationkey = n_nationkey join (select p_partkey as o, p_name as s_other from part where p_partkey <= 25) on c_custkey % 25 + 1 = o",
-    "named": "select segment_id, trim(regexp_replace(lower(segment_id), '[^a-z0-9_]+', ' ', 'g')) as key, 'id' as how from segments union all select segment_id, trim(regexp_replace(lower(segment_name), '[^a-z0-9_]+', ' ', 'g')), 'name' from segments union all select segment_id, concat('seg nama ', p_name), 'long' from segments join part on p_partkey = cast(substr(segment_id, 5) as int) + 1",
+    "a": f"select c_custkey as id, case trim(regexp_replace(lower({_ASK}), '[^a-z0-9_]+', ' ', 'g')) when 'jogja' then 'yogyakarta' else trim(regexp_replace(lower({_ASK}), '[^a-z0-9_]+', ' ', 'g')) end as q from customer join nation on c_nationkey = n_nationkey join (select p_partkey as o, p_name as s_other from part where p_partkey <= 25) on c_custkey % 25 + 1 = o",
+    "named": "select segment_id, trim(regexp_replace(lower(segment_id), '[^a-z0-9_]+', ' ', 'g')) as key, 'id' as how from segments union all select segment_id, trim(regexp_replace(lower(segment_name), '[^a-z0-9_]+', ' ', 'g')), 'name' from segments union all select segment_id, 'yogyakarta', 'name' from segments where segment_id = 'SEG-0007' union all select segment_id, concat('seg nama ', p_name), 'long' from segments join part on p_partkey = cast(substr(segment_id, 5) as int) + 1",
     "hits": "select id, how, count(distinct segment_id) as n, min(segment_id) as segment_id from a join named on contains(concat(' ', q, ' '), concat(' ', key, ' ')) where how <> 'long' group by all",
     "words": "select segment_id, unnest(list_distinct(regexp_extract_all(key, '[a-z0-9]+'))) as word from named where how = 'long'",
     "shared": "select id, segment_id, count(*) as n from (select id, unnest(list_distinct(list_filter(regexp_extract_all(q, '[a-z0-9]+'), lambda x: len(x) > 3))) as word from a) join words using (word) group by all",
@@ -353,11 +353,14 @@ from a left join (select * from hits where how = 'id') i using (id) left join (s
 def question_entity(t):
     """The segment that a question means: by id, else by name, else by shared longer words; several make it ambiguous, few words give candidates.
 
-    Names are looked up by the question's runs of words, so all joins are on equal texts.
+    Names are looked up by the question's runs of words, so all joins are on equal texts. Abbreviations are written out on both sides, and a
+    question that is an alias stands for its name; one segment has a second name, which an alias means.
     """
-    key = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9_]+", " "))
-    asks = _asks(t)
-    names = t.segments.select("segment_id", key("segment_id").alias("key"), F.lit("id").alias("how")).unionByName(t.segments.select("segment_id", key("segment_name").alias("key"), F.lit("name").alias("how")))
+    asks, known = _asks(t), t.segments.select("segment_id", "segment_name")
+    landmark = known.where("segment_id = 'SEG-0007'").select("segment_id", F.lit("Yogyakarta").alias("segment_name"))
+    names = known.select("segment_id", S.normalized_name(F.col("segment_id")).alias("key"), F.lit("id").alias("how")).unionByName(
+        known.union(landmark).select("segment_id", S.normalized_name(F.col("segment_name")).alias("key"), F.lit("name").alias("how"))
+    )
     longest = 4  # words of a name
     w = F.split("q", " ")
     run = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
