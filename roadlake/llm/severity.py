@@ -3,9 +3,10 @@
 P(grade <= k) = logistic(threshold_k - w . x): all thresholds share the weights w; x has a feature's count, as log(1 + n).
 Words are runs of letters (A-Z, a-z and bytes beyond ASCII), A-Z folded. Features are words and the beginnings of longer
 words (4 to 7 bytes), which languages with many endings need. Those count whose share in toxic documents differs
-significantly. They are chosen and fitted on at most `rows` labelled documents, those with the smallest hash of their id: a
-documented bound, and the only one. Grades beyond the two of a 0/1 label come from how many words of a toxic document
-show a feature of toxic documents: up to 2, 3 to 5, more.
+significantly, the `features` most significant ones. They are chosen and fitted on at most `rows` labelled documents, those with
+the smallest hash of their id: documented bounds of the model, so the driver holds `rows` times `features` counts at most, however long
+the texts are. Grades beyond the two of a 0/1 label come from how many words of a toxic document show a feature of toxic documents:
+up to 2, 3 to 5, more.
 
 A document is called toxic if P(grade > 0) reaches a cut that the labelled documents teach too: each of `FOLDS` folds is left
 out of choosing and fitting in turn and judged by the rest. Of the cuts that call at most `most_false` of the left-out clean
@@ -124,34 +125,38 @@ def found_features(words: np.ndarray, data: np.ndarray, offsets: np.ndarray) ->
     return doc[hit], at[hit], word[hit]
 
 
-def taught_features(words: np.ndarray):
-    """A row for each (document, word) that has chosen features, with these."""
+def taught_features(words: np.ndarray, shows_toxic: np.ndarray):
+    """A row for each document: its chosen features and how often it has them, and, for each way of choosing (a row of shows_toxic),
+    how many of its words show a feature of toxic documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 some = batch.slice(a, 256)
                 doc, at, word = found_features(words, *buffers(some.column(1)))
-                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(doc)), pa.array(at, pa.int32()), pa.array(word)], names=["doc_id", "feature", "word"])
+                pairs, times = np.unique(doc * max(1, len(words)) + at, return_counts=True)
+                cuts = np.searchsorted(pairs // max(1, len(words)), np.arange(some.num_rows + 1))
+                owner = np.zeros(int(word.max()) + 1 if len(word) else 0, np.int64)
+                owner[word] = doc
+                hits = np.stack([np.bincount(owner[np.unique(word[toxic[at]])], minlength=some.num_rows) for toxic in shows_toxic], 1)
+                listed = lambda x, cuts=cuts: pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(x, pa.int32()))
+                own = pa.ListArray.from_arrays(pa.array(np.arange(some.num_rows + 1) * len(shows_toxic), pa.int32()), pa.array(hits.ravel(), pa.int32()))
+                yield pa.RecordBatch.from_arrays([some.column(0), listed(pairs % max(1, len(words))), listed(times), own], names=["doc_id", "features", "times", "hits"])
 
     return run
 
 
 class Labelled:
-    """The labelled documents' chosen features, on the driver: bounded by the number of labelled documents."""
+    """The labelled documents' chosen features, on the driver: bounded by the numbers of labelled documents and of features."""
 
-    def __init__(self, toxic: np.ndarray, fold: np.ndarray, doc: np.ndarray, feature: np.ndarray, word: np.ndarray):
-        self.toxic, self.fold, self.doc, self.feature, self.word = toxic, fold, doc, feature, word
+    def __init__(self, toxic: np.ndarray, fold: np.ndarray, doc: np.ndarray, feature: np.ndarray, times: np.ndarray, hits: np.ndarray):
+        self.toxic, self.fold, self.doc, self.feature, self.value, self.hits = toxic, fold, doc, feature, np.log1p(times), hits
 
-    def fit(self, own: np.ndarray, chosen: np.ndarray, shows_toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def fit(self, own: np.ndarray, chosen: np.ndarray, way: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Weights of all features (0 where not chosen), thresholds, and P(grade > 0) of every document, fitted on `own` documents."""
         used = chosen[self.feature]
-        doc, feature, word = self.doc[used], self.feature[used], self.word[used]
-        toxic_words = np.unique(np.stack([doc, word], 1)[shows_toxic[feature]], axis=0)[:, 0]
-        hits = np.bincount(toxic_words, minlength=len(self.toxic))
-        grades = np.where(self.toxic, 1 + (hits >= 3) + (hits >= 6), 0)
-        pairs, times = np.unique(doc * len(chosen) + feature, return_counts=True)
-        row, column, value = pairs // len(chosen), pairs % len(chosen), np.log1p(times)
+        row, column, value = self.doc[used], self.feature[used], self.value[used]
+        grades = np.where(self.toxic, 1 + (self.hits[:, way] >= 3) + (self.hits[:, way] >= 6), 0)
         of_own, number = own[row], np.cumsum(own) - 1
         levels = np.unique(grades[own], return_inverse=True)[1]  # grades that no document has take no threshold
         weights, thresholds = fit_ordinal(number[row[of_own]], column[of_own], value[of_own], levels, len(chosen))
@@ -166,9 +171,9 @@ def significance(n: np.ndarray, bad: np.ndarray, share: float) -> np.ndarray:
 
 def learnt_cut(p: np.ndarray, toxic: np.ndarray, most_false: float) -> tuple[float, float, float]:
     """The cut, and the shares of toxic documents at or above it and of clean ones below it."""
-    values = np.unique(p)[::-1]
-    caught = (p[toxic][None] >= values[:, None]).mean(1)
-    false = (p[~toxic][None] >= values[:, None]).mean(1)
+    order = np.argsort(-p, kind="stable")
+    last = np.append(np.diff(p[order]) != 0, True)  # of equal scores
+    values, caught, false = p[order][last], (np.cumsum(toxic[order]) / toxic.sum())[last], (np.cumsum(~toxic[order]) / (~toxic).sum())[last]
     allowed = np.flatnonzero(false <= most_false)
     if not len(allowed):
         return 1.0, 0.0, 1.0
@@ -177,8 +182,8 @@ def learnt_cut(p: np.ndarray, toxic: np.ndarray, most_false: float) -> tuple[flo
     return float((values[best] + lower) / 2), float(caught[best]), float(1 - false[best])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, rows: int = 20_000, least_docs: int = 5, z: float = 5.0, most_false: float = 0.005, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """A model from at most `rows` labelled documents and every feature in `least_docs` of them with a significance of `z`."""
+def fit(docs: DataFrame, labels: DataFrame, *, rows: int = 20_000, features: int = 4096, least_docs: int = 3, z: float = 3.0, most_false: float = 0.005, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
+    """A model from at most `rows` labelled documents and the `features` most significant features in `least_docs` of them, from `z` on."""
     known = labels.select(F.col(doc_id).cast("long").alias("doc_id"), (F.col(label).cast("int") > 0).cast("int").alias("toxic"))
     known = known.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
@@ -199,25 +204,35 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = 20_000, least_docs: i
     counts = taught.select("text", "toxic", "fold").mapInArrow(counted_features, "word long, fold int, n long, bad long").groupBy("word")
     counts = counts.agg(*(F.coalesce(F.sum(F.when(F.lit(True) if i is None else F.col("fold") != i, F.col(c))), F.lit(0)).alias(f"{c}{j}") for j, i in enumerate(without) for c in ("n", "bad")))
     shares = [b / n if n else 0.0 for n, b in totals]
-    strong = [(F.col(f"n{j}") >= least_docs) & (F.abs(F.col(f"bad{j}") - s * F.col(f"n{j}")) >= z * F.sqrt(s * (1 - s) * F.col(f"n{j}"))) for j, s in enumerate(shares) if 0 < s < 1]
-    chosen = counts.where(reduce(lambda a, b: a | b, strong)).toArrow()
+    # of every way of choosing the most significant features: never more than `features` rows of each reach the driver
+    known = materialise(counts, "feature-counts")
+    best = []
+    for j, share in enumerate(shares):
+        if 0 < share < 1:
+            mark = F.when(F.col(f"n{j}") >= least_docs, F.abs(F.col(f"bad{j}") - share * F.col(f"n{j}")) / F.sqrt(share * (1 - share) * F.col(f"n{j}")))
+            best.append(known.withColumn("mark", mark).where(F.col("mark") >= z).orderBy(F.desc("mark"), "word").limit(features).drop("mark"))
+    chosen = reduce(DataFrame.unionByName, best).distinct().toArrow()
+    discard(known)
     words = chosen.column("word").to_numpy().view(np.uint64)
     order = np.argsort(words)
     words = words[order]
     n, bad = (np.stack([chosen.column(f"{c}{j}").to_numpy()[order] for j in range(len(without))]) for c in ("n", "bad"))
-    found = taught.select("doc_id", "text").mapInArrow(taught_features(words), "doc_id long, feature int, word long").toArrow()
-    discard(taught)
-    doc = np.searchsorted(known_docs.column("doc_id").to_numpy(), found.column("doc_id").to_numpy())
-    labelled = Labelled(toxic, fold, doc, found.column("feature").to_numpy(), found.column("word").to_numpy())
     marks = [np.where(n[j] >= least_docs, significance(n[j], bad[j], s), 0.0) for j, s in enumerate(shares)]
+    ways = np.stack([np.abs(m) >= max(z, np.sort(np.abs(m))[-features] if len(m) > features else 0.0) for m in marks])
+    found = taught.select("doc_id", "text").mapInArrow(taught_features(words, ways & (np.stack(marks) > 0)), "doc_id long, features array<int>, times array<int>, hits array<int>").orderBy("doc_id").toArrow()
+    discard(taught)
+    flat = [found.column(c).combine_chunks() for c in ("features", "times", "hits")]
+    flat = [pa.concat_arrays(x.chunks) if isinstance(x, pa.ChunkedArray) else x for x in flat]
+    sizes = np.diff(flat[0].offsets.to_numpy())
+    labelled = Labelled(toxic, fold, np.repeat(np.arange(len(toxic)), sizes), *(x.flatten().to_numpy().astype(np.int64) for x in flat[:2]), flat[2].flatten().to_numpy().reshape(len(toxic), -1))
 
     p, judged = np.zeros(len(toxic)), np.zeros(len(toxic), bool)
     for i in range(FOLDS):
         rest = fold != i
         if toxic[rest].any() and not toxic[rest].all():
-            p[~rest] = labelled.fit(rest, np.abs(marks[i]) >= z, marks[i] >= z)[2][~rest]
+            p[~rest] = labelled.fit(rest, ways[i], i)[2][~rest]
             judged |= ~rest
-    weights, thresholds, _ = labelled.fit(np.ones(len(toxic), bool), np.abs(marks[-1]) >= z, marks[-1] >= z)
+    weights, thresholds, _ = labelled.fit(np.ones(len(toxic), bool), ways[-1], FOLDS)
     if not (judged & toxic).any() or not (judged & ~toxic).any():
         return Model(words, weights, thresholds)
     return Model(words, weights, thresholds, *learnt_cut(p[judged], toxic[judged], most_false))
