@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Limits of a question, and what shows its topic, a greeting, a follow-up, a reference to something said, an attempt at injection.
@@ -42,6 +42,7 @@ OVERVIEW = (
     r"|\b(semua|seluruh|daftar|list)\s+(koridor|jalan|segmen|segment)\b"
     r"|\b(terendah|terkecil|tersedikit)\b|\bpaling\s+(rendah|kecil|sedikit)\b|\bnormal\b|\brata-rata\b"
 )
+# `THIS` does not count behind "apa " and "apakah ". As not every engine looks behind, what asks that way is taken out first.
 ASKING_WHAT, THIS = r"(?i)\b(apa|apakah)\s(ini|itu|tersebut)\b", r"(?i)\b(ini|itu|tersebut)\b"
 ACTIVITY = r"(?i)\b(potensi|aktivitas|activity)\b"
 PLACE = r"(?i)\b(daerah|wilayah|kawasan|zona|area|lokasi|sel|grid|hex)\b|\bdi\s+mana\b"
@@ -51,6 +52,21 @@ WHY = r"(?i)^\s*(kenapa|mengapa|kok|gimana|bagaimana)\b"
 ADVICE = r"(?i)\b(intervensi|prioritas|rekomendasi|rekomendasikan|saran|sarankan|solusi|strategi|langkah|atasi|mengatasi|perbaiki|perbaikan|asi|avoid|shift|improve)\b"
 STOP = r"(?i)\b(halte|bus ?stop|terminal|shelter|trayek|pemberhentian)\b"
 STOP_RANKING = r"(?i)\b(best|worst|terbaik|terburuk|terbagus|terjelek|paling\s+(baik|bagus|buruk|jelek)|tertinggi|terendah|terbesar|terkecil|ranking|peringkat)\b"
+AREA = r"(?i)\b(grid|sel|hex|daerah|wilayah|kawasan|zona|area)\b"
+# Questions about the project itself.
+ABOUT = (
+    r"\b(apa itu|apakah itu|apa sih|what is|what's)\b.*\b(ecotraffic|eco ?traffic|aplikasi|dasbor|dashboard|proyek|project|webgis|situs|sistem)\b",
+    r"\beco ?traffic\b",
+    r"\b(apa bedanya|bedanya|beda|perbedaan|difference)\b.*\b(live|replay|real ?time|histori|historis|riwayat|mode)\b",
+    r"\b(mode)\s+(live|replay)\b",
+    r"\b(apa itu|apakah|what is|cara hitung|gimana cara|bagaimana cara|dari apa|terdiri dari|komponen|unsur)\b.*\b(skor|ranking|peringkat|potensi|aktivitas|activity|ahp)\b",
+    r"\b(klasifikasi|kelas|tier|tingkatan)\b.*\b(potensi|aktivitas|ahp)\b",
+    r"\b(apa itu|what is|cara hitung|gimana cara|bagaimana cara|dari mana|rumus|how)\b.*\b(emisi|emission|kg ?/ ?jam|gram per jam)\b",
+    r"\b(data|datanya)\b.*\b(dari mana|dari|bersumber|sumber|source|asal)\b",
+    r"\b(sumber|source)\b.*\b(data)\b",
+    r"\b(data)\b.*\b(fresh|stale|basi|kadaluarsa|terbaru|update|perkiraan)\b",
+    r"\b(kamu|anda|bang ?jo)\b.*\b(bisa apa|bisa apa saja|kemampuan|capabilities|ngapain)\b",
+)
 # Words of evidence in a survey's description, by what they are evidence of.
 EVIDENCE = {
     "facility": ("shelter", "halte", "bangku", "penerangan", "lampu", "rambu"),
@@ -60,37 +76,98 @@ EVIDENCE = {
 }
 
 
-def ascii_words(text: Column) -> Column:
-    """The text with every letter beyond ASCII as z, so that word boundaries are the same for every regular-expression library."""
-    return F.regexp_replace(text, r"[^\x00-\x7F]", "z")
+#: White space at the ends of a text, and control characters that a history loses.
+ENDS = r"^[\x09-\x0D\x1C-\x20\x85\p{Z}]+|[\x09-\x0D\x1C-\x20\x85\p{Z}]+$"
+CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
+MAX_TURNS, MAX_TURN = 10, 1000  # fixed values
+
+
+def stripped(text: Column) -> Column:
+    """Without white space of any alphabet at its ends."""
+    return F.regexp_replace(text, ENDS, "")
+
+
+def plain(text: Column) -> Column:
+    """The text for patterns that know ASCII only: a letter or digit beyond it is `_`, which is part of a word and in none that is looked
+    for; white space is a blank; anything else, as dashes, quotes and emoji, is `!`, which ends a word."""
+    x = F.regexp_replace(F.regexp_replace(text, r"[\x85\p{Z}]", " "), r"[^\x00-\x7F\p{L}\p{N}]", "!")
+    return F.regexp_replace(x, r"[^\x00-\x7F]", "_")
 
 
 def any_of(text: Column, patterns: Iterable[str]) -> Column:
-    return reduce(lambda a, b: a | b, [text.rlike(f"(?i){p}") for p in patterns])
+    """Whether one of the patterns is found; a dot is anything but a line feed, as everywhere else."""
+    return reduce(lambda a, b: a | b, [text.rlike(f"(?id){p}") for p in patterns])
 
 
 def screened(text: Column) -> Column:
-    """Why a question is turned away: empty, too_long, injection or out_of_scope; pass if it isn't."""
-    whole = F.trim(F.coalesce(text, F.lit("")))
-    x = ascii_words(whole)
+    """What becomes of a question: empty, too_long, injection and out_of_scope are turned away; pass, and no_scope_match, which is about
+    the project itself, are answered."""
+    whole = stripped(F.coalesce(text, F.lit("")))
+    x = plain(whole)
     fits = x.rlike(TOPIC) | x.rlike(GREETING) | (x.rlike(FOLLOW_UP) & x.rlike(SAID))
-    short = F.size(F.regexp_extract_all(x, F.lit("([a-zA-Z]+)"), 1)) < MIN_WORDS
-    return F.when(whole == "", "empty").when(F.length(whole) > MAX_QUERY, "too_long").when(any_of(x, INJECTION), "injection").when(fits | short, "pass").otherwise("out_of_scope")
+    short = F.size(F.regexp_extract_all(whole, F.lit("([a-zA-Z]+)"), 1)) < MIN_WORDS
+    return (
+        F.when(whole == "", "empty").when(F.length(whole) > MAX_QUERY, "too_long").when(any_of(x, INJECTION), "injection")
+        .when(fits, "pass").when(any_of(x, ABOUT), "no_scope_match").when(short, "pass").otherwise("out_of_scope")
+    )
+
 
+def sanitized(text: Column) -> Column:
+    """A turn of a history: no control characters, no attempts at injection, cut and then stripped."""
+    x = F.regexp_replace(F.coalesce(text, F.lit("")), CONTROL, "")
+    for p in INJECTION:
+        x = F.regexp_replace(x, f"(?i){p}", "")
+    return stripped(F.substring(x, 1, MAX_TURN))
 
-def scope(text: Column) -> Column:
-    """What a question is about: stops ranked, a stop, activity of areas, all corridors, what is selected, or a name to resolve."""
-    x = ascii_words(text)
-    this = F.regexp_replace(x, ASKING_WHAT, "").rlike(THIS)
-    ranked_stops = x.rlike(STOP) & x.rlike(STOP_RANKING)
-    activity = ~this & ~x.rlike(ROAD) & x.rlike(ACTIVITY) & (x.rlike(PLACE) | x.rlike(RANKING) | F.lower(x).contains("potensi"))
-    overview = ~this & (x.rlike(OVERVIEW) | x.rlike(RANKING))
-    return F.when(ranked_stops, "bus_stops").when(x.rlike(STOP), "stop").when(activity, "hex_activity").when(overview, "overview").when(this, "selection").otherwise("name")
+
+def points_at(x: Column) -> Column:
+    """Whether a question means what is selected ("this", "that"); x is a text of plain()."""
+    return F.regexp_replace(x, ASKING_WHAT, "").rlike(THIS)
+
+
+def dispatched(text: Column, stop: Column, cell: Column, segment: Column, named_stop: Column, named: Column, ambiguous: Column, crossing: Column) -> Column:
+    """kind, target and resolved of a question, whose selection is stop, cell and segment (each null where nothing is selected).
+
+    named_stop: the stop whose name the question holds; named: the segments that it means, as one text; ambiguous: whether its name fits
+    several; crossing: the segments that cross the selected cell. What the question itself names is resolved; falling back to
+    the selection, or to the overview, is not. A question that points at what isn't selected asks back.
+    """
+    x = plain(F.coalesce(text, F.lit("")))
+    nothing = F.lit(None).cast("string")
+    go = lambda kind, target=nothing, resolved=True: F.struct(F.lit(kind).alias("kind"), target.cast("string").alias("target"), F.lit(resolved).alias("resolved"))
+    this, stops, roads, areas = points_at(x), x.rlike(STOP), x.rlike(ROAD), x.rlike(AREA)
+    ranking = x.rlike(RANKING)
+    activity = ~this & ~roads & x.rlike(ACTIVITY) & (x.rlike(PLACE) | ranking | F.lower(x).contains("potensi"))
+    overview = ~this & (x.rlike(OVERVIEW) | ranking)
+    ask = lambda what: go("clarify", F.lit(what))
+    pointed = (
+        F.when(stops, F.when(stop.isNotNull(), go("stop", stop)).otherwise(ask("stop")))
+        .when(roads, F.when(segment.isNotNull(), go("segment", segment)).when(cell.isNotNull() & crossing.isNotNull(), go("segment", crossing)).otherwise(ask("segment")))
+        .when(areas, F.when(cell.isNotNull(), go("hex", cell)).otherwise(ask("hex")))
+        .when(cell.isNotNull(), go("hex", cell)).when(stop.isNotNull(), go("stop", stop)).when(segment.isNotNull(), go("segment", segment)).otherwise(ask("any"))
+    )
+    return (
+        F.when(stops & x.rlike(STOP_RANKING), go("bus_stops"))
+        .when(stops & stop.isNotNull() & (this | ~ranking), go("stop", stop))
+        .when(stops & named_stop.isNotNull(), go("stop", named_stop))
+        .when(activity, go("hex_activity")).when(overview, go("overview")).when(any_of(x, ABOUT), go("meta"))
+        .when(this, pointed)
+        .when(named.isNotNull(), go("segment", named)).when(F.coalesce(ambiguous, F.lit(False)), go("ambiguous"))
+        .when(cell.isNotNull(), go("hex", cell, False)).when(stop.isNotNull(), go("stop", stop, False)).when(segment.isNotNull(), go("segment", segment, False))
+        .otherwise(go("overview", resolved=False))
+    )
 
 
 def intent(text: Column) -> Column:
     """analysis for questions that want a recommendation; greeting; general."""
-    x = ascii_words(text)
+    x = plain(F.coalesce(text, F.lit("")))
     explains = x.rlike(WHY) & ~x.rlike(ADVICE)
     wants = x.rlike(INTERVENTION) & ~(x.rlike(STOP) & x.rlike(STOP_RANKING))
     return F.when(explains, "general").when(wants, "analysis").when(x.rlike(GREETING), "greeting").otherwise("general")
+
+
+def history(turns: DataFrame, conversation: str, order: str) -> DataFrame:
+    """The last MAX_TURNS turns (conversation, order, role, content) of each conversation that users and assistants said, sanitized; empty ones don't count."""
+    said = turns.where(F.col("role").isin("user", "assistant")).select(conversation, order, "role", sanitized(F.col("text")).alias("content")).where("content <> ''")
+    rank = F.row_number().over(Window.partitionBy(conversation).orderBy(F.desc(order)))
+    return said.withColumn("_rank", rank).where(F.col("_rank") <= MAX_TURNS).drop("_rank")

@@ -47,7 +47,8 @@ def quintile(rank: Column, total: Column) -> Column:
 
 
 def quintile_label(tier: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, QUINTILES)), tier)
+    # element_at() of an array without nulls passes for never null, so a missing place has to be asked for
+    return F.when(tier.isNotNull(), F.element_at(F.array(*map(F.lit, QUINTILES)), tier))
 
 
 def tier_of_label(label: Column) -> Column:

@@ -38,3 +38,14 @@ def filled(dense: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
 def canonical_hour(hour, anchor):
     """An hour of the day on the 24-hour profile that ends at the anchor (both in epoch seconds)."""
     return (anchor - F.pmod((F.floor(anchor / 3600) % 24) - hour, F.lit(24)) * 3600).cast("long")
+
+
+def anchor(samples: DataFrame) -> DataFrame:
+    """One row, the start of the profile's last hour: the newest of the replayed samples, or of all where none is replayed."""
+    replayed = F.max(F.when(F.col("source_mode") == "REPLAY", F.col("period_start")))
+    return samples.agg(F.coalesce(replayed, F.max("period_start")).alias("anchor"))
+
+
+def available_hours(anchors: DataFrame, hours: int = 24) -> DataFrame:
+    """The profile's hours, oldest first; none without an anchor."""
+    return anchors.where("anchor IS NOT NULL").select(F.explode(F.sequence(F.lit(hours - 1), F.lit(0))).alias("_ago"), "anchor").select((F.col("anchor") - F.col("_ago") * 3600).cast("long").alias("hour"))

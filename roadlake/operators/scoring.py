@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadlake.functions.scalars import min_max_1, min_max_100, quintile, quintile_label, weighted_available
+from roadlake.operators.spatial import nearest
+from roadlake.scratch import written
 
 # Weights of the score of a cell and of a stop.
 CELL_WEIGHTS = {"volume": 0.538961038961039, "poi": 0.2972582972582973, "population": 0.16378066378066378}
@@ -45,7 +47,7 @@ def ranked(df: DataFrame, score: str, tie: str, descending: bool = False, rank:
 
 
 def classed(df: DataFrame, rank: str = "rank", total: str = "total") -> DataFrame:
-    tier = quintile(F.col(rank), F.col(total))
+    tier = F.when(F.col(rank).isNotNull(), quintile(F.col(rank), F.col(total)))
     return df.withColumn("tier", tier).withColumn("class", quintile_label(tier))
 
 
@@ -64,23 +66,82 @@ def cell_score(volume: Column, poi: Column, population: Column) -> Column:
     return CELL_WEIGHTS["volume"] * volume + CELL_WEIGHTS["poi"] * poi + CELL_WEIGHTS["population"] * population
 
 
-def hour_scores(cells: DataFrame, volumes: DataFrame, borrowed: DataFrame, keys: list[str]) -> DataFrame:
-    """Scores, ranks and classes of all cells for each of keys (an hour, say).
+def ranked_within(df: DataFrame, keys: list[str], score: str, tie: str, rank: str = "rank", parts: int = 64, sample: int = 16) -> DataFrame:
+    """The position of every row in the order of (score downward, tie) among the rows of its keys, however many they are; null without score.
 
-    volumes: (keys, hex_id, volume) observed; borrowed: (keys, hex_id, source_id) the nearest observed cell of the others. Observed
-    volumes set the range; a key without any takes the cells' own means and their range. Cells without either have no score.
+    In two levels: each key's bounds are taken from `sample * parts` of its rows, those with the smallest hash, and written, so that a row's bucket
+    is a function of the row; a position is the place in the bucket and the sizes of the buckets before. No window has more than a bucket of a key.
     """
+    place = F.struct((-F.col(score).cast("double")).alias("value"), F.col(tie).alias("tie"))
+    scored = df.where(F.col(score).isNotNull()).withColumn("_place", place)
+    few = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("_place"), "_place"))
+    some = scored.select(*keys, "_place", few.alias("_few")).where(F.col("_few") <= sample * parts)  # the window's limit is applied before the shuffle
+    cuts = some.groupBy(*keys).agg(F.sort_array(F.collect_list("_place")).alias("_some"))
+    every = F.greatest(F.lit(1), F.floor(F.size("_some") / parts).cast("int"))
+    bounds = written(cuts.select(*keys, F.filter("_some", lambda x, i: (i > 0) & (i % every == 0)).alias("_bounds")), "bounds")
+    dealt = scored.join(bounds, keys).withColumn("_b", F.size(F.filter("_bounds", lambda b: b <= F.col("_place")))).drop("_bounds")
+    inside = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_place"))
+    sizes = dealt.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = dealt.withColumn("_r", inside).join(sizes.select(*keys, "_b", before.alias("_before")), [*keys, "_b"])
+    placed = placed.withColumn(rank, F.col("_r") + F.col("_before")).drop("_b", "_r", "_before", "_place")
+    return placed.unionByName(df.where(F.col(score).isNull()).withColumn(rank, F.lit(None).cast("long")))
+
+
+def borrowed_cells(cells: DataFrame, volumes: DataFrame, keys: list[str], asked: DataFrame) -> DataFrame:
+    """keys, hex_id, source_id: for the cells without a volume of their own, the nearest cell (lon, lat) that has one for the same keys.
+
+    The nearest cell of all that ever have a volume is found once a cell, not once a key; where it has one for a key it is the answer. The rest is
+    searched once for each different set of observed cells, not for each key.
+    """
+    digest = F.xxhash64("hex_id")
+    of_key = volumes.groupBy(*keys).agg(F.concat_ws(":", F.count("*"), F.bit_xor(digest), F.sum(digest.cast("decimal(20,0)"))).alias("_set"))
+    of_key = written(of_key.join(asked, keys, "left_semi"), "observed-sets")
+    first = of_key.groupBy("_set").agg(F.min(F.struct(*keys)).alias("_k")).select("_set", *[F.col(f"_k.{k}").alias(k) for k in keys])
+    seen = written(volumes.join(first, keys).select("_set", "hex_id"), "observed-cells")
+    places = cells.select("hex_id", "lon", "lat").where("lon IS NOT NULL AND lat IS NOT NULL")
+    right = lambda df: df.join(places, "hex_id").select(*[c for c in df.columns if c != "hex_id"], F.col("hex_id").alias("source_id"), F.col("lon").alias("lon_r"), F.col("lat").alias("lat_r"))
+    once = nearest(places, right(seen.select("hex_id").distinct()), ["hex_id"], "source_id").select("hex_id", "source_id")
+    todo = of_key.select("_set").distinct().crossJoin(places.select("hex_id")).join(seen, ["_set", "hex_id"], "left_anti")  # the result's own rows
+    near = todo.join(once, "hex_id").join(seen.select("_set", F.col("hex_id").alias("source_id")), ["_set", "source_id"]).select("_set", "hex_id", "source_id")
+    near = written(near, "nearest-cells")
+    rest = todo.join(near, ["_set", "hex_id"], "left_anti").join(places, "hex_id")
+    far = nearest(rest, right(seen), ["_set", "hex_id"], "source_id", ["_set"]).select("_set", "hex_id", "source_id")
+    return of_key.join(near.unionByName(far), "_set").select(*keys, "hex_id", "source_id")
+
+
+# Why a cell has no volume of its own.
+MAPPED, UNMAPPED = "mapped_but_no_volume", "no_mapped_segment"
+
+
+def hour_scores(cells: DataFrame, volumes: DataFrame, keys: list[str], asked: DataFrame, mapped: DataFrame | None = None) -> DataFrame:
+    """Scores, ranks and classes of all cells for each of the keys asked for (hours, say), with where each volume is from.
+
+    volumes: (keys, hex_id, volume, and if known interpolated and segment_ids) as observed, a row a cell and key; mapped: (keys, hex_id) the cells
+    that any segment reaches, for the reason why a cell has no volume (else those of volumes). A cell without own volume takes the nearest observed
+    one's (status fallback, source_id), or its own mean where none can be found. The observed volumes of a key are its range; a key without any
+    takes the cells' own means, and their range. A cell without either has no score (no_data). All scored cells are ranked together.
+    """
+    for c, kind in (("interpolated", "boolean"), ("segment_ids", "array<string>")):
+        volumes = volumes if c in volumes.columns else volumes.withColumn(c, F.lit(None).cast(kind))
+    volumes = written(volumes.select(*keys, "hex_id", "volume", "interpolated", "segment_ids").join(asked, keys, "left_semi"), "volumes")
+    mapped = volumes.select(*keys, "hex_id") if mapped is None else mapped.select(*keys, "hex_id").distinct()
     spread = volumes.groupBy(*keys).agg(F.min("volume").alias("low"), F.max("volume").alias("high"))
-    source = volumes.select(*keys, F.col("hex_id").alias("source_id"), F.col("volume").alias("source_volume"))
-    df = cells.crossJoin(F.broadcast(spread))  # a row for each key: the 24 hours of a profile
-    df = df.join(volumes, [*keys, "hex_id"], "left").join(borrowed, [*keys, "hex_id"], "left").join(source, [*keys, "source_id"], "left")
+    own_range = cells.agg(F.min("volume_mean").alias("low0"), F.max("volume_mean").alias("high0"))  # one row
+    source = volumes.select(*keys, F.col("hex_id").alias("source_id"), F.col("volume").alias("source_volume"), F.col("interpolated").alias("source_interpolated"))
+    df = cells.crossJoin(asked)  # every cell for every key is the result
+    df = df.join(volumes, [*keys, "hex_id"], "left").join(borrowed_cells(cells, volumes, keys, asked), [*keys, "hex_id"], "left").join(source, [*keys, "source_id"], "left")
+    df = df.join(spread, keys, "left").crossJoin(F.broadcast(own_range)).join(mapped.withColumn("_mapped", F.lit(True)), [*keys, "hex_id"], "left")
     used = F.coalesce("volume", "source_volume", "volume_mean")
-    df = df.withColumn("used", used).withColumn("status", F.when(F.col("volume").isNotNull(), "live").when(used.isNotNull(), "fallback").otherwise("no_data"))
-    norm = min_max_100(F.col("used"), F.col("low"), F.col("high"))
-    df = df.withColumn("score", cell_score(norm, F.col("norm_poi"), F.col("norm_population")))
-    order, whole = Window.partitionBy(*keys).orderBy(F.desc_nulls_last("score"), "hex_id"), Window.partitionBy(*keys)
-    scored = F.col("score").isNotNull()
-    return classed(df.withColumn("rank", F.when(scored, F.row_number().over(order))).withColumn("total", F.when(scored, F.count("score").over(whole))))
+    live = F.col("volume").isNotNull()
+    df = df.withColumn("used", used).withColumn("status", F.when(live, "live").when(used.isNotNull(), "fallback").otherwise("no_data"))
+    df = df.withColumn("interpolated", F.coalesce(F.when(live, F.col("interpolated")).otherwise(F.col("source_interpolated")), F.lit(False)))
+    df = df.withColumn("reason", F.when(~live, F.when(F.col("_mapped"), MAPPED).otherwise(UNMAPPED)))
+    df = df.withColumn("norm", min_max_100(F.col("used"), F.coalesce("low", "low0"), F.coalesce("high", "high0")))
+    df = df.withColumn("score", F.when(used.isNotNull(), cell_score(F.col("norm"), F.col("norm_poi"), F.col("norm_population")))).drop("low", "high", "low0", "high0", "_mapped")
+    df = written(df, "scored-cells")
+    totals = df.groupBy(*keys).agg(F.count("score").alias("total"))
+    return classed(ranked_within(df, keys, "score", "hex_id").join(totals, keys).withColumn("total", F.when(F.col("score").isNotNull(), F.col("total"))))
 
 
 def stop_scores(stops: DataFrame, accessibility: DataFrame) -> DataFrame:

@@ -25,33 +25,40 @@ def within_distance(left: DataFrame, right: DataFrame, metres: float, max_lat: f
     return l.join(r, ["_x", "_y"]).drop("_x", "_y").withColumn("distance_m", d).where(F.col("distance_m") <= metres)
 
 
-def nearest(left: DataFrame, right: DataFrame, key: list[str], right_id: str, groups: list[str] | None = None, cell: float = 0.01, carry: list[str] | None = None) -> DataFrame:
+#: The width in degrees of the smallest cells in which nearest points are sought (about 5 cm), and how much wider those of the next size are.
+FINEST, WIDER = 0.01 / 4**7, 4
+
+
+def nearest(left: DataFrame, right: DataFrame, key: list[str], right_id: str, groups: list[str] | None = None, carry: list[str] | None = None, finest: float = FINEST) -> DataFrame:
     """key, right_id, d2 and the right columns to carry: the nearest right point (planar, in degrees) of each left row, ties to the smaller id.
 
-    Cells of several sizes, each four times the last. A cell that has left points takes the smallest size whose 3 x 3 cells around it hold a
-    right point; that point is no further than the cells of the next size reach, so the 3 x 3 cells of that size surely have the nearest of every
-    point in the cell. These candidates of a cell meet its points. All joins are equi-joins on cells, whatever the data: no rounds, no pairs of all
-    with all. A left row whose group has no right point is in no result.
+    Of right points in one place only the smallest id can be nearest, so each place counts once. Cells have several sizes, each four times the last,
+    from `finest` to the whole plane. A left cell of the smallest size takes the first size whose 3 x 3 cells around it hold a right point; that
+    point is no further than the cells of the next size reach, so the 3 x 3 cells of that size surely have the nearest of every point in the cell.
+    The denser the right points, the smaller these cells: a left point meets about a hundred of them, however many there are. All joins are
+    equi-joins on cells, whatever the data: no rounds, no pairs of all with all. A left row whose group has no right point, or that has no place,
+    is in no result.
     """
-    last = next(k for k in range(64) if cell * 4**k > 720) + 1
+    last = next(k for k in range(64) if finest * WIDER**k > 720) + 1
     groups, carry = groups or [], carry or []
-    at = lambda c: F.floor(F.col(c) / cell)
+    at = lambda c: F.floor(F.col(c) / finest)
     levels = F.explode(F.sequence(F.lit(0), F.lit(last))).alias("_level")
     up = lambda c: F.expr(f"shiftright({c}, 2 * _level)")  # noqa: E731  a cell of a size lies in one of the next
     around = lambda df: df.withColumn("_i", F.explode(F.array(*[F.lit(d) for d in range(9)]))).withColumn("_u", F.expr("_u + _i div 3 - 1")).withColumn("_v", F.expr("_v + _i % 3 - 1")).drop("_i")
     coarse = lambda df, *keep: df.select(*groups, *keep, "_x", "_y", levels).withColumn("_u", up("_x")).withColumn("_v", up("_y"))
     place = [*groups, "_level", "_u", "_v"]
-    l, r = left.withColumn("_x", at("lon")).withColumn("_y", at("lat")), right.withColumn("_x", at("lon_r")).withColumn("_y", at("lat_r"))  # noqa: E741
-    occupied = around(coarse(r.select(*groups, "_x", "_y").distinct()).select(*place).distinct()).distinct()
+    r = right.groupBy(*groups, "lon_r", "lat_r").agg(F.min(F.struct(right_id, *carry)).alias("_of")).withColumn("_x", at("lon_r")).withColumn("_y", at("lat_r"))
+    l = left.withColumn("_x", at("lon")).withColumn("_y", at("lat"))  # noqa: E741
+    occupied = around(coarse(r).select(*place).distinct()).distinct()
     own = [*groups, "_x", "_y"]
     fits = coarse(l.select(*own).distinct()).join(occupied, place, "left_semi").groupBy(*own).agg((F.min("_level") + 1).alias("_level"))
     asked = around(fits.withColumn("_u", up("_x")).withColumn("_v", up("_y")))
-    rights = coarse(r, "lon_r", "lat_r", right_id, *carry).drop("_x", "_y")
-    candidates = asked.join(rights, place).select(*own, "lon_r", "lat_r", right_id, *carry)
+    rights = coarse(r, "lon_r", "lat_r", "_of").drop("_x", "_y")
+    candidates = asked.join(rights, place).select(*own, "lon_r", "lat_r", "_of")
     d2 = F.pow(F.col("lon") - F.col("lon_r"), 2) + F.pow(F.col("lat") - F.col("lat_r"), 2)
     met = l.select(*dict.fromkeys([*key, *own]), "lon", "lat").join(candidates, own).withColumn("d2", d2)
-    best = met.groupBy(*key).agg(F.min(F.struct("d2", right_id, *carry)).alias("b"))
-    return best.select(*key, *(F.col(f"b.{c}").alias(c) for c in (right_id, "d2", *carry)))
+    best = met.groupBy(*key).agg(F.min(F.struct("d2", "_of")).alias("b"))
+    return best.select(*key, *(F.col("b.d2" if c == "d2" else f"b._of.{c}").alias(c) for c in (right_id, "d2", *carry)))
 
 
 def point_line_m(lon: Column, lat: Column, lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:

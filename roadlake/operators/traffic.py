@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadlake.functions.scalars import bucket, half_up
+from roadlake.functions.scalars import bucket, freshness, half_up
 from roadlake.operators.facts import first_of
 from roadlake.schema import CATEGORIES, DISTANCE_FACTORS, FUEL_FACTORS, FUEL_GRAMS, POLLUTANTS
 
@@ -196,3 +196,23 @@ def reconciliation(windows: DataFrame, done: DataFrame, width: int, back: int =
     start = F.when(F.col("_next") >= usual + most * width, F.col("_next") - back * width).otherwise(usual)
     begin = ends.select("segment_id", start.alias("_start"))
     return windows.join(begin, "segment_id").where((F.col("window") >= F.col("_start")) & (F.col("window") < F.col("_start") + most * width)).drop("_start")
+
+
+def city_totals(cameras: DataFrame, newest: DataFrame, totals: list[tuple[str, int]], now: int, fresh: int, aging: int) -> DataFrame:
+    """One row: the sums, rounded to so many digits, of every camera's newest window, active or not, and counts of the active cameras.
+
+    cameras: camera_id, is_active, data_source; newest: a row a camera with last_captured_at and what is added up. Without any active camera all is zero.
+    """
+    df = cameras.select("camera_id", "is_active", "data_source").join(newest, "camera_id", "full")
+    active = F.coalesce(F.col("is_active"), F.lit(False))
+    status = freshness(F.lit(now) - F.col("last_captured_at"), fresh, aging)
+    count = lambda c: F.count_if(active & c)
+    last = F.max("last_captured_at")
+    df = df.agg(
+        count(F.lit(True)).alias("cameras"), count(F.col("data_source") == "LIVE").alias("live"), count(F.col("data_source") != "LIVE").alias("historical"),
+        count(status == "fresh").alias("fresh"), count(status == "stale").alias("stale"), last.alias("last_captured_at"), freshness(F.lit(now) - last, fresh, aging).alias("freshness_status"),
+        *[F.round(F.coalesce(F.sum(c), F.lit(0.0)), n).alias(c) for c, n in totals],
+    )
+    some = F.col("cameras") > 0
+    zero = [F.when(some, F.col(c)).otherwise(0.0).alias(c) for c, _ in totals]
+    return df.select("cameras", "live", "historical", "fresh", "stale", F.when(some, F.col("last_captured_at")).alias("last_captured_at"), F.when(some, F.col("freshness_status")).otherwise("unknown").alias("freshness_status"), *zero)

@@ -1,6 +1,6 @@
 """Named queries by subject; importing the modules registers them."""
 
-from roadlake.plans import contexts, details, queries, zones
+from roadlake.plans import contexts, details, grids, queries, questions, zones
 from roadlake.plans.queries import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "contexts", "details", "queries", "zones"]
+__all__ = ["ORACLES", "QUERIES", "contexts", "details", "grids", "queries", "questions", "zones"]

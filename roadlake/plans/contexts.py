@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadlake.functions import routing as RT
 from roadlake.functions import scalars as S
 from roadlake.operators import analytics as A
 from roadlake.operators import facts as FA
@@ -13,7 +12,7 @@ from roadlake.operators import records as R
 from roadlake.operators import scoring as SC
 from roadlake.operators import spatial as SP
 from roadlake.operators import traffic as T
-from roadlake.plans.queries import _CLIP, _HAV, _LATEST, KEPT, NOW, W6, _hex_sql, duck_with, facts_sql, query
+from roadlake.plans.queries import _CLIP, _HAV, _HEX_COLUMNS, _LATEST, _PRIMARY, KEPT, NOW, W6, _hex_sql, duck_with, facts_sql, hex_volumes, primary_cells, query
 from roadlake.schema import CATEGORIES, POLLUTANTS
 
 # ---- metrics and flags from JSON
@@ -150,14 +149,14 @@ def segment_for_stop(t):
     return _close(t).groupBy("stop_id").agg(F.min_by("segment_id", F.struct(F.round("distance_m", 6), "segment_id")).alias("segment_id"))
 
 
-def _crossed(t) -> DataFrame:
+def crossed_segments(t) -> DataFrame:
     return SP.lines_in_boxes(t.segments, t.hexes.select("hex_id", "lon", "lat"), "segment_id", "hex_id", 0.001)
 
 
 @query(duck_with("segments", "hexes", **_CLIP, n="select distinct hex_id, segment_name from o join segments using (segment_id)", r="select *, row_number() over (partition by hex_id order by segment_name) as rn from n") + "select hex_id, string_agg(segment_name, '|' order by segment_name) as names from r where rn <= 3 group by all")
 def hex_corridors(t):
     """The first three names of the segments that cross a cell."""
-    names = _crossed(t).join(t.segments.select("segment_id", "segment_name"), "segment_id").select("hex_id", "segment_name").distinct()
+    names = crossed_segments(t).join(t.segments.select("segment_id", "segment_name"), "segment_id").select("hex_id", "segment_name").distinct()
     rank = F.row_number().over(Window.partitionBy("hex_id").orderBy("segment_name"))
     first = names.withColumn("rank", rank).where("rank <= 3").groupBy("hex_id").agg(F.array_sort(F.collect_list("segment_name")).alias("names"))
     return first.select("hex_id", F.array_join("names", "|").alias("names"))
@@ -182,7 +181,7 @@ def segment_evidence(t) -> DataFrame:
     high = t.hexes.where(F.col("volume_mean") >= _HIGH).select("hex_id", "lon", "lat")
     near = SP.within_distance(high, t.stops.select(F.col("lon").alias("lon_r"), F.col("lat").alias("lat_r")), 500).select("hex_id").distinct()
     bare = high.join(near, "hex_id", "left_anti").select("hex_id", F.lit(True).alias("bare"))
-    cells = _crossed(t).join(t.hexes.select("hex_id", "volume_mean"), "hex_id").join(bare, "hex_id", "left").groupBy("segment_id").agg(
+    cells = crossed_segments(t).join(t.hexes.select("hex_id", "volume_mean"), "hex_id").join(bare, "hex_id", "left").groupBy("segment_id").agg(
         F.count("*").alias("hex_count"), F.round(F.avg("volume_mean"), 4).alias("avg_score"), F.max("volume_mean").alias("max_score"), F.count_if("bare").alias("gaps")
     )
     halts = _close(t).join(t.stops.select("stop_id", "ahp_score"), "stop_id").groupBy("segment_id").agg(
@@ -207,7 +206,7 @@ def coverage_report(t):
     active = t.cameras.where("is_active").select("camera_id")
     one = lambda df, name: df.agg(F.count("*").alias(name))
     parts = [
-        one(t.hexes, "hexes"), one(_crossed(t).select("hex_id").distinct(), "with_segment"), one(active, "active_cameras"), one(open_, "mapped_cameras"),
+        one(t.hexes, "hexes"), one(crossed_segments(t).select("hex_id").distinct(), "with_segment"), one(active, "active_cameras"), one(open_, "mapped_cameras"),
         one(active.join(open_, "camera_id", "left_anti"), "unmapped_cameras"), one(t.segments, "segments"), one(t.matching(FA.AnalyticsFilter(mode="REPLAY")).select("segment_id").distinct(), "with_replay"),
     ]
     out = parts[0]
@@ -243,20 +242,24 @@ def mapping_seed(t):
     return t.cameras.where("is_active").select("camera_id", "segment_id").join(open_, ["camera_id", "segment_id"], "left_anti")
 
 
-_LIVE_V = f"select 0 as hour, hex_id, round(sum({_SOME_V}), 6) as volume from (select * from (select *, row_number() over ({_LATEST}) as rn from kept) where rn = 1) f join (select segment_id, hex_id from (select *, row_number() over (partition by segment_id order by round(overlap, 9) desc, hex_id) as rn from o) where rn = 1) h using (segment_id) where {_ANY_V} group by all"
+_NEWEST = f"(select * from (select *, row_number() over ({_LATEST}) as rn from kept) where rn = 1) f"
+_LIVE_V = f"select 0 as hour, {_HEX_COLUMNS} from {_NEWEST} join {_PRIMARY} using (segment_id) where {_ANY_V} group by h.hex_id"
+_LIVE_SQL = _hex_sql(_LIVE_V, "select 0 as hour", f"select distinct 0 as hour, h.hex_id from {_NEWEST} join {_PRIMARY} using (segment_id)")
 _CELL = "concat(cast(cast(floor(h.lon / 0.0101) as int) as varchar), ':', cast(cast(floor(h.lat / 0.0101) as int) as varchar))"
-_LIVE_GRID = _hex_sql(_LIVE_V) + f", z as (select {_CELL} as cell, h.area, r.* exclude (area) from ranked r join hexes h using (hex_id)) select cell, count(*) as members, round(sum(area * score) / sum(area), 6) as score, case when bool_or(status = 'live') then 'live' when bool_or(status = 'fallback') then 'fallback' else 'no_data' end as status from z group by cell"
+_LIVE_GRID = _LIVE_SQL + f", z as (select {_CELL} as cell, h.area, r.* exclude (area) from ranked r join hexes h using (hex_id)) select cell, count(*) as members, round(sum(area * score) / sum(area) filter (score is not null), 6) as score, case when bool_or(status = 'live') then 'live' when bool_or(status = 'fallback') then 'fallback' else 'no_data' end as status from z group by cell"
 
 
 def live_scores(t) -> DataFrame:
     """Every cell's score, rank, class and status by the newest volumes of its segments."""
-    last = FA.latest(t.matching()).where(F.coalesce(*A.VEHICLES).isNotNull()).select("segment_id", R.total_of_some([F.col(c) for c in A.VEHICLES]).alias("v"))
-    cell = FA.first_of(_crossed(t), ["segment_id"], F.desc(F.round("overlap", 9)), F.asc("hex_id")).select("segment_id", "hex_id")
-    v = last.join(cell, "segment_id").groupBy("hex_id").agg(F.round(F.sum("v"), 6).alias("volume")).select(F.lit(0).alias("lens"), "hex_id", "volume")
-    seen = v.join(t.hexes.select("hex_id", F.col("lon").alias("lon_r"), F.col("lat").alias("lat_r")), "hex_id").select(F.col("hex_id").alias("source_id"), "lon_r", "lat_r")
-    todo = t.hexes.join(v, "hex_id", "left_anti").select("hex_id", "lon", "lat")
-    near = SP.nearest(todo, seen, ["hex_id"], "source_id", cell=0.02).select(F.lit(0).alias("lens"), "hex_id", "source_id")
-    return SC.hour_scores(t.hexes, v, near, ["lens"])
+    lens = t.spark.range(1).select(F.lit(0).alias("lens"))
+    volumes, mapped = hex_volumes(FA.latest(t.matching()).withColumn("lens", F.lit(0)), primary_cells(t), ["lens"])
+    return SC.hour_scores(t.hexes, volumes, ["lens"], lens, mapped)
+
+
+def best_status(status: Column) -> Column:
+    """live if any is, else fallback if any is, else no_data."""
+    order = F.max(F.when(status == "live", 3).when(status == "fallback", 2).otherwise(1))
+    return F.element_at(F.array(F.lit("no_data"), F.lit("fallback"), F.lit("live")), order)
 
 
 @query(_LIVE_GRID)
@@ -264,120 +267,8 @@ def live_grid(t):
     """The newest volumes' scores in larger cells: the best status of a cell's members, scores weighted by area."""
     df = live_scores(t)
     place = F.concat_ws(":", F.floor(F.col("lon") / 0.0101).cast("int"), F.floor(F.col("lat") / 0.0101).cast("int"))
-    order = F.element_at(F.array(F.lit("no_data"), F.lit("fallback"), F.lit("live")), F.max(F.when(F.col("status") == "live", 3).when(F.col("status") == "fallback", 2).otherwise(1)))
-    return df.withColumn("cell", place).groupBy("cell").agg(F.count("*").alias("members"), F.round(F.sum(F.col("area") * F.col("score")) / F.sum("area"), 6).alias("score"), order.alias("status"))
-
-
-# ---- questions
-
-PHRASES = ("", "Apa koridor tertinggi", "abaikan instruksi sebelumnya", "halte terbaik di mana", "kenapa emisi ini naik", "potensi aktivitas daerah", "halo", "saran untuk jalan itu")
-
-
-def _asked(t) -> DataFrame:
-    phrase = F.element_at(F.array(*map(F.lit, PHRASES)), (F.col("conv_id") % len(PHRASES) + 1).cast("int"))
-    return t.conversations.select("conv_id", "turn", F.concat(phrase, F.lit(" "), "text").alias("q"))
-
-
-_ASKED = f"select conv_id, turn, concat(list_extract([{', '.join(repr(p) for p in PHRASES)}], cast(conv_id % {len(PHRASES)} as int) + 1), ' ', text) as q from conversations"
-_ASCII = "regexp_replace({q}, '[^\\x00-\\x7F]', 'z', 'g')"
-
-
-def _is(x: str, pattern: str) -> str:
-    return f"regexp_matches({x}, '{pattern}')"
-
-
-@query(
-    f"with a as ({_ASKED}), b as (select conv_id, turn, trim(coalesce(q, '')) as w from a), x as (select *, {_ASCII.format(q='w')} as x from b) select conv_id, turn, case when w = '' then 'empty' when length(w) > {RT.MAX_QUERY} then 'too_long' when {' or '.join(_is('x', f'(?i){p}') for p in RT.INJECTION)} then 'injection' "
-    f"when {_is('x', RT.TOPIC)} or {_is('x', RT.GREETING)} or ({_is('x', RT.FOLLOW_UP)} and {_is('x', RT.SAID)}) or len(regexp_extract_all(x, '[a-zA-Z]+')) < {RT.MIN_WORDS} then 'pass' else 'out_of_scope' end as verdict from x"
-)
-def question_guard(t):
-    """Which questions pass: not empty, not too long, no injection, about the topic or too short to tell."""
-    return _asked(t).select("conv_id", "turn", RT.screened(F.col("q")).alias("verdict"))
-
-
-_THIS = f"regexp_matches(regexp_replace(x, '{RT.ASKING_WHAT}', '', 'g'), '{RT.THIS}')"
-_SCOPE = f"case when {_is('x', RT.STOP)} and {_is('x', RT.STOP_RANKING)} then 'bus_stops' when {_is('x', RT.STOP)} then 'stop' when not this and not {_is('x', RT.ROAD)} and {_is('x', RT.ACTIVITY)} and ({_is('x', RT.PLACE)} or {_is('x', RT.RANKING)} or contains(lower(x), 'potensi')) then 'hex_activity' when not this and ({_is('x', RT.OVERVIEW)} or {_is('x', RT.RANKING)}) then 'overview' when this then 'selection' else 'name' end"
-_INTENT = f"case when {_is('x', RT.WHY)} and not {_is('x', RT.ADVICE)} then 'general' when {_is('x', RT.INTERVENTION)} and not ({_is('x', RT.STOP)} and {_is('x', RT.STOP_RANKING)}) then 'analysis' when {_is('x', RT.GREETING)} then 'greeting' else 'general' end"
-
-
-@query(f"with a as ({_ASKED}), x as (select *, {_ASCII.format(q='q')} as x from a), y as (select *, {_THIS} as this from x) select conv_id, turn, {_SCOPE} as scope, {_INTENT} as intent from y")
-def question_scope(t):
-    """Where each question goes, and how it is to be answered."""
-    return _asked(t).select("conv_id", "turn", RT.scope(F.col("q")).alias("scope"), RT.intent(F.col("q")).alias("intent"))
-
-
-def _evidence_sql(words: tuple[str, ...]) -> str:
-    hits = " + ".join(f"cast(contains(lower(text), '{w}') as int)" for w in words)
-    return f"case when {hits} > 0 then cast(least(5.0, 1.0 + {hits}) as double) end"
-
-
-@query(f"select doc_id, {', '.join(f'{_evidence_sql(w)} as {k}' for k, w in RT.EVIDENCE.items())} from documents")
-def survey_evidence(t):
-    """Scores of the four kinds of evidence in a text, null where a text has none of a kind."""
-    return t.documents.select("doc_id", *[S.keyword_score(F.col("text"), w).alias(k) for k, w in RT.EVIDENCE.items()])
-
-
-# A question names a segment by id, by name (also by a short name), or shares at least two longer words with one name.
-_ASK = "case c_custkey % 6 when 0 then concat('emisi seg ', lpad(cast(c_custkey % 30 as varchar), 4, '0')) when 1 then concat('Emisi ', n_name, '!') when 2 then concat(n_name, ' dan ', 'NATION_1') when 3 then concat('laporan ', s_other, ' lengkap') when 4 then 'Jogja!' else concat(c_mktsegment, ' saja') end"
-
-
-def _asks(t) -> DataFrame:
-    k = F.col("c_custkey")
-    other = t.part.select(F.col("p_partkey").alias("o"), F.col("p_name").alias("s_other")).where("o <= 25")
-    c = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(other, k % 25 + 1 == F.col("o"))
-    q = (
-        F.when(k % 6 == 0, F.concat(F.lit("emisi seg "), F.lpad((k % 30).cast("string"), 4, "0"))).when(k % 6 == 1, F.concat(F.lit("Emisi "), "n_name", F.lit("!")))
-        .when(k % 6 == 2, F.concat("n_name", F.lit(" dan "), F.lit("NATION_1"))).when(k % 6 == 3, F.concat(F.lit("laporan "), "s_other", F.lit(" lengkap"))).when(k % 6 == 4, "Jogja!").otherwise(F.concat("c_mktsegment", F.lit(" saja")))
-    )
-    return c.select(k.alias("id"), S.normalized_name(q).alias("q"))
-
-
-_RESOLVE = {
-    "a": f"select c_custkey as id, case trim(regexp_replace(lower({_ASK}), '[^a-z0-9_]+', ' ', 'g')) when 'jogja' then 'yogyakarta' else trim(regexp_replace(lower({_ASK}), '[^a-z0-9_]+', ' ', 'g')) end as q from customer join nation on c_nationkey = n_nationkey join (select p_partkey as o, p_name as s_other from part where p_partkey <= 25) on c_custkey % 25 + 1 = o",
-    "named": "select segment_id, trim(regexp_replace(lower(segment_id), '[^a-z0-9_]+', ' ', 'g')) as key, 'id' as how from segments union all select segment_id, trim(regexp_replace(lower(segment_name), '[^a-z0-9_]+', ' ', 'g')), 'name' from segments union all select segment_id, 'yogyakarta', 'name' from segments where segment_id = 'SEG-0007' union all select segment_id, concat('seg nama ', p_name), 'long' from segments join part on p_partkey = cast(substr(segment_id, 5) as int) + 1",
-    "hits": "select id, how, count(distinct segment_id) as n, min(segment_id) as segment_id from a join named on contains(concat(' ', q, ' '), concat(' ', key, ' ')) where how <> 'long' group by all",
-    "words": "select segment_id, unnest(list_distinct(regexp_extract_all(key, '[a-z0-9]+'))) as word from named where how = 'long'",
-    "shared": "select id, segment_id, count(*) as n from (select id, unnest(list_distinct(list_filter(regexp_extract_all(q, '[a-z0-9]+'), lambda x: len(x) > 3))) as word from a) join words using (word) group by all",
-    "ranked": "select *, row_number() over (partition by id order by n desc, segment_id) as rn from shared",
-    "top": "select id, max(n) as best, arg_min(segment_id, rn) as segment_id, string_agg(segment_id, ',' order by rn) as candidates from ranked where rn <= 5 group by all",
-}
-
-
-@query(
-    duck_with("segments", **_RESOLVE)
-    + """select a.id, case when i.n = 1 then 'id' when i.n > 1 then 'ambiguous' when m.n = 1 then 'name' when m.n > 1 then 'ambiguous' when best >= 2 then 'words' else 'none' end as method,
-case when i.n = 1 then i.segment_id when i.n > 1 then null when m.n = 1 then m.segment_id when m.n > 1 then null when best >= 2 then t.segment_id end as segment_id,
-case when i.n is null and m.n is null and coalesce(best, 0) < 2 then candidates end as candidates
-from a left join (select * from hits where how = 'id') i using (id) left join (select * from hits where how = 'name') m using (id) left join top t using (id)"""
-)
-def question_entity(t):
-    """The segment that a question means: by id, else by name, else by shared longer words; several make it ambiguous, few words give candidates.
-
-    Names are looked up by the question's runs of words, so all joins are on equal texts. Abbreviations are written out on both sides, and a
-    question that is an alias stands for its name; one segment has a second name, which an alias means.
-    """
-    asks, known = _asks(t), t.segments.select("segment_id", "segment_name")
-    landmark = known.where("segment_id = 'SEG-0007'").select("segment_id", F.lit("Yogyakarta").alias("segment_name"))
-    names = known.select("segment_id", S.normalized_name(F.col("segment_id")).alias("key"), F.lit("id").alias("how")).unionByName(
-        known.union(landmark).select("segment_id", S.normalized_name(F.col("segment_name")).alias("key"), F.lit("name").alias("how"))
-    )
-    longest = 4  # words of a name
-    w = F.split("q", " ")
-    run = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
-    runs = F.flatten(F.array(*[run(n) for n in range(1, longest + 1)]))
-    hits = asks.select("id", F.explode(F.array_distinct(runs)).alias("key")).join(names, "key").groupBy("id", "how").agg(F.count_distinct("segment_id").alias("n"), F.min("segment_id").alias("segment_id"))
-    by = lambda how: hits.where(F.col("how") == how).select("id", F.col("n").alias(f"{how}_n"), F.col("segment_id").alias(f"{how}_segment"))
-    longer = t.segments.join(t.part, F.col("p_partkey") == F.substring("segment_id", 5, 9).cast("int") + 1).select("segment_id", F.explode(F.array_distinct(F.split(F.concat(F.lit("seg nama "), "p_name"), "[^a-z0-9]+"))).alias("word"))
-    own = asks.select("id", F.explode(F.array_distinct(F.filter(F.regexp_extract_all("q", F.lit("([a-z0-9]+)"), 1), lambda x: F.length(x) > 3))).alias("word"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "segment_id"))
-    top = own.join(longer, "word").groupBy("id", "segment_id").agg(F.count("*").alias("n")).withColumn("rn", rank).where("rn <= 5")
-    top = top.groupBy("id").agg(F.max("n").alias("best"), F.min_by("segment_id", "rn").alias("words_segment"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "segment_id"))), lambda x: x["segment_id"]), ",").alias("candidates"))
-    df = asks.join(by("id"), "id", "left").join(by("name"), "id", "left").join(top, "id", "left")
-    c = F.col
-    method = F.when(c("id_n") == 1, "id").when(c("id_n") > 1, "ambiguous").when(c("name_n") == 1, "name").when(c("name_n") > 1, "ambiguous").when(c("best") >= 2, "words").otherwise("none")
-    found = F.when(c("id_n") == 1, c("id_segment")).when(c("id_n") > 1, None).when(c("name_n") == 1, c("name_segment")).when(c("name_n") > 1, None).when(c("best") >= 2, c("words_segment"))
-    few = c("id_n").isNull() & c("name_n").isNull() & (F.coalesce(c("best"), F.lit(0)) < 2)
-    return df.select("id", method.alias("method"), found.alias("segment_id"), F.when(few, c("candidates")).alias("candidates"))
+    scored = F.when(F.col("score").isNotNull(), F.col("area"))
+    return df.withColumn("cell", place).groupBy("cell").agg(F.count("*").alias("members"), F.round(F.sum(F.col("area") * F.col("score")) / F.sum(scored), 6).alias("score"), best_status(F.col("status")).alias("status"))
 
 
 # ---- increments and lists

@@ -11,9 +11,9 @@ from roadlake.operators import profile as P
 from roadlake.operators import records as R
 from roadlake.operators import scoring as SC
 from roadlake.operators import traffic as T
-from roadlake.plans.contexts import _EVIDENCE, _LIVE_V, EVIDENCE, live_scores, segment_evidence, segment_for_stop
+from roadlake.plans.contexts import _EVIDENCE, _LIVE_SQL, EVIDENCE, live_scores, segment_evidence, segment_for_stop
 from roadlake.plans.contexts import hex_corridors as _corridors
-from roadlake.plans.queries import _CLASS, _FUEL_COLS, _MEANS, ANCHOR, _hex_sql, _snapshots, duck_with, facts_sql, query
+from roadlake.plans.queries import _CLASS, _FUEL_COLS, _MEANS, ANCHOR, _snapshots, duck_with, facts_sql, query
 from roadlake.schema import CATEGORIES, POLLUTANTS
 
 # ---- the city
@@ -21,6 +21,7 @@ from roadlake.schema import CATEGORIES, POLLUTANTS
 RATES = [(f"{p}_{u}", digits) for p in POLLUTANTS for u, digits in (("g_min", 2), ("kg_h", 4))]
 CITY_NOW, FRESH, AGING = 1706659200, 1800, 7200
 _AGE = f"greatest(0, {CITY_NOW} - last_captured_at)"
+_NOW_AGE = f"greatest(0, {CITY_NOW} - max(last_captured_at))"
 
 
 @query(
@@ -28,22 +29,16 @@ _AGE = f"greatest(0, {CITY_NOW} - last_captured_at)"
         "cameras", "observations", snaps=_snapshots(86400), means=_MEANS, em=f"select *, {_FUEL_COLS} from means",
         last="select * from (select *, row_number() over (partition by camera_id order by \"window\" desc) as rn from em) where rn = 1",
     )
-    + f"""select count(*) as cameras, count(*) filter (data_source = 'LIVE') as live, count(*) filter (data_source <> 'LIVE') as historical,
-count(*) filter ({_AGE} <= {FRESH}) as fresh, count(*) filter ({_AGE} > {AGING}) as stale, max(last_captured_at) as last_captured_at,
+    + f"""select count(*) filter (is_active) as cameras, count(*) filter (is_active and data_source = 'LIVE') as live, count(*) filter (is_active and data_source <> 'LIVE') as historical,
+count(*) filter (is_active and {_AGE} <= {FRESH}) as fresh, count(*) filter (is_active and {_AGE} > {AGING}) as stale, max(last_captured_at) as last_captured_at,
+case when {_NOW_AGE} <= {FRESH} then 'fresh' when {_NOW_AGE} <= {AGING} then 'aging' else 'stale' end as freshness_status,
 {', '.join(f'round(coalesce(sum({c}), 0), {n}) as {c}' for c, n in RATES)}, {', '.join(f'round(coalesce(sum({c}), 0), 4) as {c}' for c in CATEGORIES)}
-from cameras left join last using (camera_id) where is_active"""
+from cameras full join last using (camera_id)"""
 )
 def city_totals(t):
-    """All rates and vehicles of the active cameras' newest windows, added up, with how many cameras are live, fresh and stale."""
-    last = FA.first_of(T.window_means(t.observations, 86400), ["camera_id"], F.desc("window"))
-    df = t.cameras.where("is_active").join(last, "camera_id", "left")
-    status = S.freshness(F.lit(CITY_NOW) - F.col("last_captured_at"), FRESH, AGING)
-    total = lambda c, n: F.round(F.coalesce(F.sum(c), F.lit(0.0)), n).alias(c)
-    return df.agg(
-        F.count("*").alias("cameras"), F.count_if(F.col("data_source") == "LIVE").alias("live"), F.count_if(F.col("data_source") != "LIVE").alias("historical"),
-        F.count_if(status == "fresh").alias("fresh"), F.count_if(status == "stale").alias("stale"), F.max("last_captured_at").alias("last_captured_at"),
-        *[total(c, n) for c, n in RATES], *[total(c, 4) for c in CATEGORIES],
-    )
+    """All rates and vehicles of every camera's newest window, added up, with how many of the active cameras are live, fresh and stale."""
+    newest = FA.first_of(T.window_means(t.observations, 86400), ["camera_id"], F.desc("window"))
+    return T.city_totals(t.cameras, newest, RATES + [(c, 4) for c in CATEGORIES], CITY_NOW, FRESH, AGING)
 
 
 # ---- replays
@@ -89,10 +84,10 @@ _STATIC = {
 
 
 @query(
-    _hex_sql(_LIVE_V)
+    _LIVE_SQL
     + "".join(f", {k} as ({v})" for k, v in _STATIC.items())
     + f""" select h.hex_id, h.poi_total, h.area, round(static_score, 6) as static_score, cast(static_rank as int) as static_rank, case when static_rank is not null then {_CLASS.format(r='static_rank', n='n')} end as static_class,
-round(r.score, 6) as score, cast(r.rank as int) as rank, {_CLASS.format(r='r.rank', n='r.total')} as class, r.status as data_status, r.source as fallback_from, corridors
+round(r.score, 6) as score, cast(r.rank as int) as rank, case when r.rank is not null then {_CLASS.format(r='r.rank', n='r.total')} end as class, r.status as data_status, r.source as fallback_from, corridors
 from hexes h left join placed using (hex_id) join ranked r on r.hex_id = h.hex_id left join crossed on crossed.hex_id = h.hex_id"""
 )
 def hex_context(t):
@@ -103,7 +98,7 @@ def hex_context(t):
     plain = cells.where("volume_mean IS NOT NULL").crossJoin(F.broadcast(spread)).select("hex_id", SC.cell_score(norm, F.col("norm_poi"), F.col("norm_population")).alias("static_score"))
     placed = SC.classed(SC.with_total(SC.ranked(plain, "static_score", "hex_id", True, "static_rank")), "static_rank")
     placed = placed.select("hex_id", F.round("static_score", 6).alias("static_score"), F.col("static_rank").cast("int").alias("static_rank"), F.col("class").alias("static_class"))
-    now = live_scores(t).select("hex_id", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"), "class", F.col("status").alias("data_status"), F.col("source_id").alias("fallback_from"))
+    now = live_scores(t).select("hex_id", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"), "class", F.col("status").alias("data_status"), F.when(F.col("status") != "live", F.col("source_id")).alias("fallback_from"))
     corridors = _corridors(t).withColumnRenamed("names", "corridors")
     return cells.select("hex_id", "poi_total", "area").join(placed, "hex_id", "left").join(now, "hex_id").join(corridors, "hex_id", "left")
 

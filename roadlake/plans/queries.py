@@ -439,9 +439,13 @@ def csv_profile(t):
     return d.join(enough, "segment_id", "left_semi").groupBy("segment_id").agg(F.count("*").alias("hours"), F.count_if(~F.col("present")).alias("filled"), F.round(F.avg("co2"), 6).alias("observed_co2"))
 
 
-@query(facts_sql(extra={"m": "select max(period_start) as anchor from samples"}) + "select cast(h as bigint) as hour_of_day, cast(anchor - ((anchor // 3600 % 24 - h) % 24 + 24) % 24 * 3600 as bigint) as hour from m cross join (select unnest(range(24)) as h)")
+_ANCHORED = "select coalesce(max(period_start) filter (source_mode = 'REPLAY'), max(period_start)) as anchor from samples"
+
+
+@query(facts_sql(extra={"m": _ANCHORED}) + "select cast(h as bigint) as hour_of_day, cast(anchor - ((anchor // 3600 % 24 - h) % 24 + 24) % 24 * 3600 as bigint) as hour from m cross join (select unnest(range(24)) as h)")
 def profile_hour_map(t):
-    m = t.samples().agg(F.max("period_start").alias("anchor"))
+    """Each hour of the day on the profile, which ends at the newest replayed hour."""
+    m = P.anchor(t.samples())
     return m.select("anchor", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("h")).select(F.col("h").cast("long").alias("hour_of_day"), P.canonical_hour(F.col("h"), F.col("anchor")).alias("hour"))
 
 
@@ -465,48 +469,66 @@ _CLIP = {
     "o": "select segment_id, hex_id, (t1 - t0) * sqrt(dx * dx + dy * dy) as overlap from (select *, greatest(0.0, (x0 - lon1) / dx, (y0 - lat1) / dy) as t0, least(1.0, (x1 - lon1) / dx, (y1 - lat1) / dy) as t1 from c) where t1 >= t0",
 }
 
-_HEX_OBS = "select f.period_start as hour, h.hex_id, round(sum(coalesce(car_veh_h, 0) + coalesce(motorcycle_veh_h, 0) + coalesce(bus_veh_h, 0) + coalesce(truck_veh_h, 0)), 6) as volume from samples f join (select segment_id, hex_id from (select *, row_number() over (partition by segment_id order by round(overlap, 9) desc, hex_id) as rn from o) where rn = 1) h using (segment_id) where coalesce(car_veh_h, motorcycle_veh_h, bus_veh_h, truck_veh_h) is not null group by all"
+_INTERPOLATED = "k % 6 = 0"  # of a fact, as its raw record says
+_PRIMARY = "(select segment_id, hex_id from (select *, row_number() over (partition by segment_id order by round(overlap, 9) desc, hex_id) as rn from o) where rn = 1) h"
+_SOME_VOLUME = "coalesce(car_veh_h, motorcycle_veh_h, bus_veh_h, truck_veh_h) is not null"
+_HEX_COLUMNS = f"h.hex_id, round(sum(coalesce(car_veh_h, 0) + coalesce(motorcycle_veh_h, 0) + coalesce(bus_veh_h, 0) + coalesce(truck_veh_h, 0)), 6) as volume, bool_or({_INTERPOLATED}) as interpolated, string_agg(segment_id, ',' order by segment_id) as segment_ids"
+_HEX_OBS = f"select f.period_start as hour, {_HEX_COLUMNS} from samples f join {_PRIMARY} using (segment_id) where {_SOME_VOLUME} group by f.period_start, h.hex_id"
+_HEX_MAPPED = f"select distinct f.period_start as hour, h.hex_id from samples f join {_PRIMARY} using (segment_id)"
+#: All hours with a fact, and one without any.
+_HEX_HOURS = "select distinct period_start as hour from samples union select max(period_start) + 3600 from samples"
 
 
-def _hex_volumes(t) -> DataFrame:
-    """Observed volume of the cell that holds most of each segment's line, by hour. Facts without any volume count nowhere."""
-    some = reduce(lambda a, b: a + b, [F.coalesce(F.col(c), F.lit(0.0)) for c in A.VEHICLES])
+def primary_cells(t) -> DataFrame:
+    """The cell that holds most of each segment's line."""
     inside = SP.lines_in_boxes(t.segments, t.hexes.select("hex_id", "lon", "lat"), "segment_id", "hex_id", 0.001)
-    cell = FA.first_of(inside, ["segment_id"], F.desc(F.round("overlap", 9)), F.asc("hex_id")).select("segment_id", "hex_id")
-    f = t.samples().where(F.coalesce(*A.VEHICLES).isNotNull()).select("segment_id", F.col("period_start").alias("hour"), some.alias("v"))
-    return f.join(cell, "segment_id").groupBy("hour", "hex_id").agg(F.round(F.sum("v"), 6).alias("volume"))
+    return FA.first_of(inside, ["segment_id"], F.desc(F.round("overlap", 9)), F.asc("hex_id")).select("segment_id", "hex_id")
+
+
+def hex_volumes(facts: DataFrame, cell: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """volumes and mapped of hour_scores from facts with those keys. Facts without any volume count nowhere, but their cells are mapped."""
+    some = reduce(lambda a, b: a + b, [F.coalesce(F.col(c), F.lit(0.0)) for c in A.VEHICLES])
+    placed = facts.withColumn("v", some).withColumn("gap", F.col("k") % 6 == 0).join(cell, "segment_id")
+    seen = placed.where(F.coalesce(*A.VEHICLES).isNotNull()).groupBy(*keys, "hex_id")
+    volumes = seen.agg(F.round(F.sum("v"), 6).alias("volume"), F.bool_or("gap").alias("interpolated"), F.sort_array(F.collect_list("segment_id")).alias("segment_ids"))
+    return volumes, placed.select(*keys, "hex_id").distinct()
 
 
 def _hex_scores(t) -> DataFrame:
-    cells, v = t.hexes, _hex_volumes(t)
-    hours = v.select("hour").distinct()
-    todo = cells.select("hex_id", "lon", "lat").crossJoin(F.broadcast(hours)).join(v.select("hour", "hex_id"), ["hour", "hex_id"], "left_anti")  # a row for each hour of a profile
-    seen = v.join(cells.select("hex_id", F.col("lon").alias("lon_r"), F.col("lat").alias("lat_r")), "hex_id").select("hour", F.col("hex_id").alias("source_id"), "lon_r", "lat_r")
-    near = SP.nearest(todo, seen, ["hour", "hex_id"], "source_id", ["hour"], 0.02).select("hour", "hex_id", "source_id")
-    return SC.hour_scores(cells, v, near, ["hour"])
+    samples = t.samples().withColumn("hour", F.col("period_start"))
+    hours = samples.select("hour").distinct().unionByName(samples.agg((F.max("hour") + 3600).alias("hour")).where("hour IS NOT NULL"))
+    volumes, mapped = hex_volumes(samples, primary_cells(t), ["hour"])
+    return SC.hour_scores(t.hexes, volumes, ["hour"], hours, mapped)
 
 
-def _hex_sql(volumes: str = _HEX_OBS) -> str:
+def _hex_sql(volumes: str = _HEX_OBS, hours: str = _HEX_HOURS, mapped: str = _HEX_MAPPED) -> str:
     norm = "case when high <= low then 100.0 else 1.0 + (used - low) / (high - low) * 99.0 end"
     return duck_with(
         "facts", "segments", "hexes", kept=KEPT,
         samples="select * from (select *, row_number() over (partition by segment_id, period_start order by version desc, calculated_us desc, id) as rn from kept) where rn = 1",
-        **_CLIP, v=volumes, spread="select hour, min(volume) as low, max(volume) as high from v group by all",
-        near="select * from (select s.hour, h.hex_id, v.hex_id as source_id, v.volume as source_volume, row_number() over (partition by s.hour, h.hex_id order by pow(h.lon - o.lon, 2) + pow(h.lat - o.lat, 2), v.hex_id) as rn from spread s cross join hexes h join v on v.hour = s.hour join hexes o on o.hex_id = v.hex_id) where rn = 1",
-        used="select s.hour, h.*, low, high, coalesce(v.volume, source_volume, volume_mean) as used, case when v.volume is not null then 'live' else 'fallback' end as status, case when v.volume is null then source_id end as source from spread s cross join hexes h left join v on v.hour = s.hour and v.hex_id = h.hex_id left join near n on n.hour = s.hour and n.hex_id = h.hex_id",
-        scored=f"select *, {SC.CELL_WEIGHTS['volume']} * ({norm}) + {SC.CELL_WEIGHTS['poi']} * norm_poi + {SC.CELL_WEIGHTS['population']} * norm_population as score from used",
-        ranked="select *, row_number() over (partition by hour order by score desc, hex_id) as rank, count(*) over (partition by hour) as total from scored",
+        **_CLIP, hours=hours, v=volumes, mapped=mapped,
+        spread="select hours.hour, coalesce(min(volume), (select min(volume_mean) from hexes)) as low, coalesce(max(volume), (select max(volume_mean) from hexes)) as high from hours left join v using (hour) group by hours.hour",
+        near="select * from (select s.hour, h.hex_id, v.hex_id as source_id, v.volume as source_volume, v.interpolated as source_gap, row_number() over (partition by s.hour, h.hex_id order by pow(h.lon - o.lon, 2) + pow(h.lat - o.lat, 2), v.hex_id) as rn from hours s cross join hexes h join v on v.hour = s.hour join hexes o on o.hex_id = v.hex_id) where rn = 1",
+        used="""select s.hour, h.*, low, high, coalesce(v.volume, source_volume, volume_mean) as used, case when v.volume is not null then 'live' when coalesce(source_volume, volume_mean) is not null then 'fallback' else 'no_data' end as status,
+case when v.volume is null then source_id end as source, coalesce(case when v.volume is not null then v.interpolated else source_gap end, false) as interpolated, v.segment_ids,
+case when v.volume is null then case when m.hex_id is not null then 'mapped_but_no_volume' else 'no_mapped_segment' end end as reason
+from spread s cross join hexes h left join v on v.hour = s.hour and v.hex_id = h.hex_id left join near n on n.hour = s.hour and n.hex_id = h.hex_id left join mapped m on m.hour = s.hour and m.hex_id = h.hex_id""",
+        scored=f"select *, case when used is not null then {SC.CELL_WEIGHTS['volume']} * ({norm}) + {SC.CELL_WEIGHTS['poi']} * norm_poi + {SC.CELL_WEIGHTS['population']} * norm_population end as score from used",
+        ranked="select *, case when score is not null then row_number() over (partition by hour order by score desc nulls last, hex_id) end as rank, case when score is not null then count(score) over (partition by hour) end as total from scored",
     )
 
 
 _CLASS = "case least(5, greatest(1, cast(ceil({r} * 5.0 / {n}) as int))) when 1 then 'Sangat Tinggi' when 2 then 'Tinggi' when 3 then 'Sedang' when 4 then 'Rendah' else 'Sangat Rendah' end"
+_RANK_CLASS = f"case when rank is not null then {_CLASS.format(r='rank', n='total')} end as class"
 
 
-@query(_hex_sql() + f"select hour, hex_id, floor(score * 10000 + 0.500001) / 10000 as score, cast(rank as int) as rank, {_CLASS.format(r='rank', n='total')} as class, status, source from ranked")
+@query(_hex_sql() + f"select hour, hex_id, floor(score * 10000 + 0.500001) / 10000 as score, cast(rank as int) as rank, {_RANK_CLASS}, status, source, interpolated, reason, segment_ids from ranked")
 def hex_hour_scores(t):
-    """Every cell at every observed hour: cells without own volume borrow the nearest observed one's; all are ranked together."""
+    """Every cell at every hour with facts, and at one without: cells without own volume borrow the nearest observed one's, or take their mean; all are ranked together."""
     df = _hex_scores(t)
-    return df.select("hour", "hex_id", S.half_up(F.col("score"), 4).alias("score"), F.col("rank").cast("int").alias("rank"), "class", "status", F.when(F.col("status") != "live", F.col("source_id")).alias("source"))
+    segments = F.when(F.col("status") == "live", F.array_join("segment_ids", ",")).alias("segment_ids")
+    source = F.when(F.col("status") != "live", F.col("source_id")).alias("source")
+    return df.select("hour", "hex_id", S.half_up(F.col("score"), 4).alias("score"), F.col("rank").cast("int").alias("rank"), "class", "status", source, "interpolated", "reason", segments)
 
 
 @query(_hex_sql() + "select hour, hex_id, floor(score * 10000 + 0.500001) / 10000 as score, cast(rank as int) as rank from ranked where hex_id = 120")
@@ -724,14 +746,6 @@ def intent_route(t):
     return t.conversations.select("conv_id", "turn", route.alias("route"))
 
 
-@query("with c as (select conv_id, turn, role, trim(substr(regexp_replace(text, '[\\x00-\\x08\\x0b-\\x1f]', '', 'g'), 1, 1000), ' ') as content from conversations where role in ('user', 'assistant')), r as (select *, row_number() over (partition by conv_id order by turn desc) as rn from c where content <> '') select conv_id, turn, role, length(content) as n, md5(content) as digest from r where rn <= 10")
-def history_sanitized(t):
-    """The last ten turns of users and assistants, without control characters, at most 1000 characters each."""
-    c = t.conversations.where(F.col("role").isin("user", "assistant")).select("conv_id", "turn", "role", F.trim(F.substring(F.regexp_replace("text", r"[\x00-\x08\x0b-\x1f]", ""), 1, 1000)).alias("content")).where("content <> ''")
-    rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
-    return c.withColumn("rn", rank).where("rn <= 10").select("conv_id", "turn", "role", F.length("content").cast("long").alias("n"), F.md5("content").alias("digest"))
-
-
 @query(facts_sql(extra={"means": means_sql()}) + "select corridor_name, count(*) as segments, round(sum(co2_kg_h), 6) as co2_kg_h, arg_max(segment_id, struct_pack(a := coalesce(round(nox_kg_h, 6), -1), b := segment_id)) as top_segment, bool_or(estimated_sample_count > 0) as has_estimates from means group by all")
 def corridor_overview(t):
     m = A.segment_means(t.samples())

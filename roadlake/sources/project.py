@@ -73,15 +73,21 @@ TABLES = {
         ("part",),
         """select p_partkey as hex_id, cast(110.34 + 0.002 * (p_partkey % 50) as $DOUBLE) as lon, cast(-7.83 + 0.002 * (p_partkey $DIV 50) as $DOUBLE) as lat,
         cast(1 + 99e0 * (p_size - 1) / 49 as $DOUBLE) as norm_poi, cast(1 + 99e0 * (p_partkey % 97) / 96 as $DOUBLE) as norm_population,
-        case when p_partkey % 17 <> 0 then p_retailprice end as volume_mean, cast(0.01 * (1 + p_partkey % 5) as $DOUBLE) as area, p_size as poi_total
+        case when p_partkey % 17 <> 0 then p_retailprice end as volume_mean, cast(0.01 * (1 + p_partkey % 5) as $DOUBLE) as area, p_size as poi_total, cast(100 + p_partkey % 50 * 10 as bigint) as population
         from {part}""",
     ),
     "stops": (
         ("supplier",),
         """select s_suppkey as stop_id, cast(110.34 + 0.00137 * (s_suppkey % 37) as $DOUBLE) as lon, cast(-7.83 + 0.00211 * (s_suppkey % 23) as $DOUBLE) as lat,
-        case when s_suppkey % 3 <> 0 then abs(s_acctbal) % 100 end as ahp_score, case when s_suppkey % 4 <> 0 then 1 + s_suppkey % 5 end as facility, 1 + s_nationkey % 5 as environment
+        case when s_suppkey % 3 <> 0 then abs(s_acctbal) % 100 end as ahp_score, case when s_suppkey % 4 <> 0 then 1 + s_suppkey % 5 end as facility, 1 + s_nationkey % 5 as environment,
+        concat('Halte ', cast(s_suppkey % 40 as $STRING)) as title, case s_suppkey % 6 when 1 then 'Sangat Tinggi' when 2 then 'Tinggi' when 3 then 'Sedang' when 4 then 'Rendah' when 5 then 'Sangat Rendah' end as intervention_class
         from {supplier}""",
     ),
+    "vertices": (
+        ("segments",),
+        """select segment_id, i, cast(lon1 + (lon2 - lon1) * i / 4e0 * (1 + length_km) + 0.0011 * (i % 2) as $DOUBLE) as lon, cast(lat1 + (lat2 - lat1) * i / 4e0 - 0.0007 * (i % 3) as $DOUBLE) as lat
+        from {segments} cross join (select 0 as i union all select 1 union all select 2 union all select 3 union all select 4) v""",
+    ),
     "pois": (
         ("customer",),
         """select c_custkey as poi_id, cast(110.34 + 0.00091 * (c_custkey % 61) as $DOUBLE) as lon, cast(-7.83 + 0.00173 * (c_custkey % 29) as $DOUBLE) as lat,
