@@ -1,6 +1,6 @@
 """Ranked lexical search over compressed postings, document at a time.
 
-The index is a table. Each shard has some tens of megabytes of consecutive documents: their ids in ascending order and lengths in one row, and a
+The index is a table. Each shard has some megabytes of consecutive documents: their ids in ascending order and lengths in one row, and a
 row for each term with its documents (differences of their places in the shard) and how often it occurs there, as numbers of 7 bits a byte. The
 corpus's totals and each term's documents are sums over shards. A search joins the items' terms with the postings; each shard merges an
 item's postings lists by a heap of the lists' next documents, a window of documents at a time, adds up the scores and keeps the
@@ -145,7 +145,7 @@ def shards(shard_bytes: int):
     return run
 
 
-def index(docs: DataFrame, *, shard_bytes: int = 1 << 25, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def index(docs: DataFrame, *, shard_bytes: int = 1 << 24, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The index of docs, a written table: a row for each shard and term, and one for each shard's documents, whose term is null."""
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return materialise(own.mapInArrow(shards(shard_bytes), POSTINGS), "postings")
