@@ -76,14 +76,17 @@ def weighted_available(parts: Sequence[tuple[float, Column]]) -> Column:
     return F.when(weight > 0, total / weight * 100)
 
 
+# What names are called in short.
+ALIASES = {"malioboro": "jalan malioboro", "jogja": "yogyakarta", "ugm": "universitas gadjah mada"}
+
+
 def normalized_name(name: Column) -> Column:
     """Street abbreviations written out; punctuation and repeated blanks go."""
     x = F.lower(F.coalesce(name, F.lit("")))
     for pattern, word in ((r"\b(?:jl|jln)\.?\s+", "jalan "), (r"\bgg\.?\s+", "gang "), (r"\bkor\.?\s+", "koridor ")):
         x = F.regexp_replace(x, pattern, word)
     x = F.trim(F.regexp_replace(F.regexp_replace(x, r"[^\p{L}\p{N}_\s]+", " "), r"\s+", " "))
-    aliases = {"malioboro": "jalan malioboro", "jogja": "yogyakarta", "ugm": "universitas gadjah mada"}
-    return F.coalesce(F.create_map(*[F.lit(v) for p in aliases.items() for v in p])[x], x)
+    return F.coalesce(F.create_map(*[F.lit(v) for p in ALIASES.items() for v in p])[x], x)
 
 
 def keyword_score(text: Column, keywords: Sequence[str]) -> Column:

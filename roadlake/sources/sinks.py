@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,14 +31,33 @@ def latest_version(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(f"{path}/v={own[-1]}") if own else None
 
 
-def write_version(df: DataFrame, path: str, keep: int = 2) -> None:
-    """Writes the next version and drops all but the last `keep`; readers of latest_version() see the old or the new one, whole."""
+def _claimed(spark: SparkSession, path: str) -> int:
+    """A version number that no other writer has or can take: a claim is a file that can be made once."""
+    fs, p = _files(spark, path)
+    number = max([int(n[2:]) for s in fs.listStatus(p) if (n := s.getPath().getName()).startswith("v=")] + [-1] if fs.exists(p) else [-1]) + 1
+    while True:
+        try:
+            fs.create(spark._jvm.org.apache.hadoop.fs.Path(p, f".claim-{number}"), False).close()
+            return number
+        except Py4JJavaError as e:
+            if "xist" not in str(e.java_exception):
+                raise
+            number += 1
+
+
+def write_version(df: DataFrame, path: str, keep: int = 8) -> None:
+    """Writes the next version and drops all but the last `keep`; readers of latest_version() see the old or the new one, whole.
+
+    Two writers never write one version; of two that start from the same one the later one's result stands. sources.buckets has updates
+    that keep both and rewrite only what they touch.
+    """
     spark = df.sparkSession
-    own = versions(spark, path)
-    df.write.mode("overwrite").parquet(f"{path}/v={own[-1] + 1 if own else 0}")
+    number = _claimed(spark, path)
+    df.write.mode("overwrite").parquet(f"{path}/v={number}")
     for n in versions(spark, path)[:-keep]:
         fs, p = _files(spark, f"{path}/v={n}")
         fs.delete(p, True)
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(p.getParent(), f".claim-{n}"), False)
 
 
 def upsert(new: DataFrame, path: str, keys: list[str], order: list[str] | None = None) -> None:
@@ -77,7 +97,7 @@ def delete_matching(path: str, spark: SparkSession, matching: DataFrame, keys: l
     n = matching.select(*keys).distinct().count()
     if n > MAX_DELETE:
         raise ValueError(f"{n} rows are more than one request may delete")
-    if not dry_run:
+    if not dry_run and versions(spark, path):  # a table that isn't there has nothing to delete
         write_version(latest_version(spark, path).join(matching.select(*keys).distinct(), keys, "left_anti"), path)
     return n
 

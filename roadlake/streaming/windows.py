@@ -12,22 +12,28 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from roadlake.functions.scalars import bucket
 from roadlake.schema import CATEGORIES
+from roadlake.sources.buckets import KeyedTable, sink
 
 WINDOW = "camera_id string, window long, status string, sample_count long, last_captured_at long, car double, motorcycle double, bus double, truck double"
 
 
-class _Windows:
-    """The open windows of one camera: for each start the count, the last capture and the sums."""
+def added_up(frame: pd.DataFrame, done: int, held: np.ndarray) -> tuple[pd.DataFrame, pd.DataFrame, float]:
+    """(late events, open windows, the last capture that counts) of one camera's events and what is held of its windows.
 
-    def __init__(self, state: GroupState):
-        self.done, self.open = -1, {}
-        if state.exists:
-            self.done, starts, values = state.get
-            self.open = {s: list(values[6 * i : 6 * i + 6]) for i, s in enumerate(starts)}
-
-    def save(self, state: GroupState) -> None:
-        starts = sorted(self.open)
-        state.update((self.done, starts, [v for s in starts for v in self.open[s]]))
+    held: rows of start, n, last, sums. An event is late if its window is at or before the last finished one: as events finish only windows
+    that end before them, those of one batch in order of time never make each other late.
+    """
+    late = frame[frame.window <= done]
+    rest = frame[frame.window > done]
+    values = np.stack([np.where(rest.category == c, rest.n, 0.0) for c in CATEGORIES], 1) if len(rest) else np.zeros((0, len(CATEGORIES)))
+    rows = np.column_stack([rest.window, np.ones(len(rest)), rest.captured_at, values]).astype(float)
+    rows = np.concatenate([held.reshape(-1, rows.shape[1]), rows])
+    starts, of = np.unique(rows[:, 0], return_inverse=True)
+    sums = np.zeros((len(starts), rows.shape[1]))
+    np.add.at(sums, of, rows)
+    sums[:, 0], sums[:, 2] = starts, -np.inf
+    np.maximum.at(sums[:, 2], of, rows[:, 2])
+    return late, sums, float(rest.captured_at.max()) if len(rest) else -np.inf
 
 
 def window_means(observations: DataFrame, width: int, idle: str | None = None) -> DataFrame:
@@ -40,42 +46,32 @@ def window_means(observations: DataFrame, width: int, idle: str | None = None) -
     idle: an interval ("10 minutes"). The stream's watermark, the latest capture of all cameras less the interval, then also finishes the windows of
     cameras that send nothing more; events older than the watermark are dropped unreported. Without it such windows stay open.
     """
-
-    def ended(key: tuple, w: _Windows, by: float) -> list[tuple]:
-        out = []
-        for s in sorted(x for x in w.open if x + width <= by):
-            n, last, *values = w.open.pop(s)
-            out.append((key[0], s, "completed", int(n), int(last), *[v / n for v in values]))
-            w.done = max(w.done, s)
-        return out
+    columns = ["camera_id", "window", "status", "sample_count", "last_captured_at", *CATEGORIES]
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        w, out = _Windows(state), []
-        for frame in frames:
-            for r in frame.sort_values("captured_at", kind="stable").itertuples():
-                start = int(r.window)
-                if start <= w.done:
-                    out.append((key[0], start, "late", 1, int(r.captured_at), *[r.n if r.category == c else 0.0 for c in CATEGORIES]))
-                    continue
-                sums = w.open.setdefault(start, [0.0, 0.0, 0.0, 0.0, 0.0, 0.0])
-                sums[0] += 1
-                sums[1] = max(sums[1], float(r.captured_at))
-                if r.category in CATEGORIES:
-                    sums[2 + CATEGORIES.index(r.category)] += r.n
-                out += ended(key, w, r.captured_at)
+        done, held = (state.get[0], np.array(state.get[1], float)) if state.exists else (-1, np.zeros(0))
+        events = list(frames)
+        frame = pd.concat(events) if events else pd.DataFrame(columns=["captured_at", "category", "n", "window"])
+        late, windows, by = added_up(frame, done, held)
         if state.hasTimedOut:
-            out += ended(key, w, state.getCurrentWatermarkMs() / 1000)
-        w.save(state)
-        if idle and w.open:
-            state.setTimeoutTimestamp(max((min(w.open) + width) * 1000, state.getCurrentWatermarkMs() + 1))
-        if out:
-            yield pd.DataFrame(out, columns=["camera_id", "window", "status", "sample_count", "last_captured_at", *CATEGORIES])
+            by = max(by, state.getCurrentWatermarkMs() / 1000)
+        ended = windows[:, 0] + width <= by
+        full, rest = windows[ended], windows[~ended]
+        done = max(done, int(full[:, 0].max())) if len(full) else done
+        state.update((done, rest.ravel().tolist()))
+        if idle and len(rest):
+            state.setTimeoutTimestamp(max(int(rest[:, 0].min() + width) * 1000, state.getCurrentWatermarkMs() + 1))
+        out = [np.column_stack([full[:, :1], full[:, 1:3], full[:, 3:] / full[:, 1:2]]), np.column_stack([late.window, np.ones(len(late)), late.captured_at, *[np.where(late.category == c, late.n, 0.0) for c in CATEGORIES]])]
+        if len(full) or len(late):
+            rows = pd.DataFrame(np.concatenate([x.astype(float) for x in out]), columns=["window", "sample_count", "last_captured_at", *CATEGORIES])
+            rows = rows.astype({c: "int64" for c in ("window", "sample_count", "last_captured_at")})
+            yield rows.assign(camera_id=key[0], status=["completed"] * len(full) + ["late"] * len(late))[columns]
 
     rows = observations.select("camera_id", "captured_at", "category", F.col("n").cast("double").alias("n"), bucket(F.col("captured_at"), width).alias("window"))
     if idle:
         rows = rows.withColumn("captured", F.timestamp_seconds("captured_at")).withWatermark("captured", idle)
     timeout = GroupStateTimeout.EventTimeTimeout if idle else GroupStateTimeout.NoTimeout
-    return rows.groupBy("camera_id").applyInPandasWithState(update, WINDOW, "done long, starts array<long>, sums array<double>", "append", timeout)
+    return rows.groupBy("camera_id").applyInPandasWithState(update, WINDOW, "done long, held array<double>", "append", timeout)
 
 
 FLOW = "camera long, frame_no long, category string, n long"
@@ -195,24 +191,11 @@ def measured_windows(exits: DataFrame, seconds: float = 60.0, max_gap: float = 5
     return exits.groupBy("camera").applyInPandasWithState(update, MEASURED, "start double, seen double, counts array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
-def window_sink(path: str, keys: list[str]):
-    """A foreachBatch function that upserts finished windows into a table of versions: a window that is computed again replaces itself."""
-    from roadlake.sources.sinks import upsert
-
-    return lambda batch, _: upsert(batch, path, keys)
-
-
-def newest_state_sink(path: str, keys: list[str]):
-    """A foreachBatch function that keeps each key's newest (observed, processed) state in a Parquet table of versions.
-
-    Each batch writes version n + 1 beside version n and then drops older ones; a failed batch leaves the last whole version readable, and one that
-    runs again gives the same table.
-    """
-    from roadlake.operators.traffic import newest_wins
-    from roadlake.sources.sinks import latest_version, write_version
+def window_sink(table: KeyedTable, stream: str = "windows"):
+    """A foreachBatch function that upserts finished windows: only the buckets of their keys are rewritten, and a batch that runs again changes nothing."""
+    return sink(table, stream)
 
-    def write(batch: DataFrame, _: int) -> None:
-        old = latest_version(batch.sparkSession, path)
-        write_version(newest_wins(batch if old is None else old.unionByName(batch), keys), path)
 
-    return write
+def newest_state_sink(table: KeyedTable, stream: str = "states"):
+    """A foreachBatch function that keeps each key's newest (observed, processed) state; older ones are ignored, whenever they come."""
+    return sink(table, stream, newest=["observed", "processed"])

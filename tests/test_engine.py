@@ -23,6 +23,7 @@ import roadlake.plans  # noqa: F401  registers all queries
 from roadlake.plans.queries import ORACLES, QUERIES, Tables
 from roadlake.schema import CATEGORIES, POLLUTANTS
 from roadlake.sources import readers, sinks
+from roadlake.sources.buckets import KeyedTable
 from roadlake.streaming import windows
 
 SF = "/root/testdata/sf0.001"
@@ -317,11 +318,12 @@ def test_flow_forgets_and_resets(spark, tmp_path):
 
 
 def test_window_sink_is_idempotent(spark, tmp_path):
-    write = windows.window_sink(str(tmp_path / "w"), ["camera_id", "window"])
+    table = KeyedTable(spark, str(tmp_path / "w"), ["camera_id", "window"])
+    write = windows.window_sink(table)
     df = spark.createDataFrame([("a", 0, 1.0), ("a", 60, 2.0)], "camera_id string, window long, car double")
     for i in (0, 1, 1):
         write(df, i)
-    assert sinks.latest_version(spark, str(tmp_path / "w")).count() == 2
+    assert table.read().count() == 2 and table.versions() == [0, 1]
 
 
 def test_measured_windows(spark, tmp_path):
@@ -332,12 +334,13 @@ def test_measured_windows(spark, tmp_path):
 
 
 def test_newest_wins_sink(spark, tmp_path):
-    write = windows.newest_state_sink(str(tmp_path / "s"), ["k"])
+    table = KeyedTable(spark, str(tmp_path / "s"), ["k"])
+    write = windows.newest_state_sink(table)
     df = lambda *rows: spark.createDataFrame(list(rows), "k string, observed long, processed long, id long")
     write(df(("a", 10, 10, 1), ("a", 9, 99, 2)), 0)
     write(df(("a", 8, 100, 3), ("b", 1, 1, 4)), 1)
     write(df(("a", 8, 100, 3), ("b", 1, 1, 4)), 1)
-    assert sorted(r.id for r in sinks.latest_version(spark, str(tmp_path / "s")).collect()) == [1, 4]
+    assert sorted(r.id for r in table.read().collect()) == [1, 4]
 
 
 def test_entry_without_corpus():
