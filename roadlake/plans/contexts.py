@@ -162,37 +162,6 @@ def hex_corridors(t):
     return first.select("hex_id", F.array_join("names", "|").alias("names"))
 
 
-_HIGH, _WEAK = 1300, 40
-_EVIDENCE = {
-    **_CLIP, **_LINE,
-    "bare": f"select hex_id from hexes p where volume_mean >= {_HIGH} and not exists (select 1 from stops s where abs(p.lat - s.lat) < 0.006 and {_HAV} <= 500)",
-    "cells": "select segment_id, count(*) as hex_count, round(avg(volume_mean), 4) as avg_score, max(volume_mean) as max_score, count(*) filter (hex_id in (select hex_id from bare)) as gaps from o join hexes using (hex_id) group by all",
-    "halts": f"select segment_id, count(*) as stops, count(ahp_score) as scored, count(*) filter (ahp_score < {_WEAK}) as weak, round(min(ahp_score), 4) as min_ahp, round(avg(ahp_score), 4) as avg_ahp from close join stops using (stop_id) group by all",
-}
-
-
-EVIDENCE = f"""select segment_id, coalesce(hex_count, 0) as hex_count, avg_score, max_score, coalesce(stops, 0) as stops, coalesce(scored, 0) as scored, coalesce(weak, 0) as weak, min_ahp, avg_ahp,
-case when gaps > 0 then 'add_new_stop' when weak > 0 then 'improve_existing_stop' when max_score >= {_HIGH} then 'increase_frequency' end as hint from segments left join cells using (segment_id) left join halts using (segment_id)"""
-
-
-@query(duck_with("segments", "hexes", "stops", **_EVIDENCE) + EVIDENCE)
-def segment_evidence(t) -> DataFrame:
-    """What speaks for a measure at each segment: scores of its cells, stops within 500 m, busy cells without a stop near, and a hint."""
-    high = t.hexes.where(F.col("volume_mean") >= _HIGH).select("hex_id", "lon", "lat")
-    near = SP.within_distance(high, t.stops.select(F.col("lon").alias("lon_r"), F.col("lat").alias("lat_r")), 500).select("hex_id").distinct()
-    bare = high.join(near, "hex_id", "left_anti").select("hex_id", F.lit(True).alias("bare"))
-    cells = crossed_segments(t).join(t.hexes.select("hex_id", "volume_mean"), "hex_id").join(bare, "hex_id", "left").groupBy("segment_id").agg(
-        F.count("*").alias("hex_count"), F.round(F.avg("volume_mean"), 4).alias("avg_score"), F.max("volume_mean").alias("max_score"), F.count_if("bare").alias("gaps")
-    )
-    halts = _close(t).join(t.stops.select("stop_id", "ahp_score"), "stop_id").groupBy("segment_id").agg(
-        F.count("*").alias("stops"), F.count("ahp_score").alias("scored"), F.count_if(F.col("ahp_score") < _WEAK).alias("weak"), F.round(F.min("ahp_score"), 4).alias("min_ahp"), F.round(F.avg("ahp_score"), 4).alias("avg_ahp")
-    )
-    df = t.segments.select("segment_id").join(cells, "segment_id", "left").join(halts, "segment_id", "left")
-    hint = F.when(F.col("gaps") > 0, "add_new_stop").when(F.col("weak") > 0, "improve_existing_stop").when(F.col("max_score") >= _HIGH, "increase_frequency")
-    some = [F.coalesce(c, F.lit(0)).alias(c) for c in ("hex_count", "stops", "scored", "weak")]
-    return df.select("segment_id", some[0], "avg_score", "max_score", *some[1:], "min_ahp", "avg_ahp", hint.alias("hint"))
-
-
 @query(
     duck_with("segments", "hexes", "cameras", "mappings", "facts", kept=KEPT, **_CLIP)
     + """select (select count(*) from hexes) as hexes, (select count(distinct hex_id) from o) as with_segment, (select count(*) from cameras where is_active) as active_cameras,

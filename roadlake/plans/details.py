@@ -11,7 +11,7 @@ from roadlake.operators import profile as P
 from roadlake.operators import records as R
 from roadlake.operators import scoring as SC
 from roadlake.operators import traffic as T
-from roadlake.plans.contexts import _EVIDENCE, _LIVE_SQL, EVIDENCE, live_scores, segment_evidence, segment_for_stop
+from roadlake.plans.contexts import _LIVE_SQL, live_scores
 from roadlake.plans.contexts import hex_corridors as _corridors
 from roadlake.plans.queries import _CLASS, _FUEL_COLS, _MEANS, ANCHOR, _snapshots, duck_with, facts_sql, query
 from roadlake.schema import CATEGORIES, POLLUTANTS
@@ -103,16 +103,6 @@ def hex_context(t):
     return cells.select("hex_id", "poi_total", "area").join(placed, "hex_id", "left").join(now, "hex_id").join(corridors, "hex_id", "left")
 
 
-@query(
-    duck_with("segments", "hexes", "stops", **_EVIDENCE, ev=EVIDENCE, best="select stop_id, arg_min(segment_id, (round(distance_m, 6), segment_id)) as segment_id from close group by all")
-    + "select stop_id, ahp_score, facility, environment, segment_id as nearest_segment, hex_count, avg_score, max_score, stops, scored, weak, min_ahp, avg_ahp, hint from stops left join best using (stop_id) left join ev using (segment_id)"
-)
-def stop_context(t):
-    """A stop's own scores and what is known of the nearest segment within 500 m."""
-    own = t.stops.select("stop_id", "ahp_score", "facility", "environment").join(segment_for_stop(t), "stop_id", "left")
-    return own.join(segment_evidence(t), "segment_id", "left").withColumnRenamed("segment_id", "nearest_segment")
-
-
 # ---- imported surveys: every other stop has one, some have two, some surveys belong to no stop
 
 METHOD = "survey-ahp-v1"
