@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from roadlake.functions.scalars import min_max_1, min_max_100, quintile, quintile_label, weighted_available
 from roadlake.operators.spatial import nearest
+from roadlake.schema import POI_DEFAULT, POI_WEIGHTS
 from roadlake.scratch import written
 
 # Weights of the score of a cell and of a stop.
@@ -14,6 +15,11 @@ CELL_WEIGHTS = {"volume": 0.538961038961039, "poi": 0.2972582972582973, "populat
 STOP_WEIGHTS = {"accessibility": 0.41111111111111115, "facility": 0.3277777777777778, "environment": 0.2611111111111111}
 
 
+def place_weight(category: Column) -> Column:
+    """What a point of interest counts for a stop's accessibility, by its category."""
+    return F.coalesce(F.create_map(*[F.lit(x) for p in POI_WEIGHTS.items() for x in p])[category], F.lit(POI_DEFAULT))
+
+
 def bucket_of(place: Column, bounds: list[Column]) -> Column:
     """How many of the ordered bounds are not above a place, as a tree of comparisons: as many as the logarithm of the bounds."""
 

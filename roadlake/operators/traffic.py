@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from roadlake.functions.scalars import bucket, freshness, half_up
 from roadlake.operators.facts import first_of
+from roadlake.operators.records import checked_factors
 from roadlake.schema import CATEGORIES, DISTANCE_FACTORS, FUEL_FACTORS, FUEL_GRAMS, POLLUTANTS
 
 
@@ -81,13 +82,14 @@ def segment_aggregate(observations: DataFrame, width: int, policy: str = "newest
     )
 
 
-def tier2(volumes: DataFrame, length_km: str = "length_km", efficiency: float = 0.0) -> DataFrame:
-    """Vehicle kilometres and grams per hour of each pollutant, from volumes and the segment's length."""
+def tier2(volumes: DataFrame, length_km: str = "length_km", efficiency: float = 0.0, factors: dict[str, tuple[float, ...]] = DISTANCE_FACTORS) -> DataFrame:
+    """Vehicle kilometres and grams per hour of each pollutant, from volumes and the segment's length. factors: grams per vehicle kilometre, checked first."""
+    checked_factors(factors)
     if not 0 <= efficiency <= 100:
         raise ValueError("control efficiency is a percentage")
     correction = (100.0 - efficiency) / 100.0
     vkt = {c: F.col(f"{c}_veh_h") * F.col(length_km) for c in CATEGORIES}
-    grams = [reduce(lambda a, b: a + b, [vkt[c] * DISTANCE_FACTORS[c][i] * correction for c in CATEGORIES]).alias(f"{p}_g_h") for i, p in enumerate(POLLUTANTS)]
+    grams = [reduce(lambda a, b: a + b, [vkt[c] * factors[c][i] * correction for c in CATEGORIES]).alias(f"{p}_g_h") for i, p in enumerate(POLLUTANTS)]
     return volumes.select("*", *[v.alias(f"{c}_vkt") for c, v in vkt.items()], *grams)
 
 

@@ -17,7 +17,7 @@ from roadlake.operators import profile as P
 from roadlake.operators import scoring as SC
 from roadlake.operators import spatial as SP
 from roadlake.operators import traffic as T
-from roadlake.schema import CATEGORIES, DISTANCE_FACTORS, FUEL_FACTORS, FUEL_GRAMS, POLLUTANTS
+from roadlake.schema import CATEGORIES, DISTANCE_FACTORS, FUEL_FACTORS, FUEL_GRAMS, POI_DEFAULT, POI_WEIGHTS, POLLUTANTS
 from roadlake.sources.project import duck_with, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -570,13 +570,15 @@ def poi_categories(t):
     return _stop_pois(t).groupBy("stop_id", "category").agg(F.count("*").alias("n"))
 
 
-SEGMENT_WEIGHTS = {"AUTOMOBILE": 1.25, "BUILDING": 1.15, "FURNITURE": 1.2, "MACHINERY": 0.7}
-_ACCESS = f"select stop_id, round(sum(case category {' '.join(f'''when '{k}' then {v}''' for k, v in SEGMENT_WEIGHTS.items())} else 0.8 end), 6) as access from near group by all"
+#: The tables' categories stand for these kinds of places; HOUSEHOLD for none, so it has the weight of all others.
+KINDS = {"AUTOMOBILE": "Pendidikan", "BUILDING": "Pariwisata", "FURNITURE": "Perdagangan", "MACHINERY": "Peribadatan"}
+SEGMENT_WEIGHTS = {k: POI_WEIGHTS[v] for k, v in KINDS.items()}
+_ACCESS = f"select stop_id, round(sum(case category {' '.join(f'''when '{k}' then {v}''' for k, v in SEGMENT_WEIGHTS.items())} else {POI_DEFAULT} end), 6) as access from near group by all"
 
 
 def _access(t):
-    weight = F.coalesce(F.create_map(*[F.lit(x) for p in SEGMENT_WEIGHTS.items() for x in p])[F.col("category")], F.lit(0.8))
-    return _stop_pois(t).groupBy("stop_id").agg(F.round(F.sum(weight), 6).alias("access"))
+    kind = F.create_map(*[F.lit(x) for p in KINDS.items() for x in p])[F.col("category")]
+    return _stop_pois(t).groupBy("stop_id").agg(F.round(F.sum(SC.place_weight(kind)), 6).alias("access"))
 
 
 _W = SC.STOP_WEIGHTS
