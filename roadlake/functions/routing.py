@@ -53,20 +53,6 @@ ADVICE = r"(?i)\b(intervensi|prioritas|rekomendasi|rekomendasikan|saran|sarankan
 STOP = r"(?i)\b(halte|bus ?stop|terminal|shelter|trayek|pemberhentian)\b"
 STOP_RANKING = r"(?i)\b(best|worst|terbaik|terburuk|terbagus|terjelek|paling\s+(baik|bagus|buruk|jelek)|tertinggi|terendah|terbesar|terkecil|ranking|peringkat)\b"
 AREA = r"(?i)\b(grid|sel|hex|daerah|wilayah|kawasan|zona|area)\b"
-# Questions about the project itself.
-ABOUT = (
-    r"\b(apa itu|apakah itu|apa sih|what is|what's)\b.*\b(ecotraffic|eco ?traffic|aplikasi|dasbor|dashboard|proyek|project|webgis|situs|sistem)\b",
-    r"\beco ?traffic\b",
-    r"\b(apa bedanya|bedanya|beda|perbedaan|difference)\b.*\b(live|replay|real ?time|histori|historis|riwayat|mode)\b",
-    r"\b(mode)\s+(live|replay)\b",
-    r"\b(apa itu|apakah|what is|cara hitung|gimana cara|bagaimana cara|dari apa|terdiri dari|komponen|unsur)\b.*\b(skor|ranking|peringkat|potensi|aktivitas|activity|ahp)\b",
-    r"\b(klasifikasi|kelas|tier|tingkatan)\b.*\b(potensi|aktivitas|ahp)\b",
-    r"\b(apa itu|what is|cara hitung|gimana cara|bagaimana cara|dari mana|rumus|how)\b.*\b(emisi|emission|kg ?/ ?jam|gram per jam)\b",
-    r"\b(data|datanya)\b.*\b(dari mana|dari|bersumber|sumber|source|asal)\b",
-    r"\b(sumber|source)\b.*\b(data)\b",
-    r"\b(data)\b.*\b(fresh|stale|basi|kadaluarsa|terbaru|update|perkiraan)\b",
-    r"\b(kamu|anda|bang ?jo)\b.*\b(bisa apa|bisa apa saja|kemampuan|capabilities|ngapain)\b",
-)
 # Words of evidence in a survey's description, by what they are evidence of.
 EVIDENCE = {
     "facility": ("shelter", "halte", "bangku", "penerangan", "lampu", "rambu"),
@@ -76,6 +62,26 @@ EVIDENCE = {
 }
 
 
+def about(project: str | None = None, assistant: str | None = None) -> tuple[str, ...]:
+    """Patterns of questions about the project itself. Names of the project and of its assistant, as patterns, widen them."""
+    things = "|".join([*([project] if project else []), "aplikasi", "dasbor", "dashboard", "proyek", "project", "webgis", "situs", "sistem"])
+    who = "|".join(["kamu", "anda", *([assistant] if assistant else [])])
+    return (
+        rf"\b(apa itu|apakah itu|apa sih|what is|what's)\b.*\b({things})\b",
+        *([rf"\b{project}\b"] if project else []),
+        r"\b(apa bedanya|bedanya|beda|perbedaan|difference)\b.*\b(live|replay|real ?time|histori|historis|riwayat|mode)\b",
+        r"\b(mode)\s+(live|replay)\b",
+        r"\b(apa itu|apakah|what is|cara hitung|gimana cara|bagaimana cara|dari apa|terdiri dari|komponen|unsur)\b.*\b(skor|ranking|peringkat|potensi|aktivitas|activity|ahp)\b",
+        r"\b(klasifikasi|kelas|tier|tingkatan)\b.*\b(potensi|aktivitas|ahp)\b",
+        r"\b(apa itu|what is|cara hitung|gimana cara|bagaimana cara|dari mana|rumus|how)\b.*\b(emisi|emission|kg ?/ ?jam|gram per jam)\b",
+        r"\b(data|datanya)\b.*\b(dari mana|dari|bersumber|sumber|source|asal)\b",
+        r"\b(sumber|source)\b.*\b(data)\b",
+        r"\b(data)\b.*\b(fresh|stale|basi|kadaluarsa|terbaru|update|perkiraan)\b",
+        rf"\b({who})\b.*\b(bisa apa|bisa apa saja|kemampuan|capabilities|ngapain)\b",
+    )
+
+
+ABOUT = about()
 #: White space at the ends of a text, and control characters that a history loses.
 ENDS = r"^[\x09-\x0D\x1C-\x20\x85\p{Z}]+|[\x09-\x0D\x1C-\x20\x85\p{Z}]+$"
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
@@ -99,16 +105,16 @@ def any_of(text: Column, patterns: Iterable[str]) -> Column:
     return reduce(lambda a, b: a | b, [text.rlike(f"(?id){p}") for p in patterns])
 
 
-def screened(text: Column) -> Column:
+def screened(text: Column, known: tuple[str, ...] = ABOUT) -> Column:
     """What becomes of a question: empty, too_long, injection and out_of_scope are turned away; pass, and no_scope_match, which is about
-    the project itself, are answered."""
+    the project itself (known: patterns of about()), are answered."""
     whole = stripped(F.coalesce(text, F.lit("")))
     x = plain(whole)
     fits = x.rlike(TOPIC) | x.rlike(GREETING) | (x.rlike(FOLLOW_UP) & x.rlike(SAID))
     short = F.size(F.regexp_extract_all(whole, F.lit("([a-zA-Z]+)"), 1)) < MIN_WORDS
     return (
         F.when(whole == "", "empty").when(F.length(whole) > MAX_QUERY, "too_long").when(any_of(x, INJECTION), "injection")
-        .when(fits, "pass").when(any_of(x, ABOUT), "no_scope_match").when(short, "pass").otherwise("out_of_scope")
+        .when(fits, "pass").when(any_of(x, known), "no_scope_match").when(short, "pass").otherwise("out_of_scope")
     )
 
 

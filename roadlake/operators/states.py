@@ -23,6 +23,13 @@ def interval(priority: Column, override: Column) -> Column:
     return F.coalesce(override, F.when(priority == "high", 30).when(priority == "medium", 60).otherwise(300))
 
 
+def rescheduled(cameras: DataFrame, claimed: DataFrame, now: int) -> DataFrame:
+    """cameras after a claim: the claimed ones (camera_id) are next due after their interval, by their own setting or their priority."""
+    taken = claimed.select("camera_id", F.lit(True).alias("_taken"))
+    df = cameras.join(taken, "camera_id", "left")
+    return df.withColumn("next_at", F.when(F.col("_taken"), F.lit(now) + interval(F.col("priority"), F.col("override"))).otherwise(F.col("next_at"))).drop("_taken")
+
+
 def colour_tier(co2: Column) -> Column:
     """500 and 1500."""
     return F.when(co2.isNull(), "none").when(co2 < 500, "low").when(co2 < 1500, "medium").otherwise("high")

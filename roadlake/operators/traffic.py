@@ -127,11 +127,16 @@ def previews(windows: DataFrame) -> DataFrame:
 def late(observations: DataFrame, width: int) -> DataFrame:
     """Each observation with whether it comes too late: its window had ended for its camera when it arrived.
 
-    A camera's events advance only its own watermark; an observation of a window that an earlier arrival has closed is late.
+    A camera's events advance only its own watermark; an observation of a window that an earlier arrival has closed is late. What has been
+    seen before is the greatest of the same day's earlier arrivals and of all earlier days': no window of rows is longer than a camera's day.
     """
-    before = Window.partitionBy("camera_id").orderBy("arrival_us", "id").rowsBetween(Window.unboundedPreceding, -1)
-    df = observations.withColumn("window", bucket(F.col("captured_at"), width)).withColumn("seen", F.max("captured_at").over(before))
-    return df.withColumn("late", F.coalesce(F.col("window") + width <= bucket(F.col("seen"), width), F.lit(False))).drop("seen")
+    df = observations.withColumn("_day", F.floor(F.col("arrival_us") / 86_400_000_000))
+    daily = df.groupBy("camera_id", "_day").agg(F.max("captured_at").alias("_most"))
+    earlier = F.max("_most").over(Window.partitionBy("camera_id").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1))
+    before = Window.partitionBy("camera_id", "_day").orderBy("arrival_us", "id").rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("_today", F.max("captured_at").over(before)).join(daily.select("camera_id", "_day", earlier.alias("_carried")), ["camera_id", "_day"])
+    df = df.withColumn("window", bucket(F.col("captured_at"), width)).withColumn("seen", F.greatest("_today", "_carried"))
+    return df.withColumn("late", F.coalesce(F.col("window") + width <= bucket(F.col("seen"), width), F.lit(False))).drop("seen", "_day", "_today", "_carried")
 
 
 def occupancy(frames: DataFrame, key: list[str]) -> DataFrame:
@@ -168,12 +173,17 @@ def flow_exits(frames: DataFrame, key: list[str], min_frames: int = 3, exit_fram
 
 
 def valid_mapping(observations: DataFrame, mappings: DataFrame) -> DataFrame:
-    """Each observation with the segment of the active mapping that holds at its time: ok, no_mapping or ambiguous."""
-    m = mappings.where("is_active").select("camera_id", F.col("segment_id").alias("mapped"), "valid_from", "valid_to")
-    holds = (F.col("valid_from").isNull() | (F.col("valid_from") <= F.col("captured_at"))) & (F.col("valid_to").isNull() | (F.col("captured_at") < F.col("valid_to")))
-    found = observations.join(m, "camera_id").where(holds).groupBy("id").agg(F.count("*").alias("_n"), F.min("mapped").alias("mapped"))
-    n = F.coalesce("_n", F.lit(0))
-    return observations.join(found, "id", "left").withColumn("status", F.when(n == 0, "no_mapping").when(n > 1, "ambiguous").otherwise("ok")).withColumn("mapped", F.when(n == 1, F.col("mapped"))).drop("_n")
+    """Each observation with the segment of the active mapping that holds at its time: ok, no_mapping or ambiguous.
+
+    A camera's mappings, the few it has had, are one list that is looked up in the observation's row: observations are joined once, by camera.
+    """
+    some = F.collect_list(F.struct("segment_id", "valid_from", "valid_to"))
+    m = mappings.where("is_active").groupBy("camera_id").agg(some.alias("_m"))
+    at = F.col("captured_at")
+    holds = F.filter("_m", lambda x: (x["valid_from"].isNull() | (x["valid_from"] <= at)) & (x["valid_to"].isNull() | (at < x["valid_to"])))
+    df = observations.join(m, "camera_id", "left").withColumn("_m", holds)
+    n = F.coalesce(F.when(F.col("_m").isNotNull(), F.size("_m")), F.lit(0))
+    return df.withColumn("status", F.when(n == 0, "no_mapping").when(n > 1, "ambiguous").otherwise("ok")).withColumn("mapped", F.when(n == 1, F.get("_m", F.lit(0))["segment_id"])).drop("_m")
 
 
 def newest_wins(states: DataFrame, keys: list[str]) -> DataFrame:

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roadlake.functions import scalars as S
+from roadlake.operators import facts as FA
 from roadlake.operators import spatial as SP
+from roadlake.operators import states as ST
 from roadlake.operators import surveys as SV
-from roadlake.plans.queries import _AGG, W6, duck_with, half_up, query
+from roadlake.plans.contexts import crossed_segments
+from roadlake.plans.queries import _AGG, _CLIP, _SCHEDULE, KEPT, W6, duck_with, half_up, primary_cells, query
 from roadlake.plans.questions import _NAMES, _named, _norm
-from roadlake.functions import scalars as S
 from roadlake.schema import CATEGORIES
 from roadlake.scratch import folder, path_of
 from roadlake.sources.buckets import KeyedTable
@@ -163,3 +167,48 @@ def valid_messages(t):
     return df.agg(F.count("*").alias("messages"), F.count_if(fine(df)).alias("valid"))
 
 
+
+
+# ---- what is covered and what is not
+
+
+_SEATS = "select c.camera_id, s.lon1 + 0.0003 * (c.user_id % 7) as lon, s.lat1 + 0.0002 * (c.user_id % 11) as lat from cameras c join segments s using (segment_id)"
+_COVER = {
+    **_CLIP,
+    "open_": "select distinct camera_id, segment_id from mappings where is_active and valid_to is null",
+    "prime": "select segment_id, hex_id from (select *, row_number() over (partition by segment_id order by round(overlap, 9) desc, hex_id) as rn from o) where rn = 1",
+    "seats": _SEATS,
+    "sits": "select camera_id, min(hex_id) as hex_id from seats p join hexes h on p.lon >= h.lon - 0.001 and p.lon < h.lon + 0.001 and p.lat >= h.lat - 0.001 and p.lat < h.lat + 0.001 group by all",
+}
+
+
+@query(
+    duck_with("cameras", "mappings", "segments", "hexes", "facts", kept=KEPT, **_COVER)
+    + """select 'unmapped_camera' as kind, camera_id as id, null::varchar as segment_id, null::bigint as sits_in, null::bigint as feeds from cameras where is_active and camera_id not in (select camera_id from open_)
+union all select 'off_primary', camera_id, segment_id, sits.hex_id, prime.hex_id from open_ join sits using (camera_id) join prime using (segment_id) where sits.hex_id <> prime.hex_id
+union all select 'segment_without_replay', segment_id, segment_id, null, null from segments where segment_id not in (select segment_id from kept where source_mode = 'REPLAY')
+union all select 'cell_without_segment', hex_id::varchar, null, hex_id, null from hexes where hex_id not in (select hex_id from o)"""
+)
+def coverage_sets(t):
+    """What is not covered: active cameras without an open mapping, cameras that feed another cell than they sit in, segments without replays, cells without segments."""
+    open_ = t.mappings.where("is_active AND valid_to IS NULL").select("camera_id", "segment_id").distinct()
+    c = t.cameras.join(t.segments.select("segment_id", "lon1", "lat1"), "segment_id")
+    seats = c.select("camera_id", (F.col("lon1") + 0.0003 * (F.col("user_id") % 7)).alias("px"), (F.col("lat1") + 0.0002 * (F.col("user_id") % 11)).alias("py"))
+    h = SP.box_cells(t.hexes.select("hex_id", "lon", "lat"), 0.001, 0.004).select("hex_id", "_x", "_y", SP.square(F.col("lon"), F.col("lat"), 0.001).alias("ring"))
+    at = seats.withColumn("_x", F.floor(F.col("px") / 0.004)).withColumn("_y", F.floor(F.col("py") / 0.004))
+    sits = at.join(h, ["_x", "_y"]).where(SP.in_ring(F.col("px"), F.col("py"), F.col("ring"))).groupBy("camera_id").agg(F.min("hex_id").alias("sits_in"))
+    feeds = primary_cells(t).withColumnRenamed("hex_id", "feeds")
+    row = lambda df, kind, id_, segment=None, sits_in=None, feeds=None: df.select(F.lit(kind).alias("kind"), F.col(id_).cast("string").alias("id"), *[(F.col(c) if c else F.lit(None)).cast(k).alias(n) for c, k, n in ((segment, "string", "segment_id"), (sits_in, "long", "sits_in"), (feeds, "long", "feeds"))])
+    unmapped = t.cameras.where("is_active").join(open_, "camera_id", "left_anti")
+    off = open_.join(sits, "camera_id").join(feeds, "segment_id").where("sits_in <> feeds")
+    silent = t.segments.join(t.matching(FA.AnalyticsFilter(mode="REPLAY")).select("segment_id").distinct(), "segment_id", "left_anti")
+    empty = t.hexes.join(crossed_segments(t).select("hex_id").distinct(), "hex_id", "left_anti")
+    parts = [row(unmapped, "unmapped_camera", "camera_id"), row(off, "off_primary", "camera_id", "segment_id", "sits_in", "feeds"), row(silent, "segment_without_replay", "segment_id", "segment_id"), row(empty, "cell_without_segment", "hex_id", None, "hex_id")]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(duck_with("cameras", s=_SCHEDULE, d="select camera_id from s where next_at is null or next_at <= 500 order by next_at nulls first, camera_id limit 40") + "select camera_id, case when d.camera_id is not null then 500 + coalesce(override, case priority when 'high' then 30 when 'medium' then 60 else 300 end) else next_at end as next_at from s left join d using (camera_id)")
+def claim_reschedule(t):
+    """All cameras after a claim of those that are due, forty at most: each claimed one has its next time."""
+    c = t.spark.sql(_SCHEDULE.replace("from cameras", "from {cameras}"), cameras=t.cameras)
+    return ST.rescheduled(c, ST.due(c, 500, 40), 500).select("camera_id", F.col("next_at").cast("long").alias("next_at"))
