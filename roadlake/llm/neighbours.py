@@ -8,7 +8,7 @@ reaches the target; the last one is every row, so hard data cost time, not recal
 
 Defined results: vectors that are null, zero or hold null or non-finite components take no part, nor do those of another
 length than the commonest; a query's own rows (its id) are no candidates; ties go to the smaller id; repeated candidate
-rows count once; an empty table, or no query, gives no rows.
+rows count once; an empty table, or no query, gives no rows; other columns are kept out, whatever their names.
 """
 
 from __future__ import annotations

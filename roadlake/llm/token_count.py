@@ -6,7 +6,8 @@ independently. A huge text is encoded in overlapping chunks with offsets; two ne
 their overlap at which both encodings have a token end and which is stable by that proof. Where the overlap has none
 it is doubled, at last up to the end of the text, so that the count is the library's in every case.
 
-Defined results: null and empty texts have 0 tokens and 0 bytes; repeated rows stay rows; an empty table gives none.
+Defined results: null and empty texts have 0 tokens and 0 bytes; repeated rows stay rows; an empty table gives none;
+other columns are kept out of the result, whatever their names.
 """
 
 from __future__ import annotations
