@@ -17,7 +17,7 @@ HEADLINE = [
     "segment_map", "live_grid", "hex_context", "grid_static", "grid_hour", "stops_near_lines", "line_cells", "polygon_envelope", "segment_evidence", "road_overview", "snapshot_emissions", "active_mappings", "hexagon_cells",
 ]
 
-LONG = 20.0
+LONG = 8.0
 
 
 def main() -> None:

@@ -220,7 +220,7 @@ from (select *, row_number() over (partition by name order by coalesce(max_score
 }
 
 
-@query(duck_with("facts", "segments", "hexes", "stops", "pois", **_MERGED) + "select merged.*, hexlist.hex_ids, classlist.classes, pollutant_totals, class_counts, places, stopmin.stops, hours from merged left join hexlist using (name) left join classlist using (name) left join totals using (name) left join kindsum using (name) left join placesum using (name) left join stopmin using (name) left join hoursum using (name)")
+@query(duck_with("facts", "segments", "hexes", "stops", "pois", **_MERGED) + "select merged.*, coalesce(hexlist.hex_ids, '') as hex_ids, classlist.classes, pollutant_totals, class_counts, places, stopmin.stops, hours from merged left join hexlist using (name) left join classlist using (name) left join totals using (name) left join kindsum using (name) left join placesum using (name) left join stopmin using (name) left join hoursum using (name)")
 def merged_contexts(t):
     """Roads of several segments as one: sums of maps, joined lists, the nearest sighting of each stop, the first hint, hours added up."""
     df = E.merged(contexts(t)).drop("activity_score")
