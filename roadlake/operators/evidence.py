@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadlake.functions.scalars import half_up
+from roadlake.scratch import written
 
 # Classes that make a cell promising and a stop weak, hints by priority, how many kinds of places are named.
 HIGH, WEAK = ("Sangat Tinggi", "Tinggi"), ("Rendah", "Sangat Rendah")
@@ -103,6 +104,7 @@ def merged(contexts: DataFrame) -> DataFrame:
     hint, hours (list of hour, values (map), interpolated, method). The most active segment's own fields stand, ties to the smaller id; lists
     follow the segments' order; a mean is the mean of the segments' means.
     """
+    contexts = written(contexts, "contexts")  # read once for each part that is merged
     place = F.struct(-F.coalesce("activity_score", F.lit(-1.0)), "segment_id")
     first = lambda c: F.min_by(c, place).alias(c)
     listed = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("segment_id", F.coalesce("hex_ids", F.array().cast("array<bigint>")).alias("h")))), lambda x: x["h"]))
@@ -145,6 +147,6 @@ def ends_of(df: DataFrame, score: str, tie: str, top: int, bottom: int) -> DataF
     """
     from roadlake.operators.scoring import ranked, with_total
 
-    r = with_total(ranked(df.where(F.col(score).isNotNull()), score, tie, True))
+    r = with_total(ranked(written(df.where(F.col(score).isNotNull()), "scored"), score, tie, True))
     parts = F.array_compact(F.array(F.when(F.col("rank") <= top, "top"), F.when(F.col("rank") > F.col("total") - bottom, "bottom"), F.when(F.col("rank") == F.floor(F.col("total") / 2) + 1, "median")))
     return r.withColumn("part", F.explode(parts)).withColumn("cut", F.col("total") > F.least(F.col("total"), F.lit(top)) + F.least(F.col("total"), F.lit(bottom)))
