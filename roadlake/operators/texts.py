@@ -14,12 +14,15 @@ GRAM = 3
 
 
 def parts_of(text: Column, n: int) -> Column:
-    """The distinct runs of n characters of a text. Characters are taken apart once and laid side by side, so a long text costs its length."""
-    chars = F.split(text, "")
-    runs = chars
-    for i in range(2, n + 1):
-        runs = F.zip_with(runs, F.slice(chars, i, F.greatest(F.length(text), F.lit(1))), lambda a, b: F.concat(a, b))
-    return F.array_distinct(F.filter(runs, lambda x: F.length(x) == n))  # null where the text ends
+    """The distinct runs of n characters of a text, by one pass of a pattern that looks ahead: no lambdas that are interpreted character by character."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))."), 1))  # the dot goes on by a whole character
+
+
+def distinct_texts(asks: DataFrame) -> DataFrame:
+    """id, q: each different text of asks (q) once, dealt to all tasks, however few files they came from."""
+    parts = int(asks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = asks.select("q").distinct().repartition(parts, F.xxhash64("q"))
+    return written(each.select(F.monotonically_increasing_id().alias("id"), "q"), "texts")
 
 
 def containing(longs: DataFrame, shorts: DataFrame, long_id: str, long: str, short_id: str, short: str) -> DataFrame:
@@ -66,20 +69,20 @@ def resolved_names(asks: DataFrame, segments: DataFrame, similar: DataFrame | No
     the first ones. Segments of one name are one answer with all of them.
     """
     groups = written(name_groups(segments), "names")
-    open_ = lambda done: asks.join(done, "id", "left_anti")
+    # each different text is settled once; ids meet their text's answer at the end, and nothing of their number is broadcast
+    texts = distinct_texts(asks)
+    open_ = lambda done: texts.join(done.select("id").hint("merge"), "id", "left_anti")
     ids = segments.select("segment_id", F.col("segment_name").alias("name"), normalized_name(F.col("segment_id")).alias("key"))
-    by_id = containing(asks, ids, "id", "q", "segment_id", "key").join(ids, "segment_id")
-    done = _settled(by_id.select("id", F.array("segment_id").alias("segment_ids"), "name", F.lit(1).cast("long").alias("count"), F.col("segment_id").alias("first")), "id")
-    done = written(done, "by-id")
-    left = written(open_(done), "open")
-    held = containing(left, groups.withColumn("text", F.col("key")), "id", "q", "key", "text")
-    holds = containing(groups.withColumn("text", F.col("key")), left, "key", "text", "id", "q")
+    by_id = containing(texts, ids, "id", "q", "segment_id", "key").join(ids, "segment_id")
+    by_id = written(_settled(by_id.select("id", F.array("segment_id").alias("segment_ids"), "name", F.lit(1).cast("long").alias("count"), F.col("segment_id").alias("first")), "id"), "by-id")
+    left = written(open_(by_id), "open")
+    keys = groups.select("key", F.col("key").alias("text"))
+    held = containing(left, keys, "id", "q", "key", "text")
+    holds = containing(keys, left, "key", "text", "id", "q")
     named = held.unionByName(holds.select("id", "key")).distinct().join(groups, "key")
-    done = done.unionByName(written(_settled(named.select("id", "segment_ids", "name", "count", "first"), "alias"), "by-name"))
+    by_name = written(_settled(named.select("id", "segment_ids", "name", "count", "first"), "alias"), "by-name")
+    done = by_id.unionByName(by_name)
     none = F.array().cast(CANDIDATE)
-    if similar is not None:
-        near = open_(done).join(similar, "id").join(groups, "key").select("id", F.lit("embedding").alias("method"), "segment_ids", none.alias("candidates"))
-        done = done.unionByName(near)
     left = open_(done)
     words = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit("([a-z0-9]+)"), 1))
     asked = left.select("id", F.explode(F.filter(words("q"), lambda w: F.length(w) > longer_than)).alias("word"))
@@ -92,8 +95,16 @@ def resolved_names(asks: DataFrame, segments: DataFrame, similar: DataFrame | No
         F.max("shared").alias("shared"), F.min_by("segment_ids", "rank").alias("ids"), F.sort_array(F.collect_list(F.struct("rank", F.struct(F.col("first").alias("segment_id"), "name", "count").alias("c")))).alias("all")
     )
     enough = F.coalesce(F.col("shared") >= fewest, F.lit(False))
-    last = left.select("id").join(best, "id", "left").select("id", F.lit("string").alias("method"), F.when(enough, F.col("ids")).alias("segment_ids"), F.when(enough | F.col("all").isNull(), none).otherwise(F.transform("all", lambda x: x["c"])).alias("candidates"))
-    return done.unionByName(last)
+    last = left.select("id").join(best.hint("merge"), "id", "left").select("id", F.lit("string").alias("method"), F.when(enough, F.col("ids")).alias("segment_ids"), F.when(enough | F.col("all").isNull(), none).otherwise(F.transform("all", lambda x: x["c"])).alias("candidates"))
+    solved = texts.join(done.unionByName(written(last, "by-words")).hint("merge"), "id").select(F.col("q").alias("_q"), "method", "segment_ids", "candidates")
+    found = asks.select("id", "q").join(solved.hint("merge"), F.col("q").eqNullSafe(F.col("_q"))).drop("q", "_q")
+    if similar is not None:
+        near = similar.select("id", "key").join(groups.select("key", F.col("segment_ids").alias("_ids")), "key").drop("key")
+        alike = (F.col("method") == "string") & F.col("_ids").isNotNull()
+        found = found.join(near.hint("merge"), "id", "left").select(
+            "id", F.when(alike, "embedding").otherwise(F.col("method")).alias("method"), F.when(alike, F.col("_ids")).otherwise(F.col("segment_ids")).alias("segment_ids"), F.when(alike, none).otherwise(F.col("candidates")).alias("candidates")
+        )
+    return found
 
 
 def most_similar(asks: DataFrame, names: DataFrame, threshold: float, block: int = 2048) -> DataFrame:

@@ -36,3 +36,22 @@ def test_pairs_are_not_written(spark, name):
 
 def test_squares_are_not_broadcast(spark):
     assert "BroadcastHashJoin" not in plan(QUERIES["point_in_polygon"](spark, SF))
+
+
+def test_texts_are_settled_once(spark):
+    from roadlake.operators import texts as TX
+
+    asks = spark.range(2000).select("id", F.concat(F.lit("halte "), (F.col("id") % 3).cast("string")).alias("q")).unionByName(spark.sql("SELECT 2000L AS id, CAST(NULL AS string) AS q"))
+    each = TX.distinct_texts(asks)
+    assert each.count() == 4 and each.select("id").distinct().count() == 4
+    segments = spark.createDataFrame([("S1", "halte 1"), ("S2", "big road")], "segment_id string, segment_name string")
+    got = TX.resolved_names(asks, segments)
+    assert {(r.method, r.n) for r in got.groupBy("method").agg(F.count("*").alias("n")).collect()} == {("alias", 667), ("string", 1334)}
+    assert got.where("id = 2000").first().method == "string"
+
+
+def test_grams_need_no_lambdas(spark):
+    from roadlake.operators import texts as TX
+
+    df = spark.createDataFrame([("a\nbca\nb",)], "t string").select(TX.parts_of(F.col("t"), 3).alias("g"))
+    assert "lambda" not in plan(df) and sorted(df.first().g) == ["\nbc", "a\nb", "bca", "ca\n"]
