@@ -55,3 +55,14 @@ def test_grams_need_no_lambdas(spark):
 
     df = spark.createDataFrame([("a\nbca\nb",)], "t string").select(TX.parts_of(F.col("t"), 3).alias("g"))
     assert "lambda" not in plan(df) and sorted(df.first().g) == ["\nbc", "a\nb", "bca", "ca\n"]
+
+
+def test_series_of_a_cell_shuffles_no_other_cells(spark):
+    from roadlake.operators import scoring as SC
+
+    cells = spark.range(60).select(F.col("id").alias("hex_id"), (F.col("id") * 0.01).alias("lon"), F.lit(0.0).alias("lat"), F.col("id").cast("double").alias("norm_poi"), F.lit(1.0).alias("norm_population"), F.lit(7.0).alias("volume_mean"))
+    volumes = spark.createDataFrame([(1, 3, 5.0), (1, 40, 9.0)], "hour long, hex_id long, volume double")
+    hours = spark.createDataFrame([(1,), (2,)], "hour long")
+    all_ = SC.hour_scores(cells, volumes, ["hour"], hours)
+    want = {(r.hour, r.score, r["rank"]) for r in all_.where("hex_id = 30").collect()}
+    assert {(r.hour, r.score, r["rank"]) for r in SC.cell_series(cells, volumes, ["hour"], hours, 30).collect()} == want and len(want) == 2
