@@ -102,7 +102,7 @@ data_status, borrowed_from from shown w left join l on l.segment_id = of_segment
 def segment_map(t):
     """One item a segment for the map: its newest fact, or the nearest segment's, or nothing."""
     columns = ["id", "period_end", "semantics", *(f"{p}_g_h" for p in POLLUTANTS)]
-    own = FA.latest(t.matching()).select("segment_id", "lon1", "lat1", *columns)
+    own = t.newest("lon1", "lat1", *columns)
     rest = t.segments.join(own, "segment_id", "left_anti").select("segment_id", F.col("lon1").alias("lon"), F.col("lat1").alias("lat"))
     others = own.select(F.col("segment_id").alias("borrowed_from"), F.col("lon1").alias("lon_r"), F.col("lat1").alias("lat_r"), *columns)
     lent = SP.nearest(rest, others, ["segment_id"], "borrowed_from", carry=columns).drop("d2")

@@ -66,3 +66,37 @@ def test_series_of_a_cell_shuffles_no_other_cells(spark):
     all_ = SC.hour_scores(cells, volumes, ["hour"], hours)
     want = {(r.hour, r.score, r["rank"]) for r in all_.where("hex_id = 30").collect()}
     assert {(r.hour, r.score, r["rank"]) for r in SC.cell_series(cells, volumes, ["hour"], hours, 30).collect()} == want and len(want) == 2
+
+
+@pytest.mark.parametrize("name", ["segment_map", "display_facts_nn", "road_overview", "merged_contexts"])
+def test_facts_are_read_once(spark, monkeypatch, name):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    reads, write = [], DataFrameWriter.parquet
+    events = lambda df: reads.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation [event_id"))
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: (events(self._df), write(self, *a, **k))[1])
+    events(QUERIES[name](spark, SF))
+    assert sum(reads) == 1
+
+
+def test_facts_by_mode_hold_the_chosen(spark):
+    from roadlake.operators import facts as FA
+
+    rows = [(i, f"S{i % 3}", i % 4 * 100, i % 4 * 100 + (50 if i % 7 else 60), i % 5, i % 11, ("REPLAY", "LIVE", "CSV_HISTORY")[i * i % 3]) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, segment_id string, period_start long, period_end long, version int, calculated_us long, source_mode string")
+    few, ids = FA.by_mode(df), lambda x: sorted(r.id for r in x.select("id").collect())
+    assert few.count() < 60 and ids(FA.latest(few)) == ids(FA.latest(df)) and ids(FA.deduplicated(few)) == ids(FA.deduplicated(df))
+    assert ids(FA.deduplicated(few.where("source_mode = 'REPLAY'"))) == ids(FA.deduplicated(df.where("source_mode = 'REPLAY'")))
+
+
+def test_only_crossed_cells_are_written_and_asked(spark, monkeypatch):
+    from roadlake.plans import evidence as EV
+    from roadlake.plans.contexts import crossed_segments
+    from roadlake.plans.queries import Tables
+
+    asked, within = [], SP.places_within
+    monkeypatch.setattr(SP, "places_within", lambda left, *a, **k: (asked.append(left), within(left, *a, **k))[1])
+    t = Tables(spark, SF)
+    EV.evidence(t)
+    crossed = {r.hex_id for r in crossed_segments(t).collect()}
+    assert len(asked) == 1 and {r.hex_id for r in asked[0].collect()} <= crossed
