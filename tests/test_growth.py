@@ -100,3 +100,65 @@ def test_only_crossed_cells_are_written_and_asked(spark, monkeypatch):
     EV.evidence(t)
     crossed = {r.hex_id for r in crossed_segments(t).collect()}
     assert len(asked) == 1 and {r.hex_id for r in asked[0].collect()} <= crossed
+
+
+@pytest.mark.parametrize("name", ["hex_hour_scores", "hex_hourly_series", "live_grid"])
+def test_facts_of_cells_are_read_once(spark, monkeypatch, name):
+    test_facts_are_read_once(spark, monkeypatch, name)
+
+
+def test_ranks_are_of_classes_not_of_the_product(spark, monkeypatch):
+    from roadlake.operators import scoring as SC
+
+    sizes, write = [], SC.written
+    monkeypatch.setattr(SC, "written", lambda df, name: (t := write(df, name), sizes.append(t.count()))[0])
+    cells = spark.range(3000).select(F.col("id").alias("hex_id"), (F.col("id") * 0.01).alias("lon"), F.lit(0.0).alias("lat"), (F.col("id") % 3).cast("double").alias("norm_poi"), F.lit(1.0).alias("norm_population"), F.lit(7.0).alias("volume_mean"))
+    volumes = spark.createDataFrame([(h, c, 5.0 + h * c) for h in range(1, 13) for c in (3, 40)], "hour long, hex_id long, volume double")
+    df = SC.hour_scores(cells, volumes, ["hour"], spark.range(1, 13).toDF("hour"))
+    assert max(sizes) < 4000 and "Window" not in plan(df) and df.count() == 36_000
+
+
+def test_equal_scores_are_ranked_together(spark, monkeypatch):
+    import random
+
+    from roadlake.operators import scoring as SC
+
+    monkeypatch.setattr(SC, "BLOCK", 4)
+    monkeypatch.setattr(SC, "CHUNK", 16)
+    rng = random.Random(3)
+    cells = [(i, None if i % 23 == 22 else rng.random(), rng.random(), rng.choice([None, 1.0, 2.0, 2.0]), rng.choice([1.0, 3.0]), rng.choice([None, 5.0, 9.0])) for i in range(150)]
+    hours, seen = list(range(10)), [*rng.sample(range(150), 8), 22]
+    volumes = [(h, c, rng.choice([4.0, 4.0, 8.0, 6.0]), c % 2 == 0, [f"S{c}"]) for h in hours[:-1] for c in seen if rng.random() < 0.5]
+    cells_df = spark.createDataFrame(cells, "hex_id long, lon double, lat double, norm_poi double, norm_population double, volume_mean double")
+    v = spark.createDataFrame(volumes, "hour long, hex_id long, volume double, interpolated boolean, segment_ids array<string>")
+    asked = spark.createDataFrame([(h,) for h in hours], "hour long")
+    got = {(r.hour, r.hex_id): r for r in SC.hour_scores(cells_df, v, ["hour"], asked).collect()}
+    assert len(got) == 1500
+    means = [c[5] for c in cells if c[5] is not None]
+    for h in hours:
+        own = {c: (vol, gap, ids) for k, c, vol, gap, ids in volumes if k == h}
+        low, high = (min(x[0] for x in own.values()), max(x[0] for x in own.values())) if own else (min(means), max(means))
+        scores = {}
+        for i, x, y, poi, population, mean in cells:
+            placed = [j for j in own if cells[j][1] is not None]
+            source = i if i in own else None if x is None else min(placed, key=lambda j: ((cells[j][1] - x) ** 2 + (cells[j][2] - y) ** 2, j), default=None)
+            used, r = own[source][0] if source is not None else mean, got[h, i]
+            assert (r.source_id, r.used, r.status) == (None if i in own else source, used, "live" if i in own else "fallback" if used is not None else "no_data")
+            assert r.interpolated == (own[source][1] if source is not None else False) and r.segment_ids == (own[i][2] if i in own else None)
+            if used is not None and poi is not None:
+                scores[i] = SC.cell_score(100.0 if high <= low else 1.0 + (used - low) / (high - low) * 99.0, poi, population)
+        order = sorted(scores, key=lambda i: (-scores[i], i))
+        assert {i: got[h, i]["rank"] for i in order} == {i: n for n, i in enumerate(order, 1)} and {got[h, i].total for i in order} == {len(order)}
+        assert all(got[h, i]["rank"] is None and got[h, i].total is None for i in range(150) if i not in scores)
+    for i in (7, 22, seen[0]):
+        series = {(r.hour, r.score, r["rank"]) for r in SC.cell_series(cells_df, v, ["hour"], asked, i).collect()}
+        assert series == {(h, got[h, i].score, got[h, i]["rank"]) for h in hours}
+
+
+def test_small_groups_meet_all(spark, monkeypatch):
+    points = lambda n, seed, *names: spark.range(n).select(F.col("id").alias(names[0]), (F.col("id") % 3).alias("g"), F.round(F.rand(seed), 1).alias(names[1]), F.round(F.rand(seed + 1), 1).alias(names[2]))
+    left, right = points(300, 1, "id", "lon", "lat"), points(90, 5, "rid", "lon_r", "lat_r").where("g < 2 AND (g = 0 OR rid < 30)").cache()
+    want = sorted(SP.nearest(left, right, ["id"], "rid", ["g"]).select("id", "rid").collect())
+    for few in (128, 20, 0):
+        monkeypatch.setattr(SP, "FEW", few)
+        assert sorted(SP.nearest_in_small_groups(left, right, ["id"], "rid", ["g"]).collect()) == want and len(want) == 200
