@@ -162,3 +162,12 @@ def test_small_groups_meet_all(spark, monkeypatch):
     for few in (128, 20, 0):
         monkeypatch.setattr(SP, "FEW", few)
         assert sorted(SP.nearest_in_small_groups(left, right, ["id"], "rid", ["g"]).collect()) == want and len(want) == 200
+
+
+def test_distances_are_rounded_before_rows_meet(spark):
+    text = QUERIES["poi_within_500m"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "round(" in text and "round(" not in text[: text.index("Join")]
+    left = spark.range(40).select("id", (F.col("id") % 7 * 0.001).alias("lon"), F.lit(0.0).alias("lat"))
+    right = spark.range(30).select(F.col("id").alias("of"), (F.col("id") % 5 * 0.0013).alias("lon_r"), F.lit(0.0).alias("lat_r"))
+    want = SP.within_distance(left, right, 300).select("id", "of", F.round("distance_m", 3).alias("d"))
+    assert sorted(SP.within_distance(left, right, 300, digits=3).select("id", "of", "distance_m").collect()) == sorted(want.collect()) and want.count() > 100
